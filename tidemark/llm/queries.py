@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, url_filter
+from tidemark.llm import exact_dedup, packing, token_counts, url_filter, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(said, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 URL_RULES = (
     url_filter.Rule("allow", "com/"),
     url_filter.Rule("block", "example.com/en/"),
@@ -62,9 +83,19 @@ FROM documents
 """
 
 
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_url_filters": op4_url_filters,
+    "op7_packing": op7_packing,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLES = {"op4_url_filters": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_url_filters": op4_url_filters, "op10_exact_dedup": op10_exact_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return dict(ORACLES)
