@@ -8,18 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, packing, token_counts, url_filter, word_bpe
+from tidemark.llm import exact_dedup, fingerprints, packing, secret_scan, token_counts, url_filter, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fingerprints.with_next(fingerprints.with_fingerprint(docs, "text", "packed"), ["text", "packed"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("edited", edited).withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "next_text")
+    rows = fingerprints.with_fingerprint(rows, "edited", "edited_packed")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_string(F.col("packed")).alias("fingerprint"),
+        fingerprints.as_string(F.col("edited_packed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
+        fingerprints.likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.as_string(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.as_string(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -84,7 +113,9 @@ FROM documents
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_url_filters": op4_url_filters,
     "op7_packing": op7_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
