@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, near_dedup, packing, secret_scan, token_counts, url_filter, word_bpe
+from tidemark.llm import exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,23 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs.select("doc_id", "text"), labels, quality.trainable_ids())
+    rows = quality.score(docs.select("doc_id", "text"), model)
+    return rows.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = word_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     said = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -122,7 +135,9 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filters": op4_url_filters,
     "op5_near_dedup": op5_near_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
 }
