@@ -38,11 +38,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use ev
 #: Characters of a leaf. Only the split of work depends on it, never the ids.
 LEAF = 16_384
 #: Distinct chunks a worker keeps; beyond that, new ones are encoded each time they come.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 48
 SLICE_ROWS = 256
 #: Control characters that Python splits at and the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 SUFFIX = "</w>"
 #: Chunks of these characters are already normal but for case, and split by the pattern below.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -51,6 +51,37 @@ _PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9
 _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
 
 
+class _Words(dict):
+    """Ids of pre-tokens (lower-case), by the model alone, kept up to a bound."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_LEVEL)
+        out = np.array([t.id for t in self.tokenize(mapped)], dtype="<u4").tobytes()
+        if len(self) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
+            self[word] = out
+        return out
+
+
+class _Chunks(dict):
+    """Ids of white-space-free chunks, kept up to a bound: plain ones by their pre-tokens, the rest by the library."""
+
+    def __init__(self, lib: Tokenizer):
+        self.lib = lib
+        self.word = _Words(lib.model).__getitem__
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            out = b"".join(map(self.word, _PRE_TOKEN.findall(chunk.lower())))
+        else:
+            out = np.array(self.lib.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) < CACHE_ENTRIES and len(chunk) <= CACHE_CHARS:
+            self[chunk] = out
+        return out
+
+
 class Encoder:
     """The tokenizer of one file with a bounded cache; one for each worker process."""
 
@@ -62,13 +93,9 @@ class Encoder:
         self.lib.no_padding()
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.lib.id_to_token(i) for i in range(size)]
-        self.ends = np.array([t.endswith(SUFFIX) for t in self.tokens])
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.lib)
         self.specials = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self._inner: models.BPE | None = None
-        bare = json.loads(self.lib.to_str()) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self.bare = Tokenizer.from_str(json.dumps(bare))  # the model alone, for blank-separated byte-level words
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -91,42 +118,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [[x] if _ODD_SPACE.search(x) else x.split() for x in texts]
-        get = self.cache.get
-        found = [list(map(get, x)) for x in split]
-        short = [k for k, x in enumerate(found) if None in x]
-        if short:
-            fresh = self._fresh(list({c for k in short for c, e in zip(split[k], found[k]) if e is None}))
-            for k in short:
-                found[k] = [fresh[c] if e is None else e for c, e in zip(split[k], found[k])]
-            _keep(self.cache, fresh)
-        return [b"".join(x) for x in found]
-
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that are not known yet; plain ones by their pre-tokens, the rest by the library."""
-        out: dict[str, bytes] = {}
-        plain = {c: _PRE_TOKEN.findall(c.lower()) for c in chunks if _PLAIN.fullmatch(c) and "<|" not in c}
-        words = list({w for x in plain.values() for w in x if w not in self.words})
-        fresh: dict[str, bytes] = {}
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            mapped = [w if w.isascii() else w.encode().decode("latin1").translate(_BYTE_LEVEL) for w in part]
-            ids = np.array(self.bare.encode(" ".join(mapped), add_special_tokens=False).ids, dtype="<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()  # each word ends in its only such token
-            blob, at = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                fresh[w] = blob[at:end]
-                at = end
-        known = self.words
-        for c, x in plain.items():
-            out[c] = b"".join([known.get(w) or fresh[w] for w in x])
-        _keep(known, fresh)
-        rest = [c for c in chunks if c not in plain]
-        for lo in range(0, len(rest), 4096):
-            part = rest[lo : lo + 4096]
-            for c, e in zip(part, self.lib.encode_batch(part, add_special_tokens=False)):
-                out[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, [x] if _odd(x) else x.split())) for x in texts]
 
     def cut(self, text: str, leaf: int) -> Iterator[tuple[str, str]]:
         """(kind, payload) of the leaves of text, in order.
@@ -134,14 +127,14 @@ class Encoder:
         text: encode as it is. tokens: byte-level pre-tokens, blank-separated. part / last: a
         slice of one pre-token, the last of which carries the word end. special: one id.
         """
-        if _ODD_SPACE.search(text):
+        if _odd(text):
             pieces = [text]
         else:
             pieces = text.split()
         room: list[str] = []
         held = 0
         for piece in pieces:
-            if len(piece) <= leaf and not _ODD_SPACE.search(piece):
+            if len(piece) <= leaf and not _odd(piece):
                 if held + len(piece) > leaf and room:
                     yield "text", " ".join(room)
                     room, held = [], 0
@@ -222,15 +215,8 @@ class Encoder:
         return out
 
 
-def _keep(cache: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-    """Puts what is fresh into cache as long as there is room."""
-    room = CACHE_ENTRIES - len(cache)
-    for c, e in fresh.items():
-        if room <= 0:
-            break
-        if len(c) <= CACHE_CHARS:
-            cache[c] = e
-            room -= 1
+def _odd(text: str) -> bool:
+    return any(c in text for c in _ODD_SPACE)
 
 
 def _halves(token: str, leaf: int) -> Iterator[str]:
