@@ -176,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column) -> Model:
     return fit(*sample(docs, labels, trainable))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score: the probability of label 1, from the whole text alone."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with a column out: the probability of label 1, from the whole text alone."""
     shipped = docs.sparkSession.sparkContext.broadcast(model.feature_scores())
 
     @F.pandas_udf("double")
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield texts.map(own).astype(float)
 
-    return docs.withColumn("score", scored(whole_text()))
+    return docs.withColumn(out, scored(whole_text()))
 
 
 def trainable_ids() -> Column:
