@@ -1,3 +1,3 @@
 """The registered queries of the reference's own operators."""
 
-from tidemark.plans import graph  # noqa: F401
+from tidemark.plans import coverage, graph  # noqa: F401
