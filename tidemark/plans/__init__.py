@@ -1,3 +1,3 @@
 """The registered queries of the reference's own operators."""
 
-from tidemark.plans import catalog, coverage, graph  # noqa: F401
+from tidemark.plans import catalog, coverage, graph, report  # noqa: F401
