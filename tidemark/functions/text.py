@@ -1,0 +1,31 @@
+"""Scalar expressions shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.operators.catalog import norm_path
+from tidemark.operators.graph import common_prefix, display_name, short_name, spec_key
+
+__all__ = ["capitalised", "common_prefix", "display_name", "norm_path", "or_else", "plain", "short_name", "spec_key", "trimmed"]
+
+
+def or_else(a: Column, b: Column) -> Column:
+    """a unless it is null or empty, else b."""
+    return F.coalesce(F.nullif(a, F.lit("")), b)
+
+
+def capitalised(text: Column) -> Column:
+    """First letter upper, the rest lower case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
+
+
+def trimmed(text: Column, most: int) -> Column:
+    """text, or its first most characters and a mark for what is left out."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n... (truncated)"))).otherwise(text)
+
+
+def plain(text: Column) -> Column:
+    """text without terminal colours."""
+    return F.regexp_replace(text, "\x1b\\[[0-9;]*m", "")
