@@ -3,8 +3,8 @@ r"""Token counts without ids: pieces are counted once per distinct pre-token.
 Every text is split into pre-tokens by the tokenizer's own pattern, in the JVM. The distinct
 pre-tokens of the corpus are counted into pieces by the tokenizers library, once each. Those
 counts are joined to the pre-token frequencies of each document and summed. The join has two
-tiers: the HOT most frequent pre-tokens go to every executor (at most HOT rows of at most
-HOT_BYTES each, whatever the corpus), where a document's occurrences of them fold into one row;
+tiers: the most frequent pre-tokens, HOT at most, go to every executor (HOT rows of HOT_BYTES each at most,
+whatever the corpus), where a document's occurrences of them fold into one row;
 all others stay rows (document, pre-token, frequency) and meet their counts in a shuffled join.
 
 A text with a code point that the JVM's Unicode tables don't know yet is counted by the library
@@ -87,6 +87,19 @@ def _parts(text: Column, specials: list[str]) -> Column:
     return F.split(text, pattern, -1)
 
 
+def _cutoff(pieces: DataFrame, hot: int) -> int:
+    """A frequency that at most hot pieces reach: from the counts of frequency classes, a few hundred rows."""
+    step = F.floor(F.log2("freq") * 16)
+    classes = pieces.groupBy(step.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.min("freq").alias("least"))
+    least, held = 2**62, 0
+    for row in sorted(classes.collect(), key=lambda r: -r["class"]):
+        held += row["n"]
+        if held > hot:
+            break
+        least = row["least"]
+    return least
+
+
 def count(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens: one row per row of docs (doc_id, text)."""
     specials = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
@@ -98,7 +111,8 @@ def count(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     pieces = known.select(F.explode(pre_tokens(text, specials)).alias("piece"))
     pieces = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
     pieces = written(library_counts(pieces, "piece", path, "n"), "piece-counts")
-    frequent = pieces.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("freq"), "piece").limit(hot)
+    short = pieces.where(F.octet_length("piece") <= HOT_BYTES)
+    frequent = short.where(F.col("freq") >= _cutoff(short, hot))
     frequent = written(frequent.select("piece", F.col("n").alias("hot_n")), "piece-counts-hot")
 
     # frequencies of each document: hot pre-tokens folded into one row, the others one row each
