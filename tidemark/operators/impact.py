@@ -49,7 +49,7 @@ def impact(
     edges = edges.join(connectors.withColumnRenamed("connector", "own_type").withColumn("own_known", F.lit(True)), "own_type", "left")
     bridges = implements.join(connectors.withColumn("is_connector", F.lit(True)), F.col("impl_type") == F.col("connector"), "left").select(
         F.col("concrete").alias("cur"), "abstract", F.col("impl_type").alias("b_type"), F.col("trait_name").alias("b_trait"),
-        F.element_at("trait_args", 1).alias("b_arg"), F.coalesce("is_connector", F.lit(False)).alias("is_connector"),
+        F.get("trait_args", F.lit(0)).alias("b_arg"), F.coalesce("is_connector", F.lit(False)).alias("is_connector"),
     )
 
     state = targets.select(

@@ -10,8 +10,8 @@ TABLES = (
 ).split()
 
 
-def get_session(app: str = "tidemark", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings the queries rely on: UTC and adaptive execution."""
+def get_session(app: str = "tidemark", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
+    """A local session with the settings the queries rely on: UTC and adaptive execution. conf: more, with _ for the dots."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +20,7 @@ def get_session(app: str = "tidemark", cores: str = "*", partitions: int = 8) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config(map={k.replace("_", "."): v for k, v in conf.items()})
         .getOrCreate()
     )
 

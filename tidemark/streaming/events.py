@@ -17,16 +17,21 @@ def read(spark: SparkSession, path: str, schema: str, glob: str = "*.parquet") -
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time with a zone, as watermarks need it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, event_type, n, total; events more than late behind are left out."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    out = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     out = out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """user_id, session_start, n of runs of events with no gap as long as gap."""
-    out = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    out = _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
