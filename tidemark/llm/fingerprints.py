@@ -42,10 +42,14 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-# bin p probes (FIRST[p] + STEP[p] * t) mod BINS for t = 0, 1, ...: STEP is odd, so all bins once
-STEP = [_mix(2 * p) % BINS | 1 for p in range(BINS)]
-FIRST = [_mix(2 * p + 1) % BINS for p in range(BINS)]
-UNSTEP = [pow(a, -1, BINS) for a in STEP]
+# the order in which bin p probes the bins: by (SCALE[p] * bin + SHIFT[p]) mod PRIME
+PRIME = 2**31 - 1
+SCALE = [_mix(2 * p) % (PRIME - 1) + 1 for p in range(BINS)]
+SHIFT = [_mix(2 * p + 1) % PRIME for p in range(BINS)]
+
+
+def probe_order(p: int) -> list[int]:
+    return sorted(range(BINS), key=lambda j: (SCALE[p] * j + SHIFT[p]) % PRIME)
 
 
 def _array(values: list[int]) -> Column:
@@ -65,21 +69,22 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
 
     is_end = lambda x: x.bitwiseAND(F.lit(_LAST)) == F.lit(_LAST)
     firsts = F.filter("__s", lambda x, i: (i == 0) | is_end(F.get("__s", i - 1)))
-    low = F.transform(firsts, lambda x: F.when(~is_end(x), x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
-    rows = rows.withColumn("__b", low)
+    rows = rows.withColumn("__b", F.transform(firsts, lambda x: F.when(~is_end(x), x)))
     full = F.filter(F.transform("__b", lambda x, p: F.when(x.isNotNull(), p)), lambda p: p.isNotNull())
     rows = rows.withColumn("__f", F.when(F.exists("__b", lambda x: x.isNull()), full))
 
-    probes = [_array([(FIRST[p] + STEP[p] * t) % BINS for p in range(BINS)]) for t in range(PROBES)]
-    first, step, unstep = _array(FIRST), _array(STEP), _array(UNSTEP)
+    orders = [probe_order(p)[:PROBES] for p in range(BINS)]
+    probes = [_array([o[t] for o in orders]) for t in range(PROBES)]
+    scale, shift = _array(SCALE), _array(SHIFT)
 
     def filled(x: Column, p: Column) -> Column:
-        # the least t that leads to a full bin: t = (bin - FIRST) / STEP, modulo BINS
-        t = F.array_min(
-            F.transform("__f", lambda j: ((j - F.get(first, p) + BINS) * F.get(unstep, p)).bitwiseAND(F.lit(BINS - 1)))
-        )
-        last = (F.get(first, p) + F.get(step, p) * t).bitwiseAND(F.lit(BINS - 1))
-        return F.coalesce(x, *[F.get("__b", F.get(q, p)) for q in probes], F.get("__b", last))
+        # the first full bin in the order of p; ranks are below 2^31, so rank and bin fit one number
+        ranked = F.transform("__f", lambda j: (F.get(scale, p) * j.cast("long") + F.get(shift, p)) % PRIME * BINS + j)
+        # the second mention of __f keeps Spark from computing it anew inside this lambda
+        last = F.when(F.size("__f") > 0, F.array_min(ranked) % BINS).cast("int")
+        taken = F.coalesce(*[F.get("__b", F.get(q, p)) for q in probes], F.get("__b", last))
+        # a rank taken over is mixed with its new bin: else one rank in many bins would be alike by chance in all of them
+        return F.coalesce(x, F.xxhash64(taken, p)).bitwiseAND(F.lit((1 << BITS) - 1))
 
     rows = rows.withColumn("__d", F.transform("__b", filled))
     word = F.lit(0).cast("long")
@@ -88,7 +93,7 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
     def packed(i: Column) -> Column:
         acc = word
         for k in range(_PER_WORD):
-            acc = F.shiftleft(acc, BITS).bitwiseOR(F.get("__d", i + k).cast("long"))
+            acc = F.shiftleft(acc, BITS).bitwiseOR(F.get("__d", i + k))
         return acc
 
     return rows.select(*names, F.transform(at, packed).alias(out))
