@@ -26,8 +26,10 @@ def test_reachable_is_breadth_first(spark, seed):
         want.update(dict.fromkeys(level, depth))
     calls = calls_of(spark, [(str(a), str(b)) for a, b in edges])
     seeds = spark.createDataFrame([("0",), ("1",), ("1",)], "symbol string")
-    assert {int(r.symbol): r.depth for r in G.reachable(calls, seeds).collect()} == want
-    assert {int(r.symbol) for r in G.reachable(calls, seeds, 1).collect()} == {k for k, d in want.items() if d <= 1}
+    for small in (0, G.SMALL):
+        assert {int(r.symbol): r.depth for r in G.reachable(calls, seeds, small=small).collect()} == want
+        assert {int(r.symbol) for r in G.reachable(calls, seeds, 1, small).collect()} == {k for k, d in want.items() if d <= 1}
+        assert G.reachable(calls, seeds.limit(0), small=small).count() == 0
 
 
 def test_dead_ends_leave_out_tests_and_endpoints(spark):

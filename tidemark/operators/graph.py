@@ -7,6 +7,9 @@ level at most; nothing of the frontier reaches the driver but whether it is empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,9 +131,38 @@ def tag_endpoints(functions: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def reachable(calls: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+#: Calls up to which one task walks the graph; larger ones are walked level by level on all executors.
+SMALL = 500_000
+
+
+def _walk(max_depth: int | None):
+    """Breadth-first search over (caller, callee) rows; rows without a caller are the seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list[str]] = {}
+        depth: dict[str, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a is None:
+                    depth[b] = 0
+                else:
+                    out.setdefault(a, []).append(b)
+        level, k = list(depth), 0
+        while level and (max_depth is None or k < max_depth):
+            k += 1
+            level = [b for b in {b for a in level for b in out.get(a, ())} if b not in depth]
+            depth.update(dict.fromkeys(level, k))
+        yield pa.RecordBatch.from_arrays([pa.array(list(depth), pa.string()), pa.array(list(depth.values()), pa.int32())], ["symbol", "depth"])
+
+    return run
+
+
+def reachable(calls: DataFrame, seeds: DataFrame, max_depth: int | None = None, small: int = SMALL) -> DataFrame:
     """symbol, depth: all that seeds (symbol) reach along caller -> callee, seeds at depth 0."""
-    edges = calls.select("caller", "callee")
+    edges = written(calls.select("caller", "callee").where("caller IS NOT NULL"), "edges")  # read once a level
+    if edges.count() <= small:
+        marked = seeds.select(F.lit(None).cast("string").alias("caller"), F.col("symbol").alias("callee")).distinct()
+        return edges.unionByName(marked).coalesce(1).mapInArrow(_walk(max_depth), "symbol string, depth int")
     frontier = written(seeds.select("symbol").distinct().withColumn("depth", F.lit(0)), "frontier")
     levels = [frontier]
     seen = frontier
@@ -163,6 +195,7 @@ def chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_de
         F.concat_ws(" -> ", "caller", "callee").alias("at_hop"), F.col("guard_type").alias("guard_type"), F.col("guard_condition").alias("condition")
     )
     edges = calls.select("caller", "callee", F.when(F.col("guard_type").isNotNull(), F.array(guard)).otherwise(F.array().cast("array<struct<at_hop:string,guard_type:string,condition:string>>")).alias("g"))
+    edges = written(edges, "edges")
     ends = endpoints.select(F.col("symbol").alias("caller"), F.lit(True).alias("at_end"))
     state = targets.select(
         F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"),

@@ -47,6 +47,7 @@ def impact(
     own = F.when(F.size(F.split("caller_name", "#")) == 3, F.split_part("caller_name", F.lit("#"), F.lit(1)))
     edges = edges.withColumn("own_type", own)
     edges = edges.join(connectors.withColumnRenamed("connector", "own_type").withColumn("own_known", F.lit(True)), "own_type", "left")
+    edges = written(edges, "edges")
     bridges = implements.join(connectors.withColumn("is_connector", F.lit(True)), F.col("impl_type") == F.col("connector"), "left").select(
         F.col("concrete").alias("cur"), "abstract", F.col("impl_type").alias("b_type"), F.col("trait_name").alias("b_trait"),
         F.get("trait_args", F.lit(0)).alias("b_arg"), F.coalesce("is_connector", F.lit(False)).alias("is_connector"),
