@@ -9,10 +9,13 @@ have a value, since later levels only bring larger ones.
 Documents with equal shingle sets form a class, and only its representative goes on. Slots are
 cut into bands; documents that agree in a whole band share a bucket. Within a bucket each member
 is first paired with the smallest id only. Those pairs are checked on full sets and grouped; then
-the pairs of one bucket that are still in different groups, agree in two bands at least and whose
-sizes allow the threshold are checked as well, and grouped with the rest. No cap anywhere: the
-band shape makes the chance of missing a pair at the threshold less than MISS, and everything that
-is reported as a link has been verified.
+the pairs of one bucket that are still in different groups, agree in two bands at least and can
+reach the threshold are checked as well, and grouped with the rest. Whether a pair can reach it is
+told by the sizes and by odd sketches: every shingle of a set flips one of PARITY bits, so the bits
+in which two sketches differ are at most as many as the shingles in which the sets do. That bound
+is exact; it spares a family of half-alike documents from being compared pair by pair on full
+sets. No cap anywhere: the band shape makes the chance of missing a pair at the threshold less than
+MISS, and everything that is reported as a link has been verified.
 
 Groups come from union-find inside the partitions, which shrinks the links to forests, and rounds
 of exchanging least labels between them. Nothing about single documents reaches the driver.
@@ -39,7 +42,9 @@ from tidemark.llm.common import whole_text, written
 SLOTS = 241
 #: Largest chance of missing a pair that is just at the threshold.
 MISS = 1e-6
-WORD_CACHE = 300_000
+#: Bits of an odd sketch.
+PARITY = 1024
+WORD_CACHE = 200_000
 SLICE_ROWS = 256
 
 
@@ -63,16 +68,14 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
+def shingle_set(text: str, words: int, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; hashes keeps those of words for the texts of one task."""
+    hashes = _Hashes() if hashes is None else hashes
     # bytes.lower() and bytes.split() know ASCII only: A-Z, and \\x20 and \\x09-\\x0D
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, dtype=np.uint64)
-    h = np.array([_HASHES[w] for w in found], dtype=np.uint64)
+    h = np.array([hashes[w] for w in found], dtype=np.uint64)
     n = len(h) - words + 1 if len(h) >= words else 1
     width = min(words, len(h))
     out = np.full(n, np.uint64(0x9E3779B97F4A7C15 + width), dtype=np.uint64)
@@ -90,7 +93,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash values, one row per (non-empty) set: rank in the high 32 bits, random part in the low."""
     none = np.uint64(2**64 - 1)
     sig = np.full(len(sets) * slots, none, dtype=np.uint64)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     doc = np.repeat(np.arange(len(sets)), sizes)
     h = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
     a = _mixed(h ^ np.uint64(0x5851F42D4C957F2D))
@@ -117,41 +120,57 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set which of PARITY bits an odd number of its shingles fall on, packed into 64-bit words."""
+    doc = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], dtype=np.int64))
+    h = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+    at = (_mixed(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(doc * PARITY + at, minlength=len(sets) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITY), axis=1).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands (array of band keys)."""
+    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands (array of band keys), bits (odd sketch)."""
     bands, rows = band_shape(threshold)
     base = docs.select("doc_id", whole_text().alias("text"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words, hashes) for t in part.column(1).to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys = iter(band_keys(signatures([sets[k] for k in full]), bands, rows).view(np.int64))
-                found = [next(keys) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
-                offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
+                some = [sets[k] for k in full]
+                none = np.empty(0, dtype=np.int64)
+                lists = []
+                for each in (band_keys(signatures(some), bands, rows).view(np.int64), odd_sketches(some)):
+                    own = iter(each)
+                    found = [next(own) if len(s) else none for s in sets]
+                    offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
+                    lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *found]), pa.int64())))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found), pa.int64())),
+                        *lists,
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "n_shingles", "set_key", "bands", "bits"],
                 )
 
-    return base.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return base.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, shingles: the full sets."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                found = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                found = [shingle_set(t, words, hashes) for t in part.column(1).to_pylist()]
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
                 values = pa.array(np.concatenate(found).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
@@ -234,13 +253,13 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     found = written(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent / 100), "sketches")
     classes = found.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("size")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")
     )
     classes = written(classes.where("rep IS NOT NULL"), "classes")
 
-    keyed = classes.select("rep", F.col("size").cast("int"), F.explode("bands").alias("key"))
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, size, low
+    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, low
 
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -253,14 +272,24 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # what is left: pairs of a bucket that are in different groups so far
     named = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "rep", "size", F.coalesce("label", "rep").alias("label")
+        "key", "rep", F.coalesce("label", "rep").alias("label")
     )
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = written(named.join(mixed, "key"), "mixed-buckets")
-    left = mixed.select("key", F.col("rep").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    right = mixed.select("key", F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    rest = left.join(right, "key").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    mixed = named.join(mixed, "key").join(classes.select("rep", "size", "bits", "bands"), "rep")
+    mixed = written(mixed, "mixed-buckets")
+    sides = [mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "bands", "label")]) for x in "ab"]
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    shared = F.array_intersect("bands_a", "bands_b")
+    fits = (
+        (F.col("rep_a") < F.col("rep_b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+        # a pair comes out of one of its buckets only, and not if it shares just this one
+        & (F.array_min(shared) == F.col("key"))
+        & (F.size(shared) > 1)
+    )
+    rest = sides[0].join(sides[1], "key").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(rest, "pairs"), sets, percent), "links")
     every = links.unionByName(more)
