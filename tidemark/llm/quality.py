@@ -36,14 +36,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import whole_text
 
 #: Bounds of the sample that the fit takes.
-MAX_ROWS, MAX_CHARS = 6000, 30_000_000
+MAX_ROWS, MAX_CHARS = 2500, 8_000_000
 SIZE = 1 << 16
 DIM = 12
 GRAMS = (3, 4)
 AGAIN = (1, 2, 3, 4)
 PRIOR = 5
 #: Distinct tokens a worker keeps, and how long they may be.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+#: Distinct tokens the driver keeps while it fits.
+FIT_ENTRIES = 50_000
 EPOCHS = 6
 RATE = 0.5
 SEED = 7
@@ -85,7 +87,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
         share = min(max(share, 1e-6), 1 - 1e-6)
         model.bias[:] = [0.0, np.log(share / (1 - share))]
         return model
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     rows = []
     for text in texts:
         tokens = _TOKEN.findall(text)
@@ -94,12 +96,15 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
         for mark, n in zip(_MARKS, repeats(tokens)):
             weight[mark] = weight.get(mark, 0.0) + n / total
         for token, n in Counter(tokens).items():
-            if token not in known:
-                known[token] = features(token)
-            own = known[token]
-            for f in own:
+            own = known.get(token)
+            if own is None:
+                own = np.array(features(token), dtype=np.int32)
+                if len(known) < FIT_ENTRIES:
+                    known[token] = own
+            for f in own.tolist():
                 weight[f] = weight.get(f, 0.0) + n / (total * len(own))
-        rows.append((np.fromiter(weight, dtype=np.int64, count=len(weight)), np.fromiter(weight.values(), dtype=float, count=len(weight))))
+        rows.append((np.fromiter(weight, np.int32, len(weight)), np.fromiter(weight.values(), np.float32, len(weight))))
+    known.clear()
     steps, done = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
