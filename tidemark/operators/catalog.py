@@ -99,16 +99,6 @@ def next_number(names: DataFrame, default: int = 41) -> DataFrame:
     return names.agg(F.format_string("%05d", F.coalesce(n + 1, F.lit(default))).alias("spec_number"))
 
 
-def classify_flows(scores: DataFrame) -> DataFrame:
-    """scores (flow_id, core, connector, mixed) as CORE_ONLY, CONNECTOR_ONLY or CORE_THEN_CONNECTOR."""
-    core, conn = F.col("core"), F.col("connector")
-    kind = (
-        F.when(F.col("mixed"), "CORE_THEN_CONNECTOR").when((core > 0) & (conn == 0), "CORE_ONLY").when((conn > 0) & (core == 0), "CONNECTOR_ONLY")
-        .when((core > 0) & (conn > 0), "CORE_THEN_CONNECTOR").otherwise("CORE_ONLY")
-    )
-    return scores.select("flow_id", "core", "connector", kind.alias("flow_type"))
-
-
 #: Weights of a candidate spec's features, greatest first; a skipped spec loses PENALTY.
 WEIGHTS = (("exact", 600), ("all_paths", 500), ("flow", 400), ("connector", 200), ("suite", 150), ("prefix", 100), ("recent", 50))
 PENALTY = 300

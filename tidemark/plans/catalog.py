@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as T
+from tidemark.operators import flows as W
 from tidemark.plans.views import oracle, select, view
 from tidemark.registry import register
 
@@ -118,22 +119,58 @@ def next_spec_number(spark, sf):
 
 _SCORES = (
     "SELECT o_orderkey AS flow_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) AS BIGINT) AS core, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS connector,"
-    " bool_or(o_orderstatus = 'P' AND l_returnflag = 'A') AS mixed FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+    " bool_or(l_quantity > 45) AS has_core, bool_or(l_tax = 0.0 AND l_returnflag = 'A') AS has_connector FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
 )
 
 
 @register(
     "flow_classifier",
     oracle(
-        "SELECT flow_type, count(*) AS n, sum(core)::BIGINT AS core, sum(connector)::BIGINT AS connector FROM (SELECT *, CASE WHEN mixed THEN 'CORE_THEN_CONNECTOR' WHEN core > 0 AND connector = 0 THEN 'CORE_ONLY'"
-        f" WHEN connector > 0 AND core = 0 THEN 'CONNECTOR_ONLY' WHEN core > 0 AND connector > 0 THEN 'CORE_THEN_CONNECTOR' ELSE 'CORE_ONLY' END AS flow_type FROM ({_SCORES})) GROUP BY flow_type"
+        "SELECT flow_type, count(*) AS n, sum(core)::BIGINT AS core, sum(connector)::BIGINT AS connector FROM (SELECT *, CASE WHEN connector = 0 THEN 'CORE_ONLY' WHEN core = 0 AND NOT (has_core AND has_connector)"
+        " THEN 'CONNECTOR_ONLY' WHEN (has_core AND has_connector) OR (has_core AND connector >= 2) THEN 'CORE_THEN_CONNECTOR' WHEN core > connector AND connector < 2 THEN 'CORE_ONLY'"
+        f" WHEN core > connector THEN 'CORE_THEN_CONNECTOR' ELSE 'CONNECTOR_ONLY' END AS flow_type FROM ({_SCORES})) GROUP BY flow_type"
     ),
 )
 def flow_classifier(spark, sf):
-    out = T.classify_flows(select(spark, sf, _SCORES))
+    out = W.classify(select(spark, sf, _SCORES))
     return out.groupBy("flow_type").agg(F.count(F.lit(1)).alias("n"), F.sum("core").alias("core"), F.sum("connector").alias("connector"))
 
 
+_FLOW_ENDPOINTS = "SELECT 'Intent' AS flow, '/payments' AS path, 1 AS ord UNION ALL SELECT 'Capture', '/payments/:id/capture', 2 UNION ALL SELECT 'Refund', '/refunds', 3"
+
+
+@register(
+    "derived_flow_names",
+    oracle(
+        f"SELECT path, flow, count(*) AS n FROM v_calls_endpoint LEFT JOIN (SELECT path, arg_min(flow, o) AS flow FROM (SELECT e.path, k.flow, (CASE WHEN e.path = k.path THEN 0 ELSE 10 END) + k.ord AS o FROM"
+        f" (SELECT DISTINCT path FROM v_calls_endpoint) e JOIN ({_FLOW_ENDPOINTS}) k ON e.path = k.path OR contains(e.path, split_part(k.path, '/:id', 1))) GROUP BY path) USING (path) GROUP BY path, flow"
+    ),
+)
+def derived_flow_names(spark, sf):
+    out = W.derive_flow_name(view(spark, sf, "v_calls_endpoint"), select(spark, sf, _FLOW_ENDPOINTS))
+    return out.groupBy("path", "flow").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHECKED = (
+    "SELECT s_suppkey AS flow_id, CASE s_suppkey % 3 WHEN 0 THEN 'CORE_ONLY' WHEN 1 THEN 'CONNECTOR_ONLY' ELSE 'CORE_THEN_CONNECTOR' END AS flow_type, s_name AS connector, concat('Brand#', 1 + s_nationkey) AS flow,"
+    " CASE s_nationkey % 3 WHEN 0 THEN '/payments' WHEN 1 THEN '/nowhere' ELSE '/refunds/:id' END AS trigger_path FROM supplier"
+)
+_GRID = "SELECT s_name AS connector, concat('Brand#', 1 + s_nationkey) AS flow, CASE WHEN s_acctbal < 3000 THEN 'MISSING_CONFIG' WHEN s_acctbal < 5000 THEN 'NOT_IN_ALLOWLIST' ELSE 'COVERED' END AS status FROM supplier"
+
+
+@register(
+    "flow_strategies",
+    oracle(
+        "SELECT status, strategy, count(*) AS n FROM (SELECT status, CASE WHEN status = 'NOT_IN_ALLOWLIST' THEN 'allowlist_update' WHEN status = 'MISSING_CONFIG' THEN 'insert_flow_block'"
+        " WHEN status IN ('MISSING', 'MISSING_TEST') THEN 'full_file_rewrite' ELSE 'run_existing' END AS strategy FROM (SELECT CASE WHEN f.flow_type <> 'CORE_ONLY' AND g.status <> 'COVERED' THEN g.status"
+        f" WHEN f.trigger_path NOT IN (SELECT path FROM v_calls_endpoint) THEN 'MISSING' ELSE 'NEEDS_LLM_CHECK' END AS status FROM ({_CHECKED}) f JOIN ({_GRID}) g USING (connector, flow))) GROUP BY ALL"
+    ),
+)
+def flow_strategies(spark, sf):
+    out = W.strategy(W.check_flows(select(spark, sf, _CHECKED), select(spark, sf, _GRID), select(spark, sf, _SPEC_PATH)))
+    return out.groupBy("status", "strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RAW_PATHS = "SELECT concat('/n/', n_nationkey % 3, '/{order_id}/items/:item') AS path FROM nation UNION ALL SELECT path FROM v_calls_endpoint"
 
 

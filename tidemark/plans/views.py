@@ -91,7 +91,8 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = " ".join([sql, *(VIEWS[n] for n in names)])
     root = sf_dir.rstrip("/")
     tables = [f"{t} AS (SELECT * FROM parquet.`{root}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
-    return spark.sql("WITH " + ", ".join(tables + [f"{n} AS ({VIEWS[n]})" for n in names]) + " " + sql)
+    parts = tables + [f"{n} AS ({VIEWS[n]})" for n in names]
+    return spark.sql(("WITH " + ", ".join(parts) + " " if parts else "") + sql)
 
 
 def oracle(body: str, *ctes: str) -> str:
