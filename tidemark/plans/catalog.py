@@ -201,16 +201,11 @@ def candidate_ranking(spark, sf):
     return T.rank_candidates(select(spark, sf, _FEATURES).withColumnRenamed("grp", "group")).withColumnRenamed("group", "group_id")
 
 
-_SNAPSHOT = "SELECT concat('doc/', doc_id) AS path, {0} AS hash FROM documents WHERE doc_id % 2 = 0"
-
-
-@register(
-    "changed_files",
-    oracle("SELECT concat('doc/', doc_id) AS path, left(sha256(text), 16) AS hash FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 10 <> 4)"),
-)
+@register("changed_files", oracle("SELECT concat('doc/', doc_id) AS path, left(sha256(text), 16) AS hash FROM documents WHERE lang <> 'en' OR source = 'src1'"))
 def changed_files(spark, sf):
     now = select(spark, sf, "SELECT concat('doc/', doc_id) AS path, text AS content FROM documents")
-    old = select(spark, sf, "SELECT concat('doc/', doc_id) AS path, left(sha2(CASE WHEN doc_id % 10 = 4 THEN concat(text, ' old') ELSE text END, 256), 16) AS hash FROM documents WHERE doc_id % 2 = 0")
+    # the snapshot knows the English files, and an older text of those from src1
+    old = select(spark, sf, "SELECT concat('doc/', doc_id) AS path, left(sha2(concat(text, CASE WHEN source = 'src1' THEN ' old' ELSE '' END), 256), 16) AS hash FROM documents WHERE lang = 'en'")
     return T.changed_files(now, old)
 
 

@@ -37,12 +37,12 @@ def reachable_count(spark, sf):
     "callers_at_depth",
     oracle(
         "SELECT depth, count(*) AS n FROM (SELECT symbol, min(depth) AS depth FROM up GROUP BY symbol) GROUP BY depth",
-        "seed AS (SELECT symbol FROM v_fn WHERE symbol LIKE 'P#%' ORDER BY def_line, symbol LIMIT 20)",
+        "seed AS (SELECT symbol FROM v_fn WHERE contains(file, 'tests'))",
         "up(symbol, depth) AS (SELECT symbol, 0 FROM seed UNION SELECT c.caller, u.depth + 1 FROM v_calls c JOIN up u ON c.callee = u.symbol WHERE u.depth < 12)",
     ),
 )
 def callers_at_depth(spark, sf):
-    seeds = view(spark, sf, "v_fn").where("symbol LIKE 'P#%'").orderBy("def_line", "symbol").limit(20)
+    seeds = view(spark, sf, "v_fn").where("contains(file, 'tests')")
     up = view(spark, sf, "v_calls").select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
     return G.reachable(up, seeds.select("symbol"), 12).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,18 +146,18 @@ def chain_roles(spark, sf):
     oracle(
         "SELECT symbol, name, rk AS rank FROM (SELECT *, min(rk) OVER () AS least FROM (SELECT symbol, name, CASE WHEN name = 'part_7' THEN 1"
         " WHEN ends_with(name, '#part_7') AND len(string_split(name, '#')) = 2 THEN 1 WHEN ends_with(name, '#part_7') THEN 2 END AS rk FROM fns) WHERE rk IS NOT NULL) WHERE rk = least",
-        "fns AS (SELECT symbol, name FROM v_fn UNION ALL SELECT symbol || 'i', 'S' || def_line % 3 || '#Impl#' || name FROM v_fn UNION ALL SELECT symbol || 'a', 'Tr#' || name FROM v_fn WHERE def_line % 2 = 1)",
+        "fns AS (SELECT symbol, name FROM v_fn UNION ALL SELECT symbol || 'i', 'S' || def_line % 3 || '#Impl#' || name FROM v_fn UNION ALL SELECT symbol || 'a', 'Tr#' || name FROM v_fn WHERE NOT contains(file, 'core'))",
     ),
 )
 def symbol_resolution(spark, sf):
     fns = select(
         spark, sf,
-        "SELECT symbol, name FROM v_fn UNION ALL SELECT symbol || 'i', 'S' || def_line % 3 || '#Impl#' || name FROM v_fn UNION ALL SELECT symbol || 'a', 'Tr#' || name FROM v_fn WHERE def_line % 2 = 1",
+        "SELECT symbol, name FROM v_fn UNION ALL SELECT symbol || 'i', 'S' || def_line % 3 || '#Impl#' || name FROM v_fn UNION ALL SELECT symbol || 'a', 'Tr#' || name FROM v_fn WHERE NOT contains(file, 'core')",
     )
     return G.resolve_symbol(fns, "part_7").select("symbol", "name", "rank")
 
 
-_PLACES = "SELECT DISTINCT file, def_line + 3 AS line FROM v_fn WHERE def_line % 5 = 0"
+_PLACES = "SELECT DISTINCT file, def_line + 3 AS line FROM v_fn"
 
 
 @register(
@@ -230,7 +230,7 @@ def best_abstract_candidate(spark, sf):
 
 
 _FN_NAMED = "SELECT concat('P#', p_partkey) AS symbol, concat(p_name, '_', p_size * 7 % 13, '_', p_partkey % 97) AS name FROM part"
-_BODIES = "SELECT concat('S#', l_suppkey) AS caller, concat(p_name, '_', p_size * 7 % 13, '_', p_partkey % 97) AS callee_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2"
+_BODIES = "SELECT concat('S#', l_suppkey) AS caller, concat(p_name, '_', p_size * 7 % 13, '_', p_partkey % 97) AS callee_name FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 @register(
@@ -244,7 +244,7 @@ def unique_name_edges(spark, sf):
     return G.synthetic_edges(select(spark, sf, _BODIES), select(spark, sf, _FN_NAMED), view(spark, sf, "v_calls"))
 
 
-_EDGES = "SELECT l_suppkey AS file, l_partkey AS line, concat(p_name, '::', p_type) AS callee FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
+_EDGES = "SELECT l_suppkey AS file, l_partkey AS line, concat(p_name, '::', p_type) AS callee FROM lineitem JOIN part ON l_partkey = p_partkey"
 _NOTES = "SELECT l_suppkey AS file, l_partkey AS line, p_type AS callee, p_brand AS type_param, l_orderkey AS ord FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25"
 
 
@@ -262,7 +262,7 @@ def type_param_annotation(spark, sf):
 
 
 _SPANS = "SELECT o_custkey % 50 AS file, o_orderkey % 1000 AS lo, o_orderkey % 1000 + CAST(floor(o_totalprice) AS BIGINT) % 40 AS hi, o_orderkey AS depth, o_orderstatus AS kind FROM orders"
-_POINTS = "SELECT DISTINCT l_suppkey % 50 AS file, l_orderkey % 1000 AS line, l_suppkey % 50 * 100000 + l_orderkey % 1000 AS id FROM lineitem WHERE l_linenumber = 3"
+_POINTS = "SELECT DISTINCT l_suppkey % 50 AS file, l_orderkey % 1000 AS line, l_suppkey % 50 * 100000 + l_orderkey % 1000 AS id FROM lineitem"
 
 
 @register(
@@ -285,7 +285,7 @@ def guard_distribution(spark, sf):
     return G.guard_distribution(view(spark, sf, "v_calls"))
 
 
-_ROUTES = "SELECT concat('supplier_', s_suppkey) AS handler, CASE WHEN s_nationkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, concat('/n', s_nationkey) AS path, s_suppkey AS ord FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT concat('supplier_', s_suppkey), 'PUT', concat('/x', s_suppkey), s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 6 = 0"
+_ROUTES = "SELECT concat('supplier_', s_suppkey) AS handler, CASE WHEN s_nationkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, concat('/n', s_nationkey) AS path, s_suppkey AS ord FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT concat('supplier_', s_suppkey), 'PUT', concat('/x', s_suppkey), s_suppkey + 1000000 FROM supplier WHERE s_acctbal > 5000"
 
 
 @register(
@@ -310,10 +310,10 @@ def trait_summary_topk(spark, sf):
 
 
 _REPAIR_FN = (
-    "SELECT concat('A', s_suppkey) AS symbol, concat('Acme', chr(CAST(65 + s_nationkey AS INT)), '#Flow#build') AS name, concat('crates/acme', lower(chr(CAST(65 + s_nationkey AS INT))), '.rs') AS file FROM supplier WHERE s_suppkey < 25"
+    "SELECT concat('A', s_suppkey) AS symbol, concat('Acme', chr(CAST(65 + s_nationkey AS INT)), '#Flow#build') AS name, concat('crates/acme', lower(chr(CAST(65 + s_nationkey AS INT))), '.rs') AS file FROM supplier"
     " UNION ALL SELECT concat('B', n_nationkey), concat('Acme', chr(CAST(65 + n_nationkey AS INT)), '#Common#headers'), concat('crates/acme', lower(chr(CAST(65 + n_nationkey AS INT))), '.rs') FROM nation"
 )
-_REPAIR_CALLS = "SELECT concat('A', s_suppkey) AS caller, concat('B', (s_nationkey + s_suppkey % 3) % 25) AS callee FROM supplier WHERE s_suppkey < 25"
+_REPAIR_CALLS = "SELECT concat('A', s_suppkey) AS caller, concat('B', (s_nationkey + s_suppkey % 3) % 25) AS callee FROM supplier"
 
 
 @register(
