@@ -46,7 +46,7 @@ def reference_blocks(flow_config: DataFrame, limit: int = 3, least: int = 5) ->
     """Per flow the shortest usable blocks: longer than least, no comment, not a bare brace."""
     ok = flow_config.where((F.length("raw_block") > least) & ~F.startswith("raw_block", F.lit("{")) & ~F.contains("raw_block", F.lit("//")))
     order = Window.partitionBy("flow").orderBy(F.length("raw_block"), "connector")
-    return ok.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("flow", "pos", "connector", "raw_block")
+    return ok.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= limit).select("flow", "pos", "connector", "raw_block")
 
 
 def match_endpoints(spec_paths: DataFrame, wanted: list[str]) -> DataFrame:

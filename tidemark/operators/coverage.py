@@ -81,7 +81,7 @@ def function_tested(funcs: DataFrame, tag: str, name: str, limit: int = 5) -> Da
     """tested, pos, func_name, file, matches: the first limit matches of either kind and how many there are."""
     hit = funcs.where((F.col("tag") == tag) & F.contains(F.lower("func_name"), F.lit(name.lower()))).withColumn("tested", F.col("cnt") > 0)
     order = Window.partitionBy("tested").orderBy("func_name", "file")
-    first = hit.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    first = hit.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= limit)
     counts = hit.groupBy("tested").agg(F.count(F.lit(1)).alias("matches"))
     return first.join(counts, "tested").select("tested", "pos", "func_name", "file", "matches")
 
@@ -100,7 +100,7 @@ def uncovered_functions(files: DataFrame, funcs: DataFrame, tag: str, limit: int
     top = file_stats(files, funcs).where((F.col("tag") == tag) & (F.col("func_missed") > 0)).orderBy(F.desc("func_missed"), "file").limit(limit)
     order = Window.partitionBy("file").orderBy("start_line", "func_name")
     own = funcs.where((F.col("tag") == tag) & (F.col("cnt") == 0)).join(top.select("file", "func_missed"), "file")
-    own = own.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= first)
+    own = own.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= first)
     return own.select("file", "func_missed", "pos", F.substring(F.element_at(F.split("func_name", "::"), -1), 1, 80).alias("func_name"), "start_line")
 
 
@@ -140,7 +140,7 @@ def test_priority(files: DataFrame, funcs: DataFrame, tag: str, prefix: str = ""
     """Files by impact, greatest first, with their rank."""
     hit = file_stats(files, funcs).where((F.col("tag") == tag) & F.startswith(F.col("file"), F.lit(prefix)))
     top = hit.orderBy(F.desc("impact"), "file").limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "file"))).select("rank", "file", "impact", "func_missed", "line_missed")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "file")).cast("long")).select("rank", "file", "impact", "func_missed", "line_missed")
 
 
 def playbook(name: str, files: DataFrame, lines: DataFrame, funcs: DataFrame, tag: str, base: str | None = None, folder: str = "") -> dict[str, DataFrame]:

@@ -222,3 +222,44 @@ def backfill_sources(chain: DataFrame, source_lines: DataFrame, before: int = 12
     closed = own.where("opened > 0 AND depth <= 0").groupBy("id").agg(F.min("line").alias("end"))
     kept = own.join(closed, "id", "left").where(F.col("end").isNull() | (F.col("line") <= F.col("end")))
     return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "txt"))), lambda x: x["txt"]), "\n").alias("source"))
+
+
+# What a handler's name says about the spec that tests it, and names of specs by what they are about.
+HANDLER_SPECS = (
+    ("incremental", "incremental"), ("overcapture", "overcapture"), ("void", "void"), ("cancel", "void"), ("refund", "refund"), ("mandate", "mandate"),
+    ("sync", "sync"), ("savecard", "savecard"), ("wallet", "wallet"), ("threedsauth", "threedsmanual"),
+)
+CONFIRM_SPECS = ("nothree", "no3ds", "autocapture", "manualcapture")
+CUSTOMER_SPECS = ("savecard", "customer", "mandate")
+UNRELATED_SPECS = ("mandate", "savecard", "zeroauth", "wallet", "banktransfer", "bankredirect", "upi", "crypto", "reward", "realtime", "variations")
+
+
+def score_candidates(candidates: DataFrame) -> DataFrame:
+    """candidates (flow_id, spec_file, test_names, handler, body, matched) with score; matched: a block with the flow's fields is used there.
+
+    What a flow has a matched spec for isn't penalised for specs about something else.
+    """
+    spec, tests, handler = F.lower(F.substring_index("spec_file", "/", -1)), F.lower(F.array_join("test_names", " ")), F.lower(F.coalesce("handler", F.lit("")))
+    field = lambda k: F.get_json_object("body", f"$.{k}")
+    has = lambda k: F.coalesce(field(k) != "", F.lit(False))
+    n = lambda c, k: F.when(c, k).otherwise(0)
+    confirm = F.coalesce(field("confirm") == "true", F.lit(False))
+    any_match = F.max("matched").over(Window.partitionBy("flow_id"))
+    capture = F.contains(spec, F.lit("capture"))
+    score = (
+        n(F.col("matched"), 600)
+        + sum((n(F.contains(handler, F.lit(h)) & F.contains(spec, F.lit(s)), 500) for h, s in HANDLER_SPECS), F.lit(0))
+        + n(confirm & _any(spec, CONFIRM_SPECS), 200) + n(confirm & F.contains(tests, F.lit("confirm")), 50)
+        + n((field("capture_method") == "automatic") & F.contains(spec, F.lit("auto")), 150) + n((field("capture_method") == "manual") & F.contains(spec, F.lit("manual")), 150)
+        + n(has("amount_to_capture") & F.contains(spec, F.lit("overcapture")), 400) + n(has("amount_to_capture") & ~F.contains(spec, F.lit("overcapture")) & capture, 200)
+        + n(has("payment_method_data") & _any(spec, ("card", "three", "nothree")), 50) + n(has("customer_id") & _any(spec, CUSTOMER_SPECS), 100)
+        - n(~any_match & ~has("customer_id") & ~has("mandate_id") & ~F.contains(handler, F.lit("incremental")) & _any(spec, UNRELATED_SPECS), 300)
+        + F.size("test_names")
+    )
+    return candidates.withColumn("score", score)
+
+
+def best_candidates(candidates: DataFrame) -> DataFrame:
+    """The spec of the highest score for each flow; the first by ord wins ties."""
+    best = F.max_by(F.struct("spec_file", "score"), F.struct("score", (-F.col("ord")).alias("o")))
+    return score_candidates(candidates).groupBy("flow_id").agg(best.alias("b")).select("flow_id", "b.spec_file", "b.score")
