@@ -1,6 +1,5 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
-import hashlib
 import zlib
 from collections import Counter
 
