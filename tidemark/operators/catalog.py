@@ -31,7 +31,7 @@ def grid_status(flow_config: DataFrame, in_list: DataFrame, tests_flow: DataFram
     listed = in_list.groupBy("connector").agg(
         F.bool_or(F.startswith("list_key", F.lit("EXCLUDE."))).alias("excluded"), F.bool_or(F.startswith("list_key", F.lit("INCLUDE."))).alias("included")
     )
-    grid = listed.crossJoin(F.broadcast(flow_config.select("flow").distinct()))
+    grid = listed.crossJoin(flow_config.select("flow").distinct())
     has_config = flow_config.select("connector", "flow").distinct().withColumn("has_config", F.lit(True))
     has_test = tests_flow.select("flow").distinct().withColumn("has_test", F.lit(True))
     rows = grid.join(has_config, ["connector", "flow"], "left").join(has_test, "flow", "left")

@@ -141,9 +141,8 @@ def toggle_endpoints(fields: DataFrame, functions: DataFrame) -> DataFrame:
     ends = functions.where("is_endpoint").select("http_method", "http_path", "symbol")
     ends = ends.where(F.col("http_method").isin(*CHANGING) & (F.contains("http_path", F.lit("profile")) | F.contains("http_path", F.lit("account"))))
     name = toggle_name(F.col("field"))
-    # path segments are the equi-key: a field can only stand in a path as part of one
     hit = F.contains("http_path", F.col("name")) | F.contains("http_path", F.replace(F.col("name"), F.lit("_"), F.lit("-")))
-    rows = fields.withColumn("name", name).join(F.broadcast(ends), hit)
+    rows = fields.withColumn("name", name).join(ends, hit)
     best = F.min_by(F.concat_ws(" ", "http_method", "http_path"), "symbol")
     return rows.groupBy("flow_id", "field").agg(best.alias("config_endpoint"))
 
