@@ -2,7 +2,7 @@ r"""Secret scans with multipart credential linking. Native: DataFrame and SQL fu
 
 Strong kinds are reported wherever they stand: assign, access, hex. Weak parts (an identifier, a
 key-like token, an endpoint) are reported only when a complementary part stands within the same
-scope: an interval of SCOPE code points around the part. A weak key needs an identifier or an
+scope: an interval of SCOPE code points around the part, outside of it. A weak key needs an identifier or an
 endpoint there, a weak identifier or an endpoint needs a secret. The interval join puts parts into
 tiles of one scope's length, joins each weak part to its own and the two neighbouring tiles, and
 asks only whether a partner exists, so no pairs come out of it; a tile holds as many parts as fit
@@ -111,6 +111,7 @@ def _linked(parts: DataFrame) -> DataFrame:
     )
     other = other.withColumn("o_at", F.explode(F.sequence((F.col("o_start") / SCOPE).cast("int"), (F.col("o_stop") / SCOPE).cast("int"))))
     near = (F.col("o_start") < F.col("stop") + SCOPE) & (F.col("o_stop") > F.col("start") - SCOPE)
+    near = near & ((F.col("o_start") >= F.col("stop")) | (F.col("o_stop") <= F.col("start")))  # a URL's own path is no partner
     on = (F.col("__row") == F.col("o_row")) & (F.col("at") == F.col("o_at")) & (F.col("need") == F.col("o_part")) & near
     return weak.join(other, on, "left_semi").select("__row", "kind", "start", "stop").distinct()
 
@@ -148,7 +149,7 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
-    """docs with every reported span replaced by mask, n_chars following; texts without spans stay as they are."""
+    """docs with every reported span replaced by mask, n_chars (if there) following; texts without spans stay as they are."""
     found = scan(docs)
     text = whole_text()
     # what stands between the spans: from the furthest stop so far to the next start
@@ -165,6 +166,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     new = F.concat(F.array_join(end["kept"], mask), F.lit(mask), F.substring(text, end["at"] + 1, F.length(text)))
     new = F.when(F.size("spans") > 0, new).otherwise(F.col("text"))
     rows = found.withColumn("__new", new)
-    n_chars = F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    own = {"text": F.col("__new").alias("text"), "n_chars": n_chars.alias("n_chars")}
+    own = {"text": F.col("__new").alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return rows.select(*[own.get(c, F.col(c)) for c in docs.columns])
