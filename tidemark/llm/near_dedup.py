@@ -44,7 +44,7 @@ SLOTS = 241
 MISS = 1e-6
 #: Bits of an odd sketch.
 PARITY = 1024
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 SLICE_ROWS = 256
 
 

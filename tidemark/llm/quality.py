@@ -43,7 +43,7 @@ GRAMS = (3, 4)
 AGAIN = (1, 2, 3, 4)
 PRIOR = 5
 #: Distinct tokens a worker keeps, and how long they may be.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 #: Distinct tokens the driver keeps while it fits.
 FIT_ENTRIES = 50_000
 EPOCHS = 6
