@@ -144,3 +144,36 @@ def test_verdicts_prompts_and_bodies(spark):
     assert I.ask(rows, F.concat(F.lit("q:"), "x"), str.upper).first().answer == "Q:P" and I.ask(rows, F.col("x")).first().answer is None
     body = spark.range(1).select(I.trigger_body(F.lit("/refunds"), F.array(F.lit("x"))).alias("b")).first().b
     assert body == '{"amount":500,"payment_id":"pay_test_001","reason":"customer_request"}'
+
+
+def test_lookups_of_the_impact_query(spark):
+    f = spark.createDataFrame([("a", "n", "tests/x.rs"), ("b", "n", "src/y.rs"), ("c", "n", "src/z.rs"), ("i", "T#Tr#m", "src/i.rs"), ("t", "t", "src/t.rs"), ("u", "u", "src/u.rs")], "symbol string, name string, file string")
+    assert {r.name: r.symbol for r in I.best_by_name(f).collect()} == {"n": "b", "T#Tr#m": "i", "t": "t", "u": "u"}
+    calls = calls_of(spark, [("a", "t"), ("i", "t"), ("a", "u"), ("c", "u")])
+    targets = spark.createDataFrame([("t",), ("u",)], "symbol string")
+    assert sorted(tuple(r) for r in I.relevant_files(targets, calls, f).collect()) == [("t", "src/i.rs"), ("u", "src/z.rs"), ("u", "tests/x.rs")]
+    impls = spark.createDataFrame([("f", "Stripe", 3), ("f", "Adyen", 9)], "file string, type string, line int")
+    bodies = spark.createDataFrame([("f", 3, "go"), ("f", 9, "other"), ("g", 9, "go")], "file string, function_line int, callee string")
+    assert [r.type for r in I.calling_types(impls, bodies, "go").collect()] == ["Stripe"]
+    said = [("x", "a::<payments::PaymentData>(payments::PaymentCreate)"), ("y", "payments::operations::PaymentResponse"), ("z", "payments::Other"), ("w", "payments::CompleteAuthorize")]
+    ops = I.operation_of(spark.createDataFrame(said, "handler string, body string"))
+    assert {r.handler: r.op for r in ops.collect()} == {"x": "PaymentCreate", "y": "PaymentResponse", "z": None, "w": "CompleteAuthorize"}
+    import json
+
+    one = spark.createDataFrame([(1, "x")], "a int, b string")
+    said = json.loads(I.document("f", one, one.limit(0), one).first().document)
+    assert (said["endpoint_count"], said["flow_count"], said["endpoints"]) == (1, 0, [{"a": 1, "b": "x"}])
+
+
+def test_small_catalogue_and_report_lookups(spark):
+    from tidemark.operators import catalog as T
+    from tidemark.operators import report as R
+    from tidemark.sources import js
+
+    specs = spark.createDataFrame([("b", "/payments"), ("a", "/payments/:id"), ("0", "/x")], "spec_file string, path string")
+    assert T.similar_spec(specs).first().spec_file == "a"
+    assert js.last_flow('const connectorDetails = { Aa: { Request: {}, Response: {} }, Bb: { Request: {}, Response: {} } }') == "Bb" and js.last_flow("x") is None
+    runs = spark.createDataFrame([("r", 2, 0, [], 3, 0), ("s", 0, 1, ["Error: 401 Unauthorized"], 0, 0)], "run_id string, passing int, failing int, errors array<string>, probed int, hit int")
+    assert [tuple(r) for r in R.overview(runs).orderBy("run_id").collect()] == [("r", "ok", ["2 tests passed"], ["target not reached"]), ("s", "failed", [], ["credentials"])]
+    reports = spark.createDataFrame([("r", "{}")], "run_id string, report string")
+    assert {r.run_id: r.report for r in R.without_coverage(runs.select("run_id"), reports).collect()} == {"r": "{}", "s": '{"status":"coverage_unavailable"}'}

@@ -138,3 +138,13 @@ def longest_prefix(paths: DataFrame, groups: list[tuple[str, str]]) -> DataFrame
     ordered = sorted(groups, key=lambda g: (-len(g[0]), g[0]))
     group = F.coalesce(*[F.when(F.startswith("path", F.lit(p)), F.lit(g)) for p, g in ordered], F.lit("other"))
     return paths.select("path", group.alias("group"))
+
+
+def similar_spec(spec_path: DataFrame, part: str = "/payments") -> DataFrame:
+    """One row: the least spec that calls an endpoint with part in its path."""
+    return spec_path.where(F.contains("path", F.lit(part))).agg(F.min("spec_file").alias("spec_file"))
+
+
+def specs_of_flows(tests_flow: DataFrame) -> DataFrame:
+    """flow with its first spec by name."""
+    return tests_flow.groupBy("flow").agg(F.min("spec_file").alias("spec_file"))

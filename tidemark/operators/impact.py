@@ -203,3 +203,50 @@ def prune_flows(flows: DataFrame, endpoints: DataFrame) -> DataFrame:
     kept = left.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "method", "path"))).alias("k"))
     kept = kept.select("flow_id", F.transform("k", lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path"))).alias("endpoints"))
     return flows.drop("endpoints").join(kept, "flow_id")
+
+
+# Names of data structures that a handler mentions beside its operation.
+DATA_SUFFIXES = ("Data", "Response", "Request", "Types")
+
+
+def best_by_name(functions: DataFrame) -> DataFrame:
+    """One function per name: one outside of tests and generated descriptions if there is one, the least symbol."""
+    aside = F.contains("file", F.lit("test")) | F.contains("file", F.lit("openapi"))
+    best = F.min(F.struct(F.coalesce(aside, F.lit(False)).alias("aside"), "symbol", "file"))
+    return functions.where("name <> ''").groupBy("name").agg(best.alias("b")).select("name", "b.symbol", "b.file")
+
+
+def relevant_files(targets: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """target, file of the implementations' methods that call a target directly; of all its callers where no implementation does."""
+    callers = calls.join(targets.select(F.col("symbol").alias("target")), F.col("callee") == F.col("target")).select("target", "caller")
+    rows = callers.join(functions.select(F.col("symbol").alias("caller"), "name", "file"), "caller").where("file IS NOT NULL")
+    rows = rows.withColumn("concrete", F.size(F.split("name", "#")) >= 3)
+    any_concrete = rows.groupBy("target").agg(F.bool_or("concrete").alias("some"))
+    return rows.join(any_concrete, "target").where("concrete OR NOT some").select("target", "file").distinct()
+
+
+def calling_types(impls: DataFrame, body_calls: DataFrame, callee: str, known: DataFrame | None = None) -> DataFrame:
+    """Types (file, type, line of method) whose implementation calls callee, among known (type) if given."""
+    calls = body_calls.where(F.col("callee") == callee).select("file", F.col("function_line").alias("line"))
+    out = impls.join(calls, ["file", "line"], "left_semi").select("type").distinct()
+    return out if known is None else out.join(known.select("type"), "type", "left_semi")
+
+
+def operation_of(bodies: DataFrame, module: str = "payments", prefixes: tuple[str, ...] = ("Payment", "Complete")) -> DataFrame:
+    """bodies (handler, body) with op: the first operation of module the body names; the name of a data structure only if there is no other."""
+    found = F.regexp_extract_all("body", F.lit(rf"{module}::(?:operations::)?(\w+)"), F.lit(1))
+    named = F.filter(found, lambda n: n.rlike("^(" + "|".join(prefixes) + ")"))
+    clean = F.filter(named, lambda n: ~n.rlike("(" + "|".join(DATA_SUFFIXES) + ")$"))
+    return bodies.select("handler", F.coalesce(F.get(clean, F.lit(0)), F.get(named, F.lit(0))).alias("op"))
+
+
+def document(changed: str, endpoints: DataFrame, flows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """One row: the impact of a changed function as JSON, with its counts."""
+    gathered = lambda rows, name: rows.agg(F.array_sort(F.collect_list(F.to_json(F.struct("*")))).alias(name))
+    out = gathered(endpoints, "e").crossJoin(gathered(flows, "f")).crossJoin(gathered(matrix, "m"))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    text = F.concat(
+        F.lit('{"changed_function":"' + changed.replace('"', '\\"') + '","endpoint_count":'), F.size("e").cast("string"), F.lit(',"flow_count":'), F.size("f").cast("string"),
+        F.lit(',"endpoints":'), listed("e"), F.lit(',"flows":'), listed("f"), F.lit(',"reachability_matrix":'), listed("m"), F.lit("}"),
+    )
+    return out.select(text.alias("document"))

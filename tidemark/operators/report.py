@@ -172,3 +172,22 @@ def http_status_map(log: DataFrame, url: Column) -> DataFrame:
     """url, status: the last status seen for each request, log order deciding."""
     rows = log.select(url.alias("url"), "file_id", "line_no", status_code(F.col("txt")).alias("status")).where("status IS NOT NULL")
     return rows.groupBy("url").agg(F.max_by("status", F.struct("line_no", "file_id")).alias("status"))
+
+
+def overview(runs: DataFrame) -> DataFrame:
+    """runs (run_id, passing, failing, errors array<string>, probed, hit) with what worked and what may be the cause, as lists."""
+    said = lambda *words: F.exists("errors", lambda e: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(e), w)))
+    worked = F.array_compact(F.array(
+        F.when(F.col("passing") > 0, F.format_string("%d tests passed", "passing")), F.when(F.col("hit") > 0, F.format_string("%d lines were reached", "hit")),
+    ))
+    causes = F.array_compact(F.array(
+        F.when(said("econnrefused", "timed out"), "service unreachable"), F.when(said("401", "unauthorized", "api key"), "credentials"),
+        F.when(said("404", "not found"), "missing entity"), F.when((F.col("probed") > 0) & (F.col("hit") == 0), "target not reached"),
+    ))
+    status = F.when(F.col("failing") > 0, "failed").when(F.col("passing") > 0, "ok").otherwise("partial")
+    return runs.select("run_id", status.alias("status"), worked.alias("worked"), causes.alias("causes"))
+
+
+def without_coverage(runs: DataFrame, reports: DataFrame) -> DataFrame:
+    """runs (run_id) with their coverage report (run_id, report), or a stated absence."""
+    return runs.join(reports, "run_id", "left").withColumn("report", F.coalesce("report", F.lit('{"status":"coverage_unavailable"}')))
