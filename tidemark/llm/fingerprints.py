@@ -27,8 +27,8 @@ BINS = 512
 BITS = 4
 #: Probes written out before the closed form takes over; only the speed depends on it.
 PROBES = 12
-#: Rows of one block of neighbouring ids on average, and how many blocks there are at most.
-BLOCK_ROWS, BLOCKS = 2000, 4096
+#: Rows of one block of neighbouring ids on average, at least; and about how many blocks there are at most.
+BLOCK_ROWS, BLOCKS = 2000, 65_536
 
 _RANK_BITS = 64 - BINS.bit_length() + 1
 _LAST = (1 << _RANK_BITS) - 1
@@ -121,41 +121,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "packed", as_string(F.col("packed")).alias("fingerprint"))
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, however long, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _count_up_to(bounds: list[int], key: Column) -> Column:
     """How many of the sorted bounds are at most key, in about 2 * sqrt(len(bounds)) steps."""
     wide = max(1, round(len(bounds) ** 0.5))
-    parts = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    part = F.greatest(below(_array([p[0] for p in parts])) - 1, F.lit(0))
-    return part * wide + below(F.get(F.array(*[_array(p) for p in parts]), part))
+    part = F.greatest(below(_longs(bounds[::wide])) - 1, F.lit(0))
+    return part * wide + below(F.slice(_longs(bounds), part * wide + 1, F.lit(wide)))
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows (doc_id, text, ...) with next_<c> for each c in columns: its value in the next document by ascending doc_id.
 
-    Ids are cut into at most BLOCKS blocks of neighbours; the first row of each block is sent to
-    the block before it as well (that of the first block to the last), so each block finds the
-    next of all its rows on its own. The driver only ever holds the blocks' first ids.
+    Blocks of neighbouring ids start at the least id and at every id that a hash picks, one in
+    BLOCK_ROWS, or fewer so that there are about BLOCKS. The first row of a block is sent to the
+    block before it as well (that of the first block to the last), so each block finds the next of
+    all its rows on its own. The driver only ever holds the blocks' first ids.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     ids = rows.select(key.alias("key"))
-    n = ids.count()
-    blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
-    shares = [k / blocks for k in range(1, blocks)]
-    bounds = ids.select(F.percentile_approx("key", shares, 10 * BLOCKS)).first()[0] if shares and n else []
-    bounds = sorted(set(bounds))
-    block = _count_up_to(bounds, F.col("__key")) if bounds else F.lit(0)
-    keyed = rows.withColumn("__key", key).withColumn("__block", block)
-    firsts = ids.withColumnRenamed("key", "__key").groupBy(block.alias("block")).agg(F.min("__key").alias("first")).collect()
-    firsts = sorted((r["first"], r["block"]) for r in firsts)
-    first_of, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
-    for k, (first, b) in enumerate(firsts):
-        first_of[b], before[b] = first, firsts[k - 1][1]
+    n, least = ids.agg(F.count(F.lit(1)), F.min("key")).first()
+    one_in = max(BLOCK_ROWS, n // BLOCKS)
+    picked = ids.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect()
+    starts = sorted({0 if least is None else least, *(r["key"] for r in picked)})
 
+    keyed = rows.withColumn("__key", key).withColumn("__block", _count_up_to(starts, key) - 1)
     home = lambda b, late: F.struct(b.cast("int").alias("block"), F.lit(late).alias("late"))
-    also = home(F.get(_array(before), F.col("__block")), 1)
     own = home(F.col("__block"), 0)
-    is_first = F.col("__key") == F.get(F.array(*[F.lit(x).cast("long") for x in first_of]), F.col("__block"))
+    also = home(F.pmod(F.col("__block") - 1, F.lit(len(starts))), 1)
+    is_first = F.col("__key") == F.get(_longs(starts), F.col("__block"))
     sent = keyed.withColumn("__home", F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))))
     order = Window.partitionBy("__home.block").orderBy("__home.late", "__key", F.xxhash64("text"))
     found = sent.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
