@@ -38,7 +38,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use ev
 #: Characters of a leaf. Only the split of work depends on it, never the ids.
 LEAF = 16_384
 #: Distinct chunks a worker keeps; beyond that, new ones are encoded each time they come.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 320_000
 CACHE_CHARS = 48
 SLICE_ROWS = 256
 #: Control characters that Python splits at and the tokenizer doesn't.
