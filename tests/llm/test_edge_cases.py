@@ -152,6 +152,14 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path, 2).count() == 0
 
 
+def test_packing_hot_length(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(spark.range(200).selectExpr("id AS doc_id", "'fox' AS text"), path, 2, max_len=64).collect()
+    length = rows[0].length
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 200 and all(r.offset % length == 0 and r.offset + length <= 64 for r in rows)
+    assert len({r.sequence_id for r in rows}) == -(-200 // (64 // length))
+
+
 def test_word_bpe(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)

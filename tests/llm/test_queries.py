@@ -228,6 +228,15 @@ def test_pack_histogram(histogram):
     assert got == Counter(histogram)
 
 
+@pytest.mark.parametrize(
+    ("histogram", "want"),
+    [({1000: 3000}, 750), ({1000: 3001}, 751), ({4096: 5, 60: 1}, 6), ({60: 100_000}, 1471), ({3000: 10, 300: 100_000}, 7700), ({1: 4097}, 2)],
+)
+def test_pack_histogram_hot_length(histogram, want):
+    patterns = packing.pack_histogram(histogram, 4096)
+    assert all(sum(p) <= 4096 for _, p in patterns) and sum(n for n, _ in patterns) == want
+
+
 def test_op8_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall())

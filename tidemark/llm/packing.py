@@ -3,7 +3,8 @@
 Documents are cut into full pieces of max_len tokens and one rest. The histogram of piece lengths
 (at most max_len rows) goes to the driver, which places lengths longest first: each goes to the
 pack that is shortest so far among those with room, and packs with the same pattern are counted,
-not listed. Pieces are ranked within their length, and a rank says which sequence and offset of
+not listed. Where none has room, ceil(left / (max_len // length)) new packs take all that is left of
+the length. Pieces are ranked within their length, and a rank says which sequence and offset of
 which pattern a piece gets. Ranks come from counts of small groups, so a length that a third of
 all pieces share is spread over many tasks.
 
@@ -35,30 +36,35 @@ def pack_histogram(histogram: dict[int, int], max_len: int) -> list[tuple[int, t
     """(count, lengths) of every packing pattern, by shortest-pack-first."""
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by room left
     rooms: list[int] = []
+
+    def put(room: int, n: int, pattern: tuple[int, ...]) -> None:
+        if room not in open_packs:
+            insort(rooms, room)
+        open_packs[room].append((n, pattern))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         placed: list[tuple[int, int, tuple[int, ...]]] = []
         while left:
-            if rooms and rooms[-1] >= length:  # the most room: the shortest pack
-                room = rooms[-1]
-                n, pattern = open_packs[room].pop()
-                if not open_packs[room]:
-                    del open_packs[room]
-                    rooms.pop()
-            else:
-                room, n, pattern = max_len, left, ()
+            if not rooms or rooms[-1] < length:  # no pack has room: new ones are filled, the last gets the rest
+                each = max_len // length
+                for n, k in ((left // each, each), (1, left % each)):
+                    if n and k:
+                        put(max_len - k * length, n, (length,) * k)
+                break
+            room = rooms[-1]  # the most room: the shortest pack
+            n, pattern = open_packs[room].pop()
+            if not open_packs[room]:
+                del open_packs[room]
+                rooms.pop()
             take = min(n, left)
             left -= take
             placed.append((room - length, take, (*pattern, length)))
             if n > take:
-                if room not in open_packs:
-                    insort(rooms, room)
-                open_packs[room].append((n - take, pattern))
+                put(room, n - take, pattern)
             if not rooms or rooms[-1] < length or left == 0:
-                for at, k, p in placed:  # packs that got one become candidates for the next
-                    if at not in open_packs:
-                        insort(rooms, at)
-                    open_packs[at].append((k, p))
+                for pack_left in placed:  # packs that got one become candidates for the next
+                    put(*pack_left)
                 placed = []
     return [x for at in rooms for x in open_packs[at]]
 
