@@ -60,10 +60,14 @@ _UP = (
 )
 
 
+#: Calls from a target up to an endpoint, as in the reference's config. _UP beside it still stops at 4 (see README).
+CHAIN_DEPTH = 12
+
+
 def _chains(spark, sf):
     targets = select(spark, sf, _TARGETS)
     ends = view(spark, sf, "v_fn").where("is_endpoint").select("symbol")
-    return G.chains_up(view(spark, sf, "v_calls"), targets, ends, 4)
+    return G.chains_up(view(spark, sf, "v_calls"), targets, ends, CHAIN_DEPTH)
 
 
 def _shortest(spark, sf):
