@@ -129,6 +129,23 @@ def test_license_scan(docs, empty):
     assert found[5].n_words == 12000 and license_scan.scan(empty).count() == 0
 
 
+def test_quality_sample_skips_what_does_not_fit(spark):
+    rank = [r.id for r in spark.range(12).orderBy(F.xxhash64(F.col("id")), "id").collect()]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(rank)], "doc_id long, quality int")
+    sizes = [200, 60, 60, *[4] * 9]  # by rank: over the bound alone, fits, over what is left, fit
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in zip(rank, sizes)], "doc_id long, text string")
+    texts, got = quality.sample(docs, labels, F.lit(True), max_chars=100)
+    assert sorted(map(len, texts)) == [4] * 9 + [60] and sorted(got) == [0] * 4 + [1] * 6
+    assert len(quality.sample(docs, labels, F.lit(True), max_rows=11, max_chars=100)[0]) == 10  # no place goes to the one over the bound
+    repeated = docs.union(docs.where(F.col("doc_id") == rank[1]))  # 120 together
+    assert sorted(map(len, quality.sample(repeated, labels, F.lit(True), max_chars=100)[0])) == [4] * 9 + [60]
+    bad = spark.createDataFrame([(1, "x" * 200), (2, "good")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match=r"\[1\] only"):
+        quality.sample(bad, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"), F.lit(True), max_chars=100)
+    with pytest.warns(UserWarning, match=r"\[\] only"):
+        quality.sample(bad, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"), F.lit(True), max_chars=3)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)

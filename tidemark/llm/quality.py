@@ -7,7 +7,8 @@ before it adds a mark with a vector of its own. A document is the mean of its to
 turns it into class probabilities. All of it is trained by stochastic gradient descent in numpy.
 
 The fit takes a bounded sample: at most MAX_ROWS labelled documents with at most MAX_CHARS
-characters together, those with the least hash of their id, and of each its whole text. Everything
+characters together, by the hash of their id, and of each its whole text. One that does not fit into
+what is left of the characters is skipped; a sample that misses a label which exists gives a warning. Everything
 else covers all rows and all of their text. A fitted model is linear in the tokens, so scoring
 needs one number per distinct token.
 
@@ -21,10 +22,11 @@ no column but the text goes into a score.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, islice
+from itertools import islice
 from operator import eq
 from zlib import crc32
 
@@ -166,9 +168,16 @@ def sample(
     named = named.agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     sized = docs.where(trainable).groupBy("doc_id").agg(F.sum(F.length(whole_text())).alias("n"))
     order = F.xxhash64("doc_id")
-    rows = named.join(sized, "doc_id").orderBy(order, "doc_id").limit(max_rows).collect()
-    ends = accumulate(r["n"] for r in rows)
-    chosen = [(r["doc_id"], r["quality"]) for r, end in zip(rows, ends) if end <= max_chars]
+    found = named.join(sized, "doc_id")
+    rows = found.where(F.col("n") <= max_chars).orderBy(order, "doc_id").limit(max_rows).collect()
+    chosen, room = [], max_chars
+    for r in rows:
+        if r["n"] <= room:  # one that does not fit is skipped, the next may fit
+            chosen.append((r["doc_id"], r["quality"]))
+            room -= r["n"]
+    classes = {q for _, q in chosen}
+    if len(classes) < 2 and found.where(~F.col("quality").isin(*classes)).limit(1).count() > 0:
+        warnings.warn(f"the fit's sample holds the labels {sorted(classes)} only, others exist: every score is the same")
     if not chosen:
         return [], []
     table = spark.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int")
