@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a local one only where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh path in the folder that spark.checkpoint.dir names.
+
+    A local folder serves only where the setting is missing and driver and executors are one
+    process; on a cluster each machine would write to a disk of its own, so there it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -23,7 +32,63 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that nothing will read again."""
+    _path(df.sparkSession, df.written_path)[0].delete(_path(df.sparkSession, df.written_path)[1], True)
+
+
+def _path(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file in the shared folder; None if there is none."""
+    fs, at = _path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file into the shared folder, whole or not at all."""
+    fs, at = _path(spark, path)
+    _, fresh = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(at, False)
+    if not fs.rename(fresh, at):
+        raise OSError(f"could not write {path}")
+
+
+def stable(rows: DataFrame, label: str) -> DataFrame:
+    """rows such that reading them again gives the same rows in the same order.
+
+    A scan with projections and filters does; what comes out of a shuffle may be ordered
+    differently when a lost executor's part is computed again, so that is written first. Row
+    numbers given to the result stay with their rows.
+    """
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return written(rows, label) if re.search("Exchange|Join|Aggregate|Window|Python|InArrow|InPandas|RDD", plan) else rows
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of taken is called so (columns ignore case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 def whole_text(column: str = "text") -> Column:
