@@ -6,57 +6,101 @@ digests not seen before are appended. Native: DataFrame and SQL functions only.
 Defined results. A null text is an empty text. Of equal texts the row with the largest doc_id
 stays (null ids come last); rows that repeat both id and text count in group_size, and exactly one
 of them is kept. Digests that an earlier batch indexed keep the id stored then, and no row of the
-new batch is kept for them. An empty table gives an empty result. Other columns are ignored, so
-names such as digest or keep_id in the input do no harm.
+new batch is kept for them. A batch that comes again under its name gets the same result again.
+An empty table gives an empty result. Other columns are ignored, so names such as digest or
+keep_id in the input do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path, whole_text, written
+from tidemark.llm.common import free, read_note, shared_path, whole_text, write_note, written
 
-INDEX_BUCKETS = 32
+#: Digests that one bucket is to hold (about 100 MB), and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
 
 
 class DigestIndex:
     """A Parquet table of seen digests, clustered and sorted by digest, at a path that outlives sessions.
 
-    Give path to continue an index; without it a new one starts in the shared folder. buckets is
-    fixed when the index is created and sets how many tasks a later anti-join can use: about one
-    bucket for each 128 MB of digests that the index is to hold.
+    Give path to continue an index; without it a new one starts in the shared folder. The number
+    of buckets sets how many tasks an anti-join with the index can use. It follows from
+    expected_rows unless given, stands in a note beside the table, and whoever opens the index
+    reads it there; asking for another one is an error. compact() changes it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = INDEX_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, expected_rows: int = 0):
         self.spark = spark
         self.path = path or shared_path(spark, "digest-index")
         self.name = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+        note = read_note(spark, f"{self.path}/index.json")
+        if note is None:
+            self.generation, self.buckets = 0, buckets or max(LEAST_BUCKETS, -(-expected_rows // BUCKET_ROWS))
+            self._describe()
+        else:
+            self.generation, self.buckets = json.loads(note)["generation"], json.loads(note)["buckets"]
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"the index at {self.path} has {self.buckets} buckets, not {buckets}; compact() changes that")
+        self._open()
+
+    def _describe(self) -> None:
+        write_note(self.spark, f"{self.path}/index.json", json.dumps({"generation": self.generation, "buckets": self.buckets}))
+
+    def _open(self) -> None:
+        # only the catalogue's entry goes: the files lie at a location of their own
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(self._definition(self.name, self.generation, self.buckets))
+
+    def _definition(self, name: str, generation: int, buckets: int) -> str:
+        return (
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) "
+            f"SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/generation-{generation}'"
         )
 
     def seen(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("digest", "keep_id", "batch").write.insertInto(self.name)
-
-
-def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
+        """Adds rows (digest, keep_id, batch), one file for each bucket."""
+        rows = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
+        rows.write.insertInto(self.name)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """Rewrites the index with one sorted file for each bucket, in another number of buckets if given.
+
+        Every append adds a file to each bucket; while a bucket has one file only, joins read it
+        in order. The new files count once they are whole; the old ones stay for whoever reads them.
+        """
+        buckets, generation = buckets or self.buckets, self.generation + 1
+        fresh = f"{self.name}_{generation}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        self.spark.sql(self._definition(fresh, generation, buckets))
+        self.seen().repartition(buckets, "digest").write.insertInto(fresh, overwrite=True)
+        self.spark.sql(f"DROP TABLE {fresh}")
+        self.generation, self.buckets = generation, buckets
+        self._describe()
+        self._open()
+
+
+def decisions(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, digest, copies.
 
-    Appends the new digests to index. copies counts the rows with this id and this text.
+    Appends the new digests to index under the name batch (a fresh one unless given). A name that
+    the index knows means that its rows come again, after a restart for instance: what that batch
+    put into the index still counts as new. copies counts the rows with this id and this text,
+    group_size those of this batch with this text.
     """
     keyed = docs.select("doc_id", F.unhex(F.sha2(whole_text(), 256)).alias("digest"))
     keyed = written(keyed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "digests")
     groups = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
 
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     unseen = groups.join(index.seen().select("digest").hint("merge"), "digest", "left_anti")
     index.append(unseen.select("digest", "keep_id", F.lit(batch).alias("batch")))
 
@@ -79,17 +123,33 @@ def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def decisions_in_turn(docs: DataFrame, index: DigestIndex, parts: list, batch: str | None = None) -> DataFrame:
+    """decisions() over docs in several batches against one index, one for each condition in parts, in their order.
+
+    The conditions split the rows; group_size counts the rows of all batches. batch is the first
+    part of the batches' names.
+    """
+    rows, batch = None, batch or uuid.uuid4().hex
+    for k, condition in enumerate(parts):
+        some = decisions(docs.where(condition), index, f"{batch}-{k}")
+        rows = some if rows is None else rows.unionByName(some)
+    rows = written(rows.drop("group_size"), "digest-decisions")
+    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    return rows.join(sizes, "digest").select("doc_id", "keep_id", "group_size", "kept", "digest", "copies")
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns as they came.
 
     Rows that repeat both id and text are one document; any one of them is returned.
     """
-    keep = decisions(docs, index).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies")
+    own, count = free("__own", docs.columns), free("__copies", docs.columns)
+    keep = decisions(docs, index, batch).where("kept").select(
+        F.col("doc_id").alias(free("__id", docs.columns)), F.col("digest").alias(free("__digest", docs.columns)), F.col("copies").alias(count)
     )
-    named = docs.withColumn("__own", F.unhex(F.sha2(whole_text(), 256)))
-    on = named["doc_id"].eqNullSafe(keep["__id"]) & (named["__own"] == keep["__digest"])
-    stays = named.join(keep, on).drop("__id", "__digest")
-    single = stays.where("__copies = 1")
-    repeated = stays.where("__copies > 1").dropDuplicates(["doc_id", "__own"])
+    named = docs.withColumn(own, F.unhex(F.sha2(whole_text(), 256)))
+    on = named["doc_id"].eqNullSafe(keep[keep.columns[0]]) & (named[own] == keep[keep.columns[1]])
+    stays = named.join(keep, on)
+    single = stays.where(F.col(count) == 1)
+    repeated = stays.where(F.col(count) > 1).dropDuplicates(["doc_id", own])
     return single.unionByName(repeated).select(*docs.columns)
