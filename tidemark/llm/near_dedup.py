@@ -2,20 +2,21 @@
 
 SuperMinHash gives every shingle a random order of all slots; the slot that comes at rank j gets
 the value j + r with r random in [0, 1), and a slot keeps its smallest. Ranks of one shingle are
-all different, which lowers the variance against independent slots. Ranks are handed out level by
-level to all shingles of a batch of documents at once; a document is done as soon as all its slots
-have a value, since later levels only bring larger ones.
+all different, which lowers the variance against independent slots. The orders are shuffles
+(Fisher-Yates) by the shingle's own random numbers, made one rank at a time for all shingles of a
+batch of documents at once; a document is done as soon as no later rank can lower any of its slots.
 
 Documents with equal shingle sets form a class, and only its representative goes on. Slots are
 cut into bands; documents that agree in a whole band share a bucket. Within a bucket each member
 is first paired with the smallest id only. Those pairs are checked on full sets and grouped; then
-the pairs of one bucket that are still in different groups, agree in two bands at least and can
-reach the threshold are checked as well, and grouped with the rest. Whether a pair can reach it is
-told by the sizes and by odd sketches: every shingle of a set flips one of PARITY bits, so the bits
-in which two sketches differ are at most as many as the shingles in which the sets do. That bound
-is exact; it spares a family of half-alike documents from being compared pair by pair on full
-sets. No cap anywhere: the band shape makes the chance of missing a pair at the threshold less than
-MISS, and everything that is reported as a link has been verified.
+the pairs of one bucket that are still in different groups and can reach the threshold are checked
+as well, and grouped with the rest. Whether a pair can reach it is told by the sizes and by odd
+sketches: every shingle of a set flips one of PARITY bits, so the bits in which two sketches differ
+are at most as many as the shingles in which the sets do. That bound is exact; it spares a family
+of half-alike documents from being compared pair by pair on full sets. A bucket of many members is
+cut into parts of about PART_ROWS, and any two parts meet in a group of rows of their own, so the
+work on it spreads over many tasks. No cap anywhere: the band shape makes the chance of missing a
+pair at the threshold less than MISS, and everything that is reported as a link has been verified.
 
 Groups come from union-find inside the partitions, which shrinks the links to forests, and rounds
 of exchanging least labels between them. Nothing about single documents reaches the driver.
@@ -36,24 +37,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text, written
+from tidemark.llm.common import discard, free, whole_text, written
 
-#: Slots of a signature: a prime, so that the affine orders below visit every slot.
-SLOTS = 241
+#: Slots of a signature; a slot's number fits one byte.
+SLOTS = 240
 #: Largest chance of missing a pair that is just at the threshold.
 MISS = 1e-6
 #: Bits of an odd sketch.
 PARITY = 1024
+#: Rows of one part of a large bucket.
+PART_ROWS = 2048
 WORD_CACHE = 100_000
 SLICE_ROWS = 256
+#: Shingles whose orders are shuffled at once: their number times SLOTS is what a worker holds in bytes.
+SLICE_SHINGLES = 65_536
 
 
 def band_shape(threshold: float, slots: int = SLOTS) -> tuple[int, int]:
-    """(bands, rows): the longest bands for which a pair at threshold shares two with a chance over 1 - MISS."""
+    """(bands, rows): the longest bands for which a pair at threshold shares one with a chance over 1 - MISS."""
     for rows in range(8, 1, -1):
         bands = slots // rows
-        p = threshold**rows
-        if (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1) <= MISS:
+        if (1 - threshold**rows) ** bands <= MISS:
             return bands, rows
     return slots, 1
 
@@ -91,24 +95,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash values, one row per (non-empty) set: rank in the high 32 bits, random part in the low."""
-    none = np.uint64(2**64 - 1)
-    sig = np.full(len(sets) * slots, none, dtype=np.uint64)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    h = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-    a = _mixed(h ^ np.uint64(0x5851F42D4C957F2D))
-    step = (a % np.uint64(slots - 1)).astype(np.int64) + 1
-    at = (_mixed(a + np.uint64(0x14057B7EF767814F)) % np.uint64(slots)).astype(np.int64)
+    sig = np.full(len(sets) * slots, np.uint64(2**64 - 1), dtype=np.uint64)
+    every = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], dtype=np.int64))
+    for lo in range(0, len(every), SLICE_SHINGLES):
+        _lower(sig, every[lo : lo + SLICE_SHINGLES], owner[lo : lo + SLICE_SHINGLES], slots)
+    return sig.reshape(-1, slots)
+
+
+def _lower(sig: np.ndarray, h: np.ndarray, doc: np.ndarray, slots: int) -> None:
+    """Takes the shingles h of documents doc into their slots' least values."""
+    order = np.empty((len(h), slots), dtype=np.uint8)
+    order[:] = np.arange(slots, dtype=np.uint8)
+    order = order.reshape(-1)
+    row = np.arange(len(h)) * slots
+    table = sig.reshape(-1, slots)
     for rank in range(slots):
-        low = _mixed(h + np.uint64((rank + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)
-        np.minimum.at(sig, doc * slots + at, low | np.uint64(rank << 32))
-        open_docs = (sig.reshape(-1, slots) == none).any(axis=1)
-        if not open_docs.any():
+        draw = _mixed(h + np.uint64((rank + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        # one step of the shuffle: any of the slots not yet given a rank, and the present one takes its place
+        pick = rank + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - rank) >> np.uint64(32)).astype(np.int64)
+        at = order[row + pick]
+        order[row + pick] = order[row + rank]
+        np.minimum.at(sig, doc * slots + at, (draw >> np.uint64(32)) | np.uint64(rank << 32))
+        # later ranks bring larger values only
+        live = (table.max(axis=1) >= np.uint64((rank + 1) << 32))[doc]
+        if not live.any():
             break
-        live = open_docs[doc]
-        doc, h, at, step = doc[live], h[live], at[live], step[live]
-        at = (at + step) % slots
-    return sig.reshape(-1, slots)
+        if 2 * np.count_nonzero(live) < live.size:
+            doc, h, row = doc[live], h[live], row[live]
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -235,7 +249,8 @@ def components(links: DataFrame) -> DataFrame:
         # a node that is a label of some and hangs on another itself isn't one yet
         low = up.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
         moved = up.join(low, up["a"] == low["node"], "left").select(F.coalesce("low", "a").alias("a"), "b")
-        links = written(_forest(moved.distinct()), "links")
+        before, links = links, written(_forest(moved.distinct()), "links")
+        discard(before)
         tops = links.select(F.col("a").alias("x")).distinct()
         several = links.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
         unsettled = links.select("b").distinct().join(tops, F.col("b") == F.col("x"), "left_semi").limit(1)
@@ -246,10 +261,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, kept: one row per row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, n_checked, kept: one row per row of docs (doc_id, text).
 
-    component_id is the least doc_id reachable by links, n_links how many verified links the
-    document's class takes part in (copies of one set are no links), kept whether it stays.
+    component_id is the least doc_id reachable by links, kept whether the document stays.
+    n_checked counts the links of its class that were verified on the way: not all it has, since
+    pairs within a group that is already formed need no check (copies of one set are no links).
     """
     found = written(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent / 100), "sketches")
     classes = found.where("set_key IS NOT NULL").groupBy("set_key").agg(
@@ -274,42 +290,49 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = members.join(labels, members["rep"] == labels["node"], "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label")
     )
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = named.join(mixed, "key").join(classes.select("rep", "size", "bits", "bands"), "rep")
-    mixed = written(mixed, "mixed-buckets")
-    sides = [mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "bands", "label")]) for x in "ab"]
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    mixed = written(named.join(mixed, "key").join(classes.select("rep", "size", "bits"), "rep"), "mixed-buckets")
+    # each part meets every part from itself on, in a group of rows of their own
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    upto = F.sequence(F.lit(0), F.col("part"))
+    onwards = F.sequence(F.col("part"), F.col("parts") - 1)
+    mixed = mixed.withColumn("part", part)
+    sides = []
+    for x, meets in (("a", onwards), ("b", upto)):
+        side = mixed.withColumn("met", F.explode(meets))
+        pair = [F.col("part"), F.col("met")] if x == "a" else [F.col("met"), F.col("part")]
+        sides.append(side.select("key", pair[0].alias("p"), pair[1].alias("q"), *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "label")]))
     differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
-    shared = F.array_intersect("bands_a", "bands_b")
     fits = (
-        (F.col("rep_a") < F.col("rep_b"))
+        ((F.col("p") < F.col("q")) | (F.col("rep_a") < F.col("rep_b")))
         & (F.col("label_a") != F.col("label_b"))
         & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
-        # a pair comes out of one of its buckets only, and not if it shares just this one
-        & (F.array_min(shared) == F.col("key"))
-        & (F.size(shared) > 1)
     )
-    rest = sides[0].join(sides[1], "key").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    rest = sides[0].join(sides[1], ["key", "p", "q"]).where(fits)
+    rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(rest, "pairs"), sets, percent), "links")
     every = links.unionByName(more)
     labels = written(components(every), "labels")
 
-    ends = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_checked"))
     reps = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
-    reps = reps.select(F.col("set_key").alias("own_key"), F.coalesce("label", "rep").alias("label"), "n_links")
+    reps = reps.select(F.col("set_key").alias("own_key"), F.coalesce("label", "rep").alias("label"), "n_checked")
     out = found.select("doc_id", "n_shingles", "set_key").join(reps, F.col("set_key") == F.col("own_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_checked", F.lit(0)).alias("n_checked"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group, with all their columns."""
-    gone = group(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(written(gone, "near-copies"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    own = free("__id", docs.columns)
+    gone = group(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(written(gone, "near-copies"), F.col("doc_id").cast("long") == F.col(own), "left_anti")
