@@ -2,9 +2,8 @@
 
 Documents are cut into full pieces of max_len tokens and one rest. The histogram of piece lengths
 (at most max_len rows) goes to the driver, which places lengths longest first: each goes to the
-pack that is shortest so far among those with room, and packs with the same pattern are counted,
-not listed. Where none has room, ceil(left / (max_len // length)) new packs take all that is left of
-the length. Pieces are ranked within their length, and a rank says which sequence and offset of
+pack that is shortest at that moment, if that has room, else to a new one; packs with the same
+pattern are counted, not listed, and move together. Pieces are ranked within their length, and a rank says which sequence and offset of
 which pattern a piece gets. Ranks come from counts of small groups, so a length that a third of
 all pieces share is spread over many tasks.
 
@@ -15,9 +14,9 @@ packed each. An empty table gives no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,40 +32,49 @@ RANK_ROWS = 100_000
 
 
 def pack_histogram(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, lengths) of every packing pattern, by shortest-pack-first."""
-    open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by room left
-    rooms: list[int] = []
+    """(count, lengths) of every packing pattern, by shortest-pack-first.
 
-    def put(room: int, n: int, pattern: tuple[int, ...]) -> None:
-        if room not in open_packs:
-            insort(rooms, room)
-        open_packs[room].append((n, pattern))
+    The same packs as if pieces were placed one at a time, longest first, each into the pack that
+    is shortest at that moment if it has room, else into a new one; alike packs are moved together.
+    """
+    packs: dict[int, list[tuple[int, tuple | None]]] = defaultdict(list)  # by room left: count, (pattern before, length)
+    rooms: list[int] = []  # heap, most room first
+
+    def put(room: int, n: int, pattern: tuple) -> None:
+        if not packs[room]:
+            heappush(rooms, -room)
+        packs[room].append((n, pattern))
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, int, tuple[int, ...]]] = []
         while left:
-            if not rooms or rooms[-1] < length:  # no pack has room: new ones are filled, the last gets the rest
+            if not rooms or -rooms[0] < length:  # a new pack is the shortest until it has no room
                 each = max_len // length
                 for n, k in ((left // each, each), (1, left % each)):
                     if n and k:
-                        put(max_len - k * length, n, (length,) * k)
+                        pattern = None
+                        for _ in range(k):
+                            pattern = (pattern, length)
+                        put(max_len - k * length, n, pattern)
                 break
-            room = rooms[-1]  # the most room: the shortest pack
-            n, pattern = open_packs[room].pop()
-            if not open_packs[room]:
-                del open_packs[room]
-                rooms.pop()
+            room = -rooms[0]
+            n, pattern = packs[room].pop()
+            if not packs[room]:
+                heappop(rooms)
             take = min(n, left)
             left -= take
-            placed.append((room - length, take, (*pattern, length)))
             if n > take:
                 put(room, n - take, pattern)
-            if not rooms or rooms[-1] < length or left == 0:
-                for pack_left in placed:  # packs that got one become candidates for the next
-                    put(*pack_left)
-                placed = []
-    return [x for at in rooms for x in open_packs[at]]
+            put(room - length, take, (pattern, length))
+    return [(n, _lengths(pattern)) for room in sorted(packs) for n, pattern in packs[room]]
+
+
+def _lengths(pattern: tuple | None) -> tuple[int, ...]:
+    out = []
+    while pattern is not None:
+        pattern, length = pattern
+        out.append(length)
+    return tuple(reversed(out))
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[list[int], list[int], list[int]]]:
