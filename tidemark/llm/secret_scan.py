@@ -12,7 +12,7 @@ Positions of all matches come from the lengths of the matches and of what stands
 
 Defined results. A null text is empty; a text without parts has no spans. Rows are told apart by a
 key of their own, so repeated rows and null ids are fine. All columns of the input are passed on;
-names of the scan's own columns must not be among them.
+a column called base_spans or spans gives way to the scan's own (redact keeps it).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text, written
+from tidemark.llm.common import free, whole_text, written
 
 #: How far apart the parts of one credential may stand, in code points.
 SCOPE = 200
@@ -116,27 +116,43 @@ def _linked(parts: DataFrame) -> DataFrame:
     return weak.join(other, on, "left_semi").select("__row", "kind", "start", "stop").distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with base_spans and spans: sorted arrays of (start, kind number in KINDS, stop), code points, stop exclusive."""
-    text = whole_text()
+def _scanned(docs: DataFrame, base: str, spans: str, texts: bool = True) -> DataFrame:
+    """docs with columns base and spans (names that docs doesn't have); without texts, texts without spans come back null.
+
+    The patterns go over every text once: the result with its flag is written, and both branches read it.
+    """
+    row, flag = free("__row", docs.columns), free("__suspect", docs.columns)
     none = F.array().cast(SPAN)
-    clean = docs.where(~_suspect(text)).select("*", none.alias("base_spans"), none.alias("spans"))
-    suspects = docs.where(_suspect(text)).withColumns({"__row": F.monotonically_increasing_id(), "__text": text})
-    suspects = written(suspects, "suspects")
-    parts = written(_parts(suspects), "credential-parts")
+    rows = docs.withColumn(flag, _suspect(whole_text()))
+    if not texts:
+        rows = rows.withColumn("text", F.when(F.col(flag), F.col("text")))
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "scanned")
+    clean = rows.where(~F.col(flag)).select(*docs.columns, none.alias(base), none.alias(spans))
+    suspects = rows.where(F.col(flag))
+    parts = written(_parts(suspects.select(F.col(row).alias("__row"), whole_text().alias("__text"))), "credential-parts")
     is_weak = F.get(F.array(*[F.lit(k.weak) for k in KINDS]), F.col("kind"))
     every = parts.where(~is_weak).withColumn("base", F.lit(True)).unionByName(_linked(parts).withColumn("base", F.lit(False)))
     span = F.struct("start", "kind", "stop")
-    by_row = every.groupBy("__row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("base"), span))).cast(SPAN).alias("base_spans"),
-        F.sort_array(F.collect_list(span)).cast(SPAN).alias("spans"),
-    )
-    found = suspects.join(by_row, "__row", "left").select(
-        *[F.col(c) for c in docs.columns], F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("spans", none).alias("spans")
+    by_row = every.groupBy(F.col("__row").alias(row)).agg(
+        F.sort_array(F.collect_list(F.when(F.col("base"), span))).cast(SPAN).alias(base),
+        F.sort_array(F.collect_list(span)).cast(SPAN).alias(spans),
     )
+    found = suspects.join(by_row, row, "left")
+    found = found.select(*docs.columns, F.coalesce(base, none).alias(base), F.coalesce(spans, none).alias(spans))
     return clean.unionByName(found)
 
 
+def scan(docs: DataFrame) -> DataFrame:
+    """docs with base_spans and spans: sorted arrays of (start, kind number in KINDS, stop), code points, stop exclusive."""
+    own = ("base_spans", "spans")
+    return _scanned(docs.select(*[c for c in docs.columns if c.lower() not in own]), *own)
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    """doc_id, base_spans, spans of docs (doc_id, text), as in scan(); texts without spans are not carried along."""
+    return _scanned(docs.select("doc_id", "text"), "base_spans", "spans", texts=False).drop("text")
+
+
 def as_string(spans: Column) -> Column:
     """kind:start:stop of every span, comma-joined."""
     name = lambda s: F.get(F.array(*[F.lit(k.name) for k in KINDS]), s["kind"])
@@ -150,7 +166,8 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """docs with every reported span replaced by mask, n_chars (if there) following; texts without spans stay as they are."""
-    found = scan(docs)
+    base, spans, new = (free(c, docs.columns) for c in ("__base_spans", "__spans", "__new"))
+    found = _scanned(docs, base, spans)
     text = whole_text()
     # what stands between the spans: from the furthest stop so far to the next start
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
@@ -162,11 +179,11 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
             F.when(piece.isNotNull(), F.array_append(s["kept"], piece)).otherwise(s["kept"]).alias("kept"),
         )
 
-    end = F.aggregate("spans", state, step)
-    new = F.concat(F.array_join(end["kept"], mask), F.lit(mask), F.substring(text, end["at"] + 1, F.length(text)))
-    new = F.when(F.size("spans") > 0, new).otherwise(F.col("text"))
-    rows = found.withColumn("__new", new)
-    own = {"text": F.col("__new").alias("text")}
+    end = F.aggregate(spans, state, step)
+    masked = F.concat(F.array_join(end["kept"], mask), F.lit(mask), F.substring(text, end["at"] + 1, F.length(text)))
+    any_span = F.size(spans) > 0
+    rows = found.withColumn(new, F.when(any_span, masked).otherwise(F.col("text")))
+    own = {"text": F.col(new).alias("text")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+        own["n_chars"] = F.when(any_span, F.length(new).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return rows.select(*[own.get(c, F.col(c)) for c in docs.columns])
