@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import whole_text, written
+from tidemark.llm.common import stable, whole_text, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -104,6 +104,7 @@ def count(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens: one row per row of docs (doc_id, text)."""
     specials = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
     text = F.col("text")
+    docs = stable(docs.select("doc_id", "text"), "token-count-texts")
     rows = docs.select("doc_id", whole_text().alias("text"), F.octet_length(whole_text()).cast("long").alias("n_bytes"))
     known = rows.where(~text.rlike(UNKNOWN))
 
@@ -123,8 +124,10 @@ def count(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     split = split.join(F.broadcast(frequent), "piece", "left")
     rare = F.when(F.col("hot_n").isNull(), F.col("piece")).alias("piece")
     freq = split.groupBy(*row, rare).agg(F.sum("hot_n").alias("hot_sum"), F.count(F.lit(1)).alias("times"))
+    # rows of folded pre-tokens have no counts to meet: a second key of their own spreads them over all tasks
+    freq = freq.withColumn("apart", F.when(F.col("piece").isNull(), F.col("row_key") + 1).otherwise(F.lit(0))).withColumn("piece", F.coalesce("piece", F.lit("")))
     summed = (
-        freq.join(pieces.select("piece", "n"), "piece", "left")
+        freq.join(pieces.select("piece", "n", F.lit(0).cast("long").alias("apart")), ["piece", "apart"], "left")
         .groupBy(*row)
         .agg(F.sum(F.coalesce("hot_sum", F.col("times") * F.col("n"), F.lit(0))).alias("n_split"))
         .select("doc_id", "n_bytes", (F.col("n_split") + F.col("n_special")).alias("n_tokens"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import stable, whole_text
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
 
@@ -236,7 +236,7 @@ def _id_lists(blobs: list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, ids array<int>, decoded string: one row per row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", whole_text().alias("text"))
+    rows = stable(docs.select("doc_id", "text"), "bpe-texts").select("doc_id", whole_text().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, ids array<int>, decoded string"
 
