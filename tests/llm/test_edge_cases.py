@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import (
-    exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe,
+    common, exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, label int, spans string, piece string, score double"
@@ -68,13 +68,16 @@ def test_token_counts(docs, empty):
 
 
 def test_secret_scan(docs, empty):
-    found = secret_scan.scan(docs.drop("spans"))
+    found = secret_scan.scan(docs)  # its own column spans gives way
     spans = {r.doc_id: secret_names(r.spans) for r in found.collect()}
     assert spans.pop(None) == [("assign", 0, 19)] and not any(spans.values())
-    assert secret_scan.scan(empty.drop("spans")).count() == 0
-    masked = secret_scan.redact(docs.drop("spans"))
-    assert masked.columns == docs.drop("spans").columns and masked.count() == len(ROWS)
+    assert secret_scan.scan(empty).count() == 0
+    clash = docs.withColumns({"__row": F.lit(1), "__suspect": F.lit("x"), "__new": F.lit(2), "base_spans": F.lit("b"), "__text": F.lit(3)})
+    masked = secret_scan.redact(clash)
+    assert masked.columns == clash.columns and masked.count() == len(ROWS) and {(r["spans"], r["base_spans"], r["__new"]) for r in masked.collect()} == {("s", "b", 2)}
     assert masked.where("doc_id IS NULL").first().text == "[REDACTED] All rights reserved."
+    thin = {r.doc_id: (secret_names(r.base_spans), secret_names(r.spans)) for r in secret_scan.spans_of(clash).collect()}
+    assert thin[None] == ([("assign", 0, 19)],) * 2 and thin[5] == ([], [])
 
 
 def secret_names(spans):
@@ -206,6 +209,60 @@ def test_exact_dedup(spark, docs, empty):
     assert stay.columns == docs.columns and Counter(r.doc_id for r in stay.collect()) == Counter([2, 4, 5, 6, 7, 8, None])
 
 
+def test_exact_dedup_batch_again(spark):
+    """A batch that comes again, after a restart say, gets the same rows; one of another name keeps none."""
+    batch = spark.createDataFrame([(k, f"t{k % 50}") for k in range(80)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark)
+    rows = [sorted(map(tuple, exact_dedup.decisions(batch, exact_dedup.DigestIndex(spark, index.path), name).collect())) for name in ("a", "a", "b")]
+    assert rows[0] == rows[1] and sum(r[3] for r in rows[0]) == 50 and not any(r[3] for r in rows[2])
+    assert index.seen().count() == 50
+    # an append that got half way: the rest follows
+    half = exact_dedup.DigestIndex(spark)
+    half.append(index.seen().where("keep_id % 2 = 0"))
+    assert sum(r.kept for r in exact_dedup.decisions(batch, half, "a").collect()) == 50 and half.seen().count() == 50
+
+
+def test_exact_dedup_buckets(spark):
+    """The number of buckets belongs to the index: asking for another is an error, compact() changes it."""
+    batch = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, buckets=32)
+    exact_dedup.decisions(batch, index).count()
+    with pytest.raises(ValueError, match="32 buckets"):
+        exact_dedup.DigestIndex(spark, index.path, buckets=8)
+    opened = exact_dedup.DigestIndex(spark, index.path)
+    assert opened.buckets == 32 and exact_dedup.decisions(batch, opened).where("kept").count() == 0
+    exact_dedup.decisions(spark.createDataFrame([(90, "more")], "doc_id long, text string"), opened).count()
+    opened.compact(8)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.buckets, again.seen().count()) == (8, 51) and len(again.seen().inputFiles()) <= 8
+    assert exact_dedup.decisions(batch, again).where("kept").count() == 0
+    assert exact_dedup.DigestIndex(spark, expected_rows=10**9).buckets == 500
+
+
+def test_exact_dedup_in_turn(spark, docs, empty):
+    late = F.coalesce(F.col("doc_id") >= 4, F.lit(False))
+    rows = exact_dedup.decisions_in_turn(docs, exact_dedup.DigestIndex(spark), [late, ~late]).collect()
+    want = [(1, 2, 2, False), (2, 2, 2, True), (3, 4, 3, False), (4, 4, 3, True), (4, 4, 3, False), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True), (None, None, 1, True)]
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == Counter(want)
+    assert exact_dedup.decisions_in_turn(empty, exact_dedup.DigestIndex(spark), [late, ~late]).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_path(Session, "x")
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_path(Session, "x").startswith("/tmp/")
+
+
+def test_stable_rows(spark, docs, sf_dir):
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 3").select("doc_id")
+    assert common.stable(scan, "t") is scan and common.stable(scan.distinct(), "t").written_path
+
+
 def test_exact_dedup_plan_is_a_sort_merge_anti_join(spark, docs):
     index = exact_dedup.DigestIndex(spark)
     groups = docs.select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct()

@@ -59,15 +59,19 @@ def components(sets, percent):
 def test_op1(spark, sf_dir, rows):
     found = {r.doc_id: r for r in queries.op1_fingerprints(spark, sf_dir).collect()}
     assert len(found) == len(rows)
-    off = []
+    off, off_next = [], []
     for k, (i, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         assert (found[i].n_chars, found[i].edited_sha256) == (len(text), sha(edited))
-        own, new = (shingles(x.lower().split(), 5) for x in (text, edited))
+        own, new, other = (shingles(x.lower().split(), 5) for x in (text, edited, after))
         off.append(found[i].near_edited - len(own & new) / len(own | new))
-    assert abs(np.mean(off)) < 0.01 and np.sqrt(np.mean(np.square(off))) < 0.05
+        if own or other:
+            off_next.append(found[i].near_next - len(own & other) / len(own | other))
+        assert (found[i].fingerprint == found[rows[(k + 1) % len(rows)][0]].fingerprint) == (own == other)
+    for each in (off, off_next):
+        assert abs(np.mean(each)) < 0.01 and np.sqrt(np.mean(np.square(each))) < 0.05
 
 
 def test_op2(spark, sf_dir, rows):
@@ -130,11 +134,41 @@ def test_superminhash_estimates(sf_dir):
     assert abs(np.mean(near) - 300 / 420) < 0.01 and np.std(near) < 0.03
 
 
+def test_superminhash_orders_are_shuffles(monkeypatch):
+    """Every shingle gives every rank to one slot; any two ranks fall on any two slots; slices don't matter."""
+    rng = np.random.default_rng(3)
+    one = [rng.integers(0, 2**62, 1, dtype=np.uint64) for _ in range(4000)]
+    ranks = (near_dedup.signatures(one, 6) >> np.uint64(32)).astype(int)
+    assert (np.sort(ranks, axis=1) == np.arange(6)).all()
+    orders = Counter(map(tuple, ranks.tolist()))
+    assert len(orders) > 710 and max(orders.values()) < 20
+    sets = [rng.integers(0, 2**62, n, dtype=np.uint64) for n in (1, 3, 200, 5000, 2)]
+    whole = near_dedup.signatures(sets)
+    monkeypatch.setattr(near_dedup, "SLICE_SHINGLES", 700)
+    assert (near_dedup.signatures(sets) == whole).all()
+
+
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """One family in one bucket, in parts of a few rows: no pair is lost."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 4)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice((0, 2, 5, 9))):
+            words[at] = f"v{i}"
+        texts[i] = " ".join(words)
+    want = components({i: shingles(t.split(), 3) for i, t in texts.items()}, 85)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.group(docs, 3, 85).collect()} == want
+
+
 def test_band_shape():
     for percent in (50, 80, 85, 95):
         bands, n = near_dedup.band_shape(percent / 100)
         p = (percent / 100) ** n
-        assert bands * n <= near_dedup.SLOTS and (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1) <= near_dedup.MISS
+        assert bands * n <= near_dedup.SLOTS and (1 - p) ** bands <= near_dedup.MISS
 
 
 def test_components_by_rounds(spark):
@@ -170,10 +204,21 @@ def test_op6(spark, sf_dir, rows):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def license_blocks(words, templates):
+    want = set()
+    for label, template in templates:
+        own, length = set(template.split()), license_scan.block_words(template)
+        for start in range(0, len(words), length // 2):
+            share = len(own & set(words[start : start + length])) / len(own)
+            if share >= license_scan.THRESHOLD:
+                want.add((start, label, round(share, 9)))
+    return want
+
+
 def test_license_blocks_match_brute_force(spark):
     rng = random.Random(4)
     texts = []
-    for k in range(150):
+    for k in range(200):
         words = [f"z{rng.randrange(50)}" for _ in range(rng.randrange(120))]
         _, template = rng.choice(license_scan.TEMPLATES)
         own = template.split()
@@ -183,17 +228,24 @@ def test_license_blocks_match_brute_force(spark):
         texts.append(" ".join(words[:at] + own + words[at:]))
     found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
     got = {r.doc_id: {(b["start"], b["label"], round(b["share"], 9)) for b in r.blocks} for r in found.collect()}
-    for k, text in enumerate(texts):
-        words = text.split()
-        want = set()
-        for start in range(0, len(words), license_scan.STRIDE):
-            block = set(words[start : start + license_scan.BLOCK])
-            for label, template in license_scan.TEMPLATES:
-                own = set(template.split())
-                share = len(own & block) / len(own)
-                if share >= license_scan.THRESHOLD:
-                    want.add((start, label, round(share, 9)))
-        assert got[k] == want
+    assert got == {k: license_blocks(text.split(), license_scan.TEMPLATES) for k, text in enumerate(texts)}
+
+
+def test_license_templates_of_any_length(spark):
+    """Templates of 70 and 900 distinct words, whole and with words missing."""
+    templates = (("seventy", " ".join(f"a{k}" for k in range(70))), ("long", " ".join(f"b{k}" for k in range(900))), ("one", "solo"))
+    rng = random.Random(9)
+    texts = [templates[0][1], templates[1][1], "solo", ""]
+    for k in range(40):
+        own = rng.choice(templates)[1].split()
+        own = [w for w in own if rng.random() > rng.choice((0, 0.08, 0.12))]
+        pad = [f"z{rng.randrange(9)}" for _ in range(rng.randrange(700))]
+        texts.append(" ".join(pad[: k * 3] + own + pad[k * 3 :]))
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), templates)
+    rows = {r.doc_id: r for r in rows.collect()}
+    assert (rows[0].labels, rows[1].labels, rows[0].score) == ("seventy", "long", 1.0)
+    got = {k: {(b["start"], b["label"], round(b["share"], 9)) for b in r.blocks} for k, r in rows.items()}
+    assert got == {k: license_blocks(text.split(), templates) for k, text in enumerate(texts)}
 
 
 def test_op7(spark, sf_dir, rows):
@@ -217,15 +269,42 @@ def test_op7(spark, sf_dir, rows):
         assert at <= packing.MAX_LEN
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=20))
+def one_at_a_time(histogram, max_len):
+    """Shortest-pack-first, piece by piece: the sums of the packs."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            least = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if least is None or packs[least] + length > max_len:
+                packs.append(length)
+            else:
+                packs[least] += length
+    return packs
+
+
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_pack_histogram(histogram):
     patterns = packing.pack_histogram(histogram, 64)
-    assert all(sum(p) <= 64 for _, p in patterns)
     got = Counter()
     for n, p in patterns:
         for length in p:
             got[length] += n
     assert got == Counter(histogram)
+    assert Counter(sum(p) for n, p in patterns for _ in range(n)) == Counter(one_at_a_time(histogram, 64))
+
+
+def test_shortest_pack_first():
+    assert Counter(p for _, p in packing.pack_histogram({80: 1, 50: 1, 10: 2}, 100)) == Counter([(80,), (50, 10, 10)])
+
+
+def test_padding_of_whole_documents(spark, sf_dir):
+    rows = queries.op7_packing(spark, sf_dir).collect()
+    ends = defaultdict(int)
+    for r in rows:
+        ends[r.sequence_id] = max(ends[r.sequence_id], r.offset + r.length)
+    used = sum(r.length for r in rows)
+    assert sorted(ends.values()) == sorted(one_at_a_time(Counter(r.length for r in rows), packing.MAX_LEN))
+    assert sum(ends.values()) == used and len(ends) * packing.MAX_LEN <= 1.02 * used + packing.MAX_LEN
 
 
 @pytest.mark.parametrize(
@@ -302,7 +381,10 @@ def test_pipeline(spark, sf_dir):
     for r in kept[4]:
         total[r.doc_id] += r.length
     assert total == {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept[3]}
-    assert quality.MAX_ROWS > 0
+    places = defaultdict(int)
+    for r in kept[4]:
+        places[r.sequence_id] = max(places[r.sequence_id], r.offset + r.length)
+    assert sum(places.values()) == sum(total.values()) and sorted(places.values()) == sorted(one_at_a_time(Counter(r.length for r in kept[4]), packing.MAX_LEN))
 
 
 def test_registered_names():
