@@ -50,7 +50,7 @@ PART_ROWS = 2048
 WORD_CACHE = 100_000
 SLICE_ROWS = 256
 #: Shingles whose orders are shuffled at once: their number times SLOTS is what a worker holds in bytes.
-SLICE_SHINGLES = 65_536
+SLICE_SHINGLES = 16_384
 
 
 def band_shape(threshold: float, slots: int = SLOTS) -> tuple[int, int]:
@@ -172,6 +172,7 @@ def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "set_key", "bands", "bits"],
                 )
+            pa.default_memory_pool().release_unused()  # two workers share an executor with the JVM
 
     return base.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
@@ -188,6 +189,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
                 values = pa.array(np.concatenate(found).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(sets, "doc_id long, shingles array<long>")
 
