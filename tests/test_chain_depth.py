@@ -22,8 +22,7 @@ def plain_chains(calls, ends, targets, max_depth):
     return out
 
 
-def test_chains_are_whole(spark):
-    sf_dir = "/root/testdata/sf0.01"
+def test_chains_are_whole(spark, sf_dir):
     rows = lambda q: select(spark, sf_dir, q).collect()
     ends = {r.symbol for r in rows("SELECT symbol FROM v_fn WHERE is_endpoint")}
     found = plain_chains(rows("SELECT * FROM v_calls"), ends, [r.symbol for r in rows(P._TARGETS)], 12)

@@ -26,10 +26,16 @@ def test_reachable_is_breadth_first(spark, seed):
         want.update(dict.fromkeys(level, depth))
     calls = calls_of(spark, [(str(a), str(b)) for a, b in edges])
     seeds = spark.createDataFrame([("0",), ("1",), ("1",)], "symbol string")
-    for small in (0, G.SMALL):
-        assert {int(r.symbol): r.depth for r in G.reachable(calls, seeds, small=small).collect()} == want
-        assert {int(r.symbol) for r in G.reachable(calls, seeds, 1, small).collect()} == {k for k, d in want.items() if d <= 1}
-        assert G.reachable(calls, seeds.limit(0), small=small).count() == 0
+    assert {int(r.symbol): r.depth for r in G.reachable(calls, seeds).collect()} == want
+    assert {int(r.symbol) for r in G.reachable(calls, seeds, 1).collect()} == {k for k, d in want.items() if d <= 1}
+    assert G.reachable(calls, seeds.limit(0)).count() == 0
+
+
+def test_reachable_on_a_deep_graph(spark):
+    """More levels than are kept apart: levels are merged on the way."""
+    calls = calls_of(spark, [(str(k), str(k + 1)) for k in range(30)] + [("5", "0"), ("9", "40")])
+    found = {int(r.symbol): r.depth for r in G.reachable(calls, spark.createDataFrame([("0",)], "symbol string")).collect()}
+    assert found == {**{k: k for k in range(31)}, 40: 10}
 
 
 def test_dead_ends_leave_out_tests_and_endpoints(spark):
@@ -168,11 +174,9 @@ def test_lookups_of_the_impact_query(spark):
 def test_small_catalogue_and_report_lookups(spark):
     from tidemark.operators import catalog as T
     from tidemark.operators import report as R
-    from tidemark.sources import js
 
     specs = spark.createDataFrame([("b", "/payments"), ("a", "/payments/:id"), ("0", "/x")], "spec_file string, path string")
     assert T.similar_spec(specs).first().spec_file == "a"
-    assert js.last_flow('const connectorDetails = { Aa: { Request: {}, Response: {} }, Bb: { Request: {}, Response: {} } }') == "Bb" and js.last_flow("x") is None
     runs = spark.createDataFrame([("r", 2, 0, [], 3, 0), ("s", 0, 1, ["Error: 401 Unauthorized"], 0, 0)], "run_id string, passing int, failing int, errors array<string>, probed int, hit int")
     assert [tuple(r) for r in R.overview(runs).orderBy("run_id").collect()] == [("r", "ok", ["2 tests passed"], ["target not reached"]), ("s", "failed", [], ["credentials"])]
     reports = spark.createDataFrame([("r", "{}")], "run_id string, report string")

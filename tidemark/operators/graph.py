@@ -7,13 +7,10 @@ level at most; nothing of the frontier reaches the driver but whether it is empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import written
+from tidemark.storage import discard, written
 
 
 def display_name(symbol: Column) -> Column:
@@ -131,51 +128,34 @@ def tag_endpoints(functions: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-#: Calls up to which one task walks the graph; larger ones are walked level by level on all executors.
-SMALL = 500_000
-
-
-def _walk(max_depth: int | None):
-    """Breadth-first search over (caller, callee) rows; rows without a caller are the seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list[str]] = {}
-        depth: dict[str, int] = {}
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if a is None:
-                    depth[b] = 0
-                else:
-                    out.setdefault(a, []).append(b)
-        level, k = list(depth), 0
-        while level and (max_depth is None or k < max_depth):
-            k += 1
-            level = [b for b in {b for a in level for b in out.get(a, ())} if b not in depth]
-            depth.update(dict.fromkeys(level, k))
-        yield pa.RecordBatch.from_arrays([pa.array(list(depth), pa.string()), pa.array(list(depth.values()), pa.int32())], ["symbol", "depth"])
+def reachable(calls: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """symbol, depth: all that seeds (symbol) reach along caller -> callee, seeds at depth 0.
 
-    return run
-
-
-def reachable(calls: DataFrame, seeds: DataFrame, max_depth: int | None = None, small: int = SMALL) -> DataFrame:
-    """symbol, depth: all that seeds (symbol) reach along caller -> callee, seeds at depth 0."""
+    Walked level by level on all executors, whatever the graph's size.
+    """
     edges = written(calls.select("caller", "callee").where("caller IS NOT NULL"), "edges")  # read once a level
-    if edges.count() <= small:
-        marked = seeds.select(F.lit(None).cast("string").alias("caller"), F.col("symbol").alias("callee")).distinct()
-        return edges.unionByName(marked).coalesce(1).mapInArrow(_walk(max_depth), "symbol string, depth int")
     frontier = written(seeds.select("symbol").distinct().withColumn("depth", F.lit(0)), "frontier")
-    levels = [frontier]
-    seen = frontier
-    depth = 0
+    parts, depth = [frontier], 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         step = frontier.select(F.col("symbol").alias("caller")).join(edges, "caller").select(F.col("callee").alias("symbol")).distinct()
+        seen = _union(parts)
         frontier = written(step.join(seen.select("symbol"), "symbol", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        levels.append(frontier)
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:  # keeps the union of levels short on deep graphs
-            seen = written(seen, "reached")
-    return seen
+        parts.append(frontier)
+        if len(parts) > 8:  # keeps the union of levels short on deep graphs
+            merged = written(_union(parts), "reached")
+            for part in parts:
+                if part is not frontier:
+                    discard(part)
+            parts = [merged]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def dead_ends(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -185,38 +165,64 @@ def dead_ends(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return left.where("NOT is_endpoint AND NOT contains(file, 'test') AND NOT contains(file, 'openapi')")
 
 
+GUARDS = "array<struct<at_hop:string,guard_type:string,condition:string>>"
+
+
+def _guarded(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """callee, caller, g (the call's guard as a list of one or none), at_end (whether the caller is an endpoint)."""
+    guard = F.struct(F.concat_ws(" -> ", "caller", "callee").alias("at_hop"), F.col("guard_type").alias("guard_type"), F.col("guard_condition").alias("condition"))
+    own = F.when(F.col("guard_type").isNotNull(), F.array(guard)).otherwise(F.array().cast(GUARDS))
+    ends = endpoints.select(F.col("symbol").alias("caller"), F.lit(True).alias("at_end")).distinct()
+    return calls.select("caller", "callee", own.cast(GUARDS).alias("g")).join(ends, "caller", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False)))
+
+
 def chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
     """All simple caller chains from targets (symbol) up to endpoints, of at most max_depth calls.
 
     endpoint, target, chain (endpoint first), guards (target side first), depth. Endpoints end a
     chain. Rows grow with the number of chains, so max_depth is required.
     """
-    guard = F.struct(
-        F.concat_ws(" -> ", "caller", "callee").alias("at_hop"), F.col("guard_type").alias("guard_type"), F.col("guard_condition").alias("condition")
-    )
-    edges = calls.select("caller", "callee", F.when(F.col("guard_type").isNotNull(), F.array(guard)).otherwise(F.array().cast("array<struct<at_hop:string,guard_type:string,condition:string>>")).alias("g"))
-    edges = written(edges, "edges")
-    ends = endpoints.select(F.col("symbol").alias("caller"), F.lit(True).alias("at_end"))
+    edges = written(_guarded(calls, endpoints), "edges")
     state = targets.select(
-        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"),
-        F.array().cast("array<struct<at_hop:string,guard_type:string,condition:string>>").alias("guards"),
+        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"),
     )
     hits = []
     for depth in range(1, max_depth + 1):
         step = state.join(edges, state["cur"] == edges["callee"]).where(~F.array_contains("chain", F.col("caller")))
-        step = step.join(ends, "caller", "left").select(
-            "target", F.col("caller").alias("cur"), F.array_prepend("chain", F.col("caller")).alias("chain"),
-            F.concat("guards", "g").alias("guards"), F.coalesce("at_end", F.lit(False)).alias("at_end"),
-        )
+        step = step.select("target", F.col("caller").alias("cur"), F.array_prepend("chain", F.col("caller")).alias("chain"), F.concat("guards", "g").alias("guards"), "at_end")
         step = written(step, "chains")
         hits.append(step.where("at_end").select(F.col("cur").alias("endpoint"), "target", "chain", "guards", F.lit(depth).alias("depth")))
         state = step.where("NOT at_end").drop("at_end")
         if state.isEmpty():
             break
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out
+    return _union(hits)
+
+
+def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
+    """endpoint, target, chain, guards, depth: one chain of each pair, the shortest, of those the least as a text.
+
+    As chains_up() with the best kept, but of the chains from a target to a function only the best
+    goes on: the best chain to an endpoint ends in the best chains to the functions on it. So there
+    are at most as many rows as pairs of a target and a function.
+    """
+    edges = written(_guarded(calls, endpoints), "edges")
+    state = targets.select(
+        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"),
+    ).distinct()
+    parts = [written(state.select("target", F.col("cur").alias("caller")), "chains-seen")]
+    hits = []
+    for depth in range(1, max_depth + 1):
+        step = state.join(edges, state["cur"] == edges["callee"])
+        step = step.select("target", "caller", F.array_prepend("chain", F.col("caller")).alias("chain"), F.concat("guards", "g").alias("guards"), "at_end")
+        step = step.join(_union(parts), ["target", "caller"], "left_anti")
+        best = F.min_by(F.struct("chain", "guards", "at_end"), F.array_join("chain", ">"))
+        step = written(step.groupBy("target", "caller").agg(best.alias("s")).select("target", "caller", "s.*"), "chains")
+        parts.append(step.select("target", "caller"))
+        hits.append(step.where("at_end").select(F.col("caller").alias("endpoint"), "target", "chain", "guards", F.lit(depth).alias("depth")))
+        state = step.where("NOT at_end").select("target", F.col("caller").alias("cur"), "chain", "guards")
+        if state.isEmpty():
+            break
+    return _union(hits)
 
 
 def infeasible(guards: Column) -> Column:
@@ -228,12 +234,6 @@ def infeasible(guards: Column) -> Column:
     return (F.size(matches) != F.size(F.array_distinct(matches))) | negated
 
 
-def shortest_per_endpoint(chains: DataFrame, keys: list[str]) -> DataFrame:
-    """One chain per keys: the shortest, ties by the chain itself."""
-    order = F.struct("depth", F.array_join("chain", ">").alias("c"))
-    return chains.groupBy(*keys).agg(F.min_by(F.struct("chain", "guards", "depth"), order).alias("s")).select(*keys, "s.*")
-
-
 def chain_roles(chains: DataFrame) -> DataFrame:
     """endpoint, target, pos, symbol, role of every step of every chain."""
     steps = chains.select("endpoint", "target", F.size("chain").alias("n"), F.posexplode("chain").alias("pos", "symbol"))
@@ -260,12 +260,6 @@ def resolve_symbol(functions: DataFrame, name: str) -> DataFrame:
     return ranked.join(F.broadcast(least), ranked["rank"] == least["least"]).drop("least")
 
 
-def seed_from_location(functions: DataFrame, places: DataFrame) -> DataFrame:
-    """places (file, line) with the function defined there or last before it in the file."""
-    hit = places.join(functions.select("file", "symbol", "def_line"), "file").where("def_line <= line")
-    return hit.groupBy("file", "line").agg(F.max_by("symbol", F.struct("def_line", "symbol")).alias("symbol"))
-
-
 def repair_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Edges to a method of another type than the caller's own: the edge to the own type's method instead."""
     ends = functions.select("symbol", "name", "file")
