@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import enclosing, infeasible
 from tidemark.storage import written
 
 CONNECTOR_TRAIT = "ConnectorIntegration"
@@ -23,85 +24,196 @@ CHANGING = ("POST", "PUT", "PATCH")
 BATCH = 15
 
 
-def _variants(arm: Column) -> Column:
-    """Lower-case connector names that a match arm lists."""
-    return F.transform(F.split(arm, r"[|,]"), lambda x: F.lower(F.trim(F.substring_index(x, "::", -1))))
+def variants(arm: Column) -> Column:
+    """Lower-case names of the variants that a match arm lists (those with a path before them)."""
+    listed = F.filter(F.split(F.lower(F.trim(arm)), r"[|,]"), lambda v: F.contains(v, F.lit("::")))
+    return F.transform(listed, lambda v: F.substring_index(F.trim(v), "::", -1))
 
 
-def impact(
-    functions: DataFrame, calls: DataFrame, implements: DataFrame, targets: DataFrame, max_depth: int = 8
-) -> DataFrame:
-    """Constrained reverse reachability: endpoint, target, chain (endpoint first), guards (target first), depth, impl_type, infeasible.
-
-    A path carries the implementation it is locked to (impl_type, its trait and first trait
-    argument). Callers are those of the function itself and, for an implementation's method, those
-    of the abstract one. An edge is left out if its type parameter, its match arm or its caller's
-    own type speaks of another implementation. Of several arrivals at a function in one state the
-    first by (caller, type parameter, guard) of the earliest level is kept; endpoints end a path and
-    may be reached by many. Each level is written; only emptiness tests reach the driver.
+SPEC = "struct<impl_type:string,trait:string,args:array<string>,method:string>"
+
+
+def spec_text(spec: Column) -> Column:
+    """A specialisation's stable name: trait|type|arg,arg|method, or the bare type where the trait is unknown; null without any."""
+    args = F.coalesce(F.array_join(spec["args"], ","), F.lit(""))
+    full = F.concat_ws("|", spec["trait"], spec["impl_type"], args, F.coalesce(spec["method"], F.lit("")))
+    return F.when((spec["trait"] != "") & (spec["impl_type"] != ""), full).otherwise(spec["impl_type"])
+
+
+def _arrivals(functions: DataFrame, calls: DataFrame, connectors: DataFrame) -> DataFrame:
+    """Who calls what, under every key by which a search looks callers up.
+
+    A key is a function's symbol, or #Trait#method for the abstract methods of that name together,
+    where of several calls by one caller the first counts.
     """
-    connectors = implements.where(F.col("trait_name") == CONNECTOR_TRAIT).select(F.col("impl_type").alias("connector")).distinct()
     known = functions.select(F.col("symbol").alias("caller"), F.col("name").alias("caller_name"), "is_endpoint")
-    edges = calls.join(known, "caller")
+    edges = calls.select("caller", "callee", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("guard_type", "guard_condition", "match_arm", "type_param")])
+    edges = edges.join(known, "caller")
     # the caller's own type, where its name is Type#Trait#method and the type is a connector
     own = F.when(F.size(F.split("caller_name", "#")) == 3, F.split_part("caller_name", F.lit("#"), F.lit(1)))
-    edges = edges.withColumn("own_type", own)
-    edges = edges.join(connectors.withColumnRenamed("connector", "own_type").withColumn("own_known", F.lit(True)), "own_type", "left")
+    edges = edges.withColumn("connector", own).join(connectors.withColumn("own", F.col("connector")), "connector", "left").drop("connector")
+    abstract = functions.where(F.size(F.split("name", "#")) == 2).select(F.col("symbol").alias("callee"), F.concat(F.lit("#"), "name").alias("key"))
+    what = ["caller_name", "is_endpoint", "guard_type", "guard_condition", "match_arm", "type_param", "own"]
+    first = F.min_by(F.struct(*what), F.struct("callee", F.coalesce("type_param", F.lit("")).alias("o1"), F.coalesce("guard_type", F.lit("")).alias("o2")))
+    bridged = edges.join(abstract, "callee").groupBy("key", "caller").agg(first.alias("e")).select("key", "caller", *[F.col(f"e.{c}").alias(c) for c in what])
+    return edges.withColumn("key", F.col("callee")).select("key", "caller", *what).unionByName(bridged)
+
+
+def _plain(spec: Column) -> Column:
+    """A specialisation with no arguments rather than an empty list of them, so that equal ones look alike."""
+    args = F.when(F.size(spec["args"]) > 0, spec["args"])
+    whole = F.struct(spec["impl_type"].alias("impl_type"), spec["trait"].alias("trait"), args.alias("args"), spec["method"].alias("method"))
+    return F.when(spec.isNotNull(), whole.cast(SPEC))
+
+
+def _nodes(functions: DataFrame, implements: DataFrame, connectors: DataFrame) -> DataFrame:
+    """cur, node: what a function is to a path that comes to it.
+
+    node has its name, the key of the callers of what it implements, its specialisation, whether
+    both are from implements (by_row; of several rows that of the least abstract symbol) or from its
+    three-part name, and whether its type is a connector.
+    """
+    spec = F.struct(
+        F.col("impl_type").alias("impl_type"), F.col("trait_name").alias("trait"), F.col("trait_args").alias("args"), F.col("method").alias("method")
+    ).cast(SPEC)
+    by_row = implements.groupBy(F.col("concrete").alias("cur")).agg(F.min_by(F.struct(F.col("abstract").alias("key"), _plain(spec).alias("spec")), "abstract").alias("row"))
+    parts = F.split("name", "#")
+    part = lambda k: F.get(parts, F.lit(k))
+    own = F.struct(part(0).alias("impl_type"), part(1).alias("trait"), F.lit(None).cast("array<string>").alias("args"), part(2).alias("method")).cast(SPEC)
+    by_name = F.when(F.size(parts) == 3, F.struct(F.concat_ws("#", F.lit(""), part(1), part(2)).alias("key"), own.alias("spec")))
+    rows = functions.select(F.col("symbol").alias("cur"), "name").join(by_row, "cur", "full").withColumn("by_row", F.col("row").isNotNull())
+    rows = rows.withColumn("n", F.when(F.col("by_row"), F.col("row")).otherwise(by_name)).withColumn("connector", F.col("n.spec.impl_type"))
+    rows = rows.join(connectors.withColumn("is_connector", F.lit(True)), "connector", "left")
+    return rows.select("cur", F.struct("name", F.col("n.key").alias("key"), F.col("n.spec").alias("spec"), "by_row", F.coalesce("is_connector", F.lit(False)).alias("is_connector")).alias("node"))
+
+
+def impact(
+    functions: DataFrame,
+    calls: DataFrame,
+    implements: DataFrame,
+    targets: DataFrame,
+    max_depth: int = 8,
+    step_a: DataFrame | None = None,
+    op_of: DataFrame | None = None,
+) -> DataFrame:
+    """Constrained reverse reachability: endpoint, target, chain (endpoint first), guards (target first), depth, impl_type, spec, infeasible.
+
+    targets (symbol, and a column seed with the specialisation to start from, if any) are searched
+    each on its own. A path carries a specialisation: type, trait, its arguments, method.
+
+    A function that implements an abstract method is also reached by that one's callers: by
+    implements, else by its own three-part name. Either locks a path that has no specialisation
+    yet (a three-part name also one that has), for its direct callers as well; if the path is locked
+    to another type and the function's own is a known connector, the function is left altogether.
+    Calls are left out whose type parameter contradicts the first trait argument, whose match arm
+    lists other connectors only, and whose caller is another connector's. A type parameter locks
+    a path that has no specialisation.
+
+    A function is gone on from once for each specialisation: of the arrivals of the earliest level
+    the first by type parameter, guard and chain. Endpoints end a path and may be reached by many.
+    With step_a (target, type), endpoints whose path is locked to a type that isn't listed for its
+    target go (targets without any row are not judged); with op_of (handler, op) also those whose
+    handler starts another operation than the connector that the path is locked to.
+
+    Each level is written; only emptiness tests reach the driver.
+    """
+    connectors = implements.where(F.col("trait_name") == CONNECTOR_TRAIT).select(F.col("impl_type").alias("connector")).where("connector <> ''").distinct()
+    nodes = written(_nodes(functions, implements, connectors), "nodes")
+    # a call brings all that is to be known of its caller, so a level is one join
+    edges = _arrivals(functions, calls, connectors).join(nodes.withColumnsRenamed({"cur": "caller", "node": "caller_node"}), "caller", "left")
     edges = written(edges, "edges")
-    bridges = implements.join(connectors.withColumn("is_connector", F.lit(True)), F.col("impl_type") == F.col("connector"), "left").select(
-        F.col("concrete").alias("cur"), "abstract", F.col("impl_type").alias("b_type"), F.col("trait_name").alias("b_trait"),
-        F.get("trait_args", F.lit(0)).alias("b_arg"), F.coalesce("is_connector", F.lit(False)).alias("is_connector"),
-    )
 
+    seed = F.col("seed").cast(SPEC) if "seed" in targets.columns else F.lit(None).cast(SPEC)
     state = targets.select(
-        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"),
-        *[F.lit(None).cast("string").alias(c) for c in ("impl_type", "trait", "arg")],
-    )
-    seen = state.select("target", "cur", F.coalesce("impl_type", F.lit("")).alias("spec"))
-    seen = written(seen, "impact-seen")
+        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"), _plain(seed).alias("spec")
+    ).join(nodes, "cur", "left")
+    spec_id = F.coalesce(F.to_json("spec"), F.lit(""))
+    seen = written(state.select("target", F.col("cur").alias("caller"), spec_id.alias("spec_id")).distinct(), "impact-seen")
     hits: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        over = state.join(bridges, "cur")
-        clash = F.col("impl_type").isNotNull() & F.col("is_connector") & (F.col("b_type") != F.col("impl_type"))
-        over = over.where(~clash).select(
-            "target", F.col("abstract").alias("via"), "cur", "chain", "guards",
-            F.coalesce("impl_type", "b_type").alias("impl_type"),
-            F.when(F.col("impl_type").isNull(), F.col("b_trait")).otherwise(F.col("trait")).alias("trait"),
-            F.when(F.col("impl_type").isNull(), F.col("b_arg")).otherwise(F.col("arg")).alias("arg"),
-        )
-        starts = state.withColumn("via", F.col("cur")).unionByName(over)
-        step = starts.join(edges, starts["via"] == edges["callee"])
-        param, arm = F.col("type_param"), F.col("match_arm")
-        other_param = param.isNotNull() & (param != "_") & (F.length("arg") > 2) & (param != F.col("arg"))
+        held, n = F.col("spec.impl_type"), F.col("node")
+        left = (held != "") & n["is_connector"] & (n["spec"]["impl_type"] != held)
+        at = state.where(~F.coalesce(left, F.lit(False)))
+        spec = F.when(n["spec"].isNull(), F.col("spec")).when(n["by_row"], F.coalesce(F.col("spec"), n["spec"])).otherwise(n["spec"])
+        at = at.withColumn("spec", spec).withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array("cur", n["key"])))))
+        step = at.join(edges, "key")
+        param, arm, arg = F.col("type_param"), F.lower(F.trim("match_arm")), F.get("spec.args", F.lit(0))
+        other_param = (param != "_") & (F.length(arg) > 2) & (param != arg)
         step = step.where(~F.coalesce(other_param, F.lit(False)))
-        locked = F.coalesce(F.col("impl_type"), param)
-        step = step.withColumn("locked", locked)
-        listed = (F.col("guard_type") == "match") & F.contains(F.lower(arm), F.lit("connector::")) & ~arm.isin("_", "..")
-        other_arm = listed & F.col("locked").isNotNull() & ~F.array_contains(_variants(arm), F.lower("locked"))
-        other_own = F.col("own_known") & F.col("locked").isNotNull() & (F.col("own_type") != F.col("locked"))
+        from_param = F.struct(param.alias("impl_type"), *[F.lit(None).cast(t).alias(c) for c, t in (("trait", "string"), ("args", "array<string>"), ("method", "string"))]).cast(SPEC)
+        step = step.withColumn("spec", F.when(F.col("spec").isNull() & param.isNotNull(), from_param).otherwise(F.col("spec")))
+        locked = F.when(F.col("spec.impl_type") != "", F.col("spec.impl_type"))
+        listed = (F.col("guard_type") == "match") & F.contains(arm, F.lit("connector::")) & (F.size(variants(F.col("match_arm"))) > 0)
+        other_arm = listed & ~F.array_contains(variants(F.col("match_arm")), F.lower(locked))
+        other_own = F.col("own") != locked
         step = step.where(~F.coalesce(other_arm, F.lit(False)) & ~F.coalesce(other_own, F.lit(False)))
-        guard = F.struct(F.concat_ws(" -> ", "caller", "cur").alias("at_hop"), F.col("guard_type").alias("guard_type"), F.col("guard_condition").alias("condition"))
+        hop = F.concat_ws(" → ", "caller_name", F.coalesce(n["name"], "cur"))
+        guard = F.struct(hop.alias("at_hop"), F.col("guard_type").alias("guard_type"), F.coalesce("guard_condition", F.lit("")).alias("condition"))
         step = step.select(
-            "target", F.col("caller").alias("cur"), F.array_prepend("chain", F.col("caller")).alias("chain"),
+            "target", "caller", F.array_prepend("chain", F.col("caller")).alias("chain"),
             F.when(F.col("guard_type").isNotNull(), F.array_append("guards", guard)).otherwise(F.col("guards")).alias("guards"),
-            F.col("locked").alias("impl_type"), "trait", "arg", "is_endpoint", F.coalesce("type_param", F.lit("")).alias("o1"), F.coalesce("guard_type", F.lit("")).alias("o2"),
+            "spec", spec_id.alias("spec_id"), "is_endpoint", "caller_node", F.coalesce("type_param", F.lit("")).alias("o1"), F.coalesce("guard_type", F.lit("")).alias("o2"),
         )
-        step = written(step, "impact-level")
-        hits.append(step.where("is_endpoint").select("target", F.col("cur").alias("endpoint"), "chain", "guards", F.lit(depth).alias("depth"), "impl_type"))
-        spec = F.coalesce("impl_type", F.lit(""))
-        first = F.min_by(F.struct("chain", "guards", "impl_type", "trait", "arg"), F.struct("o1", "o2", F.array_join("chain", ">").alias("o3")))
-        inner = step.where("NOT is_endpoint").groupBy("target", "cur", spec.alias("spec")).agg(first.alias("s"))
-        inner = written(inner.join(seen, ["target", "cur", "spec"], "left_anti"), "impact-frontier")
+        step = written(step.join(seen, ["target", "caller", "spec_id"], "left_anti"), "impact-level")
+        hits.append(step.where("is_endpoint").select("target", F.col("caller").alias("endpoint"), "chain", "guards", F.lit(depth).alias("depth"), "spec"))
+        first = F.min_by(F.struct("chain", "guards", "spec", "caller_node"), F.struct("o1", "o2", F.array_join("chain", ">").alias("o3")))
+        inner = written(step.where("NOT is_endpoint").groupBy("target", "caller", "spec_id").agg(first.alias("s")), "impact-frontier")
         if inner.isEmpty():
             break
-        seen = seen.unionByName(inner.select("target", "cur", "spec"))
-        state = inner.select("target", "cur", "s.chain", "s.guards", "s.impl_type", "s.trait", "s.arg")
+        seen = seen.unionByName(inner.select("target", "caller", "spec_id"))
+        state = inner.select("target", F.col("caller").alias("cur"), "s.chain", "s.guards", "s.spec", F.col("s.caller_node").alias("node"))
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)
-    from tidemark.operators.graph import infeasible
-
-    return out.withColumn("infeasible", infeasible(F.col("guards")))
+    out = out.withColumn("impl_type", F.col("spec.impl_type"))
+    if step_a is not None:
+        found = step_a.groupBy("target").agg(F.collect_set("type").alias("types"))
+        out = out.join(found, "target", "left").where("impl_type IS NULL OR types IS NULL OR array_contains(types, impl_type)")
+        if op_of is not None:
+            ops = op_of.groupBy(F.col("handler").alias("endpoint")).agg(F.min("op").alias("op"))
+            out = out.join(ops, "endpoint", "left").join(connectors.withColumnRenamed("connector", "impl_type").withColumn("known", F.lit(True)), "impl_type", "left")
+            out = out.where("types IS NULL OR impl_type IS NULL OR known IS NULL OR op IS NULL OR op = impl_type")
+    return out.select("target", "endpoint", "chain", "guards", "depth", "impl_type", spec_text(F.col("spec")).alias("spec"), infeasible(F.col("guards")).alias("infeasible"))
+
+
+def seeds(functions: DataFrame, places: DataFrame) -> DataFrame:
+    """places (file, line) with the function that starts there or last before it and, as seed, what it implements.
+
+    functions needs impl_type, impl_trait, impl_trait_args (comma-joined) and impl_method beside
+    symbol, file and def_line. A place before the first function of its file has no row.
+    """
+    bare = lambda c: F.ltrim(c, F.lit("/"))
+    defs = functions.withColumn("file", bare(F.col("file")))
+    found = enclosing(defs.select("file", "def_line", "symbol"), places.select(bare(F.col("file")).alias("file"), "line")).where("def_symbol IS NOT NULL")
+    args = F.filter(F.transform(F.split("impl_trait_args", ","), lambda x: F.trim(x)), lambda x: x != "")
+    spec = F.struct(F.col("impl_type").alias("impl_type"), F.col("impl_trait").alias("trait"), args.alias("args"), F.col("impl_method").alias("method")).cast(SPEC)
+    known = (F.col("impl_type") != "") | (F.col("impl_trait") != "")
+    own = defs.select("symbol", F.when(known, spec).alias("seed"))
+    return found.withColumnRenamed("def_symbol", "symbol").join(own, "symbol").select("file", "line", "symbol", "seed")
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two specialisations may be the same one: no part that both have differs."""
+    clash = F.lit(False)
+    for part in ("impl_type", "trait", "method"):
+        clash = clash | F.coalesce((a[part] != "") & (b[part] != "") & (a[part] != b[part]), F.lit(False))
+    return ~(clash | F.coalesce((F.size(a["args"]) > 0) & (F.size(b["args"]) > 0) & (a["args"] != b["args"]), F.lit(False)))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two compatible specialisations as one: each part of the first, else of the second."""
+    args = F.when(F.size(a["args"]) > 0, a["args"]).otherwise(b["args"])
+    parts = [F.coalesce(F.when(a[p] != "", a[p]), b[p]).alias(p) for p in ("impl_type", "trait")]
+    return F.struct(*parts, args.alias("args"), F.coalesce(F.when(a["method"] != "", a["method"]), b["method"]).alias("method")).cast(SPEC)
+
+
+def spec_json(spec: Column, is_connector: Column) -> Column:
+    """A specialisation as JSON: its type under connector if it is one, under impl_type else; nulls stay out."""
+    name = spec["impl_type"]
+    return F.to_json(F.struct(
+        F.when(is_connector, name).alias("connector"), F.when(~is_connector, name).alias("impl_type"), spec["trait"].alias("trait"),
+        F.coalesce(spec["args"], F.array().cast("array<string>")).alias("trait_args"), spec["method"].alias("method"), spec_text(spec).alias("specialization_key"),
+    ))
 
 
 def gate(endpoints: DataFrame, gates: DataFrame, gated: list[str], op_of: DataFrame) -> DataFrame:
