@@ -95,15 +95,37 @@ CONFIG = """export const connectorDetails = { card_pm: { Capture: { Request: { a
 
 
 def test_js():
-    ((flow, block, status, fields, has),) = js.flow_configs(CONFIG)
-    assert (flow, status, fields, has) == ("Capture", 200, {"amount_to_capture": "100", "currency": '"EUR"'}, True) and block.startswith("{ Request")
+    ((flow, block, status, fields, has, over),) = js.flow_configs(CONFIG)
+    assert (flow, status, fields, has, over) == ("Capture", 200, {"amount_to_capture": "100", "currency": '"EUR"'}, True, False) and block.startswith("{ Request")
     lists = 'const CONNECTOR_LISTS = { INCLUDE: { A: ["x", // no "y"\n "z"] }, EXCLUDE: { B_C: [] , D: ["q",] } }'
-    assert list(js.connector_lists(lists)) == [("INCLUDE.A", "x"), ("INCLUDE.A", "z"), ("EXCLUDE.D", "q")]
+    assert list(js.connector_lists(lists)) == [("INCLUDE.A", 0, "x"), ("INCLUDE.A", 1, "z"), ("EXCLUDE.B_C", -1, None), ("EXCLUDE.D", 0, "q")]
     spec = 'describe("s", () => {\n it("one", f)\n xit(`two`, f)\n cy.incrementalAuthCallTest(x)["Refund"]["Nope"]\n})\nimport "../a"'
     assert list(js.tests(spec)) == [("one", 2, False), ("two", 3, True)] and js.suites(spec) == ["s"] and js.imports(spec) == ["../a"]
     assert js.flows_of(spec, frozenset(("Refund",)), [("incrementalauth", "Incremental"), ("auth", "Other")]) == ["Incremental", "Refund"]
-    assert js.allow('A: ["b"]', "A", "a") == js.allow(js.allow('A: ["b"]', "A", "a"), "A", "a") == 'A: ["a", "b"]'
-    assert js.insert_after("x = {\n  A: { y: 1 },\n}", "A", "B: { z: 2 },") == "x = {\n  A: { y: 1 },\n  B: { z: 2 },\n}" and js.insert_after("x", "A", "B") == "x"
+    once = js.allow('x = {A: ["b"]}', "INCLUDE.A", "a")
+    assert once == ('x = {A: ["a", "b"]}', True) == js.allow(once[0], "A", "a") and js.allow("x = {}", "A", "a") == ("x = {}", False)
+    assert js.insert_after("x = {\n  A: { y: 1 },\n}", "A", "  B: { z: 2 },") == ("x = {\n  A: { y: 1 },\n  B: { z: 2 },\n}", True)
+    assert js.insert_after("x = { card_pm: { C: {} } }", "A", "B: {},") == ("x = { card_pm: { C: {},\nB: {},\n  } }", True) and js.insert_after("x", "A", "B") == ("x", False)
+    assert js.last_flow(CONFIG) == "Capture" and js.last_flow("x") is None
+
+
+def test_js_strings_and_comments():
+    """Braces, keys and tests in strings and comments are none."""
+    text = """/* connectorDetails = { */ export const connectorDetails = { // {
+      Auto: { Request: { note: "}", /* x: 1 */ call: fn({ c: 3 }), list: [1, 2] }, Response: { body: { status: "ok", t: `{` }, status: 201 } },
+      // Dead: { Request: {}, Response: {} },
+      Last: { Configs: {}, Request: {}, Response: {} } }"""
+    found = {f: (s, r) for f, _, s, r, *_ in js.flow_configs(text)}
+    assert found == {"Auto": (201, {"note": '"}"', "call": "fn({ c: 3 })", "c": "3", "list": "[1, 2]"}), "Last": (None, {})}
+    assert js.last_flow(text) == "Last" and js.insert_after(text, "Auto", "New: {},")[0].index("New") > text.index("201")
+    assert list(js.tests('// it("no")\nit(\n  "three) {", f); it(\'single\'); "it(`x`)"; fit("a")')) == [("three) {", 2, False)]
+
+
+def test_js_answers():
+    said = "Sure.\n<new_flow_block>\nA: {\n  x: 1 }\n</new_flow_block> <file path='a/b.cy.js'>it</file><allowlist_update connector=\"adyen\" list=\"INCLUDE.A\" />"
+    assert js.new_block(said) == "A: {\n  x: 1 }" and js.new_file(said) == ("a/b.cy.js", "it") and js.new_allowance(said) == ("adyen", "INCLUDE.A")
+    assert (js.new_block("x"), js.new_file("<file>x</file>"), js.new_allowance("<allowlist_update list='A'/>")) == (None, None, None)
+    assert js.settled("A: {\n}") == "    A: {\n    }," and js.settled("  A: 1,") == "  A: 1,"
 
 
 LOG = """  ✓ works (12ms)
@@ -123,16 +145,35 @@ LOG = """  ✓ works (12ms)
 
 
 def test_run_logs(spark):
-    ((passing, failing, took, passed, good, bad, errors, ids),) = run_logs.summary(LOG)
-    assert (passing, failing, took, passed, good, bad, ids) == (2, 1, 83000, False, ["works"], ["fails here"], ["abc-1"])
-    assert errors == ["Error: expected 1 | second line"] and run_logs.bodies(LOG) == ['{"a": {"b": 1}}']
-    assert [run_logs.milliseconds(x) for x in ("8s", "1m 2s", "350ms", "x")] == [8000, 62000, 350, 0] and run_logs.first_object('```json\n{"x": 1}\n``` and') == '{"x": 1}'
-    run = "Running: a.cy.js\n STEP: pay\n (Results)\n Tests: 2\n Passing: 1\n Failing: -\n Duration: 3 seconds\nRunning: b.cy.js\n (Results)\n Failing: 1\n"
-    assert [(s[0], s[1], s[5], s[7]) for s in run_logs.segments(run)] == [("a.cy.js", 2, "ok", ["pay"]), ("b.cy.js", 0, "failed", [])]
-    rows = files.parsed(frame(spark, l=LOG), run_logs.summary, "passing int, failing int, ms int, passed boolean, good array<string>, bad array<string>, errors array<string>, ids array<string>")
-    assert rows.first().ids == ["abc-1"]
-    times = spark.createDataFrame([("8s",), ("1m 23s",), ("350ms",), ("soon",), ("",)], "t string").select(R.duration_ms(F.col("t")).alias("ms"))
-    assert [r.ms for r in times.collect()] == [8000, 83000, 350, 0, 0]
+    assert run_logs.bodies(LOG) == ['{"a": {"b": 1}}'] and run_logs.first_object('```json\n{"x": 1}\n``` and') == '{"x": 1}'
+    assert json.loads(run_logs.first_object('verdict: FALSE_POSITIVE, "reason": "why not"')) == {"verdict": "FALSE_POSITIVE", "reason": "why not"} and run_logs.first_object("no") is None
+    assert run_logs.bodies('x {"a": {"b": [1]}' + " {" * 50_000 + ' {"c": 2}') == ['{"b": [1]}', '{"c": 2}']  # unclosed braces are no work
+    run = "Running: a.cy.js\n STEP: pay\n status_code: 404\n (Results)\n Tests: 2\n Passing: 1\n Failing: -\n Duration: 3 seconds\nRunning: b.cy.js\n  1) breaks\n (Results)\n Failing: 1\n"
+    assert [(s[0], s[1], s[4], s[5], s[7], s[9], s[10]) for s in run_logs.segments(run)] == [
+        ("a.cy.js", 2, "3 seconds", "ok", ["pay"], ["404"], []), ("b.cy.js", 0, "", "failed", [], [], ["breaks"])]
+    log = spark.createDataFrame([("l", k + 1, x) for k, x in enumerate(LOG.split("\n"))], "file_id string, line_no int, txt string")
+    assert [tuple(r) for r in R.failure_blocks(log).collect()] == [("l", 1, "fails here", "Error: expected 1 | second line")]
+    assert [r.test for r in R.failed_names(log).collect()] == ["suite"]
+    whole = spark.createDataFrame([("l", LOG)], "id string, txt string")
+    assert tuple(R.run_summary(whole).first()) == ("l", 2, 1, 83000, ["works"], 3) and tuple(R.test_summary(whole).first()) == ("l", 2, 1, 0, 0, 3, False)
+    assert R.error_messages(whole).first().errors == ["expected 1"]
+    times = spark.createDataFrame([("8s",), ("1m 23s",), ("350ms",), ("1.5s",), ("soon",), ("",)], "t string").select(R.duration_ms(F.col("t")).alias("ms"))
+    assert [r.ms for r in times.collect()] == [8000, 83000, 350, 1500, 0, 0]
+    ids = ["x-request-id=abc", '"x-request-id": "q1"', '"request_id": "null"', "X-Request-Id : h", '"request_id":"b"']
+    found = spark.createDataFrame([(x,) for x in ids], "t string").select(R.request_id_list(F.col("t")).alias("ids")).collect()
+    assert [r.ids for r in found] == [["abc"], ["q1"], [], ["h"], ["b"]]
+
+
+def test_listings(spark, tmp_path):
+    (tmp_path / "a folder").mkdir()
+    (tmp_path / "a folder" / "x+y 1.rs").write_text("fn a() {}")
+    assert [r.file for r in files.whole_files(spark, str(tmp_path / "a folder")).collect()] == ["x+y 1.rs"]
+    (tmp_path / "index.json").write_text("{}")
+    assert [r.tag for r in files.builds(spark, f"{tmp_path}/index.json").collect()] == ["local"]
+    paths = spark.createDataFrame([("r", "a.json"), ("r", "logs/b.log"), ("r", "logs/deep/c.log"), ("r", "target/x/y"), ("r", "target/z")], "run string, path string")
+    assert sorted(map(tuple, files.tree(paths).collect())) == [
+        ("r", "a.json", False, 0, False), ("r", "logs", True, 2, False), ("r", "logs/b.log", False, 0, False), ("r", "logs/deep", True, 1, False),
+        ("r", "logs/deep/c.log", False, 0, False), ("r", "target", True, 2, True)]
 
 
 def field(number, value):

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import delete, discard, escaped, written
+
 # The tables that each half of the data owns; a rewrite of one half leaves the other alone.
 CODE_TABLES = ("fn", "calls", "implements", "guard_span", "routes", "gate")
-TEST_TABLES = ("connector", "flow", "flow_config", "endpoint", "spec_file", "test_case", "tests_flow", "feature_list")
+TEST_TABLES = (
+    "connector", "flow", "flow_config", "supports_flow", "endpoint", "maps_to", "spec_file", "test_case", "tests_flow", "calls_endpoint", "feature_list", "in_list",
+)
 
 
 class Catalog:
@@ -22,13 +26,29 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """The whole table anew."""
-        rows.write.mode("overwrite").parquet(self.path(name))
-
-    def replace_files(self, name: str, rows: DataFrame, by: str = "source_file") -> None:
-        """Only the rows of the source files that rows speaks of: their partitions are overwritten, all others stay."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path(name))
+    def replace(self, name: str, rows: DataFrame, by: str | None = None) -> None:
+        """The whole table anew, in a folder for each value of by if given.
+
+        rows may be made from the table itself: they are written beside it first.
+        """
+        fresh = written(rows, name)
+        out = fresh.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(self.path(name))
+        discard(fresh)
+
+    def replace_files(self, name: str, rows: DataFrame, by: str = "source_file", files: DataFrame | None = None) -> None:
+        """Only the rows of some source files: those of files (a column by), or else those that rows speak of; all others stay.
+
+        A file that gives no rows any more has none afterwards.
+        """
+        fresh = written(rows, name)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path(name))
+        if files is not None:
+            held = self.spark.read.schema(f"`{by}` string").option("basePath", self.path(name)).parquet(self.path(name)).select(by).distinct()
+            empty = files.select(by).distinct().join(held, by).join(fresh.select(by).distinct(), by, "left_anti")
+            for row in empty.collect():  # at most the files that were handed in
+                delete(self.spark, f"{self.path(name)}/{by}={escaped(row[0])}")
+        discard(fresh)
 
     def save_edges(self, name: str, edges: DataFrame, nodes: DataFrame, key: str = "symbol") -> None:
         """Edges (caller, callee, ...) between known nodes only."""

@@ -6,21 +6,26 @@ executor; no shuffle is needed and the driver never sees a text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPED_FOLDERS = ("target", ".git", "node_modules")
 
 
+def file_path(column: str = "_metadata.file_path") -> Column:
+    """A file's path as it is named: Spark gives it as a URL, blanks and such as %XX."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def whole_files(spark: SparkSession, root: str, glob: str = "*.rs", skip: Iterable[str] = SKIPPED_FOLDERS) -> DataFrame:
     """file (relative to root), text of every matching file under root, without the skipped folders."""
     found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    base = "^.*" + root.rstrip("/").replace(".", r"\.").split("://")[-1] + "/"
-    out = found.select(F.regexp_replace(path, base, "").alias("file"), F.col("value").alias("text"))
+    base = "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/"
+    out = found.select(F.regexp_replace(file_path(), base, "").alias("file"), F.col("value").alias("text"))
     for folder in skip:
         out = out.where(~F.array_contains(F.split("file", "/"), folder))
     return out
@@ -53,7 +58,11 @@ def matching_lines(files: DataFrame, needle: str) -> DataFrame:
 
 
 def builds(spark: SparkSession, root: str) -> DataFrame:
-    """Tags of coverage_<tag>.json files under root, last first."""
+    """tag of coverage_<tag>.json files under root, last first. A root that is one file has one tag: its name, or local for an index."""
+    if root.endswith(".json"):
+        name = F.regexp_extract("path", r"([^/]+)[.]json$", 1)
+        found = spark.read.format("binaryFile").load(root).select("path")
+        return found.select(F.when(name == "index", "local").otherwise(name).alias("tag"))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "coverage_*.json").load(root).select("path")
     return found.select(F.regexp_extract("path", r"coverage_(.+)\.json$", 1).alias("tag")).orderBy(F.desc("tag"))
 
@@ -63,3 +72,17 @@ def runs(paths: DataFrame) -> DataFrame:
     report = F.col("name").isin("final_report.json", "coverage_run_report.json")
     out = paths.groupBy("run").agg(F.count(F.lit(1)).alias("files"), F.bool_or(report).alias("complete"))
     return out.where("complete").drop("complete").orderBy(F.desc("run"))
+
+
+def tree(paths: DataFrame, collapsed: Iterable[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """paths (run, path: of its files, relative) as what a listing shows: run, path, is_folder, files (in it, at any depth), collapsed.
+
+    Folders are shown with their files' number; of those that are collapsed nothing inside is shown.
+    """
+    parts = F.split("path", "/")
+    hidden = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: F.element_at(parts, k).isin(*collapsed) & (k < F.size(parts)))
+    rows = paths.select("run", parts.alias("parts"), F.get(hidden, F.lit(0)).alias("cut"))
+    upto = F.explode(F.sequence(F.lit(1), F.coalesce("cut", F.size("parts")))).alias("depth")
+    rows = rows.select("run", "parts", "cut", upto)
+    shown = rows.select("run", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("path"), (F.col("depth") < F.size("parts")).alias("is_folder"), (F.col("depth") == F.col("cut")).alias("collapsed"))
+    return shown.groupBy("run", "path").agg(F.bool_or("is_folder").alias("is_folder"), F.count_if("is_folder").alias("files"), F.coalesce(F.bool_or("collapsed"), F.lit(False)).alias("collapsed"))

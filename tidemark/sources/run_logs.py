@@ -1,4 +1,4 @@
-"""Terminal output of test runs: counters, failures, request ids, response bodies, one row per run."""
+"""Terminal output of test runs: what needs a whole text at once; counters and failures are in operators.report."""
 
 from __future__ import annotations
 
@@ -7,89 +7,71 @@ import re
 from collections.abc import Iterator
 
 
-def milliseconds(text: str) -> int:
-    """'8s', '1.5s', '1m 23s' or '1234ms'; 0 for anything else."""
-    if m := re.match(r"\s*(\d+)m\s*(\d+)s", text):
-        return (int(m[1]) * 60 + int(m[2])) * 1000
-    if m := re.match(r"\s*(\d+)ms", text):
-        return int(m[1])
-    if m := re.match(r"\s*([\d.]+)s", text):
-        return int(float(m[1]) * 1000)
-    return 0
-
-
 def number(text: str | None) -> int:
     """A count in a results table; '-' and nothing are 0."""
     return int(text) if text and text.isdigit() else 0
 
 
-def failures(text: str) -> list[tuple[str, str]]:
-    """(test, first three error lines) of the numbered failure blocks after 'N failing'."""
-    m = re.search(r"\d+\s+failing[^\n]*\n", text)
-    out = []
-    for block in re.split(r"\n\s{2,}\d+\)", "\n" + text[m.end() :])[1:] if m else []:
-        rows = [r.strip() for r in block.splitlines() if r.strip()]
-        head = next((k for k, r in enumerate(rows) if r.endswith(":") and not r.startswith("at ")), None)
-        if head is None:
-            continue
-        errors = []
-        for r in rows[head + 1 :]:
-            if r.startswith("at ") and "(" in r:
-                break
-            if not r.startswith(("+ expected", "- actual")):
-                errors.append(r)
-        out.append((rows[head].rstrip(":"), " | ".join(errors[:3])))
+def _closed(text: str) -> set[int]:
+    """Positions of the braces that are closed somewhere."""
+    open_at, out = [], set()
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            open_at.append(m.start())
+        elif open_at:
+            out.add(open_at.pop())
     return out
 
 
 def bodies(text: str) -> list[str]:
-    """JSON objects that stand in a log, whole, one-line ones too."""
-    out, k, decoder = [], 0, json.JSONDecoder()
-    while (k := text.find("{", k)) >= 0:
+    """JSON objects that stand in a log, whole, one-line ones too. Braces that are never closed aren't tried."""
+    out, stop, decoder = [], 0, json.JSONDecoder()
+    for at in sorted(_closed(text)):
+        if at < stop:
+            continue
         try:
-            _, end = decoder.raw_decode(text, k)
-            out.append(text[k:end])
-            k = end
-        except ValueError:
-            k += 1
+            _, stop = decoder.raw_decode(text, at)
+            out.append(text[at:stop])
+        except (ValueError, RecursionError):
+            pass
     return out
 
 
-def first_object(text: str) -> str | None:
-    """The first JSON object in an answer that may be fenced or surrounded by prose."""
+def first_object(text: str, fields: tuple[str, ...] = ("verdict", "reason")) -> str | None:
+    """The first JSON object in an answer that may be fenced or surrounded by prose.
+
+    Where none can be read, an object of those fields that are said as "name": "value" or name: value.
+    """
     found = bodies(re.sub(r"```(?:json)?", "", text))
-    return found[0] if found else None
+    if found:
+        return found[0]
+    said = {f: m[1] or m[2] for f in fields if (m := re.search(rf'"?{f}"?\s*[:=]\s*(?:"([^"\n]*)"|([^\n,}}]+))', text))}
+    return json.dumps({k: v.strip() for k, v in said.items()}) if said else None
 
 
-def summary(text: str) -> Iterator[tuple]:
-    """One row: passing, failing, duration_ms, passed, passing_tests, failed_tests, errors, request_ids."""
-    count = lambda p: number(next(iter(re.findall(p, text)), None))
-    passing, failing = count(r"(\d+)\s+passing"), count(r"(\d+)\s+failing")
-    took = re.search(r"passing \((.+?)\)", text)
-    failed = failures(text)
-    ids = re.findall(r'(?i)x-request-id(?:\s*->|:)\s*([A-Za-z0-9_-]+)|"request_id"\s*:\s*"([^"]+)"', text)
-    yield (
-        passing, failing, milliseconds(took[1]) if took else 0, failing == 0 and passing > 0, re.findall(r"[✓✔]\s+(.+?)\s+\(\d+(?:ms|s)\)", text),
-        [f[0] for f in failed], [f[1] for f in failed], sorted({a or b for a, b in ids}),
-    )
+_SEGMENT = {
+    "request_ids": (r"x-request-id\s*->\s*([A-Za-z0-9-]+)", 100),
+    "steps": (r"STEP:\s+([^\n]+)", 100),
+    "statuses": (r"status(?:_code)?\D{0,3}(\d{3})\b", 6),
+    "failed": (r"^\s+\d+\)\s+([^\n]+)", 5),
+}
 
 
 def segments(text: str) -> Iterator[tuple]:
-    """One row per spec of a run: spec, tests, passing, failing, duration, status, request_ids, steps, messages."""
+    """One row per spec of a run: spec, tests, passing, failing, duration, status, request_ids, steps, messages, statuses, failed."""
     starts = [m for m in re.finditer(r"Running:\s+(\S+\.cy\.js)", text)]
-    for m, nxt in zip(starts, [*(s.start() for s in starts[1:]), len(text)]):
-        block = text[m.start() : nxt]
+    for m, stop in zip(starts, [*(s.start() for s in starts[1:]), len(text)]):
+        block = plain(text[m.start() : stop])
         if "(Results)" not in block:
             continue
-        field = lambda name: next(iter(re.findall(rf"{name}:\s+([0-9-]+)", block)), None)
-        passing, failing = number(field("Passing")), number(field("Failing"))
-        took = re.search(r"Duration:\s+([^\n│|]+)", block)
-        once = lambda found, k: list(dict.fromkeys(x.strip() for x in found))[:k]
+        table = dict(re.findall(r"(Tests|Passing|Failing|Duration):\s+([^\n│|]+)", block))
+        tests, passing, failing = (number((table.get(k) or "").strip()) for k in ("Tests", "Passing", "Failing"))
+        once = {k: list(dict.fromkeys(x.strip() for x in re.findall(p, block, re.MULTILINE)))[:n] for k, (p, n) in _SEGMENT.items()}
+        said = re.findall(r'"message":\s*"([^"]+)"', block) + re.findall(r"Error:\s+([^\n]+)", block)
         status = "failed" if failing else "ok" if passing else "partial"
         yield (
-            m[1], number(field("Tests")), passing, failing, took[1].strip() if took else "", status,
-            once(re.findall(r"x-request-id\s*->\s*([A-Za-z0-9-]+)", block), 100), once(re.findall(r"STEP:\s+([^\n]+)", block), 100),
-            once(re.findall(r'"message":\s*"([^"]+)"', block) + re.findall(r"Error:\s+([^\n]+)", block), 4),
+            m[1], tests, passing, failing, (table.get("Duration") or "").strip(), status, once["request_ids"], once["steps"],
+            list(dict.fromkeys(x.strip() for x in said))[:4], once["statuses"], once["failed"],
         )
 
 
