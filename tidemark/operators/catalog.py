@@ -21,30 +21,57 @@ def detect_flow(texts: DataFrame, dictionary: list[tuple[str, str]]) -> DataFram
     return texts.select("id", flow.alias("flow"))
 
 
-def grid_status(flow_config: DataFrame, in_list: DataFrame, tests_flow: DataFrame) -> DataFrame:
-    """connector, flow, status of every pair of a connector and a flow that occurs.
+def grid_status(connectors: DataFrame, flow_config: DataFrame, in_list: DataFrame, flow_list: DataFrame, tests_flow: DataFrame) -> DataFrame:
+    """connector, flow, status, allowlist_key of every pair of a connector and a flow; the grid is as large as its result.
 
-    The ladder: no configuration, excluded (counts as covered), gated by a list the connector isn't
-    in, no test, covered. Connectors come from in_list, flows from flow_config; the grid is as large
-    as its result.
+    flow_list (flow, include_key, exclude_key) says which lists a flow has, if any; flows come from
+    it, from flow_config and from tests_flow, connectors from connectors and flow_config. The
+    ladder: no configuration; in the flow's exclude list (left out on purpose: covered); the flow has
+    an include list and the connector isn't in it; no test of the flow; covered.
     """
-    listed = in_list.groupBy("connector").agg(
-        F.bool_or(F.startswith("list_key", F.lit("EXCLUDE."))).alias("excluded"), F.bool_or(F.startswith("list_key", F.lit("INCLUDE."))).alias("included")
-    )
-    grid = listed.crossJoin(flow_config.select("flow").distinct())
+    names = connectors.select("connector").union(flow_config.select("connector")).distinct()
+    flows = flow_config.select("flow").union(tests_flow.select("flow")).union(flow_list.select("flow")).distinct()
+    grid = names.crossJoin(flows)
     has_config = flow_config.select("connector", "flow").distinct().withColumn("has_config", F.lit(True))
     has_test = tests_flow.select("flow").distinct().withColumn("has_test", F.lit(True))
-    rows = grid.join(has_config, ["connector", "flow"], "left").join(has_test, "flow", "left")
+    lists = flow_list.groupBy("flow").agg(F.min("include_key").alias("include_key"), F.min("exclude_key").alias("exclude_key"))
+    keys = in_list.groupBy("connector").agg(F.collect_set("list_key").alias("keys"))
+    rows = grid.join(has_config, ["connector", "flow"], "left").join(has_test, "flow", "left").join(lists, "flow", "left").join(keys, "connector", "left")
+    listed = lambda key: F.coalesce(F.array_contains("keys", F.col(key)), F.lit(False))
+    gated_out = F.col("include_key").isNotNull() & ~listed("include_key")
     status = (
-        F.when(F.col("has_config").isNull(), "MISSING_CONFIG").when(F.col("excluded"), "COVERED").when(~F.col("included"), "NOT_IN_ALLOWLIST")
+        F.when(F.col("has_config").isNull(), "MISSING_CONFIG").when(listed("exclude_key"), "COVERED").when(gated_out, "NOT_IN_ALLOWLIST")
         .when(F.col("has_test").isNull(), "MISSING_TEST").otherwise("COVERED")
     )
-    return rows.select("connector", "flow", status.alias("status"))
+    rows = rows.withColumn("status", status)
+    return rows.select("connector", "flow", "status", F.when(F.col("status") == "NOT_IN_ALLOWLIST", F.col("include_key")).alias("allowlist_key"))
+
+
+def reference_config(flow_config: DataFrame) -> DataFrame:
+    """connector, flow, ref_connector, ref_block of every pair: the block of the first other connector that can serve as a model.
+
+    Blocks that are only a brace's content or commented out don't. The two first usable connectors
+    of a flow are found once; a connector that is the first itself gets the second. Pairs of a
+    connector without a configuration get the first: join them by flow with rank 1 (see usable_blocks).
+    """
+    first = usable_blocks(flow_config).where("pos <= 2")
+    rows = flow_config.select("connector", "flow").distinct().join(first.withColumnsRenamed({"connector": "ref_connector", "raw_block": "ref_block"}), "flow")
+    rows = rows.where("ref_connector <> connector")
+    best = F.min_by(F.struct("ref_connector", "ref_block"), "pos")
+    return rows.groupBy("connector", "flow").agg(best.alias("b")).select("connector", "flow", "b.*")
 
 
-def reference_blocks(flow_config: DataFrame, limit: int = 3, least: int = 5) -> DataFrame:
-    """Per flow the shortest usable blocks: longer than least, no comment, not a bare brace."""
-    ok = flow_config.where((F.length("raw_block") > least) & ~F.startswith("raw_block", F.lit("{")) & ~F.contains("raw_block", F.lit("//")))
+def usable_blocks(flow_config: DataFrame, comment: str = "// commenting out") -> DataFrame:
+    """flow, pos (1, 2, ... by name), connector, raw_block of the blocks that can serve as a model."""
+    ok = flow_config.where(~F.startswith("raw_block", F.lit("{")) & ~F.contains("raw_block", F.lit(comment)))
+    order = Window.partitionBy("flow").orderBy("connector")
+    return ok.select("flow", F.row_number().over(order).cast("long").alias("pos"), "connector", "raw_block")
+
+
+def reference_blocks(flow_config: DataFrame, exclude: str = "", limit: int = 3, least: int = 50, comment: str = "//") -> DataFrame:
+    """Per flow the shortest usable blocks of others than exclude: longer than least, no comment, not a bare brace."""
+    ok = flow_config.where((F.length("raw_block") > least) & ~F.startswith("raw_block", F.lit("{")) & ~F.contains("raw_block", F.lit(comment)))
+    ok = ok.where(F.col("connector") != exclude)
     order = Window.partitionBy("flow").orderBy(F.length("raw_block"), "connector")
     return ok.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= limit).select("flow", "pos", "connector", "raw_block")
 
@@ -140,6 +167,11 @@ def longest_prefix(paths: DataFrame, groups: list[tuple[str, str]]) -> DataFrame
     return paths.select("path", group.alias("group"))
 
 
+def safe_path(path: Column) -> Column:
+    """Whether a proposed file's path stays inside the repository."""
+    return ~(F.startswith(path, F.lit("/")) | F.contains(path, F.lit("..")))
+
+
 def similar_spec(spec_path: DataFrame, part: str = "/payments") -> DataFrame:
     """One row: the least spec that calls an endpoint with part in its path."""
     return spec_path.where(F.contains("path", F.lit(part))).agg(F.min("spec_file").alias("spec_file"))

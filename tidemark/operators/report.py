@@ -8,15 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Markers that turn into findings, in the order in which they are reported.
+# What an error's text or a failed test's name says (lower case), and the finding it makes, in the order of the findings.
 FAILURE_RULES = (
-    ("timeout", ("timed out", "timeout"), "A request or the test ran out of time"),
-    ("auth", ("401", "unauthorized"), "Credentials were refused"),
-    ("not_found", ("404", "not found"), "An entity was not found"),
-    ("server", ("500", "internal server"), "The service failed"),
-    ("assertion", ("expected", "assert"), "An assertion did not hold"),
+    (("/accounts", "unrecognized request url"), (), 'Account setup is failing because the backend returns "Unrecognized request URL" for /accounts.'),
+    (("api key create call failed",), (), "API key creation is failing after account setup, so test setup does not complete."),
+    (
+        ("connector create call failed",), ("connector account create",),
+        "Connector account creation is also failing, so the connector is not ready for the payment flow.",
+    ),
+    (("client_secret",), (), "Payment steps later fail because the responses do not include the expected client secret."),
+    (("expecting valid response",), (), "Some Cypress checks are receiving error responses where a successful API response was expected."),
 )
-ERROR_MARKERS = ("IR_04", "panicked at")
+# What a log line says if the request was refused, and the code and message that stand for it.
+ERROR_CODE, ERROR_MESSAGE = "IR_04", "Missing required param: Authorization"
+METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 #: Header lines a definition is scored by, and what a hint there is worth against distance.
 HEADER, HINT, BASE = 12, 100, 200
 
@@ -48,26 +53,72 @@ def line_hits(spans: DataFrame, lcov: DataFrame) -> DataFrame:
 
 
 def status_code(txt: Column) -> Column:
-    return F.try_to_number(F.regexp_extract(txt, r"status_code\D{0,3}(\d{3})", 1), F.lit("999")).cast("long")
+    return F.try_to_number(F.regexp_extract(txt, r"status_code\D*(\d{3})", 1), F.lit("999")).cast("long")
 
 
 def last_status(log: DataFrame) -> DataFrame:
-    """file_id, status (of the last line that has one), has_error (a marker anywhere), lines."""
-    marked = F.lit(False)
-    for m in ERROR_MARKERS:
-        marked = marked | F.contains("txt", F.lit(m))
-    rows = log.select("file_id", "line_no", status_code(F.col("txt")).alias("status"), marked.alias("marked"))
+    """file_id, status (of the last line that has one), error_code, error_message, has_error, lines."""
+    rows = log.select("file_id", "line_no", status_code(F.col("txt")).alias("status"), "txt")
     last = F.max_by("status", F.when(F.col("status").isNotNull(), F.col("line_no")))
-    return rows.groupBy("file_id").agg(last.alias("status"), F.bool_or("marked").alias("has_error"), F.count(F.lit(1)).alias("lines"))
+    said = lambda x: F.when(F.bool_or(F.contains("txt", F.lit(x))), F.lit(x))
+    out = rows.groupBy("file_id").agg(last.alias("status"), said(ERROR_CODE).alias("error_code"), said(ERROR_MESSAGE).alias("error_message"), F.count(F.lit(1)).alias("lines"))
+    has = F.col("error_code").isNotNull() | F.col("error_message").isNotNull()
+    return out.select("file_id", "status", "error_code", "error_message", has.alias("has_error"), "lines")
+
+
+def first_of(rows: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """id and, as an array called name, column of the first n rows (id, ord, column) by ord."""
+    order = Window.partitionBy("id").orderBy("ord")
+    few = rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)
+    return few.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", column))), lambda x: x[column]).alias(name))
+
+
+def failure_summary(runs: DataFrame, errors: DataFrame, failed: DataFrame) -> DataFrame:
+    """runs (id, failing) with findings and a summary, from errors (id, ord, error) and failed tests (id, ord, test).
+
+    Each rule gives its finding once, in the rules' order, and the summary is all of them. Where none
+    fits, the first error speaks for the run, then its first failed tests, then the number alone.
+    """
+    holds = lambda column, marks: F.bool_or(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.lower(column), m)))
+    by_error = errors.groupBy("id").agg(*[holds("error", e).alias(f"e{k}") for k, (e, _, _) in enumerate(FAILURE_RULES)])
+    named = [(k, t) for k, (_, t, _) in enumerate(FAILURE_RULES) if t]
+    by_test = failed.groupBy("id").agg(*[holds("test", t).alias(f"t{k}") for k, t in named])
+    rows = runs.select("id", "failing").join(by_error, "id", "left").join(by_test, "id", "left")
+    rows = rows.join(first_of(errors, "error", 3, "errors"), "id", "left").join(first_of(failed, "test", 3, "tests"), "id", "left")
+    tests = {k for k, _ in named}
+    fits = [F.coalesce(F.col(f"e{k}"), F.lit(False)) | (F.coalesce(F.col(f"t{k}"), F.lit(False)) if k in tests else F.lit(False)) for k in range(len(FAILURE_RULES))]
+    ruled = F.array_compact(F.array(*[F.when(fit, F.lit(why)) for fit, (_, _, why) in zip(fits, FAILURE_RULES)]))
+    findings = F.when(F.size(ruled) > 0, ruled).otherwise(F.coalesce("errors", "tests", F.array().cast("array<string>")))
+    count = F.concat(F.lit("Cypress reported "), F.col("failing"), F.lit(" failing test(s)"))
+    summary = (
+        F.when(F.size(ruled) > 0, F.array_join(ruled, " "))
+        .when(F.col("errors").isNotNull(), F.concat(count, F.lit(". The first captured error was: "), F.get("errors", F.lit(0))))
+        .when(F.col("tests").isNotNull(), F.concat(count, F.lit(", including: "), F.array_join("tests", ", "), F.lit(".")))
+        .otherwise(F.concat(count, F.lit(", but no detailed failure text was captured.")))
+    )
+    return rows.select("id", summary.alias("summary"), findings.alias("findings"))
+
+
+def test_errors(runs: DataFrame, errors: DataFrame, failed: DataFrame) -> DataFrame:
+    """runs (id, passing, failing) that failed and say why, with their first five failed tests and three errors."""
+    rows = runs.where("NOT (failing = 0 AND passing > 0)").join(first_of(failed, "test", 5, "failed_tests"), "id", "left").join(first_of(errors, "error", 3, "errors"), "id", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.where("failed_tests IS NOT NULL OR errors IS NOT NULL")
+    return rows.select("id", F.coalesce("failed_tests", none).alias("failed_tests"), F.coalesce("errors", none).alias("errors"), F.col("passing").alias("passing_count"), F.col("failing").alias("failing_count"))
+
 
+def flow_info(documents: DataFrame) -> DataFrame:
+    """documents (id, changed_function, endpoints, flows) as what a report says of them: the first endpoint, the first flow, its target.
 
-def failure_rules(log: DataFrame) -> DataFrame:
-    """file_id, rule, reason: each rule once whose marker any line of the file holds."""
-    rules = F.array(*[
-        F.when(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.lower("txt"), m)), F.struct(F.lit(name).alias("rule"), F.lit(why).alias("reason")))
-        for name, marks, why in FAILURE_RULES
-    ])
-    return log.select("file_id", F.explode(F.array_compact(rules)).alias("r")).select("file_id", "r.rule", "r.reason").distinct()
+    endpoints: array of (method, path, handler); flows: array of (flow_id, description, chain of (role, function)).
+    """
+    end, flow = F.get("endpoints", F.lit(0)), F.get("flows", F.lit(0))
+    target = F.get(F.filter(flow["chain"], lambda s: s["role"] == "target"), F.lit(0))["function"]
+    return documents.select(
+        "id", F.coalesce(end["method"], F.lit("UNKNOWN")).alias("method"), F.coalesce(end["path"], F.lit("UNKNOWN")).alias("endpoint"),
+        F.coalesce(end["handler"], F.lit("")).alias("handler"), F.coalesce("changed_function", F.lit("")).alias("changed_function"), target.alias("target_leaf"),
+        F.coalesce(flow["description"], F.lit("")).alias("description"), F.coalesce(flow["flow_id"].cast("string"), F.lit("?")).alias("flow_id"),
+    )
 
 
 def root_cause(facts: DataFrame) -> DataFrame:
@@ -78,28 +129,102 @@ def root_cause(facts: DataFrame) -> DataFrame:
     return facts.withColumn("verdict", verdict)
 
 
+# The spellings of a request's id: a header, a header in JSON, a field of a body.
+REQUEST_ID = (r"(?i)x-request-id\s*[:=]\s*([a-zA-Z0-9_-]+)", r'(?i)"x-request-id"\s*:\s*"([^"]+)"', r'"request_id"\s*:\s*"([^"]+)"')
+
+
+def request_id_list(text: Column) -> Column:
+    """The distinct request ids in a text, sorted; a body's "null" is none."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in REQUEST_ID]
+    found[2] = F.filter(found[2], lambda x: x != "null")
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
 def request_ids(log: DataFrame) -> DataFrame:
-    """file_id, ids: distinct request ids of any of the three spellings, sorted."""
-    found = F.concat(*[
-        F.regexp_extract_all("txt", F.lit(p), F.lit(1))
-        for p in (r"(?i)x-request-id:\s*([A-Za-z0-9_-]+)", r'(?i)"request_id"\s*:\s*"([^"]+)"', r"(?i)request_id=([A-Za-z0-9_-]+)")
-    ])
-    ids = log.select("file_id", F.explode(found).alias("rid")).distinct()
+    """file_id, ids: distinct request ids of any spelling, sorted."""
+    ids = log.select("file_id", F.explode(request_id_list(F.col("txt"))).alias("rid")).distinct()
     return ids.groupBy("file_id").agg(F.array_sort(F.collect_list("rid")).alias("ids"))
 
 
 def duration_ms(text: Column) -> Column:
-    """'1m 23s', '8s', '350ms' in milliseconds; 0 for anything else."""
-    part = lambda p: F.coalesce(F.try_to_number(F.regexp_extract(text, p, 1), F.lit("999999999")).cast("long"), F.lit(0))
-    ok = text.rlike(r"^\s*(\d+m\s*)?(\d+s)?\s*(\d+ms)?\s*$")
-    return F.when(ok, part(r"(\d+)m(?!s)") * 60000 + part(r"(\d+)s") * 1000 + part(r"(\d+)ms")).otherwise(F.lit(0)).cast("long")
+    """'1m 23s', '8s', '1.5s', '350ms' in milliseconds; 0 for anything else."""
+    part = lambda p: F.try_to_number(F.regexp_extract(text, p, 1), F.lit("999999999.999999")).cast("double")
+    minutes = part(r"^\s*(\d+)m\s*\d+s") * 60000 + part(r"^\s*\d+m\s*(\d+)s") * 1000
+    ms = F.when(F.contains(text, F.lit("ms")), F.coalesce(part(r"^\s*(\d+)ms"), F.lit(0.0)))
+    return F.coalesce(minutes, ms, part(r"^\s*(\d+(?:[.]\d+)?)s") * 1000, F.lit(0.0)).cast("long")
+
+
+def _count(what: str) -> Column:
+    return F.coalesce(F.try_to_number(F.regexp_extract("txt", rf"(\d+)\s+{what}", 1), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
 
 
 def test_summary(texts: DataFrame) -> DataFrame:
-    """texts (id, txt) with passing, failing, duration_ms and whether the run passed."""
-    n = lambda p: F.coalesce(F.try_to_number(F.regexp_extract("txt", p, 1), F.lit("999999")).cast("long"), F.lit(0).cast("long"))
-    out = texts.select("id", n(r"(\d+) passing").alias("passing"), n(r"(\d+) failing").alias("failing"), duration_ms(F.regexp_extract("txt", r"passing \(([^)]*)\)", 1)).alias("duration_ms"))
-    return out.withColumn("passed", (F.col("failing") == 0) & (F.col("passing") > 0))
+    """texts (id, txt) with passing, failing, pending, total, duration_ms (of whole seconds or milliseconds only) and whether the run passed."""
+    took = r"passing\s*\((\d+)(ms|s)\)"
+    number = F.try_to_number(F.regexp_extract("txt", took, 1), F.lit("999999999")).cast("long")
+    duration = F.when(F.regexp_extract("txt", took, 2) == "s", number * 1000).otherwise(F.coalesce(number, F.lit(0)))
+    out = texts.select("id", _count("passing").alias("passing"), _count("failing").alias("failing"), _count("pending").alias("pending"), duration.alias("duration_ms"))
+    total = F.col("passing") + F.col("failing") + F.col("pending")
+    return out.withColumns({"total": total, "passed": (F.col("failing") == 0) & (F.col("passing") > 0)})
+
+
+def run_summary(texts: DataFrame) -> DataFrame:
+    """texts (id, txt) with passing, failing, total, duration_ms and passing_tests, the names after a tick."""
+    took = duration_ms(F.regexp_extract("txt", r"passing \((.+?)\)", 1))
+    ticked = F.regexp_extract_all("txt", F.lit(r"[✓✔]\s+(.+?)\s+\(\d+(?:ms|s)\)"), F.lit(1))
+    out = texts.select("id", _count("passing").alias("passing"), _count("failing").alias("failing"), took.alias("duration_ms"), ticked.alias("passing_tests"))
+    return out.withColumn("total", F.col("passing") + F.col("failing"))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def failed_names(log: DataFrame) -> DataFrame:
+    """file_id, line_no, test: the numbered lines after a file's first line that says how many are failing."""
+    first = log.where(F.col("txt").rlike(r"^\s*\d+\s+failing")).groupBy("file_id").agg(F.min("line_no").alias("first"))
+    rows = log.where(F.col("txt").rlike(r"^\s+\d+\)\s*.")).join(first, "file_id").where("line_no > first")
+    named = rows.select("file_id", "line_no", _bare(F.regexp_replace("txt", r"^\s+\d+\)\s*", "")).alias("test"))
+    return named.where("test <> ''")
+
+
+def failure_blocks(log: DataFrame) -> DataFrame:
+    """file_id, block, test, error: every numbered block after the failing count, with its first three error lines.
+
+    Each line is classed once, and running sums say which block it belongs to: a numbered line
+    starts a block, the first line that ends in a colon names its test, what follows are errors up
+    to the first line of a stack trace, but for the legend of a comparison.
+    """
+    bare = _bare(F.col("txt"))
+    first = log.where(F.col("txt").rlike(r"\d+\s+failing\s*$")).groupBy("file_id").agg(F.min("line_no").alias("first"))
+    starts = F.col("txt").rlike(r"^\s{2,}\d+\)")
+    rows = log.join(first, "file_id").where("line_no > first").withColumn("starts", starts)
+    rows = rows.withColumn("row", F.when(F.col("starts"), _bare(F.regexp_replace("txt", r"^\s+\d+\)", ""))).otherwise(bare)).where("row <> '' OR starts")
+    upto = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(upto)).where("block > 0 AND row <> ''")
+    rows = rows.withColumn("trace", F.startswith("row", F.lit("at "))).withColumn("heads", F.endswith("row", F.lit(":")) & ~F.col("trace"))
+    inside = Window.partitionBy("file_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("headed", F.coalesce(F.max(F.col("heads").cast("int")).over(inside), F.lit(0)) == 1)
+    ends = F.col("headed") & F.col("trace") & F.contains("row", F.lit("("))
+    upto_here = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("over", F.max(ends.cast("int")).over(upto_here) == 1)
+    legend = F.startswith("row", F.lit("+ expected")) | F.startswith("row", F.lit("- actual"))
+    error = F.col("headed") & ~F.col("over") & ~legend
+    out = rows.groupBy("file_id", "block").agg(
+        F.min_by(F.when(F.col("heads") & ~F.col("headed"), F.rtrim("row", F.lit(":"))), F.when(F.col("heads") & ~F.col("headed"), F.col("line_no"))).alias("test"),
+        F.array_sort(F.collect_list(F.when(error, F.struct("line_no", "row")))).alias("said"),
+    )
+    three = F.transform(F.slice("said", 1, 3), lambda x: x["row"])
+    return out.where("test IS NOT NULL AND test <> ''").select("file_id", F.col("block").cast("long").alias("block"), "test", F.array_join(three, " | ").alias("error"))
+
+
+def error_messages(texts: DataFrame, limit: int = 10) -> DataFrame:
+    """texts (id, txt) with errors: of assertions, then error lines not yet among them, then what follows a runner's own error."""
+    all_of = lambda p: F.transform(F.regexp_extract_all("txt", F.lit(p), F.lit(1)), _bare)
+    asserted = all_of(r"AssertionError[:\s]+([^\n]+)")
+    plain = F.filter(all_of(r"(?i)ERROR[:\s]+([^\n]+)"), lambda x: x != "")
+    runner = all_of(r"CypressError:[^\n]*\n([^\n]+)")
+    return texts.select("id", F.slice(F.concat(asserted, F.array_except(plain, asserted), runner), 1, limit).alias("errors"))
 
 
 def after_marker(log: DataFrame, marker: str) -> DataFrame:
@@ -148,9 +273,14 @@ def chain_edges(steps: DataFrame) -> DataFrame:
 
 
 def definition_line(lines: DataFrame, word: str, hints: list[str]) -> DataFrame:
-    """Per file (doc_id) the line with word that scores best: BASE less its distance from line 1, HINT for each hint in the HEADER lines up to it."""
+    """Per file (doc_id) the line with word that scores best.
+
+    BASE less its distance from the line where it is said to be (a column stated, line 1 without
+    one), and HINT for each hint in the HEADER lines up to it; the first of equal ones.
+    """
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-HEADER, 0)
-    score = F.lit(BASE) - F.least(F.col("line_no") - 1, F.lit(BASE))
+    stated = F.coalesce("stated", F.lit(1)) if "stated" in lines.columns else F.lit(1)
+    score = F.lit(BASE) - F.least(F.abs(F.col("line_no") - stated), F.lit(BASE))
     for h in hints:
         score = score + F.max(F.when(F.contains("txt", F.lit(h)), HINT).otherwise(0)).over(order)
     scored = lines.withColumn("score", score.cast("long")).where(F.contains("txt", F.lit(word)))
@@ -168,10 +298,14 @@ def log_lines(log: DataFrame, needle: str, first: int = 8) -> DataFrame:
     )
 
 
-def http_status_map(log: DataFrame, url: Column) -> DataFrame:
-    """url, status: the last status seen for each request, log order deciding."""
-    rows = log.select(url.alias("url"), "file_id", "line_no", status_code(F.col("txt")).alias("status")).where("status IS NOT NULL")
-    return rows.groupBy("url").agg(F.max_by("status", F.struct("line_no", "file_id")).alias("status"))
+def http_status_map(log: DataFrame) -> DataFrame:
+    """request ("METHOD url"), status: the last status seen for each request of a log (file_id, line_no, txt)."""
+    pattern = rf"({'|'.join(METHODS)})\s+(\S+)\s+.*?(\d{{3}})"
+    method, url, status = (F.regexp_extract_all("txt", F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
+    found = F.arrays_zip(method.alias("method"), url.alias("url"), status.alias("status"))
+    rows = log.select("file_id", "line_no", F.posexplode(found).alias("pos", "f"))
+    rows = rows.select(F.concat_ws(" ", "f.method", "f.url").alias("request"), F.col("f.status").cast("long").alias("status"), F.struct("file_id", "line_no", "pos").alias("at"))
+    return rows.groupBy("request").agg(F.max_by("status", "at").alias("status"))
 
 
 def overview(runs: DataFrame) -> DataFrame:

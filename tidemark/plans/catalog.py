@@ -23,28 +23,50 @@ def spec_flow_detection(spark, sf):
     return T.detect_flow(texts, _DICT).groupBy("flow").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the rule by rule, one decision for each pair: configuration, the flow's own exclude list, the flow's own include list, tests
+_STATUS = (
+    "SELECT g.connector, g.flow, CASE WHEN NOT EXISTS (SELECT 1 FROM v_flow_config c WHERE c.connector = g.connector AND c.flow = g.flow) THEN 'MISSING_CONFIG'"
+    " WHEN EXISTS (SELECT 1 FROM v_flow_list l JOIN v_in_list i ON i.list_key = l.exclude_key WHERE l.flow = g.flow AND i.connector = g.connector) THEN 'COVERED'"
+    " WHEN EXISTS (SELECT 1 FROM v_flow_list l WHERE l.flow = g.flow AND l.include_key IS NOT NULL)"
+    " AND NOT EXISTS (SELECT 1 FROM v_flow_list l JOIN v_in_list i ON i.list_key = l.include_key WHERE l.flow = g.flow AND i.connector = g.connector) THEN 'NOT_IN_ALLOWLIST'"
+    " WHEN NOT EXISTS (SELECT 1 FROM v_tests_flow t WHERE t.flow = g.flow) THEN 'MISSING_TEST' ELSE 'COVERED' END AS status"
+    " FROM (SELECT s_name AS connector, flow FROM supplier, (SELECT DISTINCT flow FROM v_flow_list)) g"
+)
+
+
 @register(
     "connector_flow_status",
     oracle(
-        "SELECT connector, flow, CASE WHEN (connector, flow) NOT IN (SELECT (connector, flow) FROM v_flow_config) THEN 'MISSING_CONFIG' WHEN excluded THEN 'COVERED'"
-        " WHEN NOT included THEN 'NOT_IN_ALLOWLIST' WHEN flow NOT IN (SELECT flow FROM v_tests_flow) THEN 'MISSING_TEST' ELSE 'COVERED' END AS status FROM"
-        " (SELECT connector, bool_or(starts_with(list_key, 'EXCLUDE.')) AS excluded, bool_or(starts_with(list_key, 'INCLUDE.')) AS included FROM v_in_list GROUP BY connector)"
-        " CROSS JOIN (SELECT DISTINCT flow FROM v_flow_config)"
+        "SELECT connector, flow, status, CASE WHEN status = 'NOT_IN_ALLOWLIST' THEN include_key END AS allowlist_key FROM status JOIN v_flow_list USING (flow)",
+        f"status AS ({_STATUS})",
     ),
 )
 def connector_flow_status(spark, sf):
-    return T.grid_status(view(spark, sf, "v_flow_config"), view(spark, sf, "v_in_list"), view(spark, sf, "v_tests_flow"))
+    names = select(spark, sf, "SELECT s_name AS connector FROM supplier")
+    return T.grid_status(names, *(view(spark, sf, v) for v in ("v_flow_config", "v_in_list", "v_flow_list", "v_tests_flow")))
 
 
 @register(
     "reference_blocks",
     oracle(
         "SELECT flow, pos, connector, raw_block FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY length(raw_block), connector) AS pos FROM v_flow_config"
-        " WHERE length(raw_block) > 5 AND NOT starts_with(raw_block, '{') AND NOT contains(raw_block, '//')) WHERE pos <= 3"
+        " WHERE length(raw_block) > 22 AND NOT starts_with(raw_block, '{') AND NOT contains(raw_block, '//')) WHERE pos <= 3"
     ),
 )
 def reference_blocks(spark, sf):
-    return T.reference_blocks(view(spark, sf, "v_flow_config"))
+    return T.reference_blocks(view(spark, sf, "v_flow_config"), least=22)
+
+
+@register(
+    "reference_config",
+    oracle(
+        "SELECT connector, flow, ref_connector, ref_block FROM (SELECT a.connector, a.flow, b.connector AS ref_connector, b.raw_block AS ref_block,"
+        " row_number() OVER (PARTITION BY a.connector, a.flow ORDER BY b.connector) AS n FROM v_flow_config a JOIN v_flow_config b ON a.flow = b.flow AND a.connector <> b.connector"
+        " WHERE NOT starts_with(b.raw_block, '{') AND NOT contains(b.raw_block, '// commenting out')) WHERE n = 1"
+    ),
+)
+def reference_config(spark, sf):
+    return T.reference_config(view(spark, sf, "v_flow_config"))
 
 
 @register(
@@ -97,7 +119,7 @@ def coverage_gap(spark, sf):
     return T.coverage_gap(view(spark, sf, "v_flow_config"), view(spark, sf, "v_tests_flow"))
 
 
-_SOME_TESTS = "SELECT * FROM v_tests_flow WHERE length(flow) <= 7"
+_SOME_TESTS = "SELECT t.* FROM v_tests_flow t JOIN v_test_case c ON t.o_orderkey = c.o_orderkey WHERE c.skipped"
 
 
 @register(

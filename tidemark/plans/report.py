@@ -35,25 +35,62 @@ def line_hit_listing(spark, sf):
 @register(
     "log_status_last",
     oracle(
-        r"SELECT file_id, max_by(CAST(nullif(regexp_extract(txt, 'status_code\D{0,3}(\d{3})', 1), '') AS BIGINT), line_no) AS status,"
-        " bool_or(contains(txt, 'IR_04') OR contains(txt, 'panicked at')) AS has_error, count(*) AS lines FROM v_event_log GROUP BY file_id"
+        r"SELECT file_id, max_by(CAST(nullif(regexp_extract(txt, 'status_code\D*(\d{3})', 1), '') AS BIGINT), line_no) AS status, CASE WHEN bool_or(contains(txt, 'IR_04')) THEN 'IR_04' END AS error_code,"
+        " CASE WHEN bool_or(contains(txt, 'Missing required param: Authorization')) THEN 'Missing required param: Authorization' END AS error_message,"
+        " bool_or(contains(txt, 'IR_04') OR contains(txt, 'Missing required param: Authorization')) AS has_error, count(*) AS lines FROM v_event_log GROUP BY file_id"
     ),
 )
 def log_status_last(spark, sf):
     return R.last_status(view(spark, sf, "v_event_log"))
 
 
-def _rules_sql() -> str:
-    parts = []
-    for name, marks, why in R.FAILURE_RULES:
-        cond = " OR ".join(f"contains(lower(txt), '{m}')" for m in marks)
-        parts.append(f"SELECT DISTINCT file_id, '{name}' AS rule, '{why}' AS reason FROM v_event_log WHERE {cond}")
-    return " UNION ALL ".join(parts)
+# what runs are made of, one per customer: a failing count, errors and failed tests by the customer's orders
+_RUNS_OF = "SELECT c_custkey AS id, CAST(c_custkey % 4 AS BIGINT) AS failing, CAST(c_nationkey % 3 AS BIGINT) AS passing FROM customer"
+_ERRORS_OF = (
+    "SELECT o_custkey AS id, o_orderkey AS ord, CASE o_orderkey % 9 WHEN 0 THEN 'Unrecognized request URL (POST: /accounts)' WHEN 1 THEN 'API Key create call failed' WHEN 2 THEN 'Connector Create Call Failed with 400'"
+    " WHEN 3 THEN 'no client_secret' WHEN 4 THEN 'Expecting valid response but got an error' ELSE concat('other ', o_orderkey % 50) END AS error FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 < 3"
+)
+_FAILED_OF = "SELECT o_custkey AS id, o_orderkey AS ord, CASE WHEN o_orderkey % 20 = 0 THEN 'Connector Account Create' ELSE concat('test ', o_orderkey % 30) END AS test FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 5 <> 1"
+
 
+def _frames(spark, sf):
+    return [select(spark, sf, q) for q in (_RUNS_OF, _ERRORS_OF, _FAILED_OF)]
 
-@register("failure_rules", oracle(_rules_sql()))
+
+@register(
+    "failure_rules",
+    oracle(
+        "SELECT id, CASE WHEN len(said) > 0 THEN array_to_string(said, ' ') WHEN errors IS NOT NULL THEN 'Cypress reported ' || failing || ' failing test(s). The first captured error was: ' || errors[1]"
+        " WHEN tests IS NOT NULL THEN 'Cypress reported ' || failing || ' failing test(s), including: ' || array_to_string(tests, ', ') || '.'"
+        " ELSE 'Cypress reported ' || failing || ' failing test(s), but no detailed failure text was captured.' END AS summary,"
+        " array_to_string(CASE WHEN len(said) > 0 THEN said ELSE coalesce(errors, tests, []) END, '|') AS findings FROM ("
+        " SELECT r.id, failing, errors[1:3] AS errors, tests[1:3] AS tests, list_filter(["
+        "CASE WHEN len(list_filter(errors, lambda e: contains(lower(e), '/accounts') OR contains(lower(e), 'unrecognized request url'))) > 0 THEN 'Account setup is failing because the backend returns \"Unrecognized request URL\" for /accounts.' END,"
+        "CASE WHEN len(list_filter(errors, lambda e: contains(lower(e), 'api key create call failed'))) > 0 THEN 'API key creation is failing after account setup, so test setup does not complete.' END,"
+        "CASE WHEN len(list_filter(errors, lambda e: contains(lower(e), 'connector create call failed'))) > 0 OR len(list_filter(tests, lambda t: contains(lower(t), 'connector account create'))) > 0"
+        " THEN 'Connector account creation is also failing, so the connector is not ready for the payment flow.' END,"
+        "CASE WHEN len(list_filter(errors, lambda e: contains(lower(e), 'client_secret'))) > 0 THEN 'Payment steps later fail because the responses do not include the expected client secret.' END,"
+        "CASE WHEN len(list_filter(errors, lambda e: contains(lower(e), 'expecting valid response'))) > 0 THEN 'Some Cypress checks are receiving error responses where a successful API response was expected.' END"
+        f"], lambda x: x IS NOT NULL) AS said FROM ({_RUNS_OF}) r LEFT JOIN (SELECT id, list(error ORDER BY ord) AS errors FROM ({_ERRORS_OF}) GROUP BY id) USING (id)"
+        f" LEFT JOIN (SELECT id, list(test ORDER BY ord) AS tests FROM ({_FAILED_OF}) GROUP BY id) USING (id))"
+    ),
+)
 def failure_rules(spark, sf):
-    return R.failure_rules(view(spark, sf, "v_event_log"))
+    out = R.failure_summary(*_frames(spark, sf))
+    return out.select("id", "summary", F.array_join("findings", "|").alias("findings"))
+
+
+@register(
+    "test_errors",
+    oracle(
+        "SELECT id, coalesce(array_to_string(tests[1:5], '|'), '') AS failed_tests, coalesce(array_to_string(errors[1:3], '|'), '') AS errors, passing AS passing_count, failing AS failing_count"
+        f" FROM ({_RUNS_OF}) LEFT JOIN (SELECT id, list(error ORDER BY ord) AS errors FROM ({_ERRORS_OF}) GROUP BY id) USING (id)"
+        f" LEFT JOIN (SELECT id, list(test ORDER BY ord) AS tests FROM ({_FAILED_OF}) GROUP BY id) USING (id) WHERE NOT (failing = 0 AND passing > 0) AND (errors IS NOT NULL OR tests IS NOT NULL)"
+    ),
+)
+def test_errors(spark, sf):
+    out = R.test_errors(*_frames(spark, sf))
+    return out.select("id", *[F.array_join(c, "|").alias(c) for c in ("failed_tests", "errors")], "passing_count", "failing_count")
 
 
 _FACTS = "SELECT o_orderkey AS id, o_totalprice > 400000 AS log_error, o_orderstatus = 'F' AS test_error, CASE WHEN o_custkey % 3 = 0 THEN 'all_probed_lines_hit' ELSE 'partial' END AS gap_status FROM orders"
@@ -73,51 +110,135 @@ def rca_decision(spark, sf):
 @register(
     "request_ids",
     oracle(
-        r"SELECT file_id, string_agg(rid, ',' ORDER BY rid) AS ids FROM (SELECT DISTINCT file_id, unnest(regexp_extract_all(txt, 'x-request-id:\s*([A-Za-z0-9_-]+)', 1)) AS rid FROM v_event_log) GROUP BY file_id"
+        "SELECT file_id, string_agg(rid, ',' ORDER BY rid) AS ids FROM (SELECT DISTINCT file_id, CASE line_no % 13 WHEN 8 THEN concat('b', line_no % 6) WHEN 9 THEN concat('j', line_no % 8) ELSE concat('h', line_no % 5) END AS rid"
+        " FROM v_run_log WHERE line_no % 13 IN (9, 10) OR (line_no % 13 = 8 AND line_no % 2 = 1)) GROUP BY file_id"
     ),
 )
 def request_ids(spark, sf):
-    return R.request_ids(view(spark, sf, "v_event_log")).select("file_id", F.array_join("ids", ",").alias("ids"))
+    return R.request_ids(view(spark, sf, "v_run_log")).select("file_id", F.array_join("ids", ",").alias("ids"))
 
 
+_TOOK = "CASE o_orderkey % 5 WHEN 0 THEN concat(CAST(o_orderkey % 60 AS VARCHAR(20)), 's') WHEN 1 THEN concat('1m ', CAST(o_orderkey % 60 AS VARCHAR(20)), 's') WHEN 2 THEN concat(CAST(o_orderkey % 900 AS VARCHAR(20)), 'ms') WHEN 3 THEN concat(CAST(o_orderkey % 9 AS VARCHAR(20)), '.5s') ELSE 'soon' END"
 _RUNS = (
-    "SELECT o_orderkey AS id, concat(CAST(o_custkey % 20 AS VARCHAR(20)), ' passing (', CASE o_orderkey % 4 WHEN 0 THEN concat(CAST(o_orderkey % 60 AS VARCHAR(20)), 's') WHEN 1 THEN concat('1m ', CAST(o_orderkey % 60 AS VARCHAR(20)), 's')"
-    " WHEN 2 THEN concat(CAST(o_orderkey % 900 AS VARCHAR(20)), 'ms') ELSE 'pending' END, ')  ', CASE WHEN o_orderstatus = 'F' THEN concat(CAST(o_custkey % 4 AS VARCHAR(20)), ' failing') ELSE '' END) AS txt FROM orders"
-)
-_DUR = (
-    r"CASE WHEN regexp_matches(d, '^\s*(\d+m\s*)?(\d+s)?\s*(\d+ms)?\s*$') THEN coalesce(CAST(nullif(regexp_extract(d, '(\d+)m([^s]|$)', 1), '') AS BIGINT), 0) * 60000"
-    r" + coalesce(CAST(nullif(regexp_extract(d, '(\d+)s', 1), '') AS BIGINT), 0) * 1000 + coalesce(CAST(nullif(regexp_extract(d, '(\d+)ms', 1), '') AS BIGINT), 0) ELSE 0 END"
+    f"SELECT o_orderkey AS id, concat('  ', CAST(o_custkey % 20 AS VARCHAR(20)), ' passing (', {_TOOK}, ')  ', CASE WHEN o_orderstatus = 'F' THEN concat(CAST(o_custkey % 4 AS VARCHAR(20)), ' failing ') ELSE '' END,"
+    " CASE WHEN o_orderstatus = 'P' THEN concat(CAST(o_custkey % 3 AS VARCHAR(20)), ' pending') ELSE '' END, ' ✓ pays once (12ms) ✔ asks ', CAST(o_custkey % 6 AS VARCHAR(20)), ' (1s)') AS txt FROM orders"
 )
+# the numbers that the texts were made of
+_MADE = "o_custkey % 20 AS passing, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 4 ELSE 0 END AS failing, CASE WHEN o_orderstatus = 'P' THEN o_custkey % 3 ELSE 0 END AS pending"
 
 
 @register(
     "test_summary",
     oracle(
-        f"SELECT id, passing, failing, {_DUR} AS duration_ms, failing = 0 AND passing > 0 AS passed FROM (SELECT id, CAST(regexp_extract(txt, '(\\d+) passing', 1) AS BIGINT) AS passing,"
-        r" coalesce(CAST(nullif(regexp_extract(txt, '(\d+) failing', 1), '') AS BIGINT), 0) AS failing, regexp_extract(txt, 'passing \(([^)]*)\)', 1) AS d"
-        f" FROM ({_RUNS}))"
+        "SELECT id, passing, failing, pending, duration_ms, passing + failing + pending AS total, failing = 0 AND passing > 0 AS passed FROM (SELECT o_orderkey AS id,"
+        f" {_MADE}, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 60 * 1000 WHEN 2 THEN o_orderkey % 900 ELSE 0 END AS duration_ms FROM orders)"
     ),
 )
 def test_summary(spark, sf):
     return R.test_summary(select(spark, sf, _RUNS))
 
 
-@register("duration_ms", oracle(f"SELECT d AS duration, {_DUR} AS ms, count(*) AS n FROM (SELECT regexp_extract(txt, 'passing \\(([^)]*)\\)', 1) AS d FROM ({_RUNS})) GROUP BY ALL"))
+_MS = "CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 60 * 1000 WHEN 1 THEN 60000 + o_orderkey % 60 * 1000 WHEN 2 THEN o_orderkey % 900 WHEN 3 THEN o_orderkey % 9 * 1000 + 500 ELSE 0 END"
+
+
+@register(
+    "run_summary",
+    oracle(
+        f"SELECT id, passing, failing, duration_ms, 'pays once|asks ' || asks AS passing_tests, passing + failing AS total FROM (SELECT o_orderkey AS id, {_MADE}, {_MS} AS duration_ms, o_custkey % 6 AS asks FROM orders)"
+    ),
+)
+def run_summary(spark, sf):
+    out = R.run_summary(select(spark, sf, _RUNS))
+    return out.withColumn("passing_tests", F.array_join("passing_tests", "|"))
+
+
+@register("duration_ms", oracle(f"SELECT {_TOOK} AS duration, {_MS} AS ms, count(*) AS n FROM orders GROUP BY ALL"))
 def duration_ms(spark, sf):
     d = F.regexp_extract("txt", r"passing \(([^)]*)\)", 1)
     return select(spark, sf, _RUNS).groupBy(d.alias("duration"), R.duration_ms(d).alias("ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
-    "failed_lines_after_marker",
+    "failed_test_names",
+    oracle(
+        "SELECT l.file_id, line_no, 'pays by ' || event_type AS test FROM v_run_log l JOIN events ON event_id = line_no JOIN (SELECT file_id, min(line_no) AS first FROM v_run_log WHERE line_no % 13 = 0 GROUP BY file_id) f"
+        " ON l.file_id = f.file_id AND line_no > first WHERE line_no % 13 = 1"
+    ),
+)
+def failed_test_names(spark, sf):
+    return R.failed_names(view(spark, sf, "v_run_log"))
+
+
+# lines after the first failing count, in blocks from one numbered line to the next, as the plain rule has them
+_BLOCK_LINES = (
+    "SELECT *, sum(CASE WHEN line_no % 13 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS block, CASE WHEN line_no % 13 = 1 THEN trim(substr(txt, instr(txt, ')') + 1)) ELSE trim(txt) END AS said"
+    " FROM v_run_log JOIN (SELECT file_id, min(line_no) AS first FROM v_run_log WHERE line_no % 13 = 0 GROUP BY file_id) USING (file_id) WHERE line_no > first"
+)
+
+
+@register(
+    "failure_blocks",
+    oracle(
+        "SELECT file_id, block::BIGINT AS block, rtrim(test, ':') AS test, coalesce(array_to_string(said[1:3], ' | '), '') AS error FROM (SELECT h.file_id, h.block, any_value(h.said) AS test,"
+        " list(l.said ORDER BY l.line_no) FILTER (WHERE l.line_no > h.line_no AND l.line_no < coalesce(t.stop, 1e18) AND l.line_no % 13 <> 6) AS said"
+        " FROM (SELECT file_id, block, min(line_no) AS line_no, arg_min(said, line_no) AS said FROM lines WHERE block > 0 AND line_no % 13 = 5 GROUP BY file_id, block) h JOIN lines l ON h.file_id = l.file_id AND h.block = l.block"
+        " LEFT JOIN (SELECT h2.file_id, h2.block, min(x.line_no) AS stop FROM (SELECT file_id, block, min(line_no) AS line_no FROM lines WHERE line_no % 13 = 5 GROUP BY file_id, block) h2 JOIN lines x"
+        " ON x.file_id = h2.file_id AND x.block = h2.block AND x.line_no > h2.line_no AND x.line_no % 13 = 7 GROUP BY ALL) t ON t.file_id = h.file_id AND t.block = h.block GROUP BY h.file_id, h.block)",
+        f"lines AS ({_BLOCK_LINES})",
+    ),
+)
+def failure_blocks(spark, sf):
+    return R.failure_blocks(view(spark, sf, "v_run_log"))
+
+
+_LOG_TEXTS = "SELECT file_id AS id, string_agg(txt, chr(10) ORDER BY line_no) AS txt FROM v_run_log GROUP BY file_id"
+
+
+def _log_texts(spark, sf):
+    rows = view(spark, sf, "v_run_log").groupBy(F.col("file_id").alias("id"))
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "txt")))
+    return rows.agg(F.array_join(F.transform(lines, lambda x: x["txt"]), "\n").alias("txt"))
+
+
+@register(
+    "error_messages",
     oracle(
-        "SELECT file_id, count(*) AS n, min(line_no) AS first_line FROM (SELECT file_id, line_no, max(CASE WHEN contains(txt, 'status_code: 500') THEN 1 ELSE 0 END) OVER"
-        " (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM v_event_log) WHERE f = 1 GROUP BY file_id"
+        "SELECT id, array_to_string((a || list_filter(list_distinct_in_order, lambda x: NOT list_contains(a, x)) || c)[1:10], '|') AS errors FROM (SELECT id, regexp_extract_all(txt, 'AssertionError[:\\s]+([^\\n]+)', 1) AS a,"
+        " list_distinct(list_transform(regexp_extract_all(txt, '(?i)error[:\\s]+([^\\n]+)', 1), lambda x: trim(x))) AS d,"
+        " list_filter(d, lambda x: x <> '') AS e, list_transform(list_sort(list_transform(e, lambda x: {'at': list_position(list_transform(regexp_extract_all(txt, '(?i)error[:\\s]+([^\\n]+)', 1), lambda y: trim(y)), x), 'x': x})), lambda z: z.x) AS list_distinct_in_order,"
+        f" list_transform(regexp_extract_all(txt, 'CypressError:[^\\n]*\\n([^\\n]+)', 1), lambda x: trim(x)) AS c FROM ({_LOG_TEXTS}))"
     ),
 )
-def failed_lines_after_marker(spark, sf):
-    out = R.after_marker(view(spark, sf, "v_event_log"), "status_code: 500")
-    return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
+def error_messages(spark, sf):
+    return R.error_messages(_log_texts(spark, sf)).select("id", F.array_join("errors", "|").alias("errors"))
+
+
+_DOCUMENTS = (
+    "SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 > 0 THEN concat('fn', o_custkey) END AS changed_function, o_orderstatus, o_custkey FROM orders"
+)
+
+
+@register(
+    "flow_info",
+    oracle(
+        "SELECT id, CASE WHEN o_custkey % 4 = 0 THEN 'UNKNOWN' ELSE 'POST' END AS method, CASE WHEN o_custkey % 4 = 0 THEN 'UNKNOWN' ELSE '/p/' || o_custkey END AS endpoint, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'h' || o_custkey END AS handler,"
+        " coalesce(changed_function, '') AS changed_function, CASE WHEN o_orderstatus = 'F' THEN 'leaf' || o_custkey END AS target_leaf, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'what ' || o_custkey END AS description,"
+        f" CASE WHEN o_orderstatus = 'P' THEN '?' ELSE (id % 9)::VARCHAR END AS flow_id FROM ({_DOCUMENTS})"
+    ),
+)
+def flow_info(spark, sf):
+    key, status = F.col("o_custkey"), F.col("o_orderstatus")
+    end = F.struct(F.lit("POST").alias("method"), F.concat(F.lit("/p/"), key).alias("path"), F.concat(F.lit("h"), key).alias("handler"))
+    step = lambda role, name: F.struct(F.lit(role).alias("role"), F.concat(F.lit(name), key).alias("function"))
+    flow = F.struct(
+        (F.col("id") % 9).alias("flow_id"), F.concat(F.lit("what "), key).alias("description"),
+        F.when(status == "F", F.array(step("handler", "h"), step("target", "leaf"), step("target", "other"))).otherwise(F.array(step("handler", "h"))).alias("chain"),
+    )
+    docs = select(spark, sf, _DOCUMENTS).select(
+        "id", "changed_function", F.when(key % 4 > 0, F.array(end, end)).otherwise(F.array().cast("array<struct<method:string,path:string,handler:string>>")).alias("endpoints"),
+        F.when(status != "P", F.array(flow)).alias("flows"),
+    )
+    return R.flow_info(docs)
 
 
 @register(
@@ -208,12 +329,10 @@ def log_correlation(spark, sf):
 
 @register(
     "http_status_map",
-    oracle(
-        r"SELECT url, max_by(status, line_no) AS status FROM (SELECT split_part(txt, ' ', 1) AS url, line_no, CAST(nullif(regexp_extract(txt, 'status_code\D{0,3}(\d{3})', 1), '') AS BIGINT) AS status FROM v_event_log) WHERE status IS NOT NULL GROUP BY url"
-    ),
+    oracle("SELECT 'POST /' || event_type AS request, arg_max(200 + event_id % 300, (user_id, event_id)) AS status FROM events WHERE event_id % 13 = 2 GROUP BY event_type"),
 )
 def http_status_map(spark, sf):
-    return R.http_status_map(view(spark, sf, "v_event_log"), F.split_part("txt", F.lit(" "), F.lit(1)))
+    return R.http_status_map(view(spark, sf, "v_run_log"))
 
 
 @register(

@@ -31,33 +31,44 @@ SELECT concat('R#', n_regionkey) AS caller, concat('N#', n_nationkey) AS callee,
 UNION ALL SELECT concat('N#', s_nationkey), concat('S#', s_suppkey), CAST(s_suppkey AS BIGINT), CASE WHEN s_acctbal < 0 THEN 'if' END, CASE WHEN s_acctbal < 0 THEN concat('acct', s_nationkey) END FROM supplier
 UNION ALL SELECT concat('S#', l_suppkey), concat('P#', l_partkey), l_orderkey * 10 + l_linenumber, CASE l_returnflag WHEN 'R' THEN 'match' WHEN 'A' THEN 'if' END,
        CASE l_returnflag WHEN 'R' THEN concat('flag', l_linestatus) WHEN 'A' THEN concat('!acct', s_nationkey) END
-       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount = 0.0 AND l_linenumber = 1
-UNION ALL SELECT concat('P#', p_partkey), concat('P#', (p_partkey * 7 + 3) % (SELECT count(*) FROM part)), CAST(p_partkey AS BIGINT), 'for', concat('x in p', p_size) FROM part WHERE p_size <= 15""",
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+UNION ALL SELECT concat('P#', p_partkey), concat('P#', (p_partkey * 7 + 3) % (SELECT count(*) FROM part)), CAST(p_partkey AS BIGINT), 'for', concat('x in p', p_size) FROM part""",
     "v_calls": """
 SELECT caller, callee, line, guard_type, guard_condition FROM (
   SELECT *, row_number() OVER (PARTITION BY caller, callee ORDER BY line, coalesce(guard_type, ''), coalesce(guard_condition, '')) AS rn FROM v_call_site) t WHERE rn = 1""",
     "v_cov_line": """
 SELECT l_linestatus AS tag, concat('crates/n', s_nationkey, '/s', l_suppkey, '.rs') AS file, l_partkey AS line,
        max(CASE WHEN l_suppkey % 9 = 0 THEN least(CAST(l_quantity AS BIGINT) % 4 - 1, 0) ELSE CAST(l_quantity AS BIGINT) % 4 - 1 END) AS hits
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY l_linestatus, s_nationkey, l_suppkey, l_partkey""",
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_linestatus, s_nationkey, l_suppkey, l_partkey""",
     "v_cov_file": """
 SELECT tag, file, count(*) FILTER (WHERE hits >= 0) AS line_total, count(*) FILTER (WHERE hits > 0) AS line_covered, count(*) FILTER (WHERE hits = 0) AS line_missed FROM v_cov_line GROUP BY tag, file""",
     "v_cov_func": """
 SELECT l_linestatus AS tag, concat('crates/n', s_nationkey, '/s', l_suppkey, '.rs') AS file, concat('m::', p_brand, '::', p_name) AS func_name, p_partkey AS start_line,
        CAST(sum(CASE WHEN l_tax = 0.0 THEN 1 ELSE 0 END) AS BIGINT) AS cnt
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY l_linestatus, s_nationkey, l_suppkey, p_brand, p_name, p_partkey""",
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY l_linestatus, s_nationkey, l_suppkey, p_brand, p_name, p_partkey""",
     "v_flow_config": """
-SELECT s_name AS connector, p_brand AS flow, min(p_name) AS raw_block FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE l_linenumber = 1 AND l_discount = 0.0 GROUP BY s_name, p_brand""",
+SELECT s_name AS connector, concat(p_brand, '.', p_size) AS flow, min(concat(CASE WHEN l_returnflag = 'R' THEN '{ ' ELSE '' END, p_name, ': ', p_type, CASE WHEN l_tax = 0.0 THEN ' // todo' ELSE '' END)) AS raw_block
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, concat(p_brand, '.', p_size)""",
     "v_in_list": """
-SELECT s_name AS connector, CASE WHEN s_nationkey % 5 = 0 THEN 'EXCLUDE.A' ELSE concat('INCLUDE.L', s_nationkey % 3) END AS list_key FROM supplier""",
+SELECT s_name AS connector, CASE WHEN s_nationkey % 5 = 0 THEN 'EXCLUDE.A' ELSE concat('INCLUDE.L', s_nationkey % 3) END AS list_key FROM supplier
+UNION ALL SELECT s_name, concat('INCLUDE.L', s_suppkey % 3) FROM supplier WHERE s_acctbal > 5000""",
+    "v_flow_list": """
+SELECT concat(p_brand, '.', p_size) AS flow, CASE WHEN min(p_retailprice) < 920 THEN concat('INCLUDE.L', p_size % 4) END AS include_key, CASE WHEN max(p_retailprice) > 1000 THEN 'EXCLUDE.A' END AS exclude_key
+FROM part GROUP BY p_brand, p_size""",
     "v_test_case": """
 SELECT concat('spec_', o_custkey, '::t', o_orderkey % 7) AS id, concat(CAST(10000 + o_custkey AS VARCHAR(10)), '-Spec.cy.js') AS spec_file, concat('t', o_orderkey % 7) AS test_name,
        o_orderkey AS line, o_orderstatus = 'F' AS skipped, o_orderkey FROM orders""",
     "v_tests_flow": """
-SELECT DISTINCT o_orderkey, p_brand AS flow FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2 AND p_size <= 10""",
+SELECT DISTINCT o_orderkey, concat(p_brand, '.', p_size) AS flow FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 100 * p_retailprice""",
     "v_calls_endpoint": """
 SELECT o_orderkey, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN '/payments' WHEN '2' THEN '/payments/:id/capture' WHEN '3' THEN '/refunds/:id' WHEN '4' THEN '/customers' ELSE '/payments/:id' END AS path FROM orders""",
+    "v_run_log": """
+SELECT CAST(user_id AS BIGINT) AS file_id, event_id AS line_no,
+       CASE event_id % 13 WHEN 0 THEN concat('  ', event_id % 7, ' failing') WHEN 1 THEN concat('  ', event_id % 5 + 1, ') pays by ', event_type) WHEN 2 THEN concat('POST /', event_type, ' answered ', 200 + event_id % 300)
+       WHEN 3 THEN concat('AssertionError: expected ', event_id % 4) WHEN 4 THEN 'Error: API key create call failed' WHEN 5 THEN concat('     is refused ', event_id % 3, ':') WHEN 6 THEN '      + expected - actual'
+       WHEN 7 THEN concat('      at step', event_id % 9, ' (spec.js:', event_id % 90, ')') WHEN 8 THEN concat('"request_id": "', CASE WHEN event_id % 2 = 0 THEN 'null' ELSE concat('b', event_id % 6) END, '"')
+       WHEN 9 THEN concat('"x-request-id": "j', event_id % 8, '"') WHEN 10 THEN concat('X-Request-Id = h', event_id % 5) WHEN 11 THEN 'CypressError: the client_secret is missing'
+       ELSE concat('  ✓ ', event_type, ' works (', event_id % 70, 'ms)') END AS txt FROM events""",
     "v_event_log": """
 SELECT CAST(user_id AS BIGINT) AS file_id, event_id AS line_no,
        concat(event_type, ' x-request-id: u', user_id, '-', event_id % 50, ' status_code: ', CASE event_type WHEN 'error' THEN '500' WHEN 'view' THEN '404' ELSE '200' END, CASE WHEN event_id % 97 = 0 THEN ' IR_04' ELSE '' END) AS txt,
@@ -99,4 +110,4 @@ def oracle(body: str, *ctes: str) -> str:
     """DuckDB SQL: the views that body and ctes use, then ctes, then body."""
     text = " ".join([body, *ctes])
     parts = [f"{n} AS ({VIEWS[n]})" for n in needed(text)] + list(ctes)
-    return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
+    return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
\ No newline at end of file
