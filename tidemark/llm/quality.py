@@ -1,33 +1,35 @@
 """Quality classifier: supervised subword embeddings.
 
 A token's vector is the mean of learned vectors of hashed features: the token itself and its
-character n-grams, with marks for its start and end. A token that repeats the one AGAIN places
-before it adds a mark with a vector of its own. A document is the mean of its tokens' vectors
-(PRIOR empty tokens are added, so that very short texts stay near the bias), and a softmax layer
-turns it into class probabilities. All of it is trained by stochastic gradient descent in numpy.
+character n-grams, with marks for its start and end. Every pair of neighbouring tokens has a learned
+vector as well, hashed from the first STEM characters of both: word bigrams of stems, since whole
+ones are mostly new in a new text. A document is the mean of its tokens' vectors and of
+its pairs' (PRIOR empty tokens are added, so that very short texts stay near the bias; pairs count
+PAIR times),
+and a softmax layer turns it into class probabilities. All of it is trained by stochastic gradient
+descent in numpy.
 
 The fit takes a bounded sample: at most MAX_ROWS labelled documents with at most MAX_CHARS
 characters together, by the hash of their id, and of each its whole text. One that does not fit into
 what is left of the characters is skipped; a sample that misses a label which exists gives a warning. Everything
-else covers all rows and all of their text. A fitted model is linear in the tokens, so scoring
-needs one number per distinct token.
+else covers all rows and all of their text. A fitted model is linear in tokens and pairs, so scoring
+looks up one number for each of them, for many documents at once.
 
 Defined results. A null text is empty; an empty text gets the score of the bias alone. Labels that
 are null count as missing, several labels of one id as their mean rounded, labels without a document
 are ignored. With no labelled row, or those of one class only, the score is the share of label 1
-among them (0.5 without any). Rows that repeat an id get a result each. Other columns are ignored:
-no column but the text goes into a score.
+among them (0.5 without any). Rows that repeat an id get a result each. No column but the text goes
+into a score; a column that is called as the score's gives way to it, all others are passed on.
 """
 
 from __future__ import annotations
 
 import re
 import warnings
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -39,21 +41,28 @@ from tidemark.llm.common import whole_text
 
 #: Bounds of the sample that the fit takes.
 MAX_ROWS, MAX_CHARS = 2500, 8_000_000
-SIZE = 1 << 16
+#: Vectors of tokens and n-grams, and those of pairs.
+SIZE, PAIRS = 1 << 16, 1 << 17
 DIM = 12
 GRAMS = (3, 4)
-AGAIN = (1, 2, 3, 4)
+#: Characters of a token that its pairs are hashed from, and how much the pairs' mean counts beside the tokens'.
+STEM, PAIR = 2, 3.0
 PRIOR = 5
-#: Distinct tokens a worker keeps, and how long they may be.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+#: Distinct tokens a worker keeps before it starts anew, and texts it scores at once.
+CACHE_ENTRIES = 150_000
+SLICE_ROWS = 128
 #: Distinct tokens the driver keeps while it fits.
 FIT_ENTRIES = 50_000
-EPOCHS = 6
+#: Rounds over the sample, at least, and steps: a small sample is gone over more often.
+EPOCHS, STEPS = 6, 7000
 RATE = 0.5
 SEED = 7
 
 _TOKEN = re.compile(r"\S+|\n")
-_MARKS = [crc32(b"\n again %d" % k) % SIZE for k in AGAIN]
+
+
+def _stem(token: str) -> int:
+    return crc32(token[:STEM].encode("utf-8", "surrogatepass"))
 
 
 def features(token: str) -> list[int]:
@@ -63,14 +72,16 @@ def features(token: str) -> list[int]:
     return [crc32(g.encode("utf-8", "surrogatepass")) % SIZE for g in (f"={token}", *grams)]
 
 
-def repeats(tokens: list[str]) -> list[int]:
-    """How many tokens are the same as the one k places before, for each k in AGAIN."""
-    return [sum(map(eq, tokens, islice(tokens, k, None))) for k in AGAIN]
+def pairs(stems: np.ndarray) -> np.ndarray:
+    """The vector's number of each pair of neighbours, from the hashes of tokens' stems."""
+    h = stems.astype(np.uint64)
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - PAIRS.bit_length() + 1)).astype(np.int64) + SIZE
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray  # SIZE x DIM
+    vectors: np.ndarray  # SIZE + PAIRS x DIM
     weights: np.ndarray  # DIM x 2
     bias: np.ndarray  # 2
 
@@ -80,83 +91,102 @@ class Model:
         return self.vectors @ w, float(self.bias[1] - self.bias[0])
 
 
+def weights_of(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that a document's mean is made of, and the share of each; known keeps features of tokens."""
+    tokens = _TOKEN.findall(text)
+    total = len(tokens) + PRIOR
+    weight: dict[int, float] = {}
+    for token, n in Counter(tokens).items():
+        own = known.get(token)
+        if own is None:
+            own = np.array(features(token), dtype=np.int32)
+            if len(known) < FIT_ENTRIES:
+                known[token] = own
+        for f in own.tolist():
+            weight[f] = weight.get(f, 0.0) + n / (total * len(own))
+    if len(tokens) > 1:
+        at, n = np.unique(pairs(np.fromiter(map(_stem, tokens), np.uint32, len(tokens))), return_counts=True)
+        weight.update(zip(at.tolist(), (PAIR * n / total).tolist()))
+    return np.fromiter(weight, np.int32, len(weight)), np.fromiter(weight.values(), np.float32, len(weight))
+
+
+def step(model: Model, at: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+    """One step against the gradient of a document's log loss.
+
+    A feature's share of a text is small, so the vectors' steps are scaled up by the inverse of the
+    shares' length.
+    """
+    mean = share @ model.vectors[at]
+    logit = mean @ model.weights + model.bias
+    p = np.exp(logit - logit.max())
+    p /= p.sum()
+    p[label] -= 1.0
+    p *= rate
+    back = model.weights @ p
+    model.weights -= np.outer(mean, p)
+    model.bias -= p
+    model.vectors[at] -= np.outer(share / max(np.sqrt(share @ share), 1e-9), back)
+
+
 def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     """Stochastic gradient descent on the log loss, one document a step, with a falling rate."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.uniform(-1 / DIM, 1 / DIM, (SIZE, DIM)), np.zeros((DIM, 2)), np.zeros(2))
+    vectors = np.concatenate([rng.uniform(-1 / DIM, 1 / DIM, (SIZE, DIM)), np.zeros((PAIRS, DIM))])
+    model = Model(vectors, np.zeros((DIM, 2)), np.zeros(2))
     if len(set(labels)) < 2:
         share = np.mean(labels) if labels else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         model.bias[:] = [0.0, np.log(share / (1 - share))]
         return model
     known: dict[str, np.ndarray] = {}
-    rows = []
-    for text in texts:
-        tokens = _TOKEN.findall(text)
-        total = len(tokens) + PRIOR
-        weight: dict[int, float] = {}
-        for mark, n in zip(_MARKS, repeats(tokens)):
-            weight[mark] = weight.get(mark, 0.0) + n / total
-        for token, n in Counter(tokens).items():
-            own = known.get(token)
-            if own is None:
-                own = np.array(features(token), dtype=np.int32)
-                if len(known) < FIT_ENTRIES:
-                    known[token] = own
-            for f in own.tolist():
-                weight[f] = weight.get(f, 0.0) + n / (total * len(own))
-        rows.append((np.fromiter(weight, np.int32, len(weight)), np.fromiter(weight.values(), np.float32, len(weight))))
+    rows = [weights_of(text, known) for text in texts]
     known.clear()
-    steps, done = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(rows)))
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            rate = RATE * (1 - done / steps)
+            step(model, *rows[k], labels[k], RATE * (1 - done / steps))
             done += 1
-            at, share_of = rows[k]
-            own = model.vectors[at]
-            mean = share_of @ own
-            logit = mean @ model.weights + model.bias
-            p = np.exp(logit - logit.max())
-            p /= p.sum()
-            p[labels[k]] -= 1.0
-            p *= rate
-            back = model.weights @ p
-            model.weights -= np.outer(mean, p)
-            model.bias -= p
-            # a feature's share of a text is small: its step is scaled up by the mean share's inverse
-            model.vectors[at] -= np.outer(share_of / max(np.sqrt(share_of @ share_of), 1e-9), back)
     return model
 
 
-class _Scores(dict):
-    """What a token adds, kept up to a bound."""
+class _Tokens(dict):
+    """Numbers of tokens, with what each adds to a score and the hash of its stem."""
 
     def __init__(self, per_feature: list[float]):
         self.per_feature = per_feature
+        self.adds, self.stems = array("d"), array("L")
 
-    def __missing__(self, token: str) -> float:
-        table = self.per_feature
-        own = [table[f] for f in features(token)]
-        out = sum(own) / len(own)
-        if len(self) < CACHE_ENTRIES and len(token) <= CACHE_CHARS:
-            self[token] = out
-        return out
+    def __missing__(self, token: str) -> int:
+        own = [self.per_feature[f] for f in features(token)]
+        self.adds.append(sum(own) / len(own))
+        self.stems.append(_stem(token))
+        self[token] = len(self)
+        return self[token]
 
 
 class Scorer:
-    """Text -> probability of label 1."""
+    """Texts -> probabilities of label 1."""
 
     def __init__(self, per_feature: np.ndarray, bias: float):
-        table = per_feature.tolist()
-        self.marks = [table[m] for m in _MARKS]
-        self.bias = bias
-        self.get = _Scores(table).__getitem__
-
-    def __call__(self, text: str) -> float:
-        tokens = _TOKEN.findall(text)
-        total = sum(map(self.get, tokens)) + sum(n * m for n, m in zip(repeats(tokens), self.marks))
-        z = self.bias + total / (len(tokens) + PRIOR)
-        return float(1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0))))
+        self.table, self.bias = per_feature, bias
+        self.singles = per_feature[:SIZE].tolist()
+        self.tokens = _Tokens(self.singles)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if len(self.tokens) > CACHE_ENTRIES:
+            self.tokens = _Tokens(self.singles)
+        found = [_TOKEN.findall(t) for t in texts]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        number = self.tokens.__getitem__
+        at = np.fromiter((k for x in found for k in map(number, x)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        total = np.bincount(owner, np.array(self.tokens.adds)[at] if len(at) else None, minlength=len(texts))
+        if len(at) > 1:
+            adds = PAIR * self.table[pairs(np.array(self.tokens.stems, dtype=np.uint64)[at])]
+            total += np.bincount(owner[1:], adds * (owner[1:] == owner[:-1]), minlength=len(texts))
+        z = self.bias + total / (sizes + PRIOR)
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
 def sample(
@@ -198,7 +228,8 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(*shipped.value)
         for texts in batches:
-            yield texts.map(own).astype(float)
+            parts = [own(texts.iloc[lo : lo + SLICE_ROWS].tolist()) for lo in range(0, len(texts), SLICE_ROWS)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return docs.withColumn(out, scored(whole_text()))
 
