@@ -14,21 +14,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, near_dedup, packing, quality, secret_scan
-from tidemark.llm.common import written
+from tidemark.llm.common import free, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = quality.train(docs.select("doc_id", "text"), labels, quality.trainable_ids())
-    return quality.score(docs, model, "__score").where("__score >= 0.5").select(*docs.columns)
+    score = free("__score", docs.columns)
+    return quality.score(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark))
+    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, expected_rows=docs.count()))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
