@@ -33,8 +33,8 @@ def test_rust():
     assert list(rust.impls(RUST)) == [("ConnectorIntegration", "Authorize,Data,Resp", "Stripe", "build_request", 3), ("ConnectorIntegration", "Authorize,Data,Resp", "Stripe", "second", 10)]
     assert list(rust.generic_calls(RUST)) == [("call_it", "Refund", 4)] and list(rust.aliases(RUST)) == [("A", "Capture", 0)]
     assert list(rust.bound_calls(RUST)) == [("helper_one", "Token", 6)]
-    assert {c for _, _, c in rust.body_calls(RUST)} == {"call_it", "foo_bar", "helper_one", "step_two", "run_loop"}
-    guards = {(lo, kind, c) for lo, _, _, kind, c in rust.guard_spans(RUST) if kind != "stop"}
+    assert {c for _, _, c, _ in rust.body_calls(RUST)} == {"call_it", "foo_bar", "helper_one", "step_two", "run_loop"}
+    guards = {(lo, kind, c) for lo, _, _, kind, c, _ in rust.guard_spans(RUST) if kind != "stop"}
     assert guards == {(4, "if_let", "let Some(x) = self.a"), (4, "match", "x.kind"), (7, "for", "i in 0..3"), (10, "while", "self.go()")}
     assert list(rust.public_functions(RUST)) == [("top", 13)] and rust.body_span("fn f(\n a: u8,\n) {\n x\n}\n", 124) == (126, 128)
     assert rust.body_span("no function", 1) is None and rust.snippet("fn f(\n a: u8,\n) {\n x\n}\nfn g() {}", 1) == "fn f(\n a: u8,\n) {\n x\n}"
@@ -42,6 +42,38 @@ def test_rust():
     assert list(rust.generic_calls("run(Confirm { a: 1 }, x); match (Foo { a }) {}")) == [("run", "Confirm", 1)]
 
 
+def test_guard_spans_with_arms_and_closures():
+    text = """fn f() {
+    match x {
+        Connector::A | Connector::B => one(),
+        Connector::C if y => {
+            two();
+        }
+        E { a, .. } => three(Some(1), 2),
+        _ => four(),
+    }
+    if a { b() } else if c {
+        d()
+    } else {
+        e();
+    }
+    run(|item| {
+        g(item)
+    });
+}
+"""
+    spans = list(rust.guard_spans(text))
+    assert [(lo, hi, arm) for lo, hi, _, kind, _, arm in spans if kind == "match"] == [
+        (2, 9, None), (3, 3, "Connector::A | Connector::B"), (4, 6, "Connector::C if y"), (7, 7, "E { a, .. }"), (8, 8, "_")]
+    assert [(lo, hi, c) for lo, hi, _, kind, c, _ in spans if kind == "if"] == [(10, 14, "a"), (10, 14, "c")]
+    assert [(lo, hi) for lo, hi, _, kind, _, _ in spans if kind == "stop"] == [(1, 18), (15, 17)]
+
+
+def test_noise_is_no_call():
+    names = "map_err into_iter spawn flatten try_from attach_printable change_context get_id push some_call"
+    assert [c for _, _, c, _ in rust.body_calls("fn f() { " + "; ".join(f"x.{n}()" for n in names.split()) + " }")] == ["get_id", "some_call"]
+
+
 def test_routes_and_gates():
     text = 'web::scope("/payments")\n  .service(\n    web::resource("/{id}/confirm")\n      .route(web::post().to(payments::confirm)))\n  .service(web::resource("").route(web::get().to(list)))\nweb::scope("/v2/x")\n  .route(web::get().to(gone))\n'
     assert list(rust.routes(text)) == [("POST", "/payments/{id}/confirm", "confirm", 0), ("GET", "/payments", "list", 1)]

@@ -101,16 +101,17 @@ def annotate_types(edges: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def innermost_guard(points: DataFrame, spans: DataFrame, cell: int = 64) -> DataFrame:
-    """points (file, line, id) with the deepest of spans (file, lo, hi, depth, kind) that holds their line.
+    """points (file, line, id) with what spans (file, lo, hi, depth, kind, ...) say of the deepest that holds their line.
 
-    A containment join without a per-file cross product: spans are filed under every cell of lines
-    they touch, points under theirs.
+    Of equally deep ones the one that starts last. A containment join without a per-file cross
+    product: spans are filed under every cell of lines they touch, points under theirs.
     """
+    more = [c for c in spans.columns if c not in ("file", "lo", "hi", "depth")]
     filed = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
     own = points.withColumn("cell", F.floor(F.col("line") / cell))
     hit = own.join(filed, ["file", "cell"]).where("line BETWEEN lo AND hi")
-    best = hit.groupBy("id").agg(F.max(F.struct("depth", "lo", "kind")).alias("g"))
-    return points.join(best, "id", "left").select("id", "file", "line", "g.kind", "g.depth")
+    best = hit.groupBy("id").agg(F.max(F.struct("depth", "lo", *more)).alias("g"))
+    return points.join(best, "id", "left").select("id", "file", "line", *[F.col(f"g.{c}").alias(c) for c in more], "g.depth")
 
 
 def guard_distribution(calls: DataFrame) -> DataFrame:
@@ -258,15 +259,3 @@ def resolve_symbol(functions: DataFrame, name: str) -> DataFrame:
     ranked = functions.withColumn("rank", rank).where("rank IS NOT NULL")
     least = ranked.agg(F.min("rank").alias("least"))
     return ranked.join(F.broadcast(least), ranked["rank"] == least["least"]).drop("least")
-
-
-def repair_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Edges to a method of another type than the caller's own: the edge to the own type's method instead."""
-    ends = functions.select("symbol", "name", "file")
-    a = ends.select(F.col("symbol").alias("caller"), F.col("name").alias("caller_name"))
-    b = ends.select(F.col("symbol").alias("callee"), F.col("name").alias("callee_name"), F.col("file").alias("callee_file"))
-    own = F.split_part(F.col("caller_name"), F.lit("#"), F.lit(1))
-    wrong = calls.join(a, "caller").join(b, "callee").where(F.col("callee_name").rlike("^[A-Za-z]+#[A-Za-z]+#") & ~F.contains("callee_file", F.lower(own)))
-    wanted = F.concat_ws("#", own, F.split_part("callee_name", F.lit("#"), F.lit(2)), F.split_part("callee_name", F.lit("#"), F.lit(3)))
-    right = ends.select(F.col("symbol").alias("repaired"), F.col("name").alias("wanted"))
-    return wrong.withColumn("wanted", wanted).join(right, "wanted").select("caller", "callee", "repaired").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import assembly as A
 from tidemark.operators import graph as G
 from tidemark.plans.views import oracle, select, view
 from tidemark.registry import register
@@ -306,30 +307,170 @@ def endpoint_tagging(spark, sf):
     return G.tag_endpoints(view(spark, sf, "v_fn"), select(spark, sf, _ROUTES))
 
 
+# connectors' request builders, helpers in their own or another's file, headers and authorisation; some connectors lack one or the other
+_REPAIR_FN = (
+    "SELECT concat('A', s_suppkey) AS symbol, concat('Acme', s_nationkey, '#ConnectorIntegration<Flow', s_suppkey % 3, '>#build_request') AS name, concat('crates/acme', s_nationkey, '.rs') AS file FROM supplier"
+    " UNION ALL SELECT concat('B', n_nationkey), CASE WHEN n_nationkey % 5 = 4 THEN 'other_helper' WHEN n_nationkey % 2 = 0 THEN 'get_headers' ELSE 'get_content_type' END, concat('crates/acme', n_nationkey, '.rs') FROM nation"
+    " UNION ALL SELECT concat('C', n_nationkey), concat('Acme', n_nationkey, '#ConnectorIntegration#get_headers'), 'crates/x.rs' FROM nation WHERE n_regionkey <> 3"
+    " UNION ALL SELECT concat('D', n_nationkey), concat('Acme', n_nationkey, '#ConnectorCommon#get_auth_header'), 'crates/x.rs' FROM nation WHERE n_regionkey <> 1"
+)
+_REPAIR_CALLS = "SELECT concat('A', s_suppkey) AS caller, concat('B', (s_nationkey + s_suppkey % 3) % 25) AS callee FROM supplier UNION ALL SELECT concat('C', n_nationkey), concat('D', n_nationkey) FROM nation WHERE n_regionkey = 4"
+
+
 @register(
-    "trait_summary_topk",
-    oracle("SELECT p_brand AS trait, count(*) AS impls, count(DISTINCT p_type) AS types FROM part GROUP BY p_brand ORDER BY impls DESC, trait LIMIT 10"),
+    "edge_repair",
+    oracle(
+        "SELECT DISTINCT caller, callee FROM ("
+        " SELECT a.symbol AS caller, h.symbol AS callee FROM c JOIN f a ON c.caller = a.symbol JOIN f b ON c.callee = b.symbol JOIN f h ON h.name = split_part(a.name, '#', 1) || '#ConnectorIntegration#get_headers'"
+        " WHERE regexp_matches(a.name, '#ConnectorIntegration<.*>#build_request$') AND b.name IN ('get_headers', 'get_content_type') AND NOT contains(b.file, lower(split_part(a.name, '#', 1)))"
+        " UNION ALL SELECT h.symbol, d.symbol FROM f h JOIN f d ON d.name = split_part(h.name, '#', 1) || '#ConnectorCommon#get_auth_header' WHERE regexp_matches(h.name, '#ConnectorIntegration#get_headers$'))"
+        " WHERE (caller, callee) NOT IN (SELECT (caller, callee) FROM c)",
+        f"f AS ({_REPAIR_FN})", f"c AS ({_REPAIR_CALLS})",
+    ),
 )
-def trait_summary_topk(spark, sf):
-    part = select(spark, sf, "SELECT p_brand, p_type FROM part")
-    out = part.groupBy(F.col("p_brand").alias("trait")).agg(F.count(F.lit(1)).alias("impls"), F.countDistinct("p_type").alias("types"))
-    return out.orderBy(F.desc("impls"), "trait").limit(10)
+def edge_repair(spark, sf):
+    return A.repair_edges(select(spark, sf, _REPAIR_FN), select(spark, sf, _REPAIR_CALLS))
 
 
-_REPAIR_FN = (
-    "SELECT concat('A', s_suppkey) AS symbol, concat('Acme', chr(CAST(65 + s_nationkey AS INT)), '#Flow#build') AS name, concat('crates/acme', lower(chr(CAST(65 + s_nationkey AS INT))), '.rs') AS file FROM supplier"
-    " UNION ALL SELECT concat('B', n_nationkey), concat('Acme', chr(CAST(65 + n_nationkey AS INT)), '#Common#headers'), concat('crates/acme', lower(chr(CAST(65 + n_nationkey AS INT))), '.rs') FROM nation"
+# suppliers' methods as implementations of traits, some at places that no function of the index has
+_IMPLS = (
+    "SELECT concat('crates/n', s_nationkey, '/s.rs') AS file, concat('Trait', s_nationkey % 4) AS trait, CASE WHEN s_suppkey % 3 = 0 THEN 'Auth,Data' WHEN s_suppkey % 3 = 1 THEN 'T' ELSE '' END AS trait_args,"
+    " concat('Type', s_suppkey % 9) AS type, concat('m', s_nationkey % 3) AS method, CAST(s_suppkey % 50 AS INT) AS line FROM supplier"
+)
+_IMPL_FN = (
+    "SELECT concat('F', s_suppkey) AS symbol, concat('fn', s_suppkey % 40) AS name, concat('crates/n', s_nationkey, '/s.rs') AS file, CAST(min(s_suppkey % 50) AS INT) AS def_line FROM supplier WHERE s_acctbal > 2000 GROUP BY s_suppkey, s_nationkey"
+    " UNION ALL SELECT concat('T', n_nationkey), concat('Trait', n_nationkey % 4, '#m', n_nationkey % 3), concat('crates/n', n_nationkey, '/t.rs'), 1 FROM nation"
+)
+_KEY = "trait || '|' || type || '|' || trait_args || '|' || method"
+_RANKED = (
+    f"i AS ({_IMPLS})", f"f AS ({_IMPL_FN})",
+    "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY type DESC, trait_args DESC) AS rn FROM i) WHERE rn = 1)",
+    "miss AS (SELECT 'synthetic://' || file || '::' || line AS symbol, type || '#' || trait || CASE WHEN trait_args = '' THEN '' ELSE '<' || trait_args || '>' END || '#' || method AS name, file, line AS def_line FROM"
+    " (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY type, trait_args) AS rn FROM i) WHERE rn = 1 AND (file, line) NOT IN (SELECT (file, def_line) FROM f))",
+    "fs AS (SELECT * FROM f UNION ALL SELECT * FROM miss)",
 )
-_REPAIR_CALLS = "SELECT concat('A', s_suppkey) AS caller, concat('B', (s_nationkey + s_suppkey % 3) % 25) AS callee FROM supplier"
+
+
+def _impl_frames(spark, sf):
+    rows = A.triples(select(spark, sf, _IMPLS))
+    functions = select(spark, sf, _IMPL_FN)
+    return A.with_missing_nodes(functions, rows), rows
 
 
 @register(
-    "edge_repair",
+    "annotated_nodes",
     oracle(
-        f"SELECT DISTINCT c.caller, c.callee, r.symbol AS repaired FROM ({_REPAIR_CALLS}) c JOIN ({_REPAIR_FN}) a ON c.caller = a.symbol JOIN ({_REPAIR_FN}) b ON c.callee = b.symbol"
-        f" JOIN ({_REPAIR_FN}) r ON r.name = split_part(a.name, '#', 1) || '#' || split_part(b.name, '#', 2) || '#' || split_part(b.name, '#', 3)"
-        " WHERE regexp_matches(b.name, '^[A-Za-z]+#[A-Za-z]+#') AND NOT contains(b.file, lower(split_part(a.name, '#', 1)))"
+        f"SELECT fs.symbol, fs.name, fs.file, def_line, trait AS impl_trait, type AS impl_type, trait_args AS impl_trait_args, method AS impl_method, {_KEY} AS impl_spec_key"
+        " FROM fs LEFT JOIN last ON fs.file = last.file AND fs.def_line = last.line", *_RANKED,
     ),
 )
-def edge_repair(spark, sf):
-    return G.repair_edges(select(spark, sf, _REPAIR_FN), select(spark, sf, _REPAIR_CALLS))
+def annotated_nodes(spark, sf):
+    return A.annotate_nodes(*_impl_frames(spark, sf))
+
+
+_BEST = (
+    "best AS (SELECT aname, file, symbol AS abstract FROM (SELECT x.aname, x.file, fs.symbol, row_number() OVER (PARTITION BY x.aname, x.file ORDER BY"
+    " len(list_filter(range(1, least(length(x.file), length(fs.file)) + 1), lambda k: left(x.file, k) = left(fs.file, k))) DESC, fs.symbol) AS rn"
+    " FROM (SELECT DISTINCT trait || '#' || method AS aname, file FROM i) x JOIN fs ON fs.name = x.aname) WHERE rn = 1)",
+    "impl_edges AS (SELECT concrete, abstract, type AS impl_type, trait AS trait_name, trait_args, method, spec_key FROM (SELECT fs.symbol AS concrete, b.abstract, i.*,"
+    f" {_KEY} AS spec_key, row_number() OVER (PARTITION BY fs.symbol, b.abstract ORDER BY i.type DESC, i.trait_args DESC) AS rn"
+    " FROM i JOIN best b ON b.aname = i.trait || '#' || i.method AND b.file = i.file JOIN fs ON fs.file = i.file AND fs.def_line = i.line) WHERE rn = 1)",
+)
+
+
+@register("implements_edges", oracle("SELECT * FROM impl_edges", *_RANKED, *_BEST))
+def implements_edges(spark, sf):
+    return A.implements(*_impl_frames(spark, sf)).withColumn("trait_args", F.array_join("trait_args", ","))
+
+
+@register("trait_map", oracle("SELECT trait, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM fs JOIN last ON fs.file = last.file AND fs.def_line = last.line GROUP BY trait", *_RANKED))
+def trait_map(spark, sf):
+    return A.trait_map(A.annotate_nodes(*_impl_frames(spark, sf))).withColumn("types", F.array_join("types", ","))
+
+
+# notes of types at places: some by a turbofish, some by a bound variable; bodies of implemented methods with names they call
+_GENERIC = "SELECT concat('f', l_suppkey % 40) AS file, concat('go', l_partkey % 30) AS callee, concat('Ty', l_linenumber) AS type_param, CAST(l_orderkey % 400 AS INT) AS line FROM lineitem WHERE l_returnflag = 'R'"
+_BOUND = "SELECT concat('f', l_suppkey % 40) AS file, concat('go', l_partkey % 30) AS callee, concat('Al', l_linenumber) AS type_param, CAST(l_orderkey % 400 AS INT) AS line FROM lineitem WHERE l_returnflag = 'N'"
+_ALIASES = "SELECT concat('f', n_nationkey) AS file, concat('Al', n_nationkey % 5) AS alias, concat('Real', n_nationkey) AS type, CAST(n_nationkey AS INT) AS ord FROM nation"
+
+
+@register(
+    "merged_call_notes",
+    oracle(
+        "SELECT file, callee, type_param, line, count(*) AS n FROM (SELECT * FROM g UNION ALL SELECT file, callee, type_param, line FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY callee, type_param) AS rn"
+        " FROM (SELECT b.file, callee, coalesce(a.type, type_param) AS type_param, line FROM b LEFT JOIN (SELECT alias, arg_max(type, (file, ord)) AS type FROM al GROUP BY alias) a ON a.alias = b.type_param)"
+        " WHERE (file, line) NOT IN (SELECT (file, line) FROM g)) WHERE rn = 1) GROUP BY ALL",
+        f"g AS ({_GENERIC})", f"b AS ({_BOUND})", f"al AS ({_ALIASES})",
+    ),
+)
+def merged_call_notes(spark, sf):
+    generic, bound, aliases = (select(spark, sf, q) for q in (_GENERIC, _BOUND, _ALIASES))
+    return A.merge_calls(generic, A.resolve_aliases(bound, aliases)).groupBy("file", "callee", "type_param", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+_METHOD_BODIES = "SELECT concat('crates/n', s_nationkey, '/s.rs') AS file, CAST(s_suppkey % 50 AS INT) AS function_line, concat('fn', (s_suppkey * 7 + n_nationkey) % 60) AS callee, CAST(100 + n_nationkey AS INT) AS line FROM supplier, nation"
+_KNOWN_CALLS = "SELECT concat('F', s_suppkey) AS caller, concat('F', s_suppkey % 10) AS callee, 'x.rs' AS file, CAST(s_suppkey AS INT) AS line FROM supplier"
+
+
+@register(
+    "synthetic_calls",
+    oracle(
+        "SELECT caller, callee, file, line, false AS synthetic FROM k UNION ALL SELECT caller, callee, file, line, true FROM (SELECT c.symbol AS caller, u.symbol AS callee, b.file, min(b.line) AS line FROM b"
+        " JOIN fs c ON c.file = b.file AND c.def_line = b.function_line JOIN (SELECT name, min(symbol) AS symbol FROM fs WHERE NOT contains(name, '#') GROUP BY name HAVING count(*) = 1) u ON u.name = b.callee"
+        " WHERE (b.file, b.function_line) IN (SELECT (file, line) FROM i) GROUP BY ALL) WHERE (caller, callee) NOT IN (SELECT (caller, callee) FROM k)",
+        *_RANKED, f"b AS ({_METHOD_BODIES})", f"k AS ({_KNOWN_CALLS})",
+    ),
+)
+def synthetic_calls(spark, sf):
+    functions, rows = _impl_frames(spark, sf)
+    return A.synthetic_calls(functions, rows, select(spark, sf, _METHOD_BODIES), select(spark, sf, _KNOWN_CALLS))
+
+
+_PLACED_CALLS = "SELECT concat('S', l_suppkey) AS caller, concat('P', l_partkey) AS callee, concat('f', l_suppkey % 50) AS file, CAST(min(l_orderkey % 1000) AS INT) AS line FROM lineitem GROUP BY l_suppkey, l_partkey"
+_GUARD_SPANS = (
+    "SELECT concat('f', o_custkey % 50) AS file, CAST(o_orderkey % 1000 AS INT) AS lo, CAST(o_orderkey % 1000 + CAST(floor(o_totalprice) AS BIGINT) % 40 AS INT) AS hi, CAST(o_orderkey AS INT) AS depth,"
+    " CASE o_orderkey % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'match' ELSE 'if' END AS kind, concat('c', o_custkey % 9) AS condition, CASE WHEN o_orderkey % 4 = 1 THEN concat('Connector::C', o_custkey % 5) END AS arm FROM orders"
+)
+
+
+@register(
+    "guarded_calls",
+    oracle(
+        "SELECT caller, callee, c.file, c.line, CASE WHEN g.kind <> 'stop' THEN g.kind END AS guard_type, CASE WHEN g.kind <> 'stop' THEN g.condition END AS guard_condition, CASE WHEN g.kind <> 'stop' THEN g.arm END AS match_arm"
+        " FROM c LEFT JOIN (SELECT p.file, p.line, arg_max({'kind': kind, 'condition': condition, 'arm': arm}, (depth, lo)) AS g FROM (SELECT DISTINCT file, line FROM c) p JOIN s ON p.file = s.file AND p.line BETWEEN lo AND hi GROUP BY ALL) t"
+        " ON t.file = c.file AND t.line = c.line",
+        f"c AS ({_PLACED_CALLS})", f"s AS ({_GUARD_SPANS})",
+    ),
+)
+def guarded_calls(spark, sf):
+    return A.guard_calls(select(spark, sf, _PLACED_CALLS), select(spark, sf, _GUARD_SPANS))
+
+
+@register(
+    "graph_summary",
+    oracle(
+        "SELECT 'functions_with_trait' AS measure, count(*) AS n FROM fs JOIN last ON fs.file = last.file AND fs.def_line = last.line UNION ALL SELECT 'implements', count(*) FROM impl_edges"
+        " UNION ALL SELECT 'calls_with_type', count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'synthetic_calls', count(*) FILTER (WHERE l_linenumber > 3) FROM lineitem",
+        *_RANKED, *_BEST,
+    ),
+)
+def graph_summary(spark, sf):
+    functions, rows = _impl_frames(spark, sf)
+    calls = select(spark, sf, "SELECT CASE WHEN l_returnflag = 'R' THEN 'T' END AS type_param, l_linenumber > 3 AS synthetic FROM lineitem")
+    return A.summary(A.annotate_nodes(functions, rows), calls, A.implements(functions, rows))
+
+
+@register(
+    "trait_summary_topk",
+    oracle("SELECT trait, count(*) AS impls FROM fs JOIN last ON fs.file = last.file AND fs.def_line = last.line GROUP BY trait ORDER BY impls DESC, trait LIMIT 10", *_RANKED),
+)
+def trait_summary_topk(spark, sf):
+    return A.top_traits(A.annotate_nodes(*_impl_frames(spark, sf)))
+
+
+_OCCURRENCES = "SELECT concat('S', l_partkey) AS symbol, concat('f', l_suppkey) AS file, l_orderkey AS doc_idx, l_linenumber AS occ_idx FROM lineitem"
+
+
+@register("first_definitions", oracle(f"SELECT symbol, doc_idx, min(occ_idx) AS occ_idx FROM (SELECT *, min(doc_idx) OVER (PARTITION BY symbol) AS d FROM ({_OCCURRENCES})) WHERE doc_idx = d GROUP BY symbol, doc_idx"))
+def first_definitions(spark, sf):
+    return G.first_definitions(select(spark, sf, _OCCURRENCES)).select("symbol", "doc_idx", "occ_idx")

@@ -15,8 +15,15 @@ from dataclasses import dataclass
 _LITERAL = re.compile(
     r"""//[^\n]*|/\*.*?(?:\*/|\Z)|\bb?r(?P<h>\#*)".*?(?:"(?P=h)|\Z)|b?"(?:[^"\\]|\\.)*(?:"|\Z)|b?'(?:\\.[^']*|[^'\\\n])'""", re.S
 )
+_ELSE = re.compile(r"\s*else\b")
 # Names too common to tell a callee, and what a control keyword is reported as.
-NOISE = frozenset("clone into iter map unwrap expect push from default some none ok_or and_then collect to_string as_ref is_some is_none".split())
+NOISE = frozenset(
+    "map ok err into from unwrap expect clone len push pop get set new default iter collect flatten filter and_then or_else ok_or ok_or_else map_err"
+    " is_some is_none is_empty to_string to_owned as_ref as_mut as_str try_from try_into into_iter next await lock read write send recv spawn box_err"
+    " change_context attach_printable".split()
+)
+#: Shortest name of a callee that is looked at, and the longest text of a condition that is kept.
+NAME_CHARS, CONDITION_CHARS = 4, 300
 GUARDS = {"if": "if", "match": "match", "while": "while", "for": "for"}
 
 
@@ -41,6 +48,25 @@ class Lines:
         return bisect.bisect_right(self.starts, offset)
 
 
+class Braces:
+    """Depth of every offset, and where what opens closes, from one pass."""
+
+    def __init__(self, code: str):
+        self.at, self.depths, self.ends, open_ = [], [], {}, []
+        for m in re.finditer(r"[{}]", code):
+            if m[0] == "{":
+                open_.append(m.start())
+            elif open_:
+                self.ends[open_.pop()] = m.start()
+            self.at.append(m.start())
+            self.depths.append(len(open_))
+
+    def depth(self, offset: int) -> int:
+        """How many braces are open before offset."""
+        k = bisect.bisect_left(self.at, offset)
+        return self.depths[k - 1] if k else 0
+
+
 def closing(code: str, start: int, pair: str = "{}") -> int:
     """Offset of what closes the bracket at start, or -1."""
     depth = 0
@@ -175,35 +201,73 @@ def bound_calls(text: str) -> Iterator[tuple]:
 
 
 def body_calls(text: str) -> Iterator[tuple]:
-    """(function, function_line, callee) of the calls in every body: names of four letters or more that are not noise."""
+    """(function, function_line, callee, line) of the calls in every body, each callee once: names of NAME_CHARS letters or more that are not noise."""
     code = mask(text)
+    at = Lines(code)
     for f in functions(code):
-        names = re.findall(r"\b([a-z_]\w{3,})\s*(?:::<[^;{}]*?>)?\(", code[f.body : f.end])
-        for name in sorted({n for n in names if n not in NOISE}):
-            yield f.name, f.line, name
+        first: dict[str, int] = {}
+        for m in re.finditer(r"\b([a-z_]\w*)\s*(?:::<[^;{}]*?>)?\(", code[f.body : f.end]):
+            if len(m[1]) >= NAME_CHARS and m[1] not in NOISE:
+                first.setdefault(m[1], at.of(f.body + m.start()))
+        for name, line in sorted(first.items()):
+            yield f.name, f.line, name, line
 
 
 def guard_spans(text: str) -> Iterator[tuple]:
-    """(lo, hi, depth, kind, condition) of every block under a condition; functions and closures stop the search outwards."""
+    """(lo, hi, depth, kind, condition, arm) of every block under a condition.
+
+    Functions and closures with a body of their own come as kind stop: the search outwards ends
+    there. A match comes once as a whole and once for each of its arms, with the arm's pattern.
+    """
     code = mask(text)
-    at = Lines(code)
+    at, braces = Lines(code), Braces(code)
     for f in functions(code):
-        yield f.line, at.of(f.end), _depth(code, f.body), "stop", ""
+        yield f.line, at.of(f.end), braces.depth(f.body), "stop", "", None
+    for m in re.finditer(r"(?<=[(,=\s])(?:move\s+)?\|[^|;{}]*\|\s*(?:->\s*[\w:<>, ]+\s*)?(?:async\s+(?:move\s+)?)?(?=\{)", code):
+        if m.end() in braces.ends:
+            yield at.of(m.start()), at.of(braces.ends[m.end()]), braces.depth(m.end()), "stop", "", None
     for m in re.finditer(r"\b(if|match|while|for)\b", code):
         k = m.end()
         while k < len(code) and code[k] not in "{;":
             k = closing(code, k, "()") + 1 if code[k] == "(" and closing(code, k, "()") > 0 else k + 1
-        if k >= len(code) or code[k] != "{" or (end := closing(code, k)) < 0:
+        if k >= len(code) or code[k] != "{" or k not in braces.ends:
             continue
-        condition = re.sub(r"\s+", " ", text[m.end() : k]).strip()[:300]
+        if "=>" in code[m.end() : k]:
+            continue  # an arm's own condition
+        condition = re.sub(r"\s+", " ", text[m.end() : k]).strip()[:CONDITION_CHARS]
         if m[1] == "for" and " in " not in f" {condition} ":
             continue
         kind = GUARDS[m[1]] + ("_let" if m[1] in ("if", "while") and condition.startswith("let ") else "")
-        yield at.of(k), at.of(end), _depth(code, k), kind, condition
-
-
-def _depth(code: str, offset: int) -> int:
-    return code.count("{", 0, offset) - code.count("}", 0, offset)
+        depth, end = braces.depth(k), braces.ends[k]
+        while m[1] == "if" and (other := _ELSE.match(code, end + 1)) and (brace := code.find("{", other.end())) in braces.ends:
+            end = braces.ends[brace]  # what stands under else depends on the condition as well
+        yield at.of(m.start()), at.of(end), depth, kind, condition, None
+        if kind == "match":
+            for start, stop, pattern in arms(text, code, k + 1, end):
+                yield at.of(start), at.of(stop), depth, kind, condition, pattern[:CONDITION_CHARS]
+
+
+def arms(text: str, code: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """(first offset, last offset, pattern) of the arms of the match block between start and end."""
+    depth, pattern, arrow = 0, None, None
+    k = start
+    while k < end:
+        c = code[k]
+        if pattern is None and not c.isspace() and c != ",":
+            pattern = k
+        if arrow is None and depth == 0 and code.startswith("=>", k):
+            arrow = k
+            k += 2
+            continue
+        depth += (c in "([{") - (c in ")]}")
+        # an arm ends with a comma, or with the brace of its body
+        block = c == "}" and depth == 0 and arrow is not None and re.match(r"\s*\{", code[arrow + 2 : end]) is not None
+        if arrow is not None and depth == 0 and (c == "," or block):
+            yield pattern, k, re.sub(r"\s+", " ", text[pattern:arrow]).strip()
+            pattern = arrow = None
+        k += 1
+    if arrow is not None:
+        yield pattern, end, re.sub(r"\s+", " ", text[pattern:arrow]).strip()
 
 
 def public_functions(text: str) -> Iterator[tuple]:
