@@ -134,12 +134,63 @@ def test_impact_type_parameter_becomes_the_lock(spark):
 
 
 def test_gate_and_false_edges(spark):
-    ends = spark.createDataFrame([("x", ["x", "gated", "t"]), ("y", ["y", "gated", "t"]), ("z", ["z", "t"]), ("w", ["w", "gated", "t"])], "handler string, chain array<string>")
-    gates = spark.createDataFrame([("Start", "always_false"), ("Confirm", "conditional"), ("_default", "always_true")], "op string, gate string")
-    ops = spark.createDataFrame([("x", "Start"), ("y", "Confirm"), ("z", "Start"), ("w", "Other")], "handler string, op string")
-    assert {r.handler: r.conditional for r in I.gate(ends, gates, ["gated"], ops).collect()} == {"y": True, "z": False, "w": False}
-    bodies = spark.createDataFrame([("x", "calls gated()"), ("y", "calls nothing")], "handler string, body string")
-    assert sorted(r.handler for r in I.prune_false_edges(ends, bodies).collect()) == ["w", "x", "z"]
+    inside = "call_connector_service"
+    ends = spark.createDataFrame(
+        [("x", ["x", inside, "t"]), ("y", ["y", inside, "t"]), ("z", ["z", "t"]), ("w", ["w", inside, "t"]), ("v", ["v", "helper", inside, "t"]), ("u", ["u", "payments_operation_core", "helper", inside])],
+        "handler string, chain array<string>")
+    gates = spark.createDataFrame([("Start", "always_false"), ("Confirm", "conditional"), ("_default", "always_false")], "op string, gate string")
+    ops = spark.createDataFrame([("x", "Start", True), ("y", "Confirm", False), ("z", "Start", True), ("w", "Other", False), ("helper", "Unheard", True)], "function string, op string, exact boolean")
+    found = {r.handler: r.connector_gate for r in I.gate(ends, gates, ops).collect()}
+    # x starts what never calls one; v hands on what no gate knows and takes the default; u's walk ends before the helper
+    assert found == {"y": "conditional", "z": None, "w": "conditional", "u": "conditional"}
+    bodies = spark.createDataFrame([("x", f"calls {inside}()"), ("y", "calls nothing")], "handler string, body string")
+    assert sorted(r.handler for r in I.prune_false_edges(ends, bodies).collect()) == ["u", "v", "w", "x", "z"]
+    placed = ends.withColumns({"file": F.lit("f"), "def_line": F.when(F.col("handler") == "x", 10).otherwise(50)})
+    near = spark.createDataFrame([("f", 12, "nothing"), ("f", 54, "nothing")], "file string, def_line int, body string")
+    assert sorted(r.handler for r in I.prune_false_edges(placed, near).collect()) == ["u", "v", "w", "y", "z"]
+
+
+def test_flows_and_matrix(spark):
+    guards = [("h1 → a", "if", "if x.is_some()")]
+    rows = [
+        ("t", "POST", "/b", "h1", "Tr|Conn|A|m", ["h1", "a", "t"], guards), ("t", "POST", "/b", "h1", "Tr|Conn|A|m", ["h1", "z", "a", "t"], []), ("t", "GET", "/a", "h2", None, ["h2", "t"], []),
+        ("t", "PUT", "/c", "h3", None, ["h3", "t"], []), ("t", "PUT", "/c", "h4", None, ["h4", "t"], []),
+    ]
+    found = spark.createDataFrame([(*r, False) for r in rows], f"target string, http_method string, http_path string, handler string, spec string, chain array<string>, guards {I.GUARDS}, infeasible boolean")
+    ends = I.dedup_endpoints(found)
+    assert sorted((r.http_path, r.handler, len(r.chain)) for r in ends.collect()) == [("/a", "h2", 2), ("/b", "h1", 3), ("/c", "h3", 2), ("/c", "h4", 2)]
+    flows = {r.flow_id: r for r in I.build_flows(ends).collect()}
+    assert [(e.method, e.path, e.handler) for e in flows[1].endpoints] == [("GET", "/a", "h2"), ("PUT", "/c", "h3")] and flows[1].description == "path through h2 → t"
+    assert (flows[2].description, flows[2].conditions_high, flows[2].conditions_missing, len(flows)) == ("x.is_some()", 1, 0, 2)
+    assert [(n.function, n.role, n.condition_type) for n in flows[2].nodes] == [("h1", "handler", "if"), ("a", "direct_caller", "unconditional"), ("t", "target", None)]
+    matrix = {r.endpoint: r for r in I.reachability(ends, I.build_flows(ends), spark.createDataFrame([("Conn",)], "connector string")).collect()}
+    assert {k: r.impact_status for k, r in matrix.items()} == {"GET /a": "Impacted", "POST /b": "Conditionally Impacted (via Conn)", "PUT /c": "Impacted"}
+    assert matrix["POST /b"].spec == "Tr|Conn|A|m" and [tuple(g) for g in matrix["POST /b"].guard_conditions] == [("h1", "if", "if x.is_some()")]
+
+
+def test_prerequisites(spark):
+    flows = spark.createDataFrame([(1, "ConnectorIntegration|Acme||m", "Acme", "ConnectorIntegration"), (2, "Op", "Op", None), (3, None, None, None)], "flow_id int, spec string, impl_type string, trait string")
+    said = spark.createDataFrame([(1, "profile.is_auto_retries_enabled"), (1, "profile.webhook_url.is_some()"), (2, "request.get_email().is_some()"), (3, "config.unheard")], "flow_id int, condition string")
+    ends = spark.createDataFrame(
+        [("a", True, "POST", "/account/{id}/toggle-auto-retries"), ("b", True, "PUT", "/account/{id}/business_profile"), ("c", True, "POST", "/profile"), ("d", True, "GET", "/profile/auto/retries")],
+        "symbol string, is_endpoint boolean, http_method string, http_path string")
+    fields = spark.createDataFrame([("ProfileUpdate", "webhook_url"), ("Other", "unheard")], "struct string, field string")
+    found = {(r.flow_id, r.rule): (r.kind, r.field, r.value) for r in I.prerequisites(flows, said, ends, fields).collect()}
+    assert found == {
+        (1, 1): ("profile_config", "is_auto_retries_enabled", "POST /account/{id}/toggle-auto-retries"), (1, 2): ("profile_config", "webhook_url", "PUT /account/{id}/business_profile"),
+        (1, 3): ("concrete_type", "connector", "Acme"), (2, 3): ("concrete_type", "operation_type", "Op"), (2, 4): ("request_field", "email", "true")}
+
+
+def test_dispatched_operations():
+    from tidemark.sources import rust
+
+    text = """fn a() { payments_core::<api::Capture, _>(state, payments::PaymentCapture, data) }
+fn b() { x::payments_operation_core::<PaymentCreate>(s) }
+fn c() { payments_core(PaymentUpdate::new(1), y) }
+fn d() { payments_core(PaymentsRequestData { a }, CompleteAuthorize { x: 1 }) }
+fn e() { other(PaymentX) }
+"""
+    assert list(rust.dispatched(text)) == [("a", 1, "PaymentCapture"), ("b", 2, "PaymentCreate"), ("c", 3, "PaymentUpdate"), ("d", 4, "CompleteAuthorize")]
 
 
 def test_verdicts_prompts_and_bodies(spark):
@@ -167,8 +218,8 @@ def test_lookups_of_the_impact_query(spark):
     import json
 
     one = spark.createDataFrame([(1, "x")], "a int, b string")
-    said = json.loads(I.document("f", one, one.limit(0), one).first().document)
-    assert (said["endpoint_count"], said["flow_count"], said["endpoints"]) == (1, 0, [{"a": 1, "b": "x"}])
+    said = [(r.section, json.loads(r.value)) for r in I.document('f"', one, one.limit(0), one).collect()]
+    assert said == [("head", {"changed_function": 'f"', "endpoint_count": 1, "flow_count": 0}), ("endpoints", {"a": 1, "b": "x"}), ("reachability_matrix", {"a": 1, "b": "x"})]
 
 
 def test_small_catalogue_and_report_lookups(spark):

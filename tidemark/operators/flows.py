@@ -109,12 +109,15 @@ def classify(scored: DataFrame) -> DataFrame:
 
 
 def derive_flow_name(paths: DataFrame, flow_endpoints: DataFrame) -> DataFrame:
-    """paths (path) with the flow (flow, path, ord) of the same path, else of the first whose part before /:id the path contains."""
-    known = flow_endpoints.select(F.col("path").alias("known"), "flow", "ord")
-    base = F.split_part("known", F.lit("/:id"), F.lit(1))
-    hit = paths.select("path").distinct().join(F.broadcast(known), (F.col("path") == F.col("known")) | ((base != "") & F.contains("path", base)))
-    best = F.min_by("flow", F.struct((F.col("path") != F.col("known")).alias("partial"), "ord"))
-    return paths.join(hit.groupBy("path").agg(best.alias("flow")), "path", "left")
+    """paths (path) with the flow (flow, path, ord) of the same path, else of the first whose part before /:id the path contains.
+
+    flow_endpoints is a fixed table of some forty rows; it is written into the plan as conditions,
+    so no join is needed.
+    """
+    known = sorted(flow_endpoints.select("flow", "path", "ord").collect(), key=lambda r: r["ord"])
+    exact = [F.when(F.col("path") == r["path"], F.lit(r["flow"])) for r in known]
+    part = [F.when(F.contains("path", F.lit(base)), F.lit(r["flow"])) for r in known if (base := r["path"].split("/:id")[0])]
+    return paths.withColumn("flow", F.coalesce(*exact, *part, F.lit(None).cast("string")))
 
 
 def check_flows(flows: DataFrame, grid: DataFrame, spec_path: DataFrame) -> DataFrame:

@@ -238,12 +238,12 @@ def infeasible(guards: Column) -> Column:
 def chain_roles(chains: DataFrame) -> DataFrame:
     """endpoint, target, pos, symbol, role of every step of every chain."""
     steps = chains.select("endpoint", "target", F.size("chain").alias("n"), F.posexplode("chain").alias("pos", "symbol"))
-    role = F.when(F.col("pos") == F.col("n") - 1, "target").when(F.col("pos") == 0, "handler").when(F.col("pos") == F.col("n") - 2, "direct_caller").otherwise("intermediate")
+    role = F.when(F.col("pos") == F.col("n") - 1, "target").when(F.col("pos") == F.col("n") - 2, "direct_caller").when(F.col("pos") == 0, "handler").otherwise("intermediate")
     return steps.select("endpoint", "target", "pos", "symbol", role.alias("role"))
 
 
 def flows(chains: DataFrame) -> DataFrame:
-    """Chains that share all but their endpoint, and their guards: flow_id, chain, guards, endpoints (sorted)."""
+    """Chains that share all but their endpoint, and their guards: tail (the chain without its start), guards, endpoints (sorted)."""
     rest = F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(0)))
     rows = chains.select(
         "endpoint", F.array_join(rest, ">").alias("tail"), F.array_join(F.transform("guards", lambda g: F.concat_ws("|", g["guard_type"], g["condition"])), ";").alias("guards")

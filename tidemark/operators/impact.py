@@ -216,26 +216,139 @@ def spec_json(spec: Column, is_connector: Column) -> Column:
     ))
 
 
-def gate(endpoints: DataFrame, gates: DataFrame, gated: list[str], op_of: DataFrame) -> DataFrame:
-    """endpoints (handler, chain, ...) through a gate that some chains pass: always_false ones go, conditional ones are marked.
+# Functions inside the gate that decides whether a connector is called, and where the walk for an operation ends.
+GATED = ("get_connector_data_with_routing_decision", "call_connector_service", "complete_connector_service", "call_multiple_connectors_service")
+WALK_ENDS = ("payments_operation_core", "get_connector_data_with_routing_decision")
+
+
+def named(found: DataFrame, functions: DataFrame) -> DataFrame:
+    """Endpoints of impact() as they are reported: http_method, http_path, handler, chain by names beside their other columns."""
+    names = functions.select("symbol", "name")
+    steps = found.withColumn("__id", F.struct("target", "endpoint", "chain", "spec")).select("__id", F.posexplode("chain").alias("pos", "symbol")).distinct()
+    steps = steps.join(names, "symbol", "left").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "symbol").alias("n")))).alias("steps"))
+    ends = functions.select(F.col("symbol").alias("endpoint"), F.col("name").alias("handler"), "http_method", "http_path")
+    rows = found.withColumn("__id", F.struct("target", "endpoint", "chain", "spec")).join(steps, "__id").join(ends, "endpoint")
+    return rows.withColumn("chain", F.transform("steps", lambda x: x["n"])).drop("steps", "__id")
+
+
+def dedup_endpoints(found: DataFrame) -> DataFrame:
+    """named() endpoints, of those of one target, method, path, handler and specialisation the one with the shortest chain (the least of equal ones)."""
+    keys = ["target", "http_method", "http_path", "handler", "spec"]
+    rest = [c for c in found.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(F.size("chain").alias("n"), F.array_join("chain", ">").alias("c")))
+    return found.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
-    op_of (handler, op) says which operation a handler starts; unknown operations take the gate of _default.
-    """
-    default = gates.where("op = '_default'").agg(F.first("gate").alias("default_gate"))
-    rows = endpoints.join(op_of, "handler", "left").join(gates.where("op <> '_default'"), "op", "left").crossJoin(F.broadcast(default))
-    passes = F.arrays_overlap("chain", F.array(*[F.lit(g) for g in gated])) if gated else F.lit(False)
-    value = F.when(passes & F.col("op").isNotNull(), F.coalesce("gate", "default_gate"))
-    rows = rows.withColumn("gate", value)
-    return rows.where("gate IS NULL OR gate <> 'always_false'").withColumn("conditional", F.coalesce(F.col("gate") == "conditional", F.lit(False))).drop("default_gate")
 
+def gate(endpoints: DataFrame, gates: DataFrame, op_of: DataFrame) -> DataFrame:
+    """endpoints (handler, chain by names, ...) through the gate that some chains pass, with connector_gate: null or 'conditional'.
 
-def prune_false_edges(endpoints: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Endpoints whose handler's text does call the second step of the chain by its bare name; those without a known text stay."""
-    rows = endpoints.join(bodies.select("handler", "body"), "handler", "left")
+    op_of (function, op, exact) says which operation a function starts, exact if it hands it on in a
+    call rather than mentions it. The handler's operation counts, else that of the first function on
+    the chain that has one, before the walk's ends. An exact operation that gates (op, gate) doesn't
+    know takes the gate of _default; any other unknown one is conditional. What is always false goes.
+    """
+    default = gates.where("op = '_default'").agg(F.first("gate").alias("default_gate"))
+    rows = endpoints.withColumn("__id", F.struct("handler", "chain"))
+    ops = op_of.groupBy("function").agg(F.max_by(F.struct("op", "exact"), F.struct("exact", "op")).alias("o")).select("function", "o.*")
+    passes = F.arrays_overlap("chain", F.array(*[F.lit(g) for g in GATED]))
+    ends = F.array_position(F.transform("chain", lambda c: c.isin(*WALK_ENDS) & (c != F.get("chain", F.lit(0)))), True)
+    walked = F.when(ends > 0, F.slice("chain", F.lit(1), (ends - 1).cast("int"))).otherwise(F.col("chain"))
+    steps = rows.where(passes).select("__id", F.posexplode(F.concat(F.array("handler"), F.slice(walked, 2, F.greatest(F.size(walked) - 1, F.lit(0))))).alias("pos", "function")).distinct()
+    found = steps.join(ops, "function").groupBy("__id").agg(F.min_by(F.struct("op", "exact"), "pos").alias("o")).select("__id", "o.*")
+    rows = rows.join(found, "__id", "left").join(gates.where("op <> '_default'"), "op", "left").crossJoin(F.broadcast(default))
+    value = F.when(~passes, None).when(F.col("exact"), F.coalesce("gate", "default_gate", F.lit("conditional"))).otherwise(F.coalesce("gate", F.lit("conditional")))
+    rows = rows.withColumn("connector_gate", value)
+    out = rows.where("connector_gate IS NULL OR connector_gate <> 'always_false'")
+    return out.select(*endpoints.columns, F.when(F.col("connector_gate") == "conditional", "conditional").alias("connector_gate"))
+
+
+def prune_false_edges(endpoints: DataFrame, bodies: DataFrame, tolerance: int = 3) -> DataFrame:
+    """Endpoints (handler, chain, ...) whose handler's text does call the second step of the chain by its bare name.
+
+    bodies (handler, body). Where endpoints say where the handler stands (file, def_line), bodies do
+    so too, and one that starts at most tolerance lines off counts; those without a known text stay.
+    """
     bare = F.element_at(F.split(F.get("chain", F.lit(1)), "#"), -1)
+    if "def_line" in endpoints.columns:
+        at = bodies.select("file", F.col("def_line").alias("body_line"), "body").withColumn("cell", F.explode(F.sequence(F.col("body_line") - tolerance, F.col("body_line") + tolerance)))
+        near = endpoints.select("file", "def_line").distinct().join(at, (endpoints["file"] == at["file"]) & (endpoints["def_line"] == at["cell"])).drop(at["file"])
+        near = near.groupBy("file", "def_line").agg(F.min_by("body", F.struct(F.abs(F.col("body_line") - F.col("def_line")).alias("d"), "body_line")).alias("body"))
+        rows = endpoints.join(near, ["file", "def_line"], "left")
+    else:
+        rows = endpoints.join(bodies.select("handler", "body"), "handler", "left")
     return rows.where(F.col("body").isNull() | F.contains("body", bare) | (F.size("chain") < 2)).drop("body")
 
 
+def chain_nodes(endpoints: DataFrame) -> DataFrame:
+    """endpoints with nodes: function, role, condition_type, condition of every step of their chain by names; the last guard of a hop counts."""
+    n = F.size("chain")
+
+    def node(name: Column, i: Column) -> Column:
+        role = F.when(i == n - 1, "target").when(i == n - 2, "direct_caller").when(i == 0, "handler").otherwise("intermediate")
+        hop = F.concat_ws(" → ", name, F.get("chain", i + 1))
+        own = F.element_at(F.filter("guards", lambda g: g["at_hop"] == hop), -1)
+        has = F.exists("guards", lambda g: g["at_hop"] == hop)
+        kind = F.when(i == n - 1, None).when(has, own["guard_type"]).otherwise("unconditional")
+        text = F.when(i == n - 1, None).when(has, own["condition"]).otherwise("unconditional")
+        return F.struct(name.alias("function"), role.alias("role"), kind.alias("condition_type"), text.alias("condition"))
+
+    return endpoints.withColumn("nodes", F.transform("chain", node))
+
+
+def build_flows(endpoints: DataFrame) -> DataFrame:
+    """flow_id, description, endpoints, chain, nodes, spec, conditions_high, conditions_missing of dedup_endpoints() rows.
+
+    Endpoints of one flow share all of the chain but its start, and the guards. Flows are numbered
+    within their target in the order of their first endpoint by path, method and specialisation,
+    and described by their first two conditions, else their specialisation, else their chain.
+    """
+    rows = chain_nodes(endpoints)
+    order = F.struct("http_path", "http_method", F.coalesce("spec", F.lit("")).alias("s"), "handler", F.array_join("chain", ">").alias("c"))
+    tail = F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(0)))
+    ends = F.array_sort(F.collect_list(F.struct(order.alias("o"), "http_method", "http_path", "handler")))
+    grouped = rows.groupBy("target", tail.alias("tail"), "guards").agg(
+        F.min(order).alias("first"), F.min_by(F.struct("chain", "nodes", "spec"), order).alias("r"), ends.alias("ends")
+    )
+    key = lambda e: F.concat_ws(" ", e["http_method"], e["http_path"])
+    once = F.filter("ends", lambda e, i: (i == 0) | ~F.array_contains(F.transform(F.slice("ends", F.lit(1), i), key), key(e)))
+    said = F.filter("r.nodes", lambda x: x["condition"].isNotNull() & ~F.contains(x["condition"], F.lit("unconditional")))
+    short = F.transform(F.slice(said, 1, 2), lambda x: F.left(F.trim(F.replace(x["condition"], F.lit("if "), F.lit(""))), F.lit(80)))
+    description = (
+        F.when(F.size(said) > 0, F.array_join(short, " + ")).when(F.col("r.spec").isNotNull(), F.concat(F.lit("via "), "r.spec"))
+        .otherwise(F.concat(F.lit("path through "), F.array_join(F.slice("r.chain", 1, 3), " → ")))
+    )
+    number = F.row_number().over(Window.partitionBy("target").orderBy("first"))
+    return grouped.select(
+        "target", number.cast("long").alias("flow_id"), description.alias("description"),
+        F.transform(once, lambda e: F.struct(e["http_method"].alias("method"), e["http_path"].alias("path"), e["handler"].alias("handler"))).alias("endpoints"),
+        F.col("r.chain").alias("chain"), F.col("r.nodes").alias("nodes"), F.col("r.spec").alias("spec"),
+        F.size(said).alias("conditions_high"), F.size(F.filter("r.nodes", lambda x: x["condition"].isNull() & (x["role"] != "target"))).alias("conditions_missing"),
+    )
+
+
+def reachability(endpoints: DataFrame, flows: DataFrame, connectors: DataFrame) -> DataFrame:
+    """target, endpoint, handler, chain, guard_conditions, impact_status, spec of each of dedup_endpoints(), by the first flow with its method and path.
+
+    connectors (connector): a flow whose specialisation is one of them makes the status say so.
+    """
+    of = flows.select("target", "flow_id", "nodes", F.col("spec").alias("flow_spec"), F.explode("endpoints").alias("e"))
+    first = of.groupBy("target", F.col("e.method").alias("http_method"), F.col("e.path").alias("http_path")).agg(F.min_by(F.struct("nodes", "flow_spec"), "flow_id").alias("f"))
+    rows = endpoints.join(first, ["target", "http_method", "http_path"], "left")
+    kind = F.when(F.size(F.split("f.flow_spec", "[|]")) > 1, F.split_part("f.flow_spec", F.lit("|"), F.lit(2))).otherwise(F.col("f.flow_spec"))
+    rows = rows.withColumn("connector", kind).join(connectors.withColumn("known", F.lit(True)), "connector", "left")
+    said = F.filter("f.nodes", lambda x: x["condition"].isNotNull() & (x["condition"] != "") & ~F.contains(F.lower(x["condition"]), F.lit("unconditional")))
+    said = F.transform(said, lambda x: F.struct(x["function"].alias("function"), x["condition_type"].alias("type"), F.left(x["condition"], F.lit(200)).alias("condition")))
+    rows = rows.withColumn("guard_conditions", F.coalesce(said, F.array().cast("array<struct<function:string,type:string,condition:string>>")))
+    status = (
+        F.when(F.size("guard_conditions") == 0, "Impacted").when(F.col("known"), F.concat(F.lit("Conditionally Impacted (via "), "connector", F.lit(")")))
+        .otherwise("Conditionally Impacted")
+    )
+    return rows.select(
+        "target", F.concat_ws(" ", "http_method", "http_path").alias("endpoint"), "handler", "chain", "guard_conditions", status.alias("impact_status"),
+        F.when(F.col("known"), F.col("f.flow_spec")).alias("spec"), "infeasible",
+    )
+
+
 def toggle_name(field: Column) -> Column:
     """A setting's name without the words that say it is a switch."""
     out = F.regexp_replace(field, "^(" + "|".join(TOGGLE_PREFIXES) + ")", "")
@@ -248,17 +361,64 @@ def profile_fields(conditions: DataFrame) -> DataFrame:
     return conditions.select("flow_id", "condition", F.explode(F.array_distinct(found)).alias("field"))
 
 
+def _path_words(path: Column) -> Column:
+    """Every run of whole words that a path holds, words joined by _ as in a field's name."""
+    words = F.filter(F.split(F.replace(path, F.lit("-"), F.lit("_")), "[^A-Za-z0-9]"), lambda w: w != "")
+    runs = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(i, F.size(words) - 1), lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), "_"))))
+    return F.array_distinct(F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<string>")))
+
+
 def toggle_endpoints(fields: DataFrame, functions: DataFrame) -> DataFrame:
-    """fields (flow_id, field) with the endpoint that switches them: a changing one under profile or account whose path has the field's name."""
+    """fields (flow_id, field) with the endpoint that switches them: a changing one under profile or account whose path has the field's name.
+
+    A name is looked up among the runs of whole words of the paths, so this is a join on equal
+    words; the least symbol of several endpoints.
+    """
     ends = functions.where("is_endpoint").select("http_method", "http_path", "symbol")
     ends = ends.where(F.col("http_method").isin(*CHANGING) & (F.contains("http_path", F.lit("profile")) | F.contains("http_path", F.lit("account"))))
-    name = toggle_name(F.col("field"))
-    hit = F.contains("http_path", F.col("name")) | F.contains("http_path", F.replace(F.col("name"), F.lit("_"), F.lit("-")))
-    rows = fields.withColumn("name", name).join(ends, hit)
+    ends = ends.withColumn("name", F.explode(_path_words(F.col("http_path"))))
+    rows = fields.withColumn("name", toggle_name(F.col("field"))).join(ends, "name")
     best = F.min_by(F.concat_ws(" ", "http_method", "http_path"), "symbol")
     return rows.groupBy("flow_id", "field").agg(best.alias("config_endpoint"))
 
 
+# What the structures are called that an update of a profile is made of.
+UPDATE_STRUCTS = ("Update", "Create", "Request")
+
+
+def prerequisites(flows: DataFrame, conditions: DataFrame, functions: DataFrame, struct_fields: DataFrame) -> DataFrame:
+    """flow_id, rule, kind, field, value, reason, confidence: what must hold before a flow can be entered.
+
+    conditions (flow_id, condition) are those along the flow's chain, but for its target's;
+    struct_fields (struct, field) the fields of structures; flows (flow_id, spec, impl_type, trait).
+    Rule 1: a profile's field that an endpoint switches. Rule 2: else one of an update's structure,
+    by the profile endpoint with the longest path. Rule 3: the type a flow is specialised to.
+    Rule 4: fields of the request. Rules 1 and 2 name each endpoint once per flow, the least field's.
+    """
+    read = profile_fields(conditions)
+    text = read.groupBy("flow_id", "field").agg(F.left(F.max("condition"), F.lit(100)).alias("reason"))
+    toggles = toggle_endpoints(text, functions)
+    wanted = F.lit(False)
+    for word in UPDATE_STRUCTS:
+        wanted = wanted | F.contains("struct", F.lit(word))
+    updates = struct_fields.where(wanted).select("field").distinct()
+    ends = functions.where(F.col("is_endpoint") & F.col("http_method").isin(*CHANGING) & F.contains("http_path", F.lit("profile")))
+    longest = ends.agg(F.min_by(F.concat_ws(" ", "http_method", "http_path"), F.struct((-F.length("http_path")).alias("n"), "symbol")).alias("config_endpoint"))
+    rest = text.join(toggles, ["flow_id", "field"], "left_anti").join(updates, "field", "left_semi").crossJoin(F.broadcast(longest)).where("config_endpoint IS NOT NULL")
+    both = text.join(toggles, ["flow_id", "field"]).select("flow_id", "field", "reason", "config_endpoint", F.lit(1).alias("rule"))
+    both = both.unionByName(rest.select("flow_id", "field", "reason", "config_endpoint", F.lit(2).alias("rule")))
+    once = both.groupBy("flow_id", "config_endpoint").agg(F.min(F.struct("rule", "field", "reason")).alias("r"))
+    profile = once.select("flow_id", "r.rule", F.lit("profile_config").alias("kind"), "r.field", F.col("config_endpoint").alias("value"), "r.reason", F.lit("high").alias("confidence"))
+    typed = flows.where("impl_type <> ''").select(
+        "flow_id", F.lit(3).alias("rule"), F.lit("concrete_type").alias("kind"), F.when(F.col("trait") == CONNECTOR_TRAIT, "connector").otherwise("operation_type").alias("field"),
+        F.col("impl_type").alias("value"), F.concat(F.lit("path only entered via "), F.coalesce("spec", "impl_type")).alias("reason"), F.lit("high").alias("confidence"),
+    )
+    asked = request_fields(conditions).select(
+        "flow_id", F.lit(4).alias("rule"), F.lit("request_field").alias("kind"), "field", F.col("required").cast("string").alias("value"), "reason", "confidence"
+    )
+    return profile.unionByName(typed).unionByName(asked)
+
+
 def request_fields(conditions: DataFrame) -> DataFrame:
     """flow_id, field, required, reason, confidence of the request fields that conditions read; each field once per flow."""
     found = F.regexp_extract_all("condition", F.lit(r"(?:request|req|payload)\.(?:get_)?(\w{3,})"), F.lit(1))
@@ -353,12 +513,13 @@ def operation_of(bodies: DataFrame, module: str = "payments", prefixes: tuple[st
 
 
 def document(changed: str, endpoints: DataFrame, flows: DataFrame, matrix: DataFrame) -> DataFrame:
-    """One row: the impact of a changed function as JSON, with its counts."""
-    gathered = lambda rows, name: rows.agg(F.array_sort(F.collect_list(F.to_json(F.struct("*")))).alias(name))
-    out = gathered(endpoints, "e").crossJoin(gathered(flows, "f")).crossJoin(gathered(matrix, "m"))
-    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
-    text = F.concat(
-        F.lit('{"changed_function":"' + changed.replace('"', '\\"') + '","endpoint_count":'), F.size("e").cast("string"), F.lit(',"flow_count":'), F.size("f").cast("string"),
-        F.lit(',"endpoints":'), listed("e"), F.lit(',"flows":'), listed("f"), F.lit(',"reachability_matrix":'), listed("m"), F.lit("}"),
-    )
-    return out.select(text.alias("document"))
+    """section, ord, value: the impact of a changed function as JSON, one value per row.
+
+    First the head with the counts, then the endpoints, flows and matrix rows. However many there
+    are, no row holds more than one of them; joined in order they are one document.
+    """
+    head = endpoints.agg(F.count(F.lit(1)).alias("endpoint_count")).crossJoin(flows.agg(F.count(F.lit(1)).alias("flow_count")))
+    out = head.select(F.lit("head").alias("section"), F.to_json(F.struct(F.lit(changed).alias("changed_function"), "endpoint_count", "flow_count")).alias("value"))
+    for name, rows in (("endpoints", endpoints), ("flows", flows), ("reachability_matrix", matrix)):
+        out = out.unionByName(rows.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("value")))
+    return out

@@ -140,8 +140,8 @@ def reachability_matrix(spark, sf):
 @register(
     "chain_roles",
     oracle(
-        "SELECT role, count(*) AS n, count(DISTINCT symbol) AS symbols FROM (SELECT symbol, CASE WHEN pos = n THEN 'target' WHEN pos = 1 THEN 'handler'"
-        " WHEN pos = n - 1 THEN 'direct_caller' ELSE 'intermediate' END AS role FROM (SELECT unnest(chain) AS symbol, generate_subscripts(chain, 1) AS pos, len(chain) AS n FROM best)) GROUP BY role",
+        "SELECT role, count(*) AS n, count(DISTINCT symbol) AS symbols FROM (SELECT symbol, CASE WHEN pos = n THEN 'target' WHEN pos = n - 1 THEN 'direct_caller'"
+        " WHEN pos = 1 THEN 'handler' ELSE 'intermediate' END AS role FROM (SELECT unnest(chain) AS symbol, generate_subscripts(chain, 1) AS pos, len(chain) AS n FROM best)) GROUP BY role",
         *_UP,
     ),
 )

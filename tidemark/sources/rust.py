@@ -270,6 +270,31 @@ def arms(text: str, code: str, start: int, end: int) -> Iterator[tuple[int, int,
         yield pattern, end, re.sub(r"\s+", " ", text[pattern:arrow]).strip()
 
 
+# Functions that are handed an operation to carry out, and how names of operations begin and those of mere data end.
+DISPATCHERS = ("payments_operation_core", "proxy_for_payments_operation_core", "payments_core")
+OPERATION, DATA = re.compile("Payment|Complete"), ("Data", "Response", "Request", "Types")
+
+
+def dispatched(text: str) -> Iterator[tuple]:
+    """(function, function_line, op) of functions that hand an operation on: the first type argument that is one, else the first argument."""
+    code = mask(text)
+    call = re.compile(rf"\b(?:{'|'.join(DISPATCHERS)})\s*(?P<types>::\s*<)?\(?")
+    for f in functions(code):
+        for m in call.finditer(code, f.body, f.end):
+            end = angle(code, m.end("types") - 1) if m["types"] else m.end() - 1
+            if code[end : end + 1] != "(":
+                continue
+            types = [short(a) for a in arguments(code[m.end("types") : end - 1])[:1]] if m["types"] else []
+            passed = arguments(code[end + 1 : closing(code, end, "()")])
+            # a struct or a path names its type; a call of Type::function names it before the last part
+            heads = [(re.match(r"&?\s*([A-Za-z_][\w:]*(?:<[^()]*>)?)\s*(\(?)", a), a) for a in passed]
+            named = [short(h[1].rsplit("::", 1)[0] if h[2] and "::" in h[1] else h[1]) for h, _ in heads if h and not (h[2] and "::" not in h[1])]
+            op = next((t for t in types if OPERATION.match(t)), None) or next((n for n in named if OPERATION.match(n) and not n.endswith(DATA)), None)
+            if op:
+                yield f.name, f.line, op
+                break
+
+
 def public_functions(text: str) -> Iterator[tuple]:
     """(name, line) of every public function."""
     for k, line in enumerate(text.split("\n"), 1):
