@@ -59,22 +59,43 @@ def uncovered_topk(files: DataFrame, lines: DataFrame, tag: str, file: str = "",
     return top.join(uncovered_lines(lines.where(F.col("tag") == tag), first), ["tag", "file"], "left").select("file", "line_missed", "missed", "more")
 
 
+METRICS = (("lines", "line"), ("functions", "func"), ("regions", "region"))
+
+
+def _totals(files: DataFrame, funcs: DataFrame) -> DataFrame:
+    """One row: files, functions, and covered and total of lines, functions and regions (null where the files have no regions)."""
+    f = funcs.agg(F.count_if(F.col("cnt") > 0).alias("func_covered"), F.count(F.lit(1)).alias("func_total"))
+    has = "region_total" in files.columns
+    region = [(F.sum(c) if has else F.lit(None).cast("long")).alias(c) for c in ("region_covered", "region_total")]
+    t = files.agg(F.count(F.lit(1)).alias("files"), F.sum("line_covered").alias("line_covered"), F.sum("line_total").alias("line_total"), *region)
+    return t.crossJoin(f)  # one row each
+
+
 def overall(files: DataFrame, funcs: DataFrame, tag: str) -> DataFrame:
-    """metric (lines, functions), covered, total, missed, pct."""
-    f = funcs.where(F.col("tag") == tag).agg(F.count_if(F.col("cnt") > 0).alias("fc"), F.count(F.lit(1)).alias("ft"))
-    t = files.where(F.col("tag") == tag).agg(F.sum("line_covered").alias("lc"), F.sum("line_total").alias("lt"))
-    rows = t.crossJoin(f).select(F.expr("stack(2, 'lines', lc, lt, 'functions', fc, ft) AS (metric, covered, total)"))
-    return rows.select("metric", "covered", "total", (F.col("total") - F.col("covered")).alias("missed"), percent(F.col("covered"), F.col("total")).alias("pct"))
+    """metric (lines, functions, regions), covered, total, missed, pct, and of the whole report files and functions."""
+    rows = _totals(files.where(F.col("tag") == tag), funcs.where(F.col("tag") == tag))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{c}_covered").cast("long").alias("covered"), F.col(f"{c}_total").cast("long").alias("total")) for m, c in METRICS])
+    rows = rows.select("files", F.col("func_total").alias("functions"), F.explode(each).alias("m")).select("m.*", "files", "functions")
+    pct = F.when(F.col("total").isNotNull(), percent(F.col("covered"), F.col("total")))
+    return rows.select("metric", "covered", "total", (F.col("total") - F.col("covered")).alias("missed"), pct.alias("pct"), "files", "functions")
+
+
+def _of_connector(rows: DataFrame, tag: str, name: str) -> DataFrame:
+    return rows.where((F.col("tag") == tag) & F.contains(F.lower("file"), F.lit(name.lower())))
 
 
 def connector(files: DataFrame, funcs: DataFrame, tag: str, name: str) -> DataFrame:
-    """One row: line and function sums over the files whose path contains name in any case."""
-    hit = (F.col("tag") == tag) & F.contains(F.lower("file"), F.lit(name.lower()))
-    t = files.where(hit).agg(F.count(F.lit(1)).alias("files"), F.sum("line_covered").alias("line_covered"), F.sum("line_total").alias("line_total"))
-    f = funcs.where(hit).agg(F.count_if(F.col("cnt") > 0).alias("func_covered"), F.count(F.lit(1)).alias("func_total"))
-    return t.crossJoin(f).select(
-        "*", percent(F.col("line_covered"), F.col("line_total")).alias("line_pct"), percent(F.col("func_covered"), F.col("func_total")).alias("func_pct")
-    )
+    """One row: line, function and region sums and their shares over the files whose path contains name in any case."""
+    t = _totals(_of_connector(files, tag, name), _of_connector(funcs, tag, name))
+    return t.select("files", *[x for _, c in METRICS for x in (f"{c}_covered", f"{c}_total", percent(F.col(f"{c}_covered"), F.col(f"{c}_total")).alias(f"{c}_pct"))])
+
+
+def connector_files(files: DataFrame, funcs: DataFrame, tag: str, name: str) -> DataFrame:
+    """The files behind connector(), each with its lines and functions, least covered first."""
+    own = _of_connector(funcs, tag, name).groupBy("file").agg(F.count_if(F.col("cnt") > 0).alias("func_covered"), F.count(F.lit(1)).alias("func_total"))
+    rows = with_percent(_of_connector(files, tag, name)).join(own, "file", "left").fillna(0, ["func_covered", "func_total"])
+    rows = rows.select("file", "line_covered", "line_total", F.col("pct").alias("line_pct"), "func_covered", "func_total", percent(F.col("func_covered"), F.col("func_total")).alias("func_pct"))
+    return rows.orderBy("line_pct", "file")
 
 
 def function_tested(funcs: DataFrame, tag: str, name: str, limit: int = 5) -> DataFrame:
@@ -115,17 +136,45 @@ def search_function(funcs: DataFrame, tag: str, name: str) -> DataFrame:
     return funcs.where((F.col("tag") == tag) & (F.col("cnt") == 0) & F.contains(F.lower("func_name"), F.lit(name.lower()))).select("file", "func_name", "start_line")
 
 
-def compare(files: DataFrame, base: str, head: str) -> DataFrame:
-    """file, base_pct, head_pct, delta, change (new, removed, regression, improvement, same) between two builds."""
-    cols = with_percent(files).select("tag", "file", "pct")
-    b = cols.where(F.col("tag") == base).select("file", F.col("pct").alias("base_pct"))
-    h = cols.where(F.col("tag") == head).select("file", F.col("pct").alias("head_pct"))
-    delta = F.round(F.col("head_pct") - F.col("base_pct"), 2)
+def compare(files: DataFrame, base: str, head: str, changed: DataFrame | None = None, funcs: DataFrame | None = None) -> DataFrame:
+    """file, base_pct, head_pct, delta, change (new, removed, regression, improvement, same) between two builds.
+
+    Only of the files in changed (file) if given. With funcs also base_func, head_func and
+    func_delta, and a file whose functions lost is a regression too.
+    """
+    rows = with_percent(files)
+    if changed is not None:
+        rows = rows.join(changed.select("file").distinct(), "file", "left_semi")
+    if funcs is not None:
+        own = funcs.groupBy("tag", "file").agg(F.count_if(F.col("cnt") > 0).alias("c"), F.count(F.lit(1)).alias("n"))
+        rows = rows.join(own.select("tag", "file", percent(F.col("c"), F.col("n")).alias("func")), ["tag", "file"], "left").fillna(0.0, ["func"])
+    cols = ["pct"] + (["func"] if funcs is not None else [])
+    b = rows.where(F.col("tag") == base).select("file", *[F.col(c).alias(f"base_{c}") for c in cols])
+    h = rows.where(F.col("tag") == head).select("file", *[F.col(c).alias(f"head_{c}") for c in cols])
+    out = b.join(h, "file", "full").withColumn("delta", F.round(F.col("head_pct") - F.col("base_pct"), 2))
+    worse = F.col("delta") < 0
+    if funcs is not None:
+        out = out.withColumn("func_delta", F.round(F.col("head_func") - F.col("base_func"), 2))
+        worse = worse | (F.col("func_delta") < 0)
     change = (
-        F.when(F.col("base_pct").isNull(), "new").when(F.col("head_pct").isNull(), "removed").when(F.col("delta") < 0, "regression")
+        F.when(F.col("base_pct").isNull(), "new").when(F.col("head_pct").isNull(), "removed").when(worse, "regression")
         .when(F.col("delta") > 0, "improvement").otherwise("same")
     )
-    return b.join(h, "file", "full").withColumn("delta", delta).withColumn("change", change)
+    return out.withColumn("change", change)
+
+
+#: How many files of each kind of change a report lists.
+LISTED = {"regression": 20, "improvement": 10, "new": 10, "removed": 10}
+
+
+def comparison_lists(compared: DataFrame) -> DataFrame:
+    """change, pos, matches and the columns of compare(): the files that a report lists of each kind, the largest change first."""
+    rows = compared.where(F.col("change").isin(*LISTED))
+    largest = F.when(F.col("change") == "improvement", -F.col("delta")).when(F.col("change") == "regression", F.col("delta")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("change").orderBy(largest, "file")).cast("long"))
+    most = F.create_map(*[x for k, n in LISTED.items() for x in (F.lit(k), F.lit(n))])
+    counts = compared.groupBy("change").agg(F.count(F.lit(1)).alias("matches"))
+    return rows.where(F.col("pos") <= most[F.col("change")]).join(counts, "change")
 
 
 def build_delta(files: DataFrame, funcs: DataFrame, base: str, head: str) -> DataFrame:
@@ -151,7 +200,7 @@ def playbook(name: str, files: DataFrame, lines: DataFrame, funcs: DataFrame, ta
         "uncovered": lambda: uncovered_topk(files, lines, tag, folder=folder),
         "functions": lambda: uncovered_functions(files, funcs, tag),
         "zero": lambda: zero_coverage(files, funcs, tag, folder),
-        "compare": lambda: compare(files, base or tag, tag),
+        "compare": lambda: comparison_lists(compare(files, base or tag, tag, funcs=funcs)),
         "priority": lambda: test_priority(files, funcs, tag, folder),
     }
     plans = {

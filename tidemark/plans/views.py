@@ -41,7 +41,8 @@ SELECT l_linestatus AS tag, concat('crates/n', s_nationkey, '/s', l_suppkey, '.r
        max(CASE WHEN l_suppkey % 9 = 0 THEN least(CAST(l_quantity AS BIGINT) % 4 - 1, 0) ELSE CAST(l_quantity AS BIGINT) % 4 - 1 END) AS hits
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_linestatus, s_nationkey, l_suppkey, l_partkey""",
     "v_cov_file": """
-SELECT tag, file, count(*) FILTER (WHERE hits >= 0) AS line_total, count(*) FILTER (WHERE hits > 0) AS line_covered, count(*) FILTER (WHERE hits = 0) AS line_missed FROM v_cov_line GROUP BY tag, file""",
+SELECT tag, file, count(*) FILTER (WHERE hits >= 0) AS line_total, count(*) FILTER (WHERE hits > 0) AS line_covered, count(*) FILTER (WHERE hits = 0) AS line_missed,
+       count(*) FILTER (WHERE hits > 1) AS region_covered, count(*) AS region_total FROM v_cov_line GROUP BY tag, file""",
     "v_cov_func": """
 SELECT l_linestatus AS tag, concat('crates/n', s_nationkey, '/s', l_suppkey, '.rs') AS file, concat('m::', p_brand, '::', p_name) AS func_name, p_partkey AS start_line,
        CAST(sum(CASE WHEN l_tax = 0.0 THEN 1 ELSE 0 END) AS BIGINT) AS cnt
