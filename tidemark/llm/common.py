@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,21 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Says that an operator keeps something in a Python worker from task to task, and how it is dropped."""
+    _KEPT[name] = drop
+
+
+def make_room(name: str) -> None:
+    """Drops what operators other than name keep in this Python worker: Spark hands a worker on from stage to stage."""
+    for other, drop in _KEPT.items():
+        if other != name:
+            drop()
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

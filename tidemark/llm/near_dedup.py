@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free, whole_text, written
+from tidemark.llm.common import discard, free, make_room, whole_text, written
 
 #: Slots of a signature; a slot's number fits one byte.
 SLOTS = 240
@@ -149,6 +149,7 @@ def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     base = docs.select("doc_id", whole_text().alias("text"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("near_dedup")
         hashes = _Hashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
@@ -181,6 +182,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, shingles: the full sets."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("near_dedup")
         hashes = _Hashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):

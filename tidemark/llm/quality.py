@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import make_room, whole_text
 
 #: Bounds of the sample that the fit takes.
 MAX_ROWS, MAX_CHARS = 2500, 8_000_000
@@ -226,6 +226,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make_room("quality")
         own = Scorer(*shipped.value)
         for texts in batches:
             parts = [own(texts.iloc[lo : lo + SLICE_ROWS].tolist()) for lo in range(0, len(texts), SLICE_ROWS)]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import stable, whole_text, written
+from tidemark.llm.common import keeps, make_room, stable, whole_text, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -47,6 +47,7 @@ _OPEN: dict[str, Tokenizer] = {}
 
 def _open(path: str) -> Tokenizer:
     if path not in _OPEN:
+        make_room("token_counts")
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
@@ -54,6 +55,9 @@ def _open(path: str) -> Tokenizer:
     return _OPEN[path]
 
 
+keeps("token_counts", _OPEN.clear)
+
+
 def library_counts(rows: DataFrame, column: str, path: str, out: str) -> DataFrame:
     """rows with a column out: how many tokens the library gives for the text in column."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` long"

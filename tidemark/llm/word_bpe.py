@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tidemark.llm.common import stable, whole_text
+from tidemark.llm.common import keeps, make_room, stable, whole_text
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
 
@@ -100,6 +100,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> "Encoder":
         if path not in cls._open:
+            make_room("word_bpe")
             cls._open[path] = cls(path)
         return cls._open[path]
 
@@ -215,6 +216,9 @@ class Encoder:
         return out
 
 
+keeps("word_bpe", Encoder._open.clear)
+
+
 def _odd(text: str) -> bool:
     return any(c in text for c in _ODD_SPACE)
 
