@@ -100,7 +100,8 @@ def test_coverage_trees(spark):
     tree = {"children": {"src": {"children": {"a.rs": {"coverage": [-1, 0, 3, 0], "linesCovered": 1, "linesMissed": 2, "linesTotal": 3, "coveragePercent": 33.3}, "empty": {"children": {}}}}}}
     row = C.tree_files(frame(spark, r=json.dumps(tree))).first()
     assert (row.filename, row.missed, row.uncovered) == ("src/a.rs", 2, [2, 4])
-    assert C.is_llvm('{"data": [{"files": []}]}') and not C.is_llvm('{"data": 1}') and not C.is_llvm("x")
+    said = spark.createDataFrame([('{"data": [{"files": []}]}',), ('{"data": 1}',), ("x",)], "t string").select(F.coalesce(C.is_llvm(F.col("t")), F.lit(False)))
+    assert [r[0] for r in said.collect()] == [True, False, False]
 
 
 def test_llvm(spark, tmp_path):

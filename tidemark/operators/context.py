@@ -63,6 +63,19 @@ def source_of(nodes: DataFrame, source_lines: DataFrame, lines: int = 70) -> Dat
     return hit.groupBy("symbol").agg(text.alias("source"))
 
 
+def source_index(chains: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """file, first_flow, first_pos, line_count, functions (line and name of public ones) of the files that chains (flow_id, pos, file) go through.
+
+    source_lines (file, line, txt); a file without lines is missing: its line_count is null.
+    """
+    seen = chains.where("file IS NOT NULL").groupBy("file").agg(F.min(F.struct("flow_id", "pos")).alias("at"))
+    name = F.regexp_extract("txt", r"^\s*pub(?:\([^)]*\))?\s+(?:async\s+)?fn\s+(\w+)", 1)
+    public = F.when((name != "") & F.endswith("file", F.lit(".rs")), F.struct("line", name.alias("name")))
+    held = source_lines.groupBy("file").agg(F.count(F.lit(1)).alias("line_count"), F.array_sort(F.collect_list(public)).alias("functions"))
+    rows = seen.join(held, "file", "left")
+    return rows.select("file", F.col("at.flow_id").alias("first_flow"), F.col("at.pos").alias("first_pos"), "line_count", "functions")
+
+
 def style_reference(specs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (flow_id, path, group) with a spec to imitate: one of the same path, else of the same group, else any; the least name."""
     rank = lambda c: F.min(F.when(c, F.col("spec_file")))

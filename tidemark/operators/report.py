@@ -140,6 +140,11 @@ def request_id_list(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
+def header_id(text: Column) -> Column:
+    """The request id in a response's header lines; null without one."""
+    return F.nullif(F.regexp_extract(text, r"(?im)^x-request-id:\s*([^\r\n]+)", 1), F.lit(""))
+
+
 def request_ids(log: DataFrame) -> DataFrame:
     """file_id, ids: distinct request ids of any spelling, sorted."""
     ids = log.select("file_id", F.explode(request_id_list(F.col("txt"))).alias("rid")).distinct()

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.files import parsed
@@ -19,13 +19,9 @@ LLVM = (
 )
 
 
-def is_llvm(text: str) -> bool:
+def is_llvm(text: Column) -> Column:
     """Whether a report is an LLVM export: a list under data whose first entry has files or functions."""
-    try:
-        data = json.loads(text).get("data")
-    except (ValueError, AttributeError):
-        return False
-    return isinstance(data, list) and bool(data) and isinstance(data[0], dict) and ("files" in data[0] or "functions" in data[0])
+    return F.get_json_object(text, "$.data[0].files").isNotNull() | F.get_json_object(text, "$.data[0].functions").isNotNull()
 
 
 def tree_leaves(text: str) -> Iterator[tuple]:
@@ -52,16 +48,46 @@ def _stat(s: str) -> F.Column:
     return F.when(F.col(f"{s}.notcovered").isNotNull() & (covered == 0), F.col(f"{s}.count") - F.col(f"{s}.notcovered")).otherwise(covered)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def llvm_rows(files: DataFrame) -> DataFrame:
+    """file, filename with covered and total of lines, functions and regions, of LLVM exports (file, text)."""
+    rows = files.select("file", F.explode(F.from_json("text", LLVM)["data"][0]["files"]).alias("f")).select("file", "f.filename", "f.summary")
+    stats = [c for m in ("lines", "functions", "regions") for c in (_stat(f"summary.{m}").alias(f"{m}_covered"), F.col(f"summary.{m}.count").alias(f"{m}_total"))]
+    return rows.select("file", "filename", *stats)
+
+
+def llvm_function_rows(files: DataFrame) -> DataFrame:
+    """file, name, count, filename (the first) of every function of LLVM exports (file, text)."""
+    rows = files.select("file", F.explode(F.from_json("text", LLVM)["data"][0]["functions"]).alias("f"))
+    return rows.select("file", "f.name", "f.count", F.get("f.filenames", F.lit(0)).alias("filename"))
+
+
 def llvm_files(spark: SparkSession, path: str) -> DataFrame:
     """filename with covered and total of lines, functions and regions."""
-    rows = spark.read.schema(LLVM).json(path, multiLine=True).select(F.explode(F.col("data")[0]["files"]).alias("f")).select("f.filename", "f.summary")
-    return rows.select("filename", *[c for m in ("lines", "functions", "regions") for c in (_stat(f"summary.{m}").alias(f"{m}_covered"), F.col(f"summary.{m}.count").alias(f"{m}_total"))])
+    return llvm_rows(_whole(spark, path)).drop("file")
 
 
 def llvm_functions(spark: SparkSession, path: str) -> DataFrame:
     """name, count, filename (the first) of every function."""
-    rows = spark.read.schema(LLVM).json(path, multiLine=True).select(F.explode(F.col("data")[0]["functions"]).alias("f"))
-    return rows.select("f.name", "f.count", F.get("f.filenames", F.lit(0)).alias("filename"))
+    return llvm_function_rows(_whole(spark, path)).drop("file")
+
+
+def report_rows(files: DataFrame) -> DataFrame:
+    """file, filename, covered, missed, total, percent, uncovered of reports (file, text) of either form.
+
+    An LLVM export has line counts only: its uncovered lines are an empty list.
+    """
+    llvm = F.coalesce(is_llvm(F.col("text")), F.lit(False))
+    tree = tree_files(files.where(~llvm)).select("file", "filename", "covered", "missed", "total", "percent", "uncovered")
+    share = F.coalesce(F.round(100.0 * F.try_divide(F.col("lines_covered").cast("double"), F.col("lines_total").cast("double")), 2), F.lit(0.0))
+    own = llvm_rows(files.where(llvm)).select(
+        "file", "filename", F.col("lines_covered").alias("covered"), (F.col("lines_total") - F.col("lines_covered")).alias("missed"), F.col("lines_total").alias("total"),
+        share.alias("percent"), F.array().cast("array<int>").alias("uncovered"),
+    )
+    return tree.unionByName(own)
 
 
 def lcov(files: DataFrame, dup: str = "sum", root: str = "") -> DataFrame:

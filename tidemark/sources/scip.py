@@ -7,6 +7,7 @@ symbol = 2, symbol_roles = 3. Unknown fields are skipped; a truncated tail ends
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 # The definition bit of symbol_roles.
 DEFINITION = 1
+#: Occurrences that one frame of the decoder holds.
+PART_ROWS = 50_000
 
 
 def _varint(data: memoryview, at: int) -> tuple[int, int]:
@@ -70,18 +73,22 @@ def occurrences(content: bytes) -> Iterator[tuple]:
             yield path, line, symbol, roles, doc_idx, k
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, symbol, roles, doc_idx, occ_idx of all indexes at path."""
+def decoded(indexes: DataFrame) -> DataFrame:
+    """file, line, symbol, roles, doc_idx, occ_idx of indexes (content): every index is decoded by one task, in parts of PART_ROWS."""
 
     def run(batches):
         for batch in batches:
             for content in batch["content"]:
-                rows = list(occurrences(content))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", "line", "symbol", "roles", "doc_idx", "occ_idx"])
+                rows = occurrences(content)
+                while part := list(islice(rows, PART_ROWS)):
+                    yield pd.DataFrame(part, columns=["file", "line", "symbol", "roles", "doc_idx", "occ_idx"])
+
+    return indexes.select("content").mapInPandas(run, "file string, line int, symbol string, roles int, doc_idx int, occ_idx int")
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "file string, line int, symbol string, roles int, doc_idx int, occ_idx int")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The occurrences of all indexes at path."""
+    return decoded(spark.read.format("binaryFile").load(path))
 
 
 def call_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
