@@ -94,6 +94,43 @@ def it_block_section(blocks: DataFrame, most: int = 15) -> DataFrame:
     return first.groupBy("spec_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]), "\n").alias("section"))
 
 
+def _lines(items: Column, line) -> Column:
+    return F.coalesce(F.array_join(F.transform(items, line), "\n"), F.lit(""))
+
+
+def flow_sections(flows: DataFrame) -> DataFrame:
+    """flow_id, triggers, setup, needs: a flow's trigger cases (handler -> case -> payload), setup calls and prerequisites as text."""
+    text = lambda x, default="": F.coalesce(x.cast("string"), F.lit(default))
+    case = lambda e: F.concat(
+        F.lit("  "), e["key"], F.lit(":\n    endpoint: "), text(e["value"]["endpoint"]), F.lit("\n    body: "), text(e["value"]["body"], "{}"), F.lit("\n    expected: "), text(e["value"]["expected_result"]))
+    handler = lambda h: F.concat(F.lit("### Handler: "), h["key"], F.lit("\n"), _lines(F.map_entries(h["value"]), case), F.lit("\n"))
+    step = lambda s: F.concat(F.lit("  endpoint: "), text(s["endpoint"]), F.lit("\n  body: "), text(s["body"], "{}"), F.lit("\n"))
+    need = lambda p: F.concat(F.lit("  ["), text(p["kind"]), F.lit("] "), text(p["field"]), F.lit(" = "), text(p["required_value"]))
+    return flows.select(
+        "flow_id", _lines(F.map_entries("trigger_payloads"), handler).alias("triggers"), _lines(F.col("setup_payloads"), step).alias("setup"), _lines(F.col("prerequisites"), need).alias("needs"))
+
+
+def run_summary_text(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """run_id, text: what a run was about and where its files are, from runs (run_id, flow_id, description, changed_function, target_leaf, request_ids) and artifacts (run_id, kind, path)."""
+    listed = artifacts.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "kind", F.lit(": "), "path"))), "\n").alias("files"))
+    head = [("Run ID: ", "run_id"), ("Flow ID: ", "flow_id"), ("Description: ", "description"), ("Changed function: ", "changed_function"), ("Target leaf: ", "target_leaf")]
+    said = [F.concat(F.lit(name), F.coalesce(F.col(c).cast("string"), F.lit(""))) for name, c in head]
+    ids = F.when(F.size("request_ids") > 0, F.array_join("request_ids", ", ")).otherwise("none")
+    text = F.concat_ws("\n", *said, F.concat(F.lit("Request IDs: "), ids), F.lit(""), F.lit("Artifacts:"), F.coalesce("files", F.lit("")))
+    return runs.join(listed, "run_id", "left").select("run_id", text.alias("text"))
+
+
+def path_flows(artifacts: DataFrame) -> DataFrame:
+    """run_id, source, document of runs' files (run_id, name, text): the flow document, else what a coverage report says of reachability."""
+    low = F.lower("name")
+    own = F.contains(low, F.lit("path_flow")) | F.contains(low, F.lit("create_organization")) | (low == "input.json")
+    report = F.contains(low, F.lit("coverage_run_report"))
+    context = F.coalesce(F.get_json_object("text", "$.reachability_context"), F.get_json_object("text", "$.d.reachability_context"))
+    rows = artifacts.groupBy("run_id").agg(F.min_by("text", F.when(own, F.col("name"))).alias("flow"), F.min_by(context, F.when(report & context.isNotNull(), F.col("name"))).alias("context"))
+    source = F.when(F.col("flow").isNotNull(), "path_flow").when(F.col("context").isNotNull(), "reachability_context")
+    return rows.select("run_id", source.alias("source"), F.coalesce("flow", "context").alias("document")).where("document IS NOT NULL")
+
+
 def role_label(role: Column) -> Column:
     return F.when(role == "target", "Leaf").when(role == "handler", "Handler").when(role == "direct_caller", "Direct caller").otherwise("Intermediate")
 

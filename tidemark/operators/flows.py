@@ -51,14 +51,27 @@ def path_of(endpoint: Column) -> Column:
     return norm_path(F.when(F.contains(endpoint, F.lit(" ")), F.regexp_extract(endpoint, r"^\S* (.*)$", 1)).otherwise(endpoint))
 
 
+_CASE = "struct<endpoint:string,body:string,expected_result:string>"
+
+
+def cases(flows: DataFrame) -> Column:
+    """All trigger cases of a flow: of trigger_payloads (handler -> case -> payload) where flows have it, else the one trigger_payload."""
+    if "trigger_payloads" in flows.columns:
+        each = F.flatten(F.transform(F.map_values("trigger_payloads"), lambda m: F.map_values(m)))
+        return F.coalesce(each, F.array().cast(f"array<{_CASE}>"))
+    return F.array("trigger_payload")
+
+
 def normalise(flows: DataFrame) -> DataFrame:
-    """flows with connector, trigger_path, setup_paths (distinct, sorted) and handlers."""
-    body = F.coalesce(F.col("trigger_payload.body"), F.lit("{}"))
+    """flows with connector, trigger_paths and setup_paths (distinct, sorted), trigger_path (the first) and handlers."""
+    each = cases(flows)
+    body = F.coalesce(F.get(each, F.lit(0))["body"], F.lit("{}"))
     setup = F.coalesce("setup_payloads", F.array().cast(f"array<{_STEP}>"))
+    paths = lambda xs: F.array_sort(F.array_distinct(F.transform(xs, lambda s: path_of(F.coalesce(s["endpoint"], F.lit("")))))  )
     return flows.withColumns({
         "connector": connector_of(F.col("specialization"), F.col("prerequisites"), body),
-        "trigger_path": path_of(F.coalesce("trigger_payload.endpoint", F.lit(""))),
-        "setup_paths": F.array_sort(F.array_distinct(F.transform(setup, lambda s: path_of(s["endpoint"])))),
+        "trigger_paths": paths(each), "trigger_path": F.get(paths(each), F.lit(0)),
+        "setup_paths": paths(setup),
         "handlers": F.filter(F.transform("endpoints", lambda e: e["handler"]), lambda h: h.isNotNull() & (h != "")),
     })
 
@@ -81,16 +94,17 @@ def scores(flows: DataFrame) -> DataFrame:
     no, yes = (lambda s: F.coalesce(confirm(s) == "false", F.lit(False))), (lambda s: F.coalesce(confirm(s) == "true", F.lit(False)))
     n = lambda c, k: F.when(c, k).otherwise(0)
     customer = lambda body: F.coalesce(F.get_json_object(body, "$.customer_id") != "", F.lit(False))
-    body, said = F.coalesce(F.col("trigger_payload.body"), F.lit("{}")), F.lower(F.coalesce(F.col("trigger_payload.expected_result"), F.lit("")))
-    own = sum((n(F.get_json_object(body, f"$.{k}").isNotNull(), 1) for k in CONNECTOR_BODY), F.lit(0))
+    each = cases(flows)
+    said = lambda t: F.lower(F.coalesce(t["expected_result"], F.lit("")))
+    own = lambda t: sum((n(F.get_json_object(t["body"], f"$.{k}").isNotNull(), 1) for k in CONNECTOR_BODY), F.lit(0))
     low = lambda e: F.lower(F.coalesce(e["handler"], F.lit("")))
     core = (
         _total(F.col("setup_payloads"), lambda s: n(no(s), 2) + n(card(s) & no(s), 1) + n(customer(s["body"]), 1))
-        + n(_any(said, CORE_EXPECTED), 2) + n(customer(body) & (own == 0), 1)
+        + _total(each, lambda t: n(_any(said(t), CORE_EXPECTED), 2) + n(customer(t["body"]) & (own(t) == 0), 1))
         + _total(F.col("prerequisites"), lambda p: n(p["kind"].isin(*CORE_KINDS), 1)) + _total(F.col("endpoints"), lambda e: n(_any(low(e), CORE_HANDLERS), 1))
     )
     connector = (
-        _total(F.col("setup_payloads"), lambda s: n(yes(s), 3) + n(card(s) & ~no(s), 2)) + n(_any(said, CONNECTOR_EXPECTED), 2) + own
+        _total(F.col("setup_payloads"), lambda s: n(yes(s), 3) + n(card(s) & ~no(s), 2)) + _total(each, lambda t: n(_any(said(t), CONNECTOR_EXPECTED), 2) + own(t))
         + _total(F.col("prerequisites"), lambda p: n(p["kind"].isin(*CONNECTOR_KINDS), 3)) + _total(F.col("endpoints"), lambda e: n(_any(low(e), CONNECTOR_HANDLERS), 1))
     )
     has = lambda f: F.coalesce(F.exists("setup_payloads", f), F.lit(False))
@@ -108,6 +122,17 @@ def classify(scored: DataFrame) -> DataFrame:
     return scored.withColumn("flow_type", kind).withColumn("needs_connector_config", F.col("flow_type") != "CORE_ONLY")
 
 
+#: The spec that sets up what a flow of the core needs before its connector's part.
+CORE_SPEC = "00006-NoThreeDSManualCapture"
+
+
+def core_spec_hint(classified: DataFrame, flows: DataFrame) -> DataFrame:
+    """classify() rows with core_spec_hint: for flows that start in the core and set up a payment, CORE_SPEC."""
+    pays = flows.select("flow_id", F.coalesce(F.exists("setup_payloads", lambda s: F.contains(s["endpoint"], F.lit("/payments"))), F.lit(False)).alias("pays"))
+    starts = F.col("has_core") & (F.col("has_connector") | (F.col("connector") >= 2)) & (F.col("flow_type") == "CORE_THEN_CONNECTOR")
+    return classified.join(pays, "flow_id", "left").withColumn("core_spec_hint", F.when(starts & F.col("pays"), CORE_SPEC)).drop("pays")
+
+
 def derive_flow_name(paths: DataFrame, flow_endpoints: DataFrame) -> DataFrame:
     """paths (path) with the flow (flow, path, ord) of the same path, else of the first whose part before /:id the path contains.
 

@@ -46,10 +46,67 @@ def leaf_gap(spans: DataFrame, lcov: DataFrame) -> DataFrame:
     return out.select("id", "file", "lines_in_span", "probed", "hit", (F.col("lines_in_span") - probed).alias("no_da"), ratio.alias("ratio"), "zero_lines", status.alias("status"))
 
 
-def line_hits(spans: DataFrame, lcov: DataFrame) -> DataFrame:
-    """id, file, line, shown: the hits of every line of a span, or (no DA)."""
+def line_hits(spans: DataFrame, lcov: DataFrame, source_lines: DataFrame | None = None) -> DataFrame:
+    """id, file, line, shown: the hits of every line of a span, or (no DA); with source_lines (file, line, txt) also its text."""
     rows = span_lines(spans).join(lcov.select("file", "line", "hits"), ["file", "line"], "left")
-    return rows.select("id", "file", "line", F.coalesce(F.col("hits").cast("string"), F.lit("(no DA)")).alias("shown"))
+    out = rows.select("id", "file", "line", F.coalesce(F.col("hits").cast("string"), F.lit("(no DA)")).alias("shown"))
+    return out if source_lines is None else out.join(source_lines.select("file", "line", "txt"), ["file", "line"], "left")
+
+
+#: Lines of a function that are shown at most where nothing says how far it goes.
+SNIPPET_LINES = 160
+
+
+def snippet_rows(functions: DataFrame) -> DataFrame:
+    """id, line, txt of functions (id, def_line, text, span_stop): the lines of each that a viewer shows.
+
+    A text that is a snippet itself (it starts like a function, or is too short for def_line) is
+    shown whole, from def_line on. Of a whole file's text the lines from def_line to span_stop are,
+    or without one up to where the braces that open first close again.
+    """
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")
+    rows = functions.withColumn("lines", lines)
+    first = F.trim(F.get(F.filter("lines", lambda x: F.trim(x) != ""), F.lit(0)))
+    whole = (F.col("def_line") > F.size("lines")) | F.coalesce(first.rlike(r"^(pub\s+)?(async\s+)?fn\b"), F.lit(False))
+    braces = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("begun"), F.lit(0).alias("n"), F.lit(0).alias("stop"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = F.greatest(s["depth"] + braces(x, "{") - braces(x, "}"), F.lit(0))
+        begun = s["begun"] | F.contains(x, F.lit("{"))
+        ends = begun & (depth == 0) & (s["n"] > 0)
+        return F.struct(depth.alias("depth"), begun.alias("begun"), (s["n"] + 1).alias("n"), F.when(s["stop"] > 0, s["stop"]).when(ends, s["n"] + 1).otherwise(0).alias("stop"))
+
+    at = F.greatest(F.col("def_line"), F.lit(1))
+    rest = F.slice("lines", at, F.lit(SNIPPET_LINES))
+    closed = F.aggregate(rest, start, step)["stop"]
+    n = F.when(F.col("span_stop").isNotNull(), F.greatest(F.least(F.size("lines"), "span_stop") - at + 1, F.lit(0))).otherwise(F.when(closed > 0, closed).otherwise(F.size(rest)))
+    shown = F.when(whole, F.col("lines")).when(F.col("span_stop").isNotNull(), F.slice("lines", at, n)).otherwise(F.slice("lines", at, n))
+    rows = rows.select("id", F.when(whole, F.col("def_line")).otherwise(at).alias("from"), F.posexplode(shown).alias("pos", "txt"))
+    return rows.select("id", (F.col("from") + F.col("pos")).alias("line"), "txt")
+
+
+# How a verdict says that a request failed before its leaf.
+BEFORE_LEAF = r"(?i)rejected before leaf|before leaf execution|did not enter|pre-check|auth failure|not enter leaf"
+
+
+def flow_nodes(runs: DataFrame) -> DataFrame:
+    """run_id, pos, id, title, role, status, unreached of every node a viewer draws: the request, then the chain's steps.
+
+    runs (run_id, method, path, chain of (function, role), http_status, error, verdict). An error
+    stands at the request if there is no chain or the verdict says it came before the leaf, and
+    then nothing is reached; else it stands at the leaf.
+    """
+    n, failed = F.size("chain"), F.col("error").isNotNull()
+    at_api = failed & ((n == 0) | F.coalesce(F.col("verdict").rlike(BEFORE_LEAF), F.lit(False)))
+    api = F.struct(
+        F.lit(0).alias("pos"), F.lit("n-http").alias("id"), F.concat_ws(" ", "method", "path").alias("title"), F.lit("api").alias("role"),
+        F.when(at_api, "error").when(F.col("http_status") >= 400, "warn").otherwise("ok").alias("status"), F.lit(False).alias("unreached"))
+    step = lambda c, i: F.struct(
+        (i + 1).alias("pos"), F.concat(F.lit("n-fn-"), i.cast("string")).alias("id"), c["function"].alias("title"), c["role"].alias("role"),
+        F.when(at_api, "warn").when(failed & (i == n - 1), "error").otherwise("ok").alias("status"), at_api.alias("unreached"))
+    nodes = F.concat(F.array(api), F.transform("chain", step))
+    return runs.select("run_id", F.explode(nodes).alias("x")).select("run_id", "x.*")
 
 
 def status_code(txt: Column) -> Column:

@@ -32,7 +32,7 @@ def _flows(spark, sf):
     chain = F.array(*[F.struct(F.concat(F.lit(n), c).alias("function"), F.concat(F.lit("src/"), c % 7, F.lit(".rs")).alias("file"), (o % 90).cast("int").alias("def_line"), F.lit(r).alias("role"), F.lit("fn x() {}").alias("source"))
                       for n, r in (("h", "handler"), ("d", "direct_caller"), ("t", "target"))])
     return rows.select(
-        o.cast("int").alias("flow_id"), F.concat(F.lit("flow "), o).alias("description"), F.concat(F.lit("fn"), c % 40).alias("changed_function"), ends.alias("endpoints"), need.alias("prerequisites"),
+        "body", "expected", o.cast("int").alias("flow_id"), F.concat(F.lit("flow "), o).alias("description"), F.concat(F.lit("fn"), c % 40).alias("changed_function"), ends.alias("endpoints"), need.alias("prerequisites"),
         setup.alias("setup_payloads"), F.struct(F.lit("POST /payments/{id}/capture").alias("endpoint"), "body", F.col("expected").alias("expected_result")).alias("trigger_payload"),
         F.struct(F.when(o % 7 == 0, F.concat(F.lit("Spec"), c % 3)).alias("connector")).alias("specialization"), chain.alias("chain"),
     )
@@ -522,3 +522,110 @@ def seed_specialisations(spark, sf):
     places = select(spark, sf, "SELECT DISTINCT concat('/f', s_nationkey) AS file, CAST(s_suppkey + 2 AS INT) AS line FROM supplier")
     out = I.seeds(select(spark, sf, _SEEDED), places)
     return out.select("file", "line", "symbol", I.spec_text(F.col("seed")).alias("seed"))
+
+
+# ---- several trigger cases, sections, what a viewer draws
+
+
+def _with_cases(spark, sf):
+    """The flows with two handlers' cases: one as above, one that is a capture without an answer."""
+    rows = _flows(spark, sf)
+    own = F.struct(F.lit("POST /payments/{id}/capture").alias("endpoint"), F.col("body"), F.col("expected").alias("expected_result"))
+    more = F.struct(F.lit("GET /a/{x}").alias("endpoint"), F.lit('{"wallet":1}').alias("body"), F.lit("not found").alias("expected_result"))
+    return rows.drop("trigger_payload").withColumn("trigger_payloads", F.create_map(F.lit("h1"), F.create_map(F.lit("works"), own), F.lit("h2"), F.create_map(F.lit("fails"), more)))
+
+
+@register(
+    "flow_case_types",
+    oracle(
+        "SELECT flow_type, hint, trigger_paths, count(*) AS n FROM (SELECT CASE WHEN core = 0 AND NOT mixed THEN 'CONNECTOR_ONLY' WHEN mixed OR (has_core AND connector >= 2) THEN 'CORE_THEN_CONNECTOR' WHEN core > connector AND connector < 2 THEN 'CORE_ONLY'"
+        " WHEN core > connector THEN 'CORE_THEN_CONNECTOR' ELSE 'CONNECTOR_ONLY' END AS flow_type, CASE WHEN has_core AND connector >= 2 THEN '00006-NoThreeDSManualCapture' END AS hint, '/a/:id,/payments/:id/capture' AS trigger_paths FROM ("
+        "SELECT (CASE c % 3 WHEN 0 THEN 3 ELSE 0 END + CASE st WHEN 'F' THEN 2 ELSE 0 END + CASE m WHEN 2 THEN 1 ELSE 0 END + CASE WHEN o % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN m = 3 THEN 0 ELSE 1 END) + 2 AS core,"
+        " (CASE c % 3 WHEN 1 THEN 5 ELSE 0 END + CASE st WHEN 'O' THEN 2 ELSE 0 END + CASE WHEN m IN (0, 1) THEN 1 ELSE 0 END + CASE WHEN o % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN m = 3 THEN 1 ELSE 0 END) + 1 AS connector,"
+        f" c % 3 = 0 AS has_core, false AS mixed FROM ({_ORDERS}))) GROUP BY ALL"
+    ),
+)
+def flow_case_types(spark, sf):
+    flows = _with_cases(spark, sf)
+    kinds = W.core_spec_hint(W.classify(W.scores(flows)), flows).select("flow_id", "flow_type", F.col("core_spec_hint").alias("hint"))
+    paths = W.normalise(flows).select("flow_id", F.array_join("trigger_paths", ",").alias("trigger_paths"))
+    return kinds.join(paths, "flow_id").groupBy("flow_type", "hint", "trigger_paths").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "flow_sections",
+    oracle(
+        "SELECT o::INT AS flow_id, '### Handler: h1' || chr(10) || '  works:' || chr(10) || '    endpoint: POST /payments/{id}/capture' || chr(10) || '    body: ' || body || chr(10) || '    expected: ' || expected || chr(10) || chr(10)"
+        " || '### Handler: h2' || chr(10) || '  fails:' || chr(10) || '    endpoint: GET /a/{x}' || chr(10) || '    body: {\"wallet\":1}' || chr(10) || '    expected: not found' || chr(10) AS triggers,"
+        " CASE WHEN o % 5 = 0 THEN '  [concrete_type] connector = Conn' || c % 3 ELSE '  [auth_context] f = ' END AS needs"
+        f" FROM (SELECT *, {_BODY} AS body, {_EXPECTED} AS expected FROM ({_ORDERS}))"
+    ),
+)
+def flow_sections(spark, sf):
+    return X.flow_sections(_with_cases(spark, sf)).select("flow_id", "triggers", "needs")
+
+
+_SNIPPETS = "SELECT o_orderkey AS id, o_orderkey % 4 AS k, CAST(o_custkey % 5 + 3 AS INT) AS def_line FROM orders"
+
+
+@register(
+    "snippet_rows",
+    oracle(
+        # a snippet; a file with a span; a file whose braces close four lines on; a text shorter than the line it should start at
+        "SELECT id, count(*) AS n, min(line)::INT AS first, max(line)::INT AS last FROM (SELECT id, unnest(CASE k WHEN 0 THEN range(def_line, def_line + 3) WHEN 1 THEN range(def_line, 11) WHEN 2 THEN range(def_line, 14) ELSE range(def_line + 50, def_line + 52) END) AS line"
+        f" FROM ({_SNIPPETS})) GROUP BY id"
+    ),
+)
+def snippet_rows(spark, sf):
+    rows = select(spark, sf, _SNIPPETS)
+    file = "use x;\n" + "let a = 1;\n" * 8 + "fn g() {\n  if a {\n  }\n}\nfn h() {}\n"
+    text = F.when(F.col("k") == 0, "\n  pub async fn f() {\n}").when(F.col("k") == 3, "a\nb").otherwise(file)
+    rows = rows.withColumns({"text": text, "span_stop": F.when(F.col("k") == 1, 10), "def_line": F.when(F.col("k") == 3, F.col("def_line") + 50).otherwise(F.col("def_line"))})
+    return R.snippet_rows(rows).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("line").alias("last"))
+
+
+@register(
+    "flow_nodes",
+    oracle(
+        "SELECT role, status, unreached, count(*) AS n FROM (SELECT unnest(CASE WHEN o % 7 = 0 THEN ['api'] ELSE ['api', 'handler', 'target'] END) AS role, o, k FROM (SELECT o_orderkey AS o, o_custkey % 4 AS k FROM orders)) r,"
+        " LATERAL (SELECT CASE WHEN r.role = 'api' THEN CASE WHEN r.k > 0 AND (r.o % 7 = 0 OR r.k = 1) THEN 'error' WHEN r.o % 2 = 1 THEN 'warn' ELSE 'ok' END WHEN r.k = 1 THEN 'warn' WHEN r.k > 1 AND r.role = 'target' THEN 'error' ELSE 'ok' END AS status,"
+        " r.role <> 'api' AND r.k = 1 AS unreached) GROUP BY ALL"
+    ),
+)
+def flow_nodes(spark, sf):
+    rows = select(spark, sf, "SELECT o_orderkey AS run_id, o_custkey % 4 AS k FROM orders")
+    step = lambda f, r: F.struct(F.lit(f).alias("function"), F.lit(r).alias("role"))
+    chain = F.when(F.col("run_id") % 7 == 0, F.array().cast("array<struct<function:string,role:string>>")).otherwise(F.array(step("a", "handler"), step("b", "target")))
+    runs = rows.select(
+        "run_id", F.lit("POST").alias("method"), F.lit("/x").alias("path"), chain.alias("chain"), F.when(F.col("run_id") % 2 == 1, 404).otherwise(200).alias("http_status"),
+        F.when(F.col("k") > 0, "boom").alias("error"), F.when(F.col("k") == 1, "Rejected before leaf execution").otherwise("other").alias("verdict"))
+    return R.flow_nodes(runs).groupBy("role", "status", "unreached").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KEPT = "SELECT o_custkey AS run_id, o_orderkey AS o FROM orders"
+
+
+@register(
+    "run_summaries",
+    oracle(
+        "SELECT r.run_id, 'Run ID: ' || r.run_id || chr(10) || 'Flow ID: ' || r.run_id % 9 || chr(10) || 'Description: d' || chr(10) || 'Changed function: f' || chr(10) || 'Target leaf: ' || chr(10) || 'Request IDs: ' || CASE WHEN r.run_id % 2 = 0 THEN 'a, b' ELSE 'none' END || chr(10) || chr(10) || 'Artifacts:' || chr(10) || files AS text"
+        f" FROM (SELECT run_id, string_agg('- log: /out/' || o, chr(10) ORDER BY '- log: /out/' || o) AS files FROM ({_KEPT}) GROUP BY run_id) r"
+    ),
+)
+def run_summaries(spark, sf):
+    rows = select(spark, sf, _KEPT)
+    ids = F.when(F.col("run_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    runs = rows.select("run_id").distinct().withColumns({"flow_id": F.col("run_id") % 9, "description": F.lit("d"), "changed_function": F.lit("f"), "target_leaf": F.lit(None).cast("string"), "request_ids": ids})
+    return X.run_summary_text(runs, rows.select("run_id", F.lit("log").alias("kind"), F.concat(F.lit("/out/"), "o").alias("path")))
+
+
+@register(
+    "path_flow_documents",
+    oracle("SELECT o_custkey AS run_id, CASE WHEN bool_or(o_orderkey % 3 = 0) THEN 'path_flow' ELSE 'reachability_context' END AS source FROM orders GROUP BY o_custkey HAVING bool_or(o_orderkey % 3 < 2)"),
+)
+def path_flow_documents(spark, sf):
+    rows = select(spark, sf, "SELECT o_custkey AS run_id, o_orderkey AS o FROM orders")
+    k = F.col("o") % 3
+    name = F.when(k == 0, F.concat(F.lit("my_Path_Flow"), "o", F.lit(".json"))).when(k == 1, F.concat(F.lit("coverage_run_report"), "o", F.lit(".json"))).otherwise("coverage_run_report.json")
+    text = F.when(k == 0, '{"flows":[]}').when(k == 1, '{"reachability_context":{"a":1}}').otherwise("{}")
+    return X.path_flows(rows.select("run_id", name.alias("name"), text.alias("text"))).select("run_id", "source")
