@@ -58,6 +58,20 @@ def test_next_over_many_blocks(spark, monkeypatch):
     assert found == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_next_of_one_hot_id(spark, monkeypatch):
+    """Rows that share an id, or have none, fill many blocks; each still has its own next."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 20)
+    rows = spark.createDataFrame([(i, f"t{k}") for k in range(300) for i in (None, 5)] + [(9, "last")], "doc_id long, text string")
+    found = fingerprints.with_next(rows, ["doc_id", "text"])
+    after = {(r.doc_id, r.text): (r.next_doc_id, r.next_text) for r in found.collect()}
+    assert len(after) == 601 and set(after.values()) == set(after)  # one round through all rows
+    at, seen = (9, "last"), []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert [i for i, _ in seen] == [9] + [None] * 300 + [5] * 300
+
+
 def test_token_counts(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

@@ -17,6 +17,8 @@ comes before all others, and a single row is its own next document. Other column
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ BITS = 4
 #: Probes written out before the closed form takes over; only the speed depends on it.
 PROBES = 12
 #: Rows of one block of neighbouring ids on average, at least; and about how many blocks there are at most.
-BLOCK_ROWS, BLOCKS = 2000, 65_536
+BLOCK_ROWS, BLOCKS = 2000, 1 << 18
 
 _RANK_BITS = 64 - BINS.bit_length() + 1
 _LAST = (1 << _RANK_BITS) - 1
@@ -121,40 +123,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "packed", as_string(F.col("packed")).alias("fingerprint"))
 
 
-def _longs(values: list[int]) -> Column:
+def _texts(values: list[str]) -> Column:
     """A constant array, however long, as one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    return F.split(F.lit(",".join(values)), ",")
 
 
-def _count_up_to(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most key, in about 2 * sqrt(len(bounds)) steps."""
-    wide = max(1, round(len(bounds) ** 0.5))
+def _count_up_to(bounds: list[str], key: Column) -> Column:
+    """How many of the sorted bounds are at most key (which the first is), in about 3 * len(bounds) ** (1 / 3) steps."""
+    wide = max(1, ceil(len(bounds) ** (1 / 3)))
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    part = F.greatest(below(_longs(bounds[::wide])) - 1, F.lit(0))
-    return part * wide + below(F.slice(_longs(bounds), part * wide + 1, F.lit(wide)))
+    high = F.greatest(below(_texts(bounds[:: wide * wide])) - 1, F.lit(0)) * wide
+    part = (high + F.greatest(below(F.slice(_texts(bounds[::wide]), high + 1, F.lit(wide))) - 1, F.lit(0))) * wide
+    return part + below(F.slice(_texts(bounds), part + 1, F.lit(wide)))
+
+
+def _ordered(value: Column) -> Column:
+    """A long as 16 hexadecimal digits that sort as it does."""
+    return F.lpad(F.hex(value.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows (doc_id, text, ...) with next_<c> for each c in columns: its value in the next document by ascending doc_id.
 
-    Blocks of neighbouring ids start at the least id and at every id that a hash picks, one in
-    BLOCK_ROWS, or fewer so that there are about BLOCKS. The first row of a block is sent to the
-    block before it as well (that of the first block to the last), so each block finds the next of
-    all its rows on its own. The driver only ever holds the blocks' first ids.
+    Documents are ordered by a key of their id and, for those of one id, a hash of their text.
+    Blocks of neighbouring keys start at the least key and at every key that a hash picks, one in
+    BLOCK_ROWS, or fewer so that there are about BLOCKS: ids that many rows share, or lack, fill
+    many blocks too. The first row of a block is sent to the block before it as well (that of the
+    first block to the last), so each block finds the next of all its rows on its own. The driver
+    only ever holds the blocks' first keys.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = rows.select(key.alias("key"))
-    n, least = ids.agg(F.count(F.lit(1)), F.min("key")).first()
+    key = F.concat(_ordered(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))), _ordered(F.xxhash64("text")))
+    keys = rows.select(key.alias("key"))
+    n, least = keys.agg(F.count(F.lit(1)), F.min("key")).first()
     one_in = max(BLOCK_ROWS, n // BLOCKS)
-    picked = ids.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect()
-    starts = sorted({0 if least is None else least, *(r["key"] for r in picked)})
+    picked = keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect()
+    starts = sorted({least or "", *(r["key"] for r in picked)})
 
-    keyed = rows.withColumn("__key", key).withColumn("__block", _count_up_to(starts, key) - 1)
+    keyed = rows.withColumn("__key", key).withColumn("__block", _count_up_to(starts, F.col("__key")) - 1)
     home = lambda b, late: F.struct(b.cast("int").alias("block"), F.lit(late).alias("late"))
     own = home(F.col("__block"), 0)
     also = home(F.pmod(F.col("__block") - 1, F.lit(len(starts))), 1)
-    is_first = F.col("__key") == F.get(_longs(starts), F.col("__block"))
+    is_first = F.col("__key") == F.get(_texts(starts), F.col("__block"))
     sent = keyed.withColumn("__home", F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))))
-    order = Window.partitionBy("__home.block").orderBy("__home.late", "__key", F.xxhash64("text"))
+    order = Window.partitionBy("__home.block").orderBy("__home.late", "__key")
     found = sent.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return found.where("__home.late = 0").drop("__key", "__block", "__home")
