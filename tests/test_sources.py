@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import capitalised, or_else, plain, trimmed
 from tidemark.operators import report as R
 from tidemark.sources import coverage_files as C
 from tidemark.sources import files, js, run_logs, rust, scip
@@ -222,8 +221,3 @@ def test_scip(spark, tmp_path):
     nodes, sites = scip.call_graph(scip.read(spark, str(tmp_path / "index.scip")))
     assert sorted((r.symbol, r.name, r.file, r.def_line) for r in nodes.collect()) == [("m/f().", "f", "src/a.rs", 5), ("m/g().", "g", "src/b.rs", 2)]
     assert [tuple(r) for r in sites.collect()] == [("m/f().", "m/g().", "src/a.rs", 7)]
-
-
-def test_text_functions(spark):
-    row = spark.range(1).select(or_else(F.lit(""), F.lit("b")), capitalised(F.lit("aBC")), trimmed(F.lit("abcd"), 2), plain(F.lit("\x1b[31mred\x1b[0m"))).first()
-    assert tuple(row) == ("b", "Abc", "ab\n... (truncated)", "red")
