@@ -39,6 +39,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use ev
 LEAF = 16_384
 #: Distinct chunks a worker keeps; beyond that, new ones are encoded each time they come.
 CACHE_ENTRIES = 320_000
+#: Distinct pre-tokens it keeps besides: they matter only where a chunk is new.
+WORD_ENTRIES = 100_000
 CACHE_CHARS = 48
 SLICE_ROWS = 256
 #: Control characters that Python splits at and the tokenizer doesn't.
@@ -60,7 +62,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         mapped = word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_LEVEL)
         out = np.array([t.id for t in self.tokenize(mapped)], dtype="<u4").tobytes()
-        if len(self) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
+        if len(self) < WORD_ENTRIES and len(word) <= CACHE_CHARS:
             self[word] = out
         return out
 
