@@ -199,31 +199,58 @@ def chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_de
     return _union(hits)
 
 
+def numbered(symbols: DataFrame) -> DataFrame:
+    """symbol, id: a number for each distinct symbol; the numbers sort as the symbols do in a chain's text (with the > that follows).
+
+    A sort by ranges and a number within each, so no task sees all symbols.
+    """
+    ordered = symbols.select("symbol").distinct().orderBy(F.concat("symbol", F.lit(">")))
+    return written(ordered.withColumn("id", F.monotonically_increasing_id()), "symbols")
+
+
 def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
     """endpoint, target, chain, guards, depth: one chain of each pair, the shortest, of those the least as a text.
 
-    As chains_up() with the best kept, but of the chains from a target to a function only the best
-    goes on: the best chain to an endpoint ends in the best chains to the functions on it. So there
-    are at most as many rows as pairs of a target and a function.
+    As chains_up() with the best kept, but breadth first: of the chains from a target to a function
+    only the best goes on, since the best chain to an endpoint consists of the best chains to the
+    functions on it. So there are at most as many rows as pairs of a target and a function, and such
+    a row is three numbers: the pair and the function that comes next on its best chain, the least
+    of those a level below. Chains are put together afterwards, for the endpoints alone.
     """
-    edges = written(_guarded(calls, endpoints), "edges")
-    state = targets.select(
-        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"),
-    ).distinct()
-    parts = [written(state.select("target", F.col("cur").alias("caller")), "chains-seen")]
-    hits = []
-    for depth in range(1, max_depth + 1):
-        step = state.join(edges, state["cur"] == edges["callee"])
-        step = step.select("target", "caller", F.array_prepend("chain", F.col("caller")).alias("chain"), F.concat("guards", "g").alias("guards"), "at_end")
-        step = step.join(_union(parts), ["target", "caller"], "left_anti")
-        best = F.min_by(F.struct("chain", "guards", "at_end"), F.array_join("chain", ">"))
-        step = written(step.groupBy("target", "caller").agg(best.alias("s")).select("target", "caller", "s.*"), "chains")
-        parts.append(step.select("target", "caller"))
-        hits.append(step.where("at_end").select(F.col("caller").alias("endpoint"), "target", "chain", "guards", F.lit(depth).alias("depth")))
-        state = step.where("NOT at_end").select("target", F.col("caller").alias("cur"), "chain", "guards")
+    ids = numbered(calls.select(F.explode(F.array("caller", "callee")).alias("symbol")).unionByName(targets.select("symbol")))
+    of = lambda name: ids.select(F.col("symbol").alias(f"{name}_symbol"), F.col("id").alias(name))
+    edges = _guarded(calls, endpoints).join(of("up"), F.col("caller") == F.col("up_symbol")).join(of("at"), F.col("callee") == F.col("at_symbol"))
+    edges = written(edges.select("up", "at", F.col("at_end").cast("int").alias("at_end"), "g"), "edges")
+    light = edges.select("up", "at", "at_end")
+
+    state = targets.select("symbol").distinct().join(ids, "symbol").select(F.col("id").alias("target"), F.col("id").alias("cur"))
+    seen = [written(state.select("target", F.col("cur").alias("up")), "chains-seen")]
+    levels: list[DataFrame] = []
+    for _ in range(max_depth):
+        step = state.join(light, state["cur"] == light["at"]).groupBy("target", "up").agg(F.min("cur").alias("via"), F.max("at_end").alias("at_end"))
+        levels.append(written(step.join(_union(seen), ["target", "up"], "left_anti"), "chains-level"))
+        seen.append(levels[-1].select("target", "up"))
+        state = levels[-1].where("at_end = 0").select("target", F.col("up").alias("cur"))
         if state.isEmpty():
             break
-    return _union(hits)
+
+    # from the deepest level down: what has come to a function of a level goes on to its next
+    paths = None
+    for depth in range(len(levels), 0, -1):
+        level = levels[depth - 1]
+        own = level.where("at_end = 1").select("target", F.col("up").alias("endpoint"), F.lit(depth).alias("depth"), F.array("up").alias("path"), F.col("via").alias("cur"))
+        if paths is not None:
+            on = level.select("target", F.col("up").alias("cur"), "via")
+            own = own.unionByName(paths.join(on, ["target", "cur"]).select("target", "endpoint", "depth", F.array_append("path", F.col("cur")).alias("path"), F.col("via").alias("cur")))
+        paths = own
+    paths = paths.select("target", "endpoint", "depth", F.array_append("path", F.col("target")).alias("path"))
+    steps = paths.select("target", "endpoint", "depth", "path", F.posexplode("path").alias("pos", "id")).withColumn("next", F.get("path", F.col("pos") + 1)).drop("path")
+    steps = steps.join(ids, "id").join(edges.select(F.col("up").alias("id"), F.col("at").alias("next"), "g"), ["id", "next"], "left")
+    rows = steps.groupBy("target", "endpoint", "depth").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol", "g"))).alias("x"))
+    chain = F.transform("x", lambda r: r["symbol"])
+    guards = F.flatten(F.reverse(F.transform(F.filter("x", lambda r: r["g"].isNotNull()), lambda r: r["g"])))
+    rows = rows.select(chain.alias("chain"), guards.cast(GUARDS).alias("guards"), "depth")
+    return rows.select(F.get("chain", F.lit(0)).alias("endpoint"), F.element_at("chain", -1).alias("target"), "chain", "guards", "depth")
 
 
 def infeasible(guards: Column) -> Column:
