@@ -18,6 +18,10 @@ def clean(spec):
     return None if spec is None else (spec[0], spec[1], tuple(spec[2] or ()), spec[3])
 
 
+def spec_id(spec):
+    return "" if spec is None else "|".join((spec[0] or "", spec[1] or "", ",".join(spec[2]), spec[3] or ""))
+
+
 def plain_search(functions, calls, implements, target, max_depth, seed=None, step_a=(), ops=None):
     """One target's endpoints: (endpoint, chain, guards, depth, type)."""
     name = {s: n for s, n, _ in functions}
@@ -35,6 +39,7 @@ def plain_search(functions, calls, implements, target, max_depth, seed=None, ste
     for depth in range(1, max_depth + 1):
         arrivals = []
         for cur, chain, guards, spec in level:
+            came = spec
             parts = name.get(cur, "").split("#")
             found = list(callers.get(cur, ()))
             held = spec[0] if spec else None
@@ -67,7 +72,7 @@ def plain_search(functions, calls, implements, target, max_depth, seed=None, ste
                 if (caller, now) in visited:
                     continue
                 told = guards if not guard else (*guards, (f"{name[caller]} → {name.get(cur, cur)}", guard, condition or ""))
-                arrivals.append(((param or "", guard or "", ">".join((caller, *chain))), caller, (caller, *chain), told, now))
+                arrivals.append(((param or "", guard or "", cur + ">", spec_id(came), condition or ""), caller, (caller, *chain), told, now))
         level, taken = [], set()
         for _, caller, chain, guards, spec in sorted(arrivals, key=lambda a: a[0]):
             if caller in ends:

@@ -87,6 +87,41 @@ def _nodes(functions: DataFrame, implements: DataFrame, connectors: DataFrame) -
     return rows.select("cur", F.struct("name", F.col("n.key").alias("key"), F.col("n.spec").alias("spec"), "by_row", F.coalesce("is_connector", F.lit(False)).alias("is_connector")).alias("node"))
 
 
+def _spec_id(spec: Column) -> Column:
+    """What tells specialisations apart: type|trait|arguments|method, empty without any."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(spec.isNull(), "").otherwise(F.concat_ws("|", part(spec["impl_type"]), part(spec["trait"]), part(F.array_join(spec["args"], ",")), part(spec["method"])))
+
+
+def _told(hits: list[DataFrame], levels: list[DataFrame], functions: DataFrame) -> DataFrame:
+    """target, endpoint, chain, guards, depth, spec of the hits of each level.
+
+    From the deepest level down, what has come to a function of a level goes on to the one it was
+    reached from, so chains are put together for endpoints alone.
+    """
+    own_guard = F.struct("guard_type", "guard_condition")
+    paths = None
+    for depth in range(len(hits), 0, -1):
+        found = hits[depth - 1].select(
+            "target", F.col("caller").alias("endpoint"), F.lit(depth).alias("depth"), "spec", F.array("caller").alias("path"), F.array(own_guard).alias("met"), "via", "via_spec")
+        if paths is not None:
+            on = levels[depth - 1].select("target", F.col("caller").alias("via"), F.col("spec_id").alias("via_spec"), own_guard.alias("g"), F.col("via").alias("next"), F.col("via_spec").alias("next_spec"))
+            further = paths.join(on, ["target", "via", "via_spec"])
+            further = further.select("target", "endpoint", "depth", "spec", F.array_append("path", F.col("via")).alias("path"), F.array_append("met", F.col("g")).alias("met"), F.col("next").alias("via"), F.col("next_spec").alias("via_spec"))
+            found = found.unionByName(further)
+        paths = found
+    rows = paths.select("target", "endpoint", "depth", "spec", F.array_append("path", F.col("target")).alias("chain"), "met")
+    # the names of a chain's functions, one row per distinct function of a chain
+    key = F.struct("target", "endpoint", "chain").alias("key")
+    steps = rows.select(key, F.explode(F.array_distinct("chain")).alias("symbol")).distinct().join(functions.select("symbol", "name"), "symbol")
+    named = steps.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "name"))).alias("names"))
+    rows = rows.withColumn("key", key).join(named, "key", "left")
+    name = lambda k: F.coalesce(F.element_at("names", F.get("chain", k)), F.get("chain", k))
+    guard = lambda g, k: F.struct(F.concat_ws(" → ", name(k), name(k + 1)).alias("at_hop"), g["guard_type"].alias("guard_type"), F.coalesce(g["guard_condition"], F.lit("")).alias("condition"))
+    guards = F.reverse(F.filter(F.transform("met", guard), lambda g: g["guard_type"].isNotNull()))
+    return rows.select("target", "endpoint", "chain", guards.cast(GUARDS).alias("guards"), "depth", "spec")
+
+
 def impact(
     functions: DataFrame,
     calls: DataFrame,
@@ -110,7 +145,8 @@ def impact(
     a path that has no specialisation.
 
     A function is gone on from once for each specialisation: of the arrivals of the earliest level
-    the first by type parameter, guard and chain. Endpoints end a path and may be reached by many.
+    the first by type parameter, guard, the function and the specialisation it comes from, and the
+    guard's condition. Endpoints end a path and may be reached by many.
     With step_a (target, type), endpoints whose path is locked to a type that isn't listed for its
     target go (targets without any row are not judged); with op_of (handler, op) also those whose
     handler starts another operation than the connector that the path is locked to.
@@ -124,18 +160,17 @@ def impact(
     edges = written(edges, "edges")
 
     seed = F.col("seed").cast(SPEC) if "seed" in targets.columns else F.lit(None).cast(SPEC)
-    state = targets.select(
-        F.col("symbol").alias("target"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"), _plain(seed).alias("spec")
-    ).join(nodes, "cur", "left")
-    spec_id = F.coalesce(F.to_json("spec"), F.lit(""))
-    seen = written(state.select("target", F.col("cur").alias("caller"), spec_id.alias("spec_id")).distinct(), "impact-seen")
+    state = targets.select(F.col("symbol").alias("target"), F.col("symbol").alias("cur"), _plain(seed).alias("spec")).distinct().join(nodes, "cur", "left")
+    state = state.withColumn("spec_id", _spec_id(F.col("spec")))
+    seen = written(state.select("target", F.col("cur").alias("caller"), "spec_id").distinct(), "impact-seen")
     hits: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    levels: list[DataFrame] = []
+    for _ in range(max_depth):
         held, n = F.col("spec.impl_type"), F.col("node")
         left = (held != "") & n["is_connector"] & (n["spec"]["impl_type"] != held)
-        at = state.where(~F.coalesce(left, F.lit(False)))
+        at = state.where(~F.coalesce(left, F.lit(False))).withColumnsRenamed({"cur": "via", "spec_id": "via_spec"})
         spec = F.when(n["spec"].isNull(), F.col("spec")).when(n["by_row"], F.coalesce(F.col("spec"), n["spec"])).otherwise(n["spec"])
-        at = at.withColumn("spec", spec).withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array("cur", n["key"])))))
+        at = at.withColumn("spec", spec).withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array("via", n["key"]))))).drop("node")
         step = at.join(edges, "key")
         param, arm, arg = F.col("type_param"), F.lower(F.trim("match_arm")), F.get("spec.args", F.lit(0))
         other_param = (param != "_") & (F.length(arg) > 2) & (param != arg)
@@ -147,24 +182,19 @@ def impact(
         other_arm = listed & ~F.array_contains(variants(F.col("match_arm")), F.lower(locked))
         other_own = F.col("own") != locked
         step = step.where(~F.coalesce(other_arm, F.lit(False)) & ~F.coalesce(other_own, F.lit(False)))
-        hop = F.concat_ws(" → ", "caller_name", F.coalesce(n["name"], "cur"))
-        guard = F.struct(hop.alias("at_hop"), F.col("guard_type").alias("guard_type"), F.coalesce("guard_condition", F.lit("")).alias("condition"))
-        step = step.select(
-            "target", "caller", F.array_prepend("chain", F.col("caller")).alias("chain"),
-            F.when(F.col("guard_type").isNotNull(), F.array_append("guards", guard)).otherwise(F.col("guards")).alias("guards"),
-            "spec", spec_id.alias("spec_id"), "is_endpoint", "caller_node", F.coalesce("type_param", F.lit("")).alias("o1"), F.coalesce("guard_type", F.lit("")).alias("o2"),
-        )
+        step = step.select("target", "caller", "spec", _spec_id(F.col("spec")).alias("spec_id"), "via", "via_spec", "guard_type", "guard_condition", "type_param", "is_endpoint", F.col("caller_node").alias("node"))
         step = written(step.join(seen, ["target", "caller", "spec_id"], "left_anti"), "impact-level")
-        hits.append(step.where("is_endpoint").select("target", F.col("caller").alias("endpoint"), "chain", "guards", F.lit(depth).alias("depth"), "spec"))
-        first = F.min_by(F.struct("chain", "guards", "spec", "caller_node"), F.struct("o1", "o2", F.array_join("chain", ">").alias("o3")))
-        inner = written(step.where("NOT is_endpoint").groupBy("target", "caller", "spec_id").agg(first.alias("s")), "impact-frontier")
-        if inner.isEmpty():
+        hits.append(step.where("is_endpoint"))
+        none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+        order = F.struct(none("type_param"), none("guard_type"), F.concat("via", F.lit(">")).alias("o"), "via_spec", none("guard_condition"))
+        first = F.min_by(F.struct("spec", "via", "via_spec", "guard_type", "guard_condition", "node"), order)
+        level = step.where("NOT is_endpoint").groupBy("target", "caller", "spec_id").agg(first.alias("s")).select("target", "caller", "spec_id", "s.*")
+        levels.append(written(level, "impact-frontier"))
+        if levels[-1].isEmpty():
             break
-        seen = seen.unionByName(inner.select("target", "caller", "spec_id"))
-        state = inner.select("target", F.col("caller").alias("cur"), "s.chain", "s.guards", "s.spec", F.col("s.caller_node").alias("node"))
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
+        seen = seen.unionByName(levels[-1].select("target", "caller", "spec_id"))
+        state = levels[-1].select("target", F.col("caller").alias("cur"), "spec", "spec_id", "node")
+    out = _told(hits, levels, functions)
     out = out.withColumn("impl_type", F.col("spec.impl_type"))
     if step_a is not None:
         found = step_a.groupBy("target").agg(F.collect_set("type").alias("types"))
