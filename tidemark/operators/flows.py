@@ -14,7 +14,8 @@ _STEP = "struct<endpoint:string,body:string>"
 FLOW = (
     "flow_id int, description string, changed_function string, endpoints array<struct<method:string,path:string,handler:string>>, "
     "prerequisites array<struct<kind:string,field:string,required_value:string>>, setup_payloads array<struct<endpoint:string,body:string>>, "
-    "trigger_payload struct<endpoint:string,body:string,expected_result:string>, specialization struct<connector:string>, "
+    "trigger_payload struct<endpoint:string,body:string,expected_result:string>, "
+    "trigger_payloads map<string,map<string,struct<endpoint:string,body:string,expected_result:string>>>, specialization struct<connector:string>, "
     "chain array<struct<function:string,file:string,def_line:int,role:string,source:string>>, connectors array<string>, conditions_high int"
 )
 DOCUMENT = f"changed_function string, changed_file string, flows array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in FLOW.split(', '))}>>"
@@ -55,11 +56,13 @@ _CASE = "struct<endpoint:string,body:string,expected_result:string>"
 
 
 def cases(flows: DataFrame) -> Column:
-    """All trigger cases of a flow: of trigger_payloads (handler -> case -> payload) where flows have it, else the one trigger_payload."""
-    if "trigger_payloads" in flows.columns:
-        each = F.flatten(F.transform(F.map_values("trigger_payloads"), lambda m: F.map_values(m)))
-        return F.coalesce(each, F.array().cast(f"array<{_CASE}>"))
-    return F.array("trigger_payload")
+    """All trigger cases of a flow: those of trigger_payloads (handler -> case -> payload), without any the one trigger_payload."""
+    none = F.array().cast(f"array<{_CASE}>")
+    one = F.coalesce(F.when(F.col("trigger_payload").isNotNull(), F.array("trigger_payload")), none) if "trigger_payload" in flows.columns else none
+    if "trigger_payloads" not in flows.columns:
+        return one
+    each = F.flatten(F.transform(F.map_values("trigger_payloads"), lambda m: F.map_values(m)))
+    return F.when(F.size("trigger_payloads") > 0, each).otherwise(one)
 
 
 def normalise(flows: DataFrame) -> DataFrame:
