@@ -13,9 +13,9 @@ the pairs of one bucket that are still in different groups and can reach the thr
 as well, and grouped with the rest. Whether a pair can reach it is told by the sizes and by odd
 sketches: every shingle of a set flips one of PARITY bits, so the bits in which two sketches differ
 are at most as many as the shingles in which the sets do. That bound is exact; it spares a family
-of half-alike documents from being compared pair by pair on full sets. A bucket of many members is
-cut into parts of about PART_ROWS, and any two parts meet in a group of rows of their own, so the
-work on it spreads over many tasks. No cap anywhere: the band shape makes the chance of missing a
+of half-alike documents from being compared pair by pair on full sets. Members of a bucket's largest group need not meet each other again: the others meet all.
+Both sides are cut into parts of about PART_ROWS, and any two parts meet in a group of rows of
+their own, so the work on a large bucket spreads over many tasks. No cap anywhere: the band shape makes the chance of missing a
 pair at the threshold less than MISS, and everything that is reported as a link has been verified.
 
 Groups come from union-find inside the partitions, which shrinks the links to forests, and rounds
@@ -290,26 +290,27 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = written(_verified(stars, sets, percent), "links")
     labels = written(components(links), "labels")
 
-    # what is left: pairs of a bucket that are in different groups so far
+    # what is left: pairs of a bucket that are in different groups so far. Members of the bucket's
+    # largest group need not meet each other, so the work is its other members times all of them
     named = members.join(labels, members["rep"] == labels["node"], "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label")
     )
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-    mixed = written(named.join(mixed, "key").join(classes.select("rep", "size", "bits"), "rep"), "mixed-buckets")
-    # each part meets every part from itself on, in a group of rows of their own
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    upto = F.sequence(F.lit(0), F.col("part"))
-    onwards = F.sequence(F.col("part"), F.col("parts") - 1)
-    mixed = mixed.withColumn("part", part)
+    by_group = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_group.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    mixed = mixed.where("groups > 1").select("key", "main", parts(F.col("n") - F.col("most")).alias("few"), parts(F.col("n")).alias("all"))
+    mixed = named.join(mixed, "key").join(classes.select("rep", "size", "bits"), "rep").withColumn("rest", F.col("label") != F.col("main"))
+    mixed = written(mixed.drop("main"), "mixed-buckets")
+    # both sides are cut into parts, and each part of one meets each part of the other in a group of rows of its own
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sides = []
-    for x, meets in (("a", onwards), ("b", upto)):
-        side = mixed.withColumn("met", F.explode(meets))
-        pair = [F.col("part"), F.col("met")] if x == "a" else [F.col("met"), F.col("part")]
-        sides.append(side.select("key", pair[0].alias("p"), pair[1].alias("q"), *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "label")]))
+    for x, rows, p, q in (("a", mixed.where("rest"), own("few"), each("all")), ("b", mixed, each("few"), own("all"))):
+        rows = rows.withColumn("p", p).withColumn("q", q)
+        sides.append(rows.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "label", "rest")]))
     differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
     fits = (
-        ((F.col("p") < F.col("q")) | (F.col("rep_a") < F.col("rep_b")))
+        (~F.col("rest_b") | (F.col("rep_a") < F.col("rep_b")))
         & (F.col("label_a") != F.col("label_b"))
         & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
