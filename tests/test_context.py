@@ -9,7 +9,7 @@ from tidemark.sources.catalog_store import Catalog, artifact_kind, save_document
 
 def test_prompts(spark):
     chain = [("h", "a.rs", 1, "handler", "x" * 900), ("t", "b.rs", 2, "target", "y" * 900)]
-    row = (7, "d", "top", [("GET", "/x", "h")], [("auth", "f", None)], None, None, None, chain, None, 0)
+    row = (7, "d", "top", [("GET", "/x", "h")], [("auth", "f", None)], None, None, None, None, chain, None, 0)
     text = X.flow_prompt(spark.createDataFrame([row], FLOW)).first().prompt
     assert text.startswith("Flow 7: d\n\nEndpoints:\n- GET /x -> h\n\nPrerequisites:\n- auth f\n") and "x" * 801 not in text and "(truncated)" in text and "y" * 900 in text
     row = spark.range(1).select(X.condition_label(F.lit("if"), F.lit("a")), X.condition_label(F.lit(None).cast("string"), F.lit("a")), X.role_label(F.lit("target")), X.gap_label(F.lit("partial")), X.tone(F.lit(50.0))).first()
