@@ -222,6 +222,7 @@ def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFram
     edges = _guarded(calls, endpoints).join(of("up"), F.col("caller") == F.col("up_symbol")).join(of("at"), F.col("callee") == F.col("at_symbol"))
     edges = written(edges.select("up", "at", F.col("at_end").cast("int").alias("at_end"), "g"), "edges")
     light = edges.select("up", "at", "at_end")
+    ends = light.where("at_end = 1").select("up").distinct().count()
 
     state = targets.select("symbol").distinct().join(ids, "symbol").select(F.col("id").alias("target"), F.col("id").alias("cur"))
     seen = [written(state.select("target", F.col("cur").alias("up")), "chains-seen")]
@@ -230,7 +231,9 @@ def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFram
         step = state.join(light, state["cur"] == light["at"]).groupBy("target", "up").agg(F.min("cur").alias("via"), F.max("at_end").alias("at_end"))
         levels.append(written(step.join(_union(seen), ["target", "up"], "left_anti"), "chains-level"))
         seen.append(levels[-1].select("target", "up"))
-        state = levels[-1].where("at_end = 0").select("target", F.col("up").alias("cur"))
+        # a target that has come to every endpoint there is needs no search any more
+        done = _union([level.where("at_end = 1").select("target") for level in levels]).groupBy("target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ends)
+        state = levels[-1].where("at_end = 0").select("target", F.col("up").alias("cur")).join(done.select("target"), "target", "left_anti")
         if state.isEmpty():
             break
 
