@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe
+from tidemark.llm import decontaminate, exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,49 @@ FROM documents
 """
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT item, l, array_to_string(w[s : s + l - 1], ' ') AS x
+  FROM (SELECT item, w, least(len(w), 10) AS l, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS s FROM b WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT r, l, s, array_to_string(w[s : s + l - 1], ' ') AS x
+  FROM (SELECT r, w, l, unnest(generate_series(1, len(w) - l + 1)) AS s
+        FROM d, (SELECT DISTINCT l FROM item_windows) WHERE len(w) >= l)
+), hits AS (
+  SELECT r, s, dw.l, item FROM doc_windows dw JOIN item_windows USING (l, x)
+), items AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r
+), places AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(s, s + l - 1)) AS p FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN items USING (r) LEFT JOIN places USING (r)
+"""
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -144,8 +187,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_decontamination": op13_decontamination,
 }
-ORACLES = {"op4_url_filters": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op4_url_filters": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op13_decontamination": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
