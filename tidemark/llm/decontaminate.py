@@ -23,8 +23,6 @@ documents, nothing is hit. Other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +33,9 @@ GRAM = 5
 #: Windows of the benchmark that are broadcast at most: some 30 MB.
 BROADCAST_WINDOWS = 200_000
 
+#: Words of one part of a document, so that a hit moves a part and not a long text.
+PART_WORDS = 128
+
 _RUN = "struct<length:int,start:int,n:int,least:bigint>"
 _SPAN = "struct<start:int,end:int>"
 
@@ -85,60 +86,67 @@ def _with_fingerprints(rows: DataFrame, lengths: list[int], gram: int) -> DataFr
     return rows.select(*names, F.concat(F.array().cast(f"array<{_RUN}>"), *[runs(n) for n in lengths]).alias("__runs"))
 
 
-def _windows(items: DataFrame, window: int) -> DataFrame:
-    """item, length, __words: every window of every item; rows (item_id, text)."""
+def index(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The distinct windows of a benchmark (window, length, least, list), the lists of items (list, items), all lengths.
+
+    A window is its words, joined by blanks; least is the least hash of its grams; its list names all
+    items that hold it. Rows (item_id, text).
+    """
     rows = items.select(F.col("item_id").cast("string").alias("item"), words(whole_text()).alias("__all"))
     rows = rows.where(F.size("__all") > 0).withColumn("length", F.least(F.size("__all"), F.lit(window)))
+    rows = written(rows, "benchmark-words")
+    lengths = sorted(r["length"] for r in rows.select("length").distinct().collect())  # as many as a window has words at most
     starts = F.explode(F.sequence(F.lit(1), F.size("__all") - F.col("length") + 1)).alias("__at")
     rows = rows.select("item", "length", "__all", starts)
-    return rows.select("item", "length", F.slice("__all", F.col("__at"), F.col("length")).alias("__words"))
-
+    found = rows.select("item", "length", F.array_join(F.slice("__all", F.col("__at"), F.col("length")), " ").alias("window"))
+    found = found.groupBy("window", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = _with_least(found.withColumn("__words", F.split("window", " ")), lengths, gram)
+    own = [F.when(F.col("length") == n, F.get(f"__least{n}", F.lit(0))) for n in lengths]
+    least = F.coalesce(F.lit(None).cast("long"), *own).alias("least")
+    found = found.select("window", "length", least, F.sha2(F.to_json("items"), 256).alias("list"), "items")
+    found = written(found, "benchmark-windows")
+    return found.drop("items"), found.select("list", "items").dropDuplicates(["list"]), lengths
 
-def index(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The distinct windows of a benchmark (window, length, list), and the lists of items (list, items).
 
-    A window is its words, joined by blanks; its list names all items that hold it.
-    """
-    found = _windows(items, window).select("item", "length", F.array_join("__words", " ").alias("window"))
-    found = found.groupBy("window", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = written(found.withColumn("list", F.sha2(F.to_json("items"), 256)), "benchmark-windows")
-    lists = found.select("list", "items").dropDuplicates(["list"])
-    return found.select("window", "length", "list"), lists
+def _in_parts(rows: DataFrame, window: int) -> DataFrame:
+    """rows (__all) in parts of PART_WORDS words and those of the windows that start there: __part, __words, n_words."""
+    parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("__all"), F.lit(1)) - 1) / PART_WORDS).cast("int"))
+    cut = F.transform(parts, lambda k: F.slice("__all", k * PART_WORDS + 1, F.lit(PART_WORDS + window - 1)))
+    return rows.select("__row", "doc_id", F.size("__all").cast("long").alias("n_words"), F.posexplode(cut).alias("__part", "__words"))
 
 
 def _occurrences(rows: DataFrame, windows: DataFrame, lengths: list[int], gram: int, small: bool) -> DataFrame:
     """Per row one line without a place, and one for each window that stands in it (start, end, list)."""
-    least = reduce(lambda a, n: F.when(F.col("length") == n, F.get(f"__least{n}", F.lit(0))).otherwise(a), lengths, F.lit(None).cast("long"))
-    marks = _with_least(windows.withColumn("__words", F.split("window", " ")), lengths, gram)
-    marks = marks.select(least.alias("mark")).distinct()
-    none = F.array(F.struct(F.lit(0), F.lit(-1), F.lit(0), F.lit(None).cast("long")).cast(_RUN))
-    keep = ["__row", "doc_id", "__words"]
-
+    marks = windows.select(F.col("least").alias("mark")).distinct()
+    keep = ["__row", "doc_id", "n_words", "__part", "__words"]
+    rows = _in_parts(rows, max(lengths))
     printed = _with_fingerprints(rows, lengths, gram)
+    none = F.array(F.struct(F.lit(0), F.lit(-1), F.lit(0), F.lit(None).cast("long"))).cast(f"array<{_RUN}>")
+    none = F.when(F.col("__part") == 0, none).otherwise(F.array().cast(f"array<{_RUN}>"))
+    run = F.explode(F.concat(none, F.col("__runs"))).alias("run")
     if small:
-        every = printed.select(*keep, F.explode(F.concat(none, F.col("__runs"))).alias("run"))
+        every = printed.select(*keep, run)
         hits = every.join(F.broadcast(marks), F.col("run.least") == F.col("mark"), "left")
         hits = hits.where("run.start < 0 OR mark IS NOT NULL")
     else:
-        thin = printed.select("__row", F.explode("__runs").alias("run"))
+        thin = printed.select("__row", "__part", run).where("run.least IS NOT NULL")
         thin = thin.join(marks.hint("merge"), F.col("run.least") == F.col("mark"), "left_semi")
-        thin = thin.groupBy(F.col("__row").alias("__own")).agg(F.collect_list("run").alias("__runs"))
-        hits = rows.join(thin, F.col("__row") == F.col("__own"), "left")
-        held = F.concat(none, F.coalesce("__runs", F.array().cast(f"array<{_RUN}>")))
-        hits = hits.select(*keep, F.explode(held).alias("run"))
+        thin = thin.groupBy("__row", "__part").agg(F.collect_list("run").alias("__runs"))
+        hits = rows.join(thin, ["__row", "__part"], "left")
+        hits = hits.select(*keep, F.explode(F.concat(none, F.coalesce("__runs", F.array().cast(f"array<{_RUN}>")))).alias("run"))
 
     # the hit is extended: each of the windows it stands for is looked up by all its words
     start, n, length = (F.col(f"run.{c}") for c in ("start", "n", "length"))
-    hits = hits.withColumn("start", F.explode(F.when(start < 0, F.array(F.lit(-1))).otherwise(F.sequence(start, start + n - 1))))
+    at = F.when(start < 0, F.array(F.lit(-1))).otherwise(F.sequence(start, start + n - 1))
+    hits = hits.select(*keep, length.alias("length"), F.explode(at).alias("at"))
     # rows without a place have a key of their own that no window has
-    text = F.when(F.col("start") >= 0, F.array_join(F.slice("__words", F.col("start") + 1, length), " "))
-    hits = hits.select(
-        "__row", "doc_id", F.size("__words").alias("n_words"), "start", (F.col("start") + length).alias("end"),
-        F.coalesce(text, F.concat(F.lit("\n"), F.col("__row"))).alias("text"),
-    )
+    text = F.when(F.col("at") >= 0, F.array_join(F.slice("__words", F.col("at") + 1, F.col("length")), " "))
+    start = F.when(F.col("at") >= 0, F.col("at") + F.col("__part") * PART_WORDS)
+    text = F.coalesce(text, F.concat(F.lit("\n"), F.col("__row")))
+    hits = hits.select("__row", "doc_id", "n_words", start.alias("start"), (start + F.col("length")).alias("end"), text.alias("text"))
     known = windows.select("window", "list")
     known = F.broadcast(known) if small else known.hint("merge")
-    return hits.join(known, F.col("text") == F.col("window"), "left").where("start < 0 OR list IS NOT NULL")
+    return hits.join(known, F.col("text") == F.col("window"), "left").where("start IS NULL OR list IS NOT NULL")
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -147,23 +155,22 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     doc_id, n_words, n_hit (words inside of a shared window), spans (array of start and end, the end
     exclusive, of the stretches of such words), items (sorted ids of the items that share a window).
     """
-    windows, lists = index(items.select("item_id", "text"), window)
-    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # window rows at most
+    windows, lists, lengths = index(items.select("item_id", "text"), window, gram)
     rows = docs.select("doc_id", whole_text().alias("text"))
     rows = stable(rows, "documents").withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.select("__row", "doc_id", words(F.col("text")).alias("__words"))
+    rows = rows.select("__row", "doc_id", words(F.col("text")).alias("__all"))
 
-    if sizes:
-        found = _occurrences(rows, windows, sorted(sizes), gram, sum(sizes.values()) <= broadcast)
-        place = F.when(F.col("start") >= 0, F.struct("start", "end")).cast(_SPAN)
+    if lengths:
+        found = _occurrences(rows, windows, lengths, gram, windows.count() <= broadcast)
+        place = F.when(F.col("start").isNotNull(), F.struct("start", "end")).cast(_SPAN)
         found = found.groupBy("__row").agg(
-            F.first("doc_id", ignorenulls=True).alias("doc_id"),
-            F.max("n_words").cast("long").alias("n_words"),
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_words").alias("n_words"),
             F.array_sort(F.collect_set(place)).alias("places"),
             F.array_sort(F.collect_set("list")).alias("lists"),
         )
     else:
-        found = rows.select("doc_id", F.size("__words").cast("long").alias("n_words"), F.array().cast(f"array<{_SPAN}>").alias("places"))
+        found = rows.select("doc_id", F.size("__all").cast("long").alias("n_words"), F.array().cast(f"array<{_SPAN}>").alias("places"))
         found = found.withColumn("lists", F.array().cast("array<string>"))
     found = written(_with_spans(found).select("doc_id", "n_words", "spans", "lists"), "contaminated-spans")
 
