@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, fingerprints, hard_negatives, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe
+from tidemark.llm import conversation_repair, decontaminate, exact_dedup, fingerprints, hard_negatives, license_scan, near_dedup, packing, quality, secret_scan, token_counts, url_filter, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,20 @@ FROM documents
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, repaired = conversation_repair.repair(conversation_repair.damaged(rows))
+    line = F.struct("place", F.concat("role", F.lit(":"), "text").alias("line"))
+    lines = F.sort_array(F.collect_list(line))["line"]  # the hash is of the whole conversation, so it is put together here
+    repaired = repaired.groupBy("conv_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
+    every = rows.select(F.col("conv_id").alias("own")).distinct()
+    out = every.join(found, F.col("own").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(repaired, F.col("own").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return out.select(F.col("own").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -216,6 +230,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_decontamination": op13_decontamination,
 }
