@@ -111,31 +111,49 @@ def search(tree: BallTree, q: np.ndarray, which: np.ndarray, own: np.ndarray, lo
     """Takes the rows of tree into best for the queries which (numbers in q); returns how many rows were scored.
 
     q holds all queries' vectors, own the row each must not find, low and high their score windows.
+    Each query first goes down to the leaf whose centres are nearest to it, which raises its worst
+    score; then all go through the tree together.
     """
     asked = q.astype(np.float64)
     length = np.sqrt((asked**2).sum(axis=1))
     exact = float(length.max(initial=0)) * tree.reach < 2.0**52  # then 64-bit floats hold every product and sum
+    home = np.full(len(q), -1)
+
+    def take(at: int, some: np.ndarray) -> int:
+        rows = slice(tree.nodes[at][2], tree.nodes[at][3])
+        score = (asked[some] @ tree.x[rows].astype(np.float64).T).astype(np.int64) if exact else q[some] @ tree.x[rows].T
+        fits = (score >= np.maximum(best.worst(), low)[some][:, None]) & (score <= high[some][:, None])
+        fits &= tree.rows[rows][None, :] != own[some][:, None]
+        k, r = np.nonzero(fits)
+        best.add(some[k], score[k, r], tree.ids[rows][r], tree.rows[rows][r])
+        return score.size
+
+    def possible(at: int, some: np.ndarray) -> np.ndarray:
+        centre, radius = tree.nodes[at][:2]
+        middle = asked[some] @ centre
+        slack = length[some] * radius + 1e-9 * length[some] * (radius + np.sqrt(centre @ centre)) + 1e-3
+        return some[(middle + slack >= np.maximum(best.worst(), low)[some]) & (middle - slack <= high[some])]
+
     scored, todo = 0, [(0, which)]
     while todo:
         at, some = todo.pop()
-        centre, radius, lo, hi, left, right = tree.nodes[at]
-        middle = asked[some] @ centre
-        slack = length[some] * radius + 1e-9 * length[some] * (radius + np.sqrt(centre @ centre)) + 1e-3
-        some = some[(middle + slack >= np.maximum(best.worst(), low)[some]) & (middle - slack <= high[some])]
-        if not len(some):
-            continue
-        if left < 0:
-            rows = slice(lo, hi)
-            score = (asked[some] @ tree.x[rows].astype(np.float64).T).astype(np.int64) if exact else q[some] @ tree.x[rows].T
-            scored += score.size
-            fits = (score >= np.maximum(best.worst(), low)[some][:, None]) & (score <= high[some][:, None])
-            fits &= tree.rows[rows][None, :] != own[some][:, None]
-            k, r = np.nonzero(fits)
-            best.add(some[k], score[k, r], tree.ids[rows][r], tree.rows[rows][r])
-        else:
-            # the child that is nearer to most of them is searched first, so it goes on last
-            total = asked[some].sum(axis=0)
-            todo += [(c, some) for c in sorted((left, right), key=lambda c: float(total @ tree.nodes[c][0]))]
+        some = possible(at, some)
+        left, right = tree.nodes[at][4:]
+        if len(some) and left < 0:
+            home[some] = at
+            scored += take(at, some)
+        elif len(some):
+            near = asked[some] @ (tree.nodes[left][0] - tree.nodes[right][0]) > 0
+            todo += [(left, some[near]), (right, some[~near])]
+    todo = [(0, which)]
+    while todo:
+        at, some = todo.pop()
+        some = possible(at, some[home[some] != at])
+        left, right = tree.nodes[at][4:]
+        if len(some) and left < 0:
+            scored += take(at, some)
+        elif len(some):
+            todo += [(left, some), (right, some)]
     return scored
 
 
@@ -218,10 +236,6 @@ def _forest(rows: list[pa.RecordBatch], width: int) -> dict[str, BallTree]:
     return {y: BallTree(x[labels == y], ids[labels == y], own[labels == y]) for y in sorted(set(labels))}
 
 
-def _floor_of(value: Column, by: int) -> Column:
-    return ((value - F.pmod(value, F.lit(by))) / by).cast("long")
-
-
 def mine(
     rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 5, window: tuple[int, int] = (80, 100),
     scale: int = SCALE, part_cells: int = PART_CELLS,
@@ -244,8 +258,8 @@ def mine(
     near = written(near.select(F.col("q").alias("own"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     pairs = near.withColumn("q", F.monotonically_increasing_id())
 
-    score = F.col("positive_score")
-    least, most = -_floor_of(-score * window[0], 100), _floor_of(score * window[1], 100)
+    score = F.col("positive_score").cast("decimal(20, 0)")  # times a hundred it need not fit 64 bits
+    least, most = F.ceil(score * window[0] / 100).cast("long"), F.floor(score * window[1] / 100).cast("long")
     asked = pairs.withColumn("low", least).withColumn("high", most).where("low <= high")
     asked = asked.join(anchors.select(F.col("__row").alias("own"), "label", "vec"), "own")
     found = _best_rows(vectors, asked, negatives, False, parts, width)
