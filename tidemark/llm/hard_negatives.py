@@ -67,11 +67,13 @@ class BallTree:
             if place is not None:
                 self.nodes[place[0]][place[1]] = at
             if hi - lo > LEAF and away.max() > 0:
-                # along the line from the row farthest out to the one farthest from it, at the median
+                # by which of two rows far apart is nearer; at the median where that would leave one side with few
                 far = own[away.argmax()]
                 other = own[((own - far) ** 2).sum(axis=1).argmax()]
-                order[lo:hi] = order[lo:hi][np.argsort(own @ (other - far), kind="stable")]
-                mid = (lo + hi) // 2
+                along = (own - (far + other) / 2) @ (other - far)
+                order[lo:hi] = order[lo:hi][np.argsort(along, kind="stable")]
+                mid = lo + int((along < 0).sum())
+                mid = mid if 10 * min(mid - lo, hi - mid) >= hi - lo else (lo + hi) // 2
                 todo += [(mid, hi, (at, 5)), (lo, mid, (at, 4))]
         self.x, self.ids, self.rows = x[order], ids[order], rows[order]
         self.reach = float(np.sqrt((points**2).sum(axis=1)).max())
