@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -253,6 +254,80 @@ def test_exact_dedup_buckets(spark):
     assert exact_dedup.DigestIndex(spark, expected_rows=10**9).buckets == 500
 
 
+class Stopped(Exception):
+    pass
+
+
+def stop_at(monkeypatch, spark, call, late):
+    """From now on the call-th call that may write is the last one; late: it is carried out first."""
+    calls = [0]
+
+    def wrapped(f):
+        def run(*args, **more):
+            calls[0] += 1
+            if calls[0] == call and not late:
+                raise Stopped
+            out = f(*args, **more)
+            if calls[0] == call:
+                raise Stopped
+            return out
+
+        return run
+
+    monkeypatch.setattr(exact_dedup, "mark", wrapped(exact_dedup.mark))
+    monkeypatch.setattr(type(spark), "sql", wrapped(type(spark).sql))
+    for name in ("insertInto", "parquet"):
+        monkeypatch.setattr(DataFrameWriter, name, wrapped(getattr(DataFrameWriter, name)))
+
+
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("work", ["append", "compact", "create"])
+def test_exact_dedup_stopped_anywhere(spark, work, late):
+    """Wherever a driver stops, who opens the index next finds all that was known, and the batch can come again."""
+    known = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    batch = spark.createDataFrame([(100 + k, f"t{k}") for k in range(30, 70)], "doc_id long, text string")
+    done, call = False, 0
+    while not done:
+        call += 1
+        if work == "create":
+            path = common.shared_path(spark, "digest-index")
+        else:
+            index = exact_dedup.DigestIndex(spark, buckets=4)
+            path = index.path
+            exact_dedup.decisions(known, index, "a").count()
+        with pytest.MonkeyPatch.context() as patch:
+            stop_at(patch, spark, call, late)
+            try:
+                if work == "append":
+                    exact_dedup.decisions(batch, index, "b").count()
+                elif work == "compact":
+                    index.compact(8)
+                else:
+                    exact_dedup.DigestIndex(spark, path, buckets=4)
+                done = True
+            except Stopped:
+                pass
+        again = exact_dedup.DigestIndex(spark, path, buckets=None if work == "compact" else 4)
+        if work == "create":
+            exact_dedup.decisions(known, again, "a").count()
+        assert again.seen().where("batch = 'a'").count() == 50
+        kept = exact_dedup.decisions(batch, again, "b").where("kept").collect()
+        assert sorted(r.doc_id for r in kept) == list(range(150, 170))
+        assert exact_dedup.decisions(known, exact_dedup.DigestIndex(spark, path), "c").where("kept").count() == 0
+        again.compact(2)
+        assert exact_dedup.DigestIndex(spark, path).seen().count() == 70
+    assert call > 2
+
+
+def test_exact_dedup_without_a_whole_generation(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    exact_dedup.decisions(spark.createDataFrame([(1, "a")], "doc_id long, text string"), index).count()
+    for f in (tmp_path / "index").glob("*.whole"):
+        f.unlink()
+    with pytest.raises(ValueError, match="no generation"):
+        exact_dedup.DigestIndex(spark, index.path)
+
+
 def test_exact_dedup_in_turn(spark, docs, empty):
     late = F.coalesce(F.col("doc_id") >= 4, F.lit(False))
     rows = exact_dedup.decisions_in_turn(docs, exact_dedup.DigestIndex(spark), [late, ~late]).collect()

@@ -49,28 +49,19 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def read_note(spark: SparkSession, path: str) -> str | None:
-    """The text of a small file in the shared folder; None if there is none."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of the shared folder; none if it isn't there."""
     fs, at = _path(spark, path)
-    if not fs.exists(at):
-        return None
-    stream = fs.open(at)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
-def write_note(spark: SparkSession, path: str, text: str) -> None:
-    """Puts a small file into the shared folder, whole or not at all."""
+def mark(spark: SparkSession, path: str) -> None:
+    """Puts an empty file into the shared folder, where its name says all there is to say.
+
+    One call of the file system creates it and nothing ever replaces it, so it is there or it isn't.
+    """
     fs, at = _path(spark, path)
-    _, fresh = _path(spark, f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(at, False)
-    if not fs.rename(fresh, at):
-        raise OSError(f"could not write {path}")
+    fs.create(at, False).close()
 
 
 def stable(rows: DataFrame, label: str) -> DataFrame:

@@ -14,16 +14,17 @@ keep_id in the input do no harm.
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free, read_note, shared_path, whole_text, write_note, written
+from tidemark.llm.common import free, mark, names_in, shared_path, whole_text, written
 
 #: Digests that one bucket is to hold (about 100 MB), and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
+_WHOLE = re.compile(r"generation-(\d+)-of-(\d+)\.whole")
 
 
 class DigestIndex:
@@ -31,26 +32,33 @@ class DigestIndex:
 
     Give path to continue an index; without it a new one starts in the shared folder. The number
     of buckets sets how many tasks an anti-join with the index can use. It follows from
-    expected_rows unless given, stands in a note beside the table, and whoever opens the index
-    reads it there; asking for another one is an error. compact() changes it.
+    expected_rows unless given and keeps; asking for another one is an error. compact() changes it.
+
+    A generation is a folder whose name holds its number and its buckets, and it counts from the
+    moment that an empty file of its name is put beside it. Nothing is ever replaced or renamed, so
+    wherever a driver stops, the highest generation that counts is whole. A path that holds
+    generations of which none counts is no index, and opening it is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, expected_rows: int = 0):
         self.spark = spark
         self.path = path or shared_path(spark, "digest-index")
         self.name = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
-        note = read_note(spark, f"{self.path}/index.json")
-        if note is None:
-            self.generation, self.buckets = 0, buckets or max(LEAST_BUCKETS, -(-expected_rows // BUCKET_ROWS))
-            self._describe()
-        else:
-            self.generation, self.buckets = json.loads(note)["generation"], json.loads(note)["buckets"]
+        names = names_in(spark, self.path)
+        whole = sorted((int(m[1]), int(m[2])) for m in map(_WHOLE.fullmatch, names) if m)
+        if whole:
+            self.generation, self.buckets = whole[-1]
             if buckets not in (None, self.buckets):
                 raise ValueError(f"the index at {self.path} has {self.buckets} buckets, not {buckets}; compact() changes that")
+        elif names:
+            raise ValueError(f"{self.path} holds files, but no generation of a digest index that is whole")
+        else:
+            self.generation, self.buckets = 0, buckets or max(LEAST_BUCKETS, -(-expected_rows // BUCKET_ROWS))
+            mark(spark, self._folder(0, self.buckets) + ".whole")
         self._open()
 
-    def _describe(self) -> None:
-        write_note(self.spark, f"{self.path}/index.json", json.dumps({"generation": self.generation, "buckets": self.buckets}))
+    def _folder(self, generation: int, buckets: int) -> str:
+        return f"{self.path}/generation-{generation}-of-{buckets}"
 
     def _open(self) -> None:
         # only the catalogue's entry goes: the files lie at a location of their own
@@ -60,7 +68,7 @@ class DigestIndex:
     def _definition(self, name: str, generation: int, buckets: int) -> str:
         return (
             f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) "
-            f"SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/generation-{generation}'"
+            f"SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self._folder(generation, buckets)}'"
         )
 
     def seen(self) -> DataFrame:
@@ -76,6 +84,7 @@ class DigestIndex:
 
         Every append adds a file to each bucket; while a bucket has one file only, joins read it
         in order. The new files count once they are whole; the old ones stay for whoever reads them.
+        What a compaction that stopped has left is written over. One index has one writer at a time.
         """
         buckets, generation = buckets or self.buckets, self.generation + 1
         fresh = f"{self.name}_{generation}"
@@ -83,8 +92,8 @@ class DigestIndex:
         self.spark.sql(self._definition(fresh, generation, buckets))
         self.seen().repartition(buckets, "digest").write.insertInto(fresh, overwrite=True)
         self.spark.sql(f"DROP TABLE {fresh}")
+        mark(self.spark, self._folder(generation, buckets) + ".whole")
         self.generation, self.buckets = generation, buckets
-        self._describe()
         self._open()
 
 
@@ -93,7 +102,8 @@ def decisions(docs: DataFrame, index: DigestIndex, batch: str | None = None) ->
 
     Appends the new digests to index under the name batch (a fresh one unless given). A name that
     the index knows means that its rows come again, after a restart for instance: what that batch
-    put into the index still counts as new. copies counts the rows with this id and this text,
+    put into the index still counts as new; a batch that stopped on the way must come again under its
+    name, as parts of it may stand in the index. copies counts the rows with this id and this text,
     group_size those of this batch with this text.
     """
     keyed = docs.select("doc_id", F.unhex(F.sha2(whole_text(), 256)).alias("digest"))
