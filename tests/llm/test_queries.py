@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -164,6 +165,56 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.group(docs, 3, 85).collect()} == want
 
 
+def half_alike(n_texts, n_words, seed, step=0):
+    """Texts that share half of their words, at places of their own; some are copies with a few edits."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(n_words)]
+    texts = {}
+    for i in range(n_texts):
+        if i % 10 == 9:
+            words = texts[i - 1].split()
+            for at in rng.sample(range(n_words), n_words // 100):
+                words[at] = f"e{i}"
+        else:
+            words = list(base)
+            for lo in range(0, n_words, 40):
+                at = lo + 20 * rng.randrange(2)
+                words[at : at + 20] = [f"v{i}_{k}" for k in range(at, min(at + 20, n_words))]
+        texts[i] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("n_words", [1000, 5000])
+def test_half_alike_families_are_not_compared_in_full(spark, monkeypatch, n_words):
+    texts = half_alike(60, n_words, 3)
+    pairs = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    monkeypatch.setattr(near_dedup, "band_shape", lambda threshold: (240, 1))  # every family meets, in many bands
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = components({i: shingles(t.split(), 3) for i, t in texts.items()}, 85)
+    assert {r.doc_id: r.component_id for r in near_dedup.group(docs, 3, 85).collect()} == want
+    stars, rest = pairs
+    assert rest <= 60  # of 1770 pairs: the copies, and few that are alike by chance
+
+
+def test_wide_sketches(spark):
+    """The bits in which two sketches differ, the longer one folded, against the sets themselves."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64, 9000, dtype=np.uint64)
+    sets = [np.unique(pool[rng.random(9000) < share]) for share in (0.05, 0.13, 0.2, 0.4, 0.6, 0.9)]
+    rows = [(a, b, near_dedup.wide_sketch(sets[a]).tolist(), near_dedup.wide_sketch(sets[b]).tolist()) for a in range(6) for b in range(6)]
+    frame = spark.createDataFrame(rows, "a int, b int, x array<long>, y array<long>")
+    for r in frame.select("a", "b", near_dedup._wide_differ(F.col("x"), F.col("y")).alias("n")).collect():
+        widths = [1 << (len(sets[k]) - 1).bit_length() if len(sets[k]) > near_dedup.PARITY else 0 for k in (r.a, r.b)]
+        apart = np.setxor1d(sets[r.a], sets[r.b])
+        if 0 in widths or max(widths) > 4 * min(widths):
+            assert r.n == 0
+        else:
+            odd = np.bincount(near_dedup._place(apart, min(widths)), minlength=min(widths)) & 1
+            assert r.n == odd.sum() <= len(apart)
+
+
 def test_band_shape():
     for percent in (50, 80, 85, 95):
         bands, n = near_dedup.band_shape(percent / 100)

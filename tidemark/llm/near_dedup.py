@@ -13,7 +13,10 @@ the pairs of one bucket that are still in different groups and can reach the thr
 as well, and grouped with the rest. Whether a pair can reach it is told by the sizes and by odd
 sketches: every shingle of a set flips one of PARITY bits, so the bits in which two sketches differ
 are at most as many as the shingles in which the sets do. That bound is exact; it spares a family
-of half-alike documents from being compared pair by pair on full sets. Members of a bucket's largest group need not meet each other again: the others meet all.
+of half-alike documents from being compared pair by pair on full sets. In so few bits long sets
+differ by chance in about half of them, whatever they share; so sets of more than PARITY shingles
+have a second sketch, with a bit for each shingle, up to the next power of two. A sketch folds onto
+half its length by exclusive or, so sets of different lengths can be compared. Members of a bucket's largest group need not meet each other again: the others meet all.
 Both sides are cut into parts of about PART_ROWS, and any two parts meet in a group of rows of
 their own, so the work on a large bucket spreads over many tasks. No cap anywhere: the band shape makes the chance of missing a
 pair at the threshold less than MISS, and everything that is reported as a link has been verified.
@@ -24,7 +27,8 @@ of exchanging least labels between them. Nothing about single documents reaches
 Defined results. A null text is empty; a text without words has an empty set and is linked with
 nothing. A text with fewer words than a shingle is one shingle. Rows that repeat an id are one
 document for the grouping and each get its result; where their texts differ, the group is that of
-either. A null id is linked with nothing and is its own group (null). Other columns are ignored.
+the one whose set has the least hash. A null id is linked with nothing and is its own group (null).
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +49,9 @@ SLOTS = 240
 MISS = 1e-6
 #: Bits of an odd sketch.
 PARITY = 1024
-#: Rows of one part of a large bucket.
+#: Shingles of two sets together up to which the short sketches tell enough.
+SHORT = 4096
+#: Rows of one part of a large bucket; a long set counts as a row for each of its PARITY shingles.
 PART_ROWS = 2048
 WORD_CACHE = 100_000
 SLICE_ROWS = 256
@@ -138,13 +144,44 @@ def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """For each set which of PARITY bits an odd number of its shingles fall on, packed into 64-bit words."""
     doc = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], dtype=np.int64))
     h = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
-    at = (_mixed(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(PARITY)).astype(np.int64)
-    odd = np.bincount(doc * PARITY + at, minlength=len(sets) * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITY), axis=1).view(np.int64)
+    odd = np.bincount(doc * PARITY + _place(h, PARITY), minlength=len(sets) * PARITY) & 1
+    return _words(odd.reshape(len(sets), PARITY))
+
+
+def wide_sketch(own: np.ndarray) -> np.ndarray:
+    """The odd sketch of one set in as many bits as it has shingles, up to the next power of two; empty up to PARITY shingles."""
+    if len(own) <= PARITY:
+        return np.empty(0, dtype=np.int64)
+    bits = 1 << (len(own) - 1).bit_length()
+    return _words((np.bincount(_place(own, bits), minlength=bits) & 1)[None, :])[0]
+
+
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
+
+
+def _words(odd: np.ndarray) -> np.ndarray:
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _wide_differ(a: Column, b: Column) -> Column:
+    """In how many bits two wide sketches differ, the longer one folded; 0 where they can't be compared."""
+
+    def folded(x: Column, n: Column) -> Column:
+        # sizes that can be similar enough are less than a factor of four apart: two folds at most
+        def half(y: Column) -> Column:
+            n = F.floor(F.size(y) / 2).cast("int")
+            return F.zip_with(F.slice(y, F.lit(1), n), F.slice(y, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+
+        return F.when(F.size(x) == n, x).when(F.size(x) == 2 * n, half(x)).when(F.size(x) == 4 * n, half(half(x)))
+
+    n = F.least(F.size(a), F.size(b))
+    pairs = F.zip_with(folded(a, n), folded(b, n), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.when(n > 0, F.coalesce(F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x), F.lit(0))).otherwise(0)
 
 
 def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands (array of band keys), bits (odd sketch)."""
+    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands (array of band keys), bits and wide (odd sketches)."""
     bands, rows = band_shape(threshold)
     base = docs.select("doc_id", whole_text().alias("text"))
 
@@ -159,7 +196,7 @@ def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 some = [sets[k] for k in full]
                 none = np.empty(0, dtype=np.int64)
                 lists = []
-                for each in (band_keys(signatures(some), bands, rows).view(np.int64), odd_sketches(some)):
+                for each in (band_keys(signatures(some), bands, rows).view(np.int64), odd_sketches(some), map(wide_sketch, some)):
                     own = iter(each)
                     found = [next(own) if len(s) else none for s in sets]
                     offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
@@ -171,11 +208,11 @@ def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         *lists,
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "bits"],
+                    ["doc_id", "n_shingles", "set_key", "bands", "bits", "wide"],
                 )
             pa.default_memory_pool().release_unused()  # two workers share an executor with the JVM
 
-    return base.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    return base.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>, wide array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -264,6 +301,48 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
+def _apart(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a bucket that are in different groups so far and may be similar enough.
+
+    named: key, rep, rows (as how many it counts), label; classes: rep, size, bits, wide. Members of a bucket's largest group
+    need not meet each other, so the work is its other members times all of them.
+    """
+    by_group = named.groupBy("key", "label").agg(F.sum("rows").alias("n"))
+    mixed = by_group.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    mixed = mixed.where("groups > 1").select("key", "main", parts(F.col("n") - F.col("most")).alias("few"), parts(F.col("n")).alias("all"))
+    mixed = named.drop("rows").join(mixed, "key").join(classes.select("rep", "size", "bits"), "rep").withColumn("rest", F.col("label") != F.col("main"))
+    mixed = written(mixed.drop("main"), "mixed-buckets")
+    # both sides are cut into parts, and each part of one meets each part of the other in a group of rows of its own
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def pairs(mixed: DataFrame, more: list[str]) -> DataFrame:
+        sides = []
+        for x, rows, p, q in (("a", mixed.where("rest"), own("few"), each("all")), ("b", mixed, each("few"), own("all"))):
+            rows = rows.withColumn("p", p).withColumn("q", q)
+            sides.append(rows.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "label", "rest", *more)]))
+        return sides[0].join(sides[1], ["key", "p", "q"])
+
+    def few(differ: Column) -> Column:
+        return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    fits = (
+        (~F.col("rest_b") | (F.col("rep_a") < F.col("rep_b")))
+        & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        & few(differ)
+    )
+    both = F.col("size_a") + F.col("size_b")
+    # rows that cannot be in a long pair, or in a short one, stay out of its join
+    short = pairs(mixed.where(f"size <= {SHORT}"), []).where(fits & (both <= SHORT))
+    long = mixed.where(f"(100 + {percent}) * size > {percent} * {SHORT}").join(classes.select("rep", "wide"), "rep")
+    long = pairs(long, ["wide"]).where(fits & (both > SHORT)).where(few(_wide_differ(F.col("wide_a"), F.col("wide_b"))))
+    ends = [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
+    return short.select(*ends).unionByName(long.select(*ends)).distinct()
+
+
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_checked, kept: one row per row of docs (doc_id, text).
 
@@ -273,52 +352,30 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     found = written(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent / 100), "sketches")
     classes = found.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("n_shingles").alias("size")
     )
     classes = written(classes.where("rep IS NOT NULL"), "classes")
 
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    rows = (1 + F.floor(F.col("size") / PARITY)).cast("int").alias("rows")
+    keyed = classes.select("rep", rows, F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, low
+    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, rows, low
 
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sets = _sets(texts.join(candidates, "doc_id", "left_semi"), words)
-    sets = written(sets.dropDuplicates(["doc_id"]), "shingle-sets")
+    sets = sets.groupBy("doc_id").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles"))
+    sets = written(sets, "shingle-sets")
 
     stars = written(members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = written(_verified(stars, sets, percent), "links")
     labels = written(components(links), "labels")
 
-    # what is left: pairs of a bucket that are in different groups so far. Members of the bucket's
-    # largest group need not meet each other, so the work is its other members times all of them
     named = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "rep", F.coalesce("label", "rep").alias("label")
-    )
-    by_group = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_group.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
-    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
-    mixed = mixed.where("groups > 1").select("key", "main", parts(F.col("n") - F.col("most")).alias("few"), parts(F.col("n")).alias("all"))
-    mixed = named.join(mixed, "key").join(classes.select("rep", "size", "bits"), "rep").withColumn("rest", F.col("label") != F.col("main"))
-    mixed = written(mixed.drop("main"), "mixed-buckets")
-    # both sides are cut into parts, and each part of one meets each part of the other in a group of rows of its own
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = []
-    for x, rows, p, q in (("a", mixed.where("rest"), own("few"), each("all")), ("b", mixed, each("few"), own("all"))):
-        rows = rows.withColumn("p", p).withColumn("q", q)
-        sides.append(rows.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bits", "label", "rest")]))
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
-    fits = (
-        (~F.col("rest_b") | (F.col("rep_a") < F.col("rep_b")))
-        & (F.col("label_a") != F.col("label_b"))
-        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-        & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+        "key", "rep", "rows", F.coalesce("label", "rep").alias("label")
     )
-    rest = sides[0].join(sides[1], ["key", "p", "q"]).where(fits)
-    rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(written(rest, "pairs"), sets, percent), "links")
+    rest = written(_apart(named, classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(_verified(rest, sets, percent), "links")
     every = links.unionByName(more)
     labels = written(components(every), "labels")
 
