@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
-# The endpoint that every known flow calls, as method, path and the flows.
-ENDPOINT_FLOWS = (
-    (
-        "POST", "/payments",
-        "PaymentIntent PaymentIntentOffSession PaymentIntentWithShippingCost ZeroAuthPaymentIntent ZeroAuthMandate MITAutoCapture MITManualCapture"
-        " SaveCardConfirmAutoCaptureOffSession SaveCardConfirmManualCaptureOffSession SaveCardConfirmAutoCaptureOffSessionWithoutBilling"
-        " ManualRetryPaymentEnabled ManualRetryPaymentDisabled ManualRetryPaymentCutoffExpired Ideal Eps Giropay Sofort Blik Przelewy Ach Pix DuitNow"
-        " UpiCollect UpiIntent Bluecode CryptoCurrency CryptoCurrencyManualCapture PaymentWithBilling PaymentWithBillingEmail PaymentWithFullName"
-        " PaymentWithoutBilling",
-    ),
-    ("POST", "/payments/:id/capture", "Capture PartialCapture Overcapture"),
-    ("POST", "/payments/:id/incremental_authorization", "IncrementalAuth"),
-    ("POST", "/refunds", "Refund PartialRefund"),
-    ("GET", "/refunds/:id", "SyncRefund"),
-    ("POST", "/payments/:id/cancel", "VoidAfterConfirm"),
-    ("POST", "/payments/:id/confirm", "ZeroAuthConfirmPayment PaymentConfirmWithShippingCost"),
-    ("POST", "/payments/session_tokens", "SessionToken"),
+# Every known flow and the endpoint that it calls.
+FLOW_ENDPOINTS = (
+    ("PaymentIntent", "POST", "/payments"),
+    ("PaymentIntentOffSession", "POST", "/payments"),
+    ("PaymentIntentWithShippingCost", "POST", "/payments"),
+    ("ZeroAuthPaymentIntent", "POST", "/payments"),
+    ("ZeroAuthMandate", "POST", "/payments"),
+    ("MITAutoCapture", "POST", "/payments"),
+    ("MITManualCapture", "POST", "/payments"),
+    ("SaveCardConfirmAutoCaptureOffSession", "POST", "/payments"),
+    ("SaveCardConfirmManualCaptureOffSession", "POST", "/payments"),
+    ("SaveCardConfirmAutoCaptureOffSessionWithoutBilling", "POST", "/payments"),
+    ("ManualRetryPaymentEnabled", "POST", "/payments"),
+    ("ManualRetryPaymentDisabled", "POST", "/payments"),
+    ("ManualRetryPaymentCutoffExpired", "POST", "/payments"),
+    ("Ideal", "POST", "/payments"),
+    ("Eps", "POST", "/payments"),
+    ("Giropay", "POST", "/payments"),
+    ("Sofort", "POST", "/payments"),
+    ("Blik", "POST", "/payments"),
+    ("Przelewy", "POST", "/payments"),
+    ("Ach", "POST", "/payments"),
+    ("Pix", "POST", "/payments"),
+    ("DuitNow", "POST", "/payments"),
+    ("UpiCollect", "POST", "/payments"),
+    ("UpiIntent", "POST", "/payments"),
+    ("Bluecode", "POST", "/payments"),
+    ("CryptoCurrency", "POST", "/payments"),
+    ("CryptoCurrencyManualCapture", "POST", "/payments"),
+    ("PaymentWithBilling", "POST", "/payments"),
+    ("PaymentWithBillingEmail", "POST", "/payments"),
+    ("PaymentWithFullName", "POST", "/payments"),
+    ("PaymentWithoutBilling", "POST", "/payments"),
+    ("Capture", "POST", "/payments/:id/capture"),
+    ("PartialCapture", "POST", "/payments/:id/capture"),
+    ("Overcapture", "POST", "/payments/:id/capture"),
+    ("IncrementalAuth", "POST", "/payments/:id/incremental_authorization"),
+    ("Refund", "POST", "/refunds"),
+    ("PartialRefund", "POST", "/refunds"),
+    ("SyncRefund", "GET", "/refunds/:id"),
+    ("VoidAfterConfirm", "POST", "/payments/:id/cancel"),
+    ("ZeroAuthConfirmPayment", "POST", "/payments/:id/confirm"),
+    ("PaymentConfirmWithShippingCost", "POST", "/payments/:id/confirm"),
+    ("SessionToken", "POST", "/payments/session_tokens"),
 )
-FLOW_ENDPOINTS = tuple((flow, method, path) for method, path, flows in ENDPOINT_FLOWS for flow in flows.split())
 
 # Flows with an endpoint that specs never look up by name, and those looked up that have no endpoint.
-KNOWN_FLOWS = frozenset(f for f, _, _ in FLOW_ENDPOINTS) - frozenset(
-    "PaymentWithBilling PaymentWithBillingEmail PaymentWithFullName PaymentWithoutBilling".split()
-) | {"No3DSManualCapture", "No3DSAutoCapture"}
+KNOWN_FLOWS = frozenset(f for f, _, _ in FLOW_ENDPOINTS) - {
+    "PaymentWithBilling",
+    "PaymentWithBillingEmail",
+    "PaymentWithFullName",
+    "PaymentWithoutBilling",
+} | {"No3DSManualCapture", "No3DSAutoCapture"}
 
 # Parts of a test command's name and the flow each stands for, the first that fits counts.
 COMMAND_FLOWS = (
@@ -59,13 +88,79 @@ FLOW_INCLUDE_LIST = {
 }
 FLOW_EXCLUDE_LIST = {"ConnectorAgnosticNTID": "EXCLUDE.CONNECTOR_AGNOSTIC_NTID"}
 
-# Connectors by their names' first letter in capitals, and those with more capitals.
+# The connectors' names.
 CONNECTORS = (
-    "aci adyen airwallex archipel authipay authorizedotnet bambora bamboraapac barclaycard billwerk bluesnap braintree calida cashtocode celero"
-    " checkbook checkout cryptopay cybersource datatrans deutschebank dlocal elavon facilitapay finix fiserv fiservemea fiuu forte getnet gigadat"
-    " globalpay hipay iatapay jpmorgan loonio mollie moneris multisafepay nexinets nexixpay nmi noon novalnet nuvei paybox payload paypal paysafe"
-    " payu peachpayments redsys shift4 silverflow square stax stripe tesouro trustpay tsys volt worldpayvantiv worldpayxml xendit zift"
-).split()
-CONNECTOR_NAMES = {c: c.capitalize() for c in CONNECTORS} | {
-    c.lower(): c for c in "BankOfAmerica ItauBank PowerTranz TrustPayments WellsFargo WorldPay".split()
-}
+    "Aci",
+    "Adyen",
+    "Airwallex",
+    "Archipel",
+    "Authipay",
+    "Authorizedotnet",
+    "Bambora",
+    "Bamboraapac",
+    "BankOfAmerica",
+    "Barclaycard",
+    "Billwerk",
+    "Bluesnap",
+    "Braintree",
+    "Calida",
+    "Cashtocode",
+    "Celero",
+    "Checkbook",
+    "Checkout",
+    "Cryptopay",
+    "Cybersource",
+    "Datatrans",
+    "Deutschebank",
+    "Dlocal",
+    "Elavon",
+    "Facilitapay",
+    "Finix",
+    "Fiserv",
+    "Fiservemea",
+    "Fiuu",
+    "Forte",
+    "Getnet",
+    "Gigadat",
+    "Globalpay",
+    "Hipay",
+    "Iatapay",
+    "ItauBank",
+    "Jpmorgan",
+    "Loonio",
+    "Mollie",
+    "Moneris",
+    "Multisafepay",
+    "Nexinets",
+    "Nexixpay",
+    "Nmi",
+    "Noon",
+    "Novalnet",
+    "Nuvei",
+    "Paybox",
+    "Payload",
+    "Paypal",
+    "Paysafe",
+    "Payu",
+    "Peachpayments",
+    "PowerTranz",
+    "Redsys",
+    "Shift4",
+    "Silverflow",
+    "Square",
+    "Stax",
+    "Stripe",
+    "Tesouro",
+    "Trustpay",
+    "TrustPayments",
+    "Tsys",
+    "Volt",
+    "WellsFargo",
+    "WorldPay",
+    "Worldpayvantiv",
+    "Worldpayxml",
+    "Xendit",
+    "Zift",
+)
+#: Each by its name in small letters.
+CONNECTOR_NAMES = {c.lower(): c for c in CONNECTORS}

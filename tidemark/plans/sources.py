@@ -31,11 +31,22 @@ def said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("$") else F.col(p[1:]).cast("string") if isinstance(p, str) else p for p in parts])
 
 
-# ---- coverage formats
+# ---- coverage formats: a text holds the files of some suppliers in one build
 
-def _traces(spark, sf, second: Column) -> DataFrame:
-    """One trace per build, one record per file, each line twice: its hits, then second."""
-    rows = view(spark, sf, "v_cov_line").withColumn("hits", F.greatest("hits", F.lit(0).cast("long")))
+_OF_TEXT = 20
+_PART = "CAST(regexp_extract(file, '/s([0-9]+)', 1) AS BIGINT)"
+_BUILD = f"tag || '-' || ({_PART} // {_OF_TEXT})"
+
+
+def _per_text(spark, sf, name: str) -> DataFrame:
+    """The view's rows, with tag saying which text of which build they go to."""
+    part = F.floor(F.expr(_PART) / _OF_TEXT).cast("string")
+    return view(spark, sf, name).withColumn("tag", F.concat("tag", F.lit("-"), part))
+
+
+def traces(spark, sf, second: Column) -> DataFrame:
+    """One record per file, each line twice: its hits, then second."""
+    rows = _per_text(spark, sf, "v_cov_line").withColumn("hits", F.greatest("hits", F.lit(0).cast("long")))
     line = F.concat(said("DA:", F.col("line").cast("string"), ",", F.col("hits").cast("string")), said("\nDA:", F.col("line").cast("string"), ",", second.cast("string")))
     records = rows.groupBy("tag", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", line.alias("t")))), lambda x: x["t"]), "\n").alias("das"))
     return files_of(records, F.col("tag"), ["file"], F.concat(F.lit("TN:\nSF:/src/"), "file", F.lit("\n"), "das", F.lit("\nend_of_record")))
@@ -46,7 +57,7 @@ _LAST_TRACE = "SELECT file, line, greatest(hits, 0) AS hits FROM v_cov_line WHER
 
 @register("lcov_records", oracle(f"SELECT file, line, hits + 1 AS hits FROM ({_LAST_TRACE})"))
 def lcov_records(spark, sf):
-    return C.lcov(_traces(spark, sf, F.lit(1)), root="/src").select("file", F.col("line").cast("long").alias("line"), "hits")
+    return C.lcov(traces(spark, sf, F.lit(1)), root="/src").select("file", F.col("line").cast("long").alias("line"), "hits")
 
 
 @register(
@@ -54,7 +65,7 @@ def lcov_records(spark, sf):
     oracle("SELECT file, line, 2 * arg_max(greatest(hits, 0), tag) AS hits FROM v_cov_line WHERE file = 'crates/n3/s3.rs' OR ends_with(file, '/n5/s5.rs') GROUP BY file, line"),
 )
 def lcov_last_record(spark, sf):
-    hits = C.lcov(_traces(spark, sf, F.col("hits") * 2), "last", "/src/")
+    hits = C.lcov(traces(spark, sf, F.col("hits") * 2), "last", "/src/")
     out = C.lcov_of(hits, "crates/n3/s3.rs").unionByName(C.lcov_of(hits, "n5/s5.rs"))
     return out.select("file", F.col("line").cast("long").alias("line"), "hits")
 
@@ -68,8 +79,8 @@ def line_hit_table(spark, sf):
 
 
 def _tree_texts(spark, sf) -> DataFrame:
-    """One report per build: folders in folders, files with their lines' hits."""
-    rows = view(spark, sf, "v_cov_line").groupBy("tag", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "hits"))), lambda x: x["hits"]).alias("coverage"))
+    """Folders in folders, files with their lines' hits."""
+    rows = _per_text(spark, sf, "v_cov_line").groupBy("tag", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "hits"))), lambda x: x["hits"]).alias("coverage"))
     n = lambda f: F.size(F.filter("coverage", f))
     leaf = F.struct("coverage", n(lambda h: h > 0).alias("linesCovered"), n(lambda h: h == 0).alias("linesMissed"), n(lambda h: h >= 0).alias("linesTotal"), F.lit(12.5).alias("coveragePercent"))
     part = F.split("file", "/")
@@ -80,7 +91,7 @@ def _tree_texts(spark, sf) -> DataFrame:
 
 
 _TREE_SQL = (
-    "SELECT tag || '.json' AS file, file AS filename, count(*) FILTER (WHERE hits > 0) AS covered, count(*) FILTER (WHERE hits = 0) AS missed, count(*) FILTER (WHERE hits >= 0) AS total, 12.5::DOUBLE AS percent,"
+    f"SELECT {_BUILD} || '.json' AS file, file AS filename, count(*) FILTER (WHERE hits > 0) AS covered, count(*) FILTER (WHERE hits = 0) AS missed, count(*) FILTER (WHERE hits >= 0) AS total, 12.5::DOUBLE AS percent,"
     " coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (WHERE hits = 0), '') AS uncovered FROM (SELECT *, row_number() OVER (PARTITION BY tag, file ORDER BY line) AS pos FROM v_cov_line) GROUP BY tag, file"
 )
 
@@ -92,25 +103,25 @@ def tree_report(spark, sf):
 
 
 def _llvm_texts(spark, sf) -> DataFrame:
-    """One export per build: its files' summaries (of regions only what is not covered) and its functions."""
+    """Files' summaries (of regions only what is not covered) and functions."""
     stat = lambda total, covered: F.struct(F.col(total).alias("count"), F.col(covered).alias("covered"))
     regions = F.struct(F.col("region_total").alias("count"), F.lit(0).alias("covered"), (F.col("region_total") - F.col("region_covered")).alias("notcovered"))
-    files = view(spark, sf, "v_cov_file").select("tag", F.struct(
+    files = _per_text(spark, sf, "v_cov_file").select("tag", F.struct(
         F.col("file").alias("filename"), F.struct(stat("line_total", "line_covered").alias("lines"), stat("line_missed", "line_missed").alias("functions"), regions.alias("regions")).alias("summary")).alias("f"))
-    funcs = view(spark, sf, "v_cov_func").select("tag", F.struct(F.col("func_name").alias("name"), F.col("cnt").alias("count"), F.array("file", F.lit("other")).alias("filenames")).alias("g"))
+    funcs = _per_text(spark, sf, "v_cov_func").select("tag", F.struct(F.col("func_name").alias("name"), F.col("cnt").alias("count"), F.array("file", F.lit("other")).alias("filenames")).alias("g"))
     both = files.groupBy("tag").agg(F.collect_list("f").alias("files")).join(funcs.groupBy("tag").agg(F.collect_list("g").alias("functions")), "tag")
     return both.select(F.concat("tag", F.lit(".llvm.json")).alias("file"), F.to_json(F.struct(F.array(F.struct("files", "functions")).alias("data"))).alias("text"))
 
 
 @register(
     "llvm_export_files",
-    oracle("SELECT tag || '.llvm.json' AS file, file AS filename, line_covered AS lines_covered, line_total AS lines_total, line_missed AS functions_covered, line_missed AS functions_total, region_covered AS regions_covered, region_total AS regions_total FROM v_cov_file"),
+    oracle(f"SELECT {_BUILD} || '.llvm.json' AS file, file AS filename, line_covered AS lines_covered, line_total AS lines_total, line_missed AS functions_covered, line_missed AS functions_total, region_covered AS regions_covered, region_total AS regions_total FROM v_cov_file"),
 )
 def llvm_export_files(spark, sf):
     return C.llvm_rows(_llvm_texts(spark, sf))
 
 
-@register("llvm_export_functions", oracle("SELECT tag || '.llvm.json' AS file, func_name AS name, cnt AS count, file AS filename FROM v_cov_func"))
+@register("llvm_export_functions", oracle(f"SELECT {_BUILD} || '.llvm.json' AS file, func_name AS name, cnt AS count, file AS filename FROM v_cov_func"))
 def llvm_export_functions(spark, sf):
     return C.llvm_function_rows(_llvm_texts(spark, sf))
 
@@ -118,7 +129,7 @@ def llvm_export_functions(spark, sf):
 @register(
     "coverage_reports",
     oracle(
-        f"{_TREE_SQL} UNION ALL SELECT tag || '.llvm.json', file, line_covered, line_total - line_covered, line_total, coalesce(round(100.0::DOUBLE * line_covered / nullif(line_total, 0), 2), 0.0), '' FROM v_cov_file"
+        f"{_TREE_SQL} UNION ALL SELECT {_BUILD} || '.llvm.json', file, line_covered, line_total - line_covered, line_total, coalesce(round(100.0::DOUBLE * line_covered / nullif(line_total, 0), 2), 0.0), '' FROM v_cov_file"
     ),
 )
 def coverage_reports(spark, sf):
@@ -406,9 +417,18 @@ def js_catalog_status(spark, sf):
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("flow_endpoints", oracle("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {sum(x[2] == p for x in FLOW_ENDPOINTS)})" for p in sorted({x[2] for x in FLOW_ENDPOINTS})) + ") v(path, flows)"))
+@register(
+    "flow_endpoints",
+    oracle(
+        f"SELECT {_CONNECTOR} AS connector, path, method, count(*)::INT AS flows, string_agg(flow, ',' ORDER BY flow) AS names FROM ({_BLOCKS}) JOIN (VALUES "
+        + ", ".join(f"('{f}', '{m}', '{p}')" for f, m, p in FLOW_ENDPOINTS)
+        + ") v(flow, method, path) USING (flow) GROUP BY 1, 2, 3"
+    ),
+)
 def flow_endpoints(spark, sf):
-    return test_catalog.flow_endpoint(spark).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("flows"))
+    blocks = test_catalog.connector_tables(test_catalog.connector_files(_configs(spark, sf)))["flow_config"].select("connector", "flow")
+    called = blocks.join(test_catalog.flow_endpoint(spark), "flow").groupBy("connector", "path", "method")
+    return called.agg(F.count(F.lit(1)).cast("int").alias("flows"), F.array_join(F.array_sort(F.collect_list("flow")), ",").alias("names"))
 
 
 def _patched(text: str):
@@ -447,15 +467,24 @@ _RUN = "SELECT o_custkey AS c, o_orderkey AS o, o_orderkey % 6 AS passing, CASE
     ),
 )
 def run_segments(spark, sf):
+    return shown_segments(S.parsed(run_texts(spark, sf), run_logs.segments, _SEGMENT_COLUMNS))
+
+
+_SEGMENT_COLUMNS = "spec string, tests int, passing int, failing int, duration string, status string, request_ids array<string>, steps array<string>, messages array<string>, statuses array<string>, failed array<string>"
+
+
+def run_texts(spark, sf) -> DataFrame:
+    """One log per customer, one spec per order."""
     dash = lambda c: F.when(F.col(c) == 0, "-").otherwise(F.col(c).cast("string"))
     line = F.concat(
         said("  Running:  spec", "$o", ".cy.js\n\x1b[32mSTEP: pay\x1b[0m\nSTEP: wait ", (F.col("o") % 4).cast("string"), "\nSTEP: pay\n x-request-id -> id-", "$o", '\n{"message": "no ', (F.col("o") % 9).cast("string"), '"}\nError: Bad thing\n'),
         F.when(F.col("o") % 2 == 0, "status_code: 404\n").otherwise(""), F.when(F.col("o") % 7 > 0, "  (Results)\n").otherwise("  crashed\n"),
         said(" │ Tests:  ", (F.col("passing") + F.col("failing")).cast("string"), " │\n │ Passing:  "), dash("passing"), F.lit(" │\n │ Failing:  "), dash("failing"), said(" │\n │ Duration:  ", (F.col("o") % 50).cast("string"), " seconds │"),
     )
-    texts = files_of(select(spark, sf, _RUN), said("c", "$c"), ["o"], line)
-    columns = "spec string, tests int, passing int, failing int, duration string, status string, request_ids array<string>, steps array<string>, messages array<string>, statuses array<string>, failed array<string>"
-    out = S.parsed(texts, run_logs.segments, columns)
+    return files_of(select(spark, sf, _RUN), said("c", "$c"), ["o"], line)
+
+
+def shown_segments(out: DataFrame) -> DataFrame:
     return out.select("file", "spec", "tests", "passing", "failing", "duration", "status", *[F.array_join(c, "|").alias(c) for c in ("request_ids", "steps", "messages", "statuses")])
 
 

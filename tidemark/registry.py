@@ -25,6 +25,11 @@ def register(name: str, oracle: str | None = None):
     return file
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same rows."""
+    return _ORACLES[name]
+
+
 def queries() -> dict[str, Query]:
     from tidemark import plans  # noqa: F401  fills the tables
 

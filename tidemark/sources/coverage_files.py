@@ -90,23 +90,37 @@ def report_rows(files: DataFrame) -> DataFrame:
     return tree.unionByName(own)
 
 
-def lcov(files: DataFrame, dup: str = "sum", root: str = "") -> DataFrame:
-    """file (source, relative to root), line, hits from lcov traces in files (file, text).
+def lcov_lines(files: DataFrame) -> DataFrame:
+    """file, rec (from 0, in its trace), source, pos, line, hits of the traces in files (file, text).
+
+    A record without lines is one row, without pos, line and hits.
+    """
+    recs = files.select("file", F.posexplode(F.split("text", "end_of_record")).alias("rec", "body"))
+    source = F.trim(F.regexp_extract("body", r"(?m)^SF:(.*)$", 1))
+    recs = recs.select("file", "rec", source.alias("source"), "body").where("source <> ''")
+    das = recs.select("file", "rec", "source", F.posexplode_outer(F.regexp_extract_all("body", F.lit(r"(?m)^DA:(\d+,\d+)"), F.lit(1))).alias("pos", "da"))
+    return das.select("file", "rec", "source", "pos", F.split("da", ",")[0].cast("int").alias("line"), F.split("da", ",")[1].cast("long").alias("hits"))
+
+
+def lcov_merged(das: DataFrame, dup: str = "sum", root: str = "") -> DataFrame:
+    """file (source, relative to root), line, hits of lcov_lines.
 
     Lines that a record repeats are summed (dup="sum") or the last one counts (dup="last"). Of
     several records of one source the last one counts when summing, as a later record replaces it.
     """
-    recs = files.select("file", F.posexplode(F.split("text", "end_of_record")).alias("rec", "body"))
-    source = F.regexp_extract("body", r"(?m)^SF:(.*)$", 1)
-    recs = recs.select("file", "rec", F.regexp_replace(F.trim(source), f"^{re.escape(root.rstrip('/'))}/" if root else "^$", "").alias("source"), "body").where("source <> ''")
-    das = recs.select("file", "rec", "source", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^DA:(\d+,\d+)"), F.lit(1))).alias("pos", "da"))
-    das = das.select("file", "rec", "source", "pos", F.split("da", ",")[0].cast("int").alias("line"), F.split("da", ",")[1].cast("long").alias("hits"))
+    das = das.withColumn("source", F.regexp_replace("source", f"^{re.escape(root.rstrip('/'))}/" if root else "^$", "")).where("source <> ''")
     if dup == "last":
         best = F.max_by("hits", F.struct("file", "rec", "pos"))
-        return das.groupBy(F.col("source").alias("file"), "line").agg(best.alias("hits"))
-    last = recs.groupBy("source").agg(F.max(F.struct("file", "rec")).alias("l")).select("source", F.col("l.file").alias("file"), F.col("l.rec").alias("rec"))
-    kept = das.join(last, ["source", "file", "rec"], "left_semi")
-    return kept.groupBy(F.col("source").alias("file"), "line").agg(F.sum("hits").alias("hits"))
+        return das.where("line IS NOT NULL").groupBy(F.col("source").alias("file"), "line").agg(best.alias("hits"))
+    # sums of each record first, then the last record's
+    sums = das.where("line IS NOT NULL").groupBy("source", "line", "file", "rec").agg(F.sum("hits").alias("hits"))
+    last = das.groupBy("source").agg(F.max(F.struct("file", "rec")).alias("l")).select("source", F.col("l.file").alias("file"), F.col("l.rec").alias("rec"))
+    return sums.join(last, ["source", "file", "rec"], "left_semi").select(F.col("source").alias("file"), "line", "hits")
+
+
+def lcov(files: DataFrame, dup: str = "sum", root: str = "") -> DataFrame:
+    """file (source, relative to root), line, hits from lcov traces in files (file, text)."""
+    return lcov_merged(lcov_lines(files), dup, root)
 
 
 def lcov_of(hits: DataFrame, file: str) -> DataFrame:

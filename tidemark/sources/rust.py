@@ -17,11 +17,54 @@ _LITERAL = re.compile(
 )
 _ELSE = re.compile(r"\s*else\b")
 # Names too common to tell a callee, and what a control keyword is reported as.
-NOISE = frozenset(
-    "map ok err into from unwrap expect clone len push pop get set new default iter collect flatten filter and_then or_else ok_or ok_or_else map_err"
-    " is_some is_none is_empty to_string to_owned as_ref as_mut as_str try_from try_into into_iter next await lock read write send recv spawn box_err"
-    " change_context attach_printable".split()
-)
+NOISE = {
+    "map",
+    "ok",
+    "err",
+    "into",
+    "from",
+    "unwrap",
+    "expect",
+    "clone",
+    "len",
+    "push",
+    "pop",
+    "get",
+    "set",
+    "new",
+    "default",
+    "iter",
+    "collect",
+    "flatten",
+    "filter",
+    "and_then",
+    "or_else",
+    "ok_or",
+    "ok_or_else",
+    "map_err",
+    "is_some",
+    "is_none",
+    "is_empty",
+    "to_string",
+    "to_owned",
+    "as_ref",
+    "as_mut",
+    "as_str",
+    "try_from",
+    "try_into",
+    "into_iter",
+    "next",
+    "await",
+    "lock",
+    "read",
+    "write",
+    "send",
+    "recv",
+    "spawn",
+    "box_err",
+    "change_context",
+    "attach_printable",
+}
 #: Shortest name of a callee that is looked at, and the longest text of a condition that is kept.
 NAME_CHARS, CONDITION_CHARS = 4, 300
 GUARDS = {"if": "if", "match": "match", "while": "while", "for": "for"}

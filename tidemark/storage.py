@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the folder that spark.checkpoint.dir names, and read again.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names.
 
     A local folder serves only where the setting is missing and driver and executors are one
     process; on a cluster each machine would write to a disk of its own, so there it is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
