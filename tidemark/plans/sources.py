@@ -156,11 +156,15 @@ def _rust(spark, sf, line: Column, head: str | None = None) -> DataFrame:
     ),
 )
 def rust_routes(spark, sf):
+    return S.parsed(route_texts(spark, sf), rust.routes, "method string, path string, handler string, ord int")
+
+
+def route_texts(spark, sf) -> DataFrame:
     line = F.concat(
         said('    .service(\n      web::resource("/', F.when(F.col("s") % 11 == 3, F.lit("v2/")).otherwise(F.lit("")), "s", "$s", '/{id}/r")\n        .route(web::'),
         F.when(F.col("s") % 2 == 0, "get").otherwise("post"), said("().to(mod::h", "$s", ")))"),
     )
-    return S.parsed(_rust(spark, sf, line, '  web::scope("/n")'), rust.routes, "method string, path string, handler string, ord int")
+    return _rust(spark, sf, line, '  web::scope("/n")')
 
 
 @register(
@@ -168,11 +172,15 @@ def rust_routes(spark, sf):
     oracle(f"SELECT 'n' || k || '.rs' AS file, 'Trait' || k % 5 AS trait, CASE WHEN s % 3 = 0 THEN 'Auth,Data' ELSE '' END AS trait_args, 'Type' || s AS type, 'go' || s % 4 AS method, (4 * rn - 2)::INT AS line FROM ({_SUPPLIERS})"),
 )
 def rust_impls(spark, sf):
+    return S.parsed(impl_texts(spark, sf), rust.impls, "trait string, trait_args string, type string, method string, line int")
+
+
+def impl_texts(spark, sf) -> DataFrame:
     line = F.concat(
         said("impl<T> Trait", (F.col("k") % 5).cast("string"), F.when(F.col("s") % 3 == 0, F.lit("<Auth, a::Data<X>>")).otherwise(F.lit("")), " for Type", "$s", "<T> {\n"),
         said("    async fn go", (F.col("s") % 4).cast("string"), '(&self, a: Vec<u8>) -> Option<String> { let x = "}"; { x } }\n    // fn not_this() {}\n}'),
     )
-    return S.parsed(_rust(spark, sf, line), rust.impls, "trait string, trait_args string, type string, method string, line int")
+    return _rust(spark, sf, line)
 
 
 @register(
