@@ -14,11 +14,12 @@ from tidemark.operators import catalog as T
 from tidemark.operators import context as X
 from tidemark.operators import report as R
 from tidemark.plans.views import oracle, select, view
-from tidemark.registry import register
+from tidemark.registry import oracle_of, register
 from tidemark.sources import coverage_files as C
 from tidemark.sources import files as S
-from tidemark.sources import js, run_logs, rust, scip, test_catalog
+from tidemark.sources import js, run_logs, rust, scip, scip_files, test_catalog
 from tidemark.sources.catalog_store import artifact_kind
+from tidemark.storage import shared_path
 
 
 def files_of(rows: DataFrame, file: Column, order: list[str], line: Column) -> DataFrame:
@@ -137,9 +138,11 @@ def coverage_reports(spark, sf):
     return out.withColumn("uncovered", F.array_join("uncovered", ","))
 
 
-# ---- Rust: one file per nation, some lines per supplier
+# ---- Rust: some lines per supplier
 
-_SUPPLIERS = "SELECT s_nationkey AS k, s_suppkey AS s, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS rn FROM supplier"
+# the files' numbers: a nation's, and 25 more for every 250 suppliers, so there are more of them where there is more
+_FILE = "s_nationkey + 25 * CAST(floor(s_suppkey / 250) AS INT)"
+_SUPPLIERS = f"SELECT k, s, CAST(row_number() OVER (PARTITION BY k ORDER BY s) AS INT) AS rn FROM (SELECT {_FILE} AS k, s_suppkey AS s FROM supplier) t"
 
 
 def _rust(spark, sf, line: Column, head: str | None = None) -> DataFrame:
@@ -286,14 +289,14 @@ def rust_body_span(spark, sf):
 @register(
     "source_index",
     oracle(
-        "SELECT c.file, flow AS first_flow, pos AS first_pos, l.line_count, l.functions FROM (SELECT 'n' || s_nationkey || '.rs' AS file, min(s_suppkey) AS flow, arg_min(s_suppkey % 4, s_suppkey) AS pos FROM supplier GROUP BY s_nationkey"
-        " UNION ALL SELECT 'gone.rs', 0, 9) c LEFT JOIN"
+        "SELECT c.file, flow AS first_flow, pos AS first_pos, l.line_count, l.functions FROM (SELECT 'n' || k || '.rs' AS file, min(s) AS flow, arg_min(s % 4, s) AS pos FROM"
+        f" ({_SUPPLIERS}) GROUP BY k UNION ALL SELECT 'gone.rs', 0, 9) c LEFT JOIN"
         f" (SELECT 'n' || k || '.rs' AS file, 2 * count(*) AS line_count, string_agg((2 * rn - 1) || ':open' || s, ',' ORDER BY rn) FILTER (WHERE s % 2 = 0) AS functions FROM ({_SUPPLIERS}) GROUP BY k) l ON l.file = c.file"
     ),
 )
 def source_index(spark, sf):
     line = F.concat(F.when(F.col("s") % 2 == 0, "pub fn").otherwise("fn"), said(" open", "$s", "() {\n}"))
-    chains = select(spark, sf, "SELECT concat('n', s_nationkey, '.rs') AS file, s_suppkey AS flow_id, s_suppkey % 4 AS pos FROM supplier UNION ALL SELECT 'gone.rs', 0, 9")
+    chains = select(spark, sf, f"SELECT concat('n', k, '.rs') AS file, s AS flow_id, s % 4 AS pos FROM ({_SUPPLIERS}) UNION ALL SELECT 'gone.rs', 0, 9")
     lines = S.lines(_rust(spark, sf, line)).withColumnRenamed("line_no", "line")
     out = X.source_index(chains, lines)
     listed = F.array_join(F.transform("functions", lambda f: F.concat_ws(":", f["line"].cast("string"), f["name"])), ",")
@@ -316,6 +319,20 @@ _SYMBOLS = (
     ),
 )
 def symbol_index_calls(spark, sf):
+    return scip.call_graph(scip.decoded(_symbol_documents(spark, sf)))[1]
+
+
+@register("symbol_index_files", oracle_of("symbol_index_calls"))
+def symbol_index_files(spark, sf):
+    # an index per nation, with all its documents, in files that are read in ranges of some hundred bytes
+    docs = _symbol_documents(spark, sf).select(F.split("k", "_")[0].alias("name"), F.split("k", "_")[1].cast("int").alias("n"), "content")
+    indexes = docs.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]).alias("documents"))
+    folder = shared_path(spark, "symbol-indexes")
+    scip_files.save(indexes, folder).write.parquet(shared_path(spark, "saved-indexes"))
+    return scip.call_graph(scip_files.read(spark, folder, split=512).drop("index"))[1]
+
+
+def _symbol_documents(spark, sf) -> DataFrame:
     # each supplier: a definition in an even line, a call in the line after it
     field = lambda number, text: F.concat(F.unhex(F.lit(f"{number << 3 | 2:02X}")), F.unhex(F.lpad(F.hex(F.octet_length(text)), 2, "0")), text)
     wide = lambda number, data: F.concat(  # noqa: E731  lengths of two bytes
@@ -329,8 +346,7 @@ def symbol_index_calls(spark, sf):
     both = F.concat(occurrence(2 * F.col("rn") - 1, said("m/f", "$s", "()."), 1), occurrence(2 * F.col("rn"), said("m/f", (F.col("s") % 7).cast("string"), "()."), 0))
     docs = rows.select("k", "rn", both.alias("b")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("rn", "b"))).alias("x"))
     body = F.aggregate("x", F.lit(b""), lambda out, r: F.concat(out, r["b"]))
-    docs = docs.select("k", wide(2, F.concat(field(1, F.encode(said("n", "$k", ".rs"), "utf-8")), body)).alias("content"))
-    return scip.call_graph(scip.decoded(docs))[1]
+    return docs.select("k", wide(2, F.concat(field(1, F.encode(said("n", "$k", ".rs"), "utf-8")), body)).alias("content"))
 
 
 # ---- JavaScript: a configuration per supplier, a spec per customer, the lists of a helper file

@@ -54,27 +54,29 @@ def fields(data: memoryview) -> Iterator[tuple[int, int | memoryview]]:
         return
 
 
+def document_rows(doc: memoryview, doc_idx: int) -> Iterator[tuple]:
+    """(file, line from 1, symbol, roles, doc_idx, occ_idx) of every occurrence of a document."""
+    path, found = "", []
+    for n, value in fields(doc):
+        if n == 1:
+            path = bytes(value).decode()
+        elif n == 2:
+            own = dict(fields(value))
+            line = _varint(own[1], 0)[0] if len(own.get(1, b"")) else 0
+            found.append((line + 1, bytes(own.get(2, b"")).decode(), own.get(3, 0)))
+    for k, (line, symbol, roles) in enumerate(found):
+        yield path, line, symbol, roles, doc_idx, k
+
+
 def occurrences(content: bytes) -> Iterator[tuple]:
-    """(file, line from 1, symbol, roles, doc_idx, occ_idx) of every occurrence."""
-    doc_idx = -1
-    for number, doc in fields(memoryview(content)):
-        if number != 2:
-            continue
-        doc_idx += 1
-        path, found = "", []
-        for n, value in fields(doc):
-            if n == 1:
-                path = bytes(value).decode()
-            elif n == 2:
-                own = dict(fields(value))
-                line = _varint(own[1], 0)[0] if len(own.get(1, b"")) else 0
-                found.append((line + 1, bytes(own.get(2, b"")).decode(), own.get(3, 0)))
-        for k, (line, symbol, roles) in enumerate(found):
-            yield path, line, symbol, roles, doc_idx, k
+    """The rows of every document of an index."""
+    docs = (doc for number, doc in fields(memoryview(content)) if number == 2)
+    for doc_idx, doc in enumerate(docs):
+        yield from document_rows(doc, doc_idx)
 
 
 def decoded(indexes: DataFrame) -> DataFrame:
-    """file, line, symbol, roles, doc_idx, occ_idx of indexes (content): every index is decoded by one task, in parts of PART_ROWS."""
+    """file, line, symbol, roles, doc_idx, occ_idx of indexes that rows hold (content); those in files are read by read()."""
 
     def run(batches):
         for batch in batches:
@@ -87,8 +89,10 @@ def decoded(indexes: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The occurrences of all indexes at path."""
-    return decoded(spark.read.format("binaryFile").load(path))
+    """The occurrences of the index at path, or of all in that folder, in byte ranges."""
+    from tidemark.sources import scip_files
+
+    return scip_files.read(spark, path).drop("index")
 
 
 def call_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
