@@ -124,7 +124,7 @@ def test_long_conversations_are_cut_into_segments(spark, monkeypatch):
     # one conversation with half of all rows, a third of them equal
     rows += [(9, k, "user" if k % 3 else "assistant", f"turn {k}.") for k in range(200)] + [(9, 7, "user", "again.")] * 150
     frame = spark.createDataFrame(rows, CONVERSATION).repartition(5)
-    segments = conversation_repair._segments(conversation_repair.numbered(frame))
+    segments = conversation_repair._segments(conversation_repair.with_faults(conversation_repair.numbered(frame)))
     assert segments.groupBy("conv").count().agg(F.max("count")).first()[0] > 64
     assert repaired(frame) == plain_repair(rows)
 

@@ -198,30 +198,31 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) with conv (a key that is never null), no, and the fault of each.
+    """Rows (conv_id, turn, role, text) as conv (a key that is never null), no, turn, role, text.
 
-    no goes up with conversation and turn over all rows; fault is blank, duplicate, truncated or null.
+    no goes up with conversation and turn over all rows.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
-    # what comes out of a row twice is told apart by its number, so that equal rows do not pile up in one task
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"))
+    # equal rows are told apart by a number, so that they do not pile up in one task
     rows = stable(rows, "turns").withColumn("__salt", F.monotonically_increasing_id())
     conv = F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
-    rows = rows.withColumn("conv", conv).withColumn("__head", F.left("text", F.lit(32))).withColumn("__hash", F.sha2("text", 256))
+    rows = rows.withColumn("conv", conv).withColumn("__head", F.left("text", F.lit(32))).withColumn("__hash", F.unhex(F.sha2("text", 256)))
     order = ["conv", F.asc_nulls_first("turn"), "role", "__head", "__hash", "__salt"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.drop("__head", "__salt").withColumn("no", F.monotonically_increasing_id())
-    rows = written(rows, "numbered-turns")
+    rows = rows.drop("conv_id").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("no", F.monotonically_increasing_id())
+    return written(rows.select("conv", "no", "turn", "role", "text"), "numbered-turns")
+
 
-    first = rows.groupBy("conv", "role", "__hash").agg(F.min("no").alias("first")).select("first")
+def with_faults(rows: DataFrame) -> DataFrame:
+    """conv, no, turn, role, fault (blank, duplicate, truncated or null) of numbered rows."""
     end = F.rtrim("text", F.lit(_BLANKS))
-    fault = (
-        F.when(end == "", "blank")
-        .when(F.col("first").isNull(), "duplicate")
-        .when(~F.right(end, F.lit(1)).isin(".", "!", "?"), "truncated")
-    )
-    rows = rows.join(first, F.col("no") == F.col("first"), "left").withColumn("fault", fault)
-    return written(rows.select("conv", "no", "turn", "role", "text", "fault"), "turns-with-faults")
+    own = F.when(end == "", "blank").when(~F.right(end, F.lit(1)).isin(".", "!", "?"), "truncated")
+    thin = rows.select("conv", "no", "turn", "role", own.alias("own"))
+    first = rows.groupBy("conv", "role", F.unhex(F.sha2("text", 256)).alias("hash")).agg(F.min("no").alias("first")).select("first")
+    fault = F.when((F.col("own").eqNullSafe("blank")) | F.col("first").isNotNull(), F.col("own")).otherwise("duplicate")
+    found = thin.join(first, F.col("no") == F.col("first"), "left").withColumn("fault", fault)
+    return written(found.select("conv", "no", "turn", "role", "fault"), "turns-with-faults")
 
 
 def _symbol() -> Column:
@@ -301,7 +302,8 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     other), cost, audit. Second: conv_id, place (from 0, deleted rows count), edit, turn (null if
     inserted), role, text; deleted rows are left out.
     """
-    turns = numbered(rows)
+    texts = numbered(rows)
+    turns = with_faults(texts)
     segments = _segments(turns)
     audits = _audits(segments)
 
@@ -330,7 +332,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = [key, F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
 
     edits = _edits(segments, audits).where(F.col("edit") != DELETE)
-    own = turns.select(F.col("no").alias("row"), "turn", "role", "text")
+    own = texts.select(F.col("no").alias("row"), "turn", "role", "text")
     fixed = edits.join(own, F.col("no") == F.col("row"), "left")
     text = F.when(F.col("edit") == INSERT, F.lit("")).otherwise(F.col("text"))
     fixed = fixed.select(key, "place", "edit", "turn", F.coalesce("new_role", "role").alias("role"), text.alias("text"))
