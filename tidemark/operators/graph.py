@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import target_sets as B
 from tidemark.storage import discard, written
 
 
@@ -211,45 +212,52 @@ def numbered(symbols: DataFrame) -> DataFrame:
 def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
     """endpoint, target, chain, guards, depth: one chain of each pair, the shortest, of those the least as a text.
 
-    As chains_up() with the best kept, but breadth first: of the chains from a target to a function
-    only the best goes on, since the best chain to an endpoint consists of the best chains to the
-    functions on it. So there are at most as many rows as pairs of a target and a function, and such
-    a row is three numbers: the pair and the function that comes next on its best chain, the least
-    of those a level below. Chains are put together afterwards, for the endpoints alone.
+    As chains_up() with the best kept, but breadth first and for all targets at once: a level has
+    for each function the set of targets from which it is reached there first, as bits, so its rows
+    grow with the calls and not with calls times targets. Chains are put together afterwards, for
+    the endpoints alone: from an endpoint down, of the functions that it calls and that the target
+    came to a level before, the least.
     """
+    calls = written(calls.select("caller", "callee", "guard_type", "guard_condition"), "calls")
     ids = numbered(calls.select(F.explode(F.array("caller", "callee")).alias("symbol")).unionByName(targets.select("symbol")))
     of = lambda name: ids.select(F.col("symbol").alias(f"{name}_symbol"), F.col("id").alias(name))
     edges = _guarded(calls, endpoints).join(of("up"), F.col("caller") == F.col("up_symbol")).join(of("at"), F.col("callee") == F.col("at_symbol"))
     edges = written(edges.select("up", "at", F.col("at_end").cast("int").alias("at_end"), "g"), "edges")
-    light = edges.select("up", "at", "at_end")
-    ends = light.where("at_end = 1").select("up").distinct().count()
+    light = edges.select("up", F.col("at").alias("cur"), "at_end")
+    ends = written(light.where("at_end = 1").select(F.col("up").alias("cur")).distinct(), "chain-ends")
+    n_ends = ends.count()
 
-    state = targets.select("symbol").distinct().join(ids, "symbol").select(F.col("id").alias("target"), F.col("id").alias("cur"))
-    seen = [written(state.select("target", F.col("cur").alias("up")), "chains-seen")]
-    levels: list[DataFrame] = []
+    starts = B.numbered_targets(targets.select("symbol").distinct().join(ids, "symbol"))
+    state = written(B.sets(starts.select(F.col("id").alias("cur"), "n"), ["cur"]).withColumn("at_end", F.lit(0)), "chains-level")
+    levels, seen = [state], state.drop("at_end")
     for _ in range(max_depth):
-        step = state.join(light, state["cur"] == light["at"]).groupBy("target", "up").agg(F.min("cur").alias("via"), F.max("at_end").alias("at_end"))
-        levels.append(written(step.join(_union(seen), ["target", "up"], "left_anti"), "chains-level"))
-        seen.append(levels[-1].select("target", "up"))
-        # a target that has come to every endpoint there is needs no search any more
-        done = _union([level.where("at_end = 1").select("target") for level in levels]).groupBy("target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ends)
-        state = levels[-1].where("at_end = 0").select("target", F.col("up").alias("cur")).join(done.select("target"), "target", "left_anti")
+        step = B.united(state.drop("at_end").join(light, "cur").drop("cur").withColumnRenamed("up", "cur"), ["cur"], F.max("at_end").alias("at_end"))
+        levels.append(written(B.without(step, seen, ["cur"]), "chains-level"))
+        before, seen = seen, written(B.united(seen.unionByName(levels[-1].drop("at_end")), ["cur"]), "chains-seen")
+        if len(levels) > 2:
+            discard(before)
+        # targets that have come to every endpoint there is need no search any more
+        done = B.common(seen.join(ends, "cur"), [], F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_ends)
+        state = written(B.without(levels[-1].where("at_end = 0"), written(done, "chains-done"), []), "chains-state")
         if state.isEmpty():
             break
 
     # from the deepest level down: what has come to a function of a level goes on to its next
-    paths = None
-    for depth in range(len(levels), 0, -1):
-        level = levels[depth - 1]
-        own = level.where("at_end = 1").select("target", F.col("up").alias("endpoint"), F.lit(depth).alias("depth"), F.array("up").alias("path"), F.col("via").alias("cur"))
-        if paths is not None:
-            on = level.select("target", F.col("up").alias("cur"), "via")
-            own = own.unionByName(paths.join(on, ["target", "cur"]).select("target", "endpoint", "depth", F.array_append("path", F.col("cur")).alias("path"), F.col("via").alias("cur")))
-        paths = own
-    paths = paths.select("target", "endpoint", "depth", F.array_append("path", F.col("target")).alias("path"))
-    steps = paths.select("target", "endpoint", "depth", "path", F.posexplode("path").alias("pos", "id")).withColumn("next", F.get("path", F.col("pos") + 1)).drop("path")
-    steps = steps.join(ids, "id").join(edges.select(F.col("up").alias("id"), F.col("at").alias("next"), "g"), ["id", "next"], "left")
-    rows = steps.groupBy("target", "endpoint", "depth").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol", "g"))).alias("x"))
+    pairs, steps = None, []
+    for depth in range(len(levels) - 1, 0, -1):
+        own = B.members(levels[depth].where("at_end = 1").drop("at_end").withColumn("endpoint", F.col("cur")))
+        own = own.select("endpoint", "n", F.lit(depth).alias("depth"), "cur")
+        pairs = own if pairs is None else own.unionByName(pairs)
+        next_ = pairs.join(edges.select(F.col("up").alias("cur"), "at", "g"), "cur").select("endpoint", "n", "depth", F.col("at").alias("cur"), "g")
+        came = levels[depth - 1].where("at_end = 0")
+        next_ = next_.withColumn("block", B.block_of(F.col("n"))).join(came, ["cur", "block"]).where(B.holds(F.col("n")))
+        best = F.min(F.struct("cur", "g")).alias("best")
+        steps.append(written(next_.groupBy("endpoint", "n", "depth").agg(best).select("endpoint", "n", "depth", "best.cur", "best.g"), "chain-steps"))
+        steps[-1] = steps[-1].withColumn("pos", F.col("depth") - (depth - 1))
+        pairs = steps[-1].select("endpoint", "n", "depth", "cur")
+    first = [x.where("pos = 1").select("endpoint", "n", "depth", F.col("endpoint").alias("cur"), F.lit(None).cast(GUARDS).alias("g"), F.lit(0).alias("pos")) for x in steps]
+    rows = _union([*steps, *first]).join(ids, F.col("cur") == F.col("id"))
+    rows = rows.groupBy("endpoint", "n", "depth").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol", "g"))).alias("x"))
     chain = F.transform("x", lambda r: r["symbol"])
     guards = F.flatten(F.reverse(F.transform(F.filter("x", lambda r: r["g"].isNotNull()), lambda r: r["g"])))
     rows = rows.select(chain.alias("chain"), guards.cast(GUARDS).alias("guards"), "depth")

@@ -301,11 +301,24 @@ def running_depth(lines: DataFrame) -> DataFrame:
     return lines.withColumn("depth", F.sum("depth_delta").over(upto).cast("long"))
 
 
-def hits_by_priority(lines: DataFrame, first: DataFrame, second: DataFrame, zero: DataFrame) -> DataFrame:
-    """lines (file, line) with the hits of the first source that has them, then the second, else 0 for listed zero lines."""
+#: Lines of the cells that spans are filed under.
+CELL = 64
+
+
+def hits_by_priority(lines: DataFrame, first: DataFrame, second: DataFrame, gaps: DataFrame) -> DataFrame:
+    """lines (file, line) with the hits of the first source that has them, then the second, then the gap around them.
+
+    gaps: file, start, stop, zero (array of lines) of function bodies. A line inside of one has 0 hits
+    if it is listed there and 1 if not; where several bodies hold it, one that lists it decides.
+    Lines outside of all have none.
+    """
     a = first.select("file", "line", F.col("hits").alias("h1"))
     b = second.select("file", "line", F.col("hits").alias("h2"))
-    z = zero.select("file", "line").distinct().withColumn("h3", F.lit(0).cast("long"))
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    filed = gaps.where("start <= stop").select("file", "start", "stop", "zero", F.explode(F.sequence(cell("start"), cell("stop"))).alias("cell"))
+    near = lines.select("file", "line", cell("line").alias("cell")).distinct().join(filed, ["file", "cell"]).where("line BETWEEN start AND stop")
+    listed = F.array_contains("zero", F.col("line"))
+    z = near.groupBy("file", "line").agg(F.min(F.when(listed, 0).otherwise(1)).cast("long").alias("h3"))
     rows = lines.join(a, ["file", "line"], "left").join(b, ["file", "line"], "left").join(z, ["file", "line"], "left")
     return rows.select("file", "line", F.coalesce("h1", "h2", "h3").alias("hits"))
 

@@ -251,19 +251,23 @@ def running_brace_depth(spark, sf):
 
 _LINES = "SELECT DISTINCT file, line FROM v_cov_line"
 _FIRST = "SELECT file, line, hits FROM v_cov_line WHERE tag = 'F' AND hits > 1"
-_ZERO = "SELECT file, line FROM v_cov_line WHERE tag = 'O' AND hits = 0"
 _SECOND = "SELECT file, line, hits FROM v_cov_line WHERE tag = 'O' AND hits > 0"
+# a body from a file's first line to the middle, whose lines without hits are listed
+_BODIES = "SELECT file, min(line) AS start, CAST(floor((min(line) + max(line)) / 2) AS BIGINT) AS stop FROM v_cov_line WHERE tag = 'O' GROUP BY file"
+_ZERO = "SELECT file, line FROM v_cov_line WHERE tag = 'O' AND hits = 0"
 
 
 @register(
     "line_hits_priority",
     oracle(
-        f"SELECT l.file, l.line, coalesce(a.hits, b.hits, CASE WHEN z.file IS NOT NULL THEN 0 END) AS hits FROM ({_LINES}) l LEFT JOIN ({_FIRST}) a USING (file, line)"
-        f" LEFT JOIN ({_SECOND}) b USING (file, line) LEFT JOIN ({_ZERO}) z USING (file, line)"
+        f"SELECT l.file, l.line, coalesce(a.hits, b.hits, CASE WHEN l.line BETWEEN g.start AND g.stop THEN CASE WHEN z.file IS NULL THEN 1 ELSE 0 END END) AS hits FROM ({_LINES}) l LEFT JOIN ({_FIRST}) a USING (file, line)"
+        f" LEFT JOIN ({_SECOND}) b USING (file, line) LEFT JOIN ({_ZERO}) z USING (file, line) LEFT JOIN ({_BODIES}) g USING (file)"
     ),
 )
 def line_hits_priority(spark, sf):
-    return R.hits_by_priority(*(select(spark, sf, q) for q in (_LINES, _FIRST, _SECOND, _ZERO)))
+    zero = select(spark, sf, _ZERO).groupBy("file").agg(F.collect_list("line").alias("zero"))
+    gaps = select(spark, sf, _BODIES).join(zero, "file", "left").withColumn("zero", F.coalesce("zero", F.array().cast("array<bigint>")))
+    return R.hits_by_priority(*(select(spark, sf, q) for q in (_LINES, _FIRST, _SECOND)), gaps)
 
 
 _FN_LINES = "SELECT split_part(file, '/', 2) AS fn, CASE WHEN hits >= 0 THEN hits END AS hits FROM v_cov_line WHERE tag = 'F'"
