@@ -110,14 +110,19 @@ def coverage_gap(flow_config: DataFrame, tests_flow: DataFrame) -> DataFrame:
     return cfg.join(tested, "flow", "left").select("flow", "has_config", n.alias("tests"), F.when(n == 0, F.col("has_config")).otherwise(0).cast("long").alias("missing_test"))
 
 
-def connector_profile(flow_config: DataFrame, tests_flow: DataFrame) -> DataFrame:
-    """Per connector: all flows, tested and untested ones (sorted)."""
+def connector_profile(flow_config: DataFrame, tests_flow: DataFrame, in_list: DataFrame) -> DataFrame:
+    """Per connector: all flows, tested and untested ones, the lists that it is in (each sorted). A connector in a list needs no flow."""
     tested = tests_flow.select("flow").distinct().withColumn("t", F.lit(True))
     rows = flow_config.select("connector", "flow").distinct().join(tested, "flow", "left")
-    return rows.groupBy("connector").agg(
+    of_flows = rows.groupBy("connector").agg(
         F.count(F.lit(1)).alias("flows"), F.array_sort(F.collect_list(F.when(F.col("t"), F.col("flow")))).alias("tested"),
         F.array_sort(F.collect_list(F.when(F.col("t").isNull(), F.col("flow")))).alias("untested"),
     )
+    of_lists = in_list.groupBy("connector").agg(F.array_sort(F.collect_set("list_key")).alias("in_lists"))
+    none = F.array().cast("array<string>")
+    return of_flows.join(of_lists, "connector", "full").select(
+        "connector", F.coalesce("flows", F.lit(0).cast("long")).alias("flows"), *[F.coalesce(c, none).alias(c) for c in ("tested", "untested", "in_lists")]
+    )
 
 
 def next_number(names: DataFrame, default: int = 41) -> DataFrame:

@@ -39,12 +39,13 @@ def explode_document(documents: DataFrame) -> DataFrame:
     ).drop("changed_function").withColumnRenamed("changed", "changed_function").where("flow_id IS NOT NULL")
 
 
-def connector_of(specialization: Column, prerequisites: Column, body: Column) -> Column:
-    """A flow's connector: what it is specialised for, else a required concrete type, else what the request names."""
+def connector_of(specialization: Column, prerequisites: Column, body: Column, setup: Column) -> Column:
+    """A flow's connector: what it is specialised for, else a required concrete type, else what the request names, else the first that a setup call names."""
     concrete = F.get(F.filter(prerequisites, lambda p: (p["kind"] == "concrete_type") & (p["required_value"] != "")), F.lit(0))["required_value"]
     named = F.nullif(F.get_json_object(body, "$.connector"), F.lit(""))
     capitalised = F.concat(F.upper(F.substring(named, 1, 1)), F.lower(F.substring(named, F.lit(2), F.length(named))))
-    return F.coalesce(F.nullif(specialization["connector"], F.lit("")), concrete, capitalised, F.lit(""))
+    called = F.transform(setup, lambda s: F.nullif(F.get_json_object(s["body"], "$.connector_name"), F.lit("")))
+    return F.coalesce(F.nullif(specialization["connector"], F.lit("")), concrete, capitalised, F.get(F.array_compact(called), F.lit(0)), F.lit(""))
 
 
 def path_of(endpoint: Column) -> Column:
@@ -72,7 +73,7 @@ def normalise(flows: DataFrame) -> DataFrame:
     setup = F.coalesce("setup_payloads", F.array().cast(f"array<{_STEP}>"))
     paths = lambda xs: F.array_sort(F.array_distinct(F.transform(xs, lambda s: path_of(F.coalesce(s["endpoint"], F.lit("")))))  )
     return flows.withColumns({
-        "connector": connector_of(F.col("specialization"), F.col("prerequisites"), body),
+        "connector": connector_of(F.col("specialization"), F.col("prerequisites"), body, setup),
         "trigger_paths": paths(each), "trigger_path": F.get(paths(each), F.lit(0)),
         "setup_paths": paths(setup),
         "handlers": F.filter(F.transform("endpoints", lambda e: e["handler"]), lambda h: h.isNotNull() & (h != "")),

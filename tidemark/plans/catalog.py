@@ -125,13 +125,15 @@ _SOME_TESTS = "SELECT t.* FROM v_tests_flow t JOIN v_test_case c ON t.o_orderkey
 @register(
     "connector_profile",
     oracle(
-        "SELECT connector, count(*) AS flows, coalesce(string_agg(flow, ',' ORDER BY flow) FILTER (WHERE t), '') AS tested, coalesce(string_agg(flow, ',' ORDER BY flow) FILTER (WHERE NOT t), '') AS untested FROM"
-        f" (SELECT DISTINCT connector, flow, flow IN (SELECT flow FROM ({_SOME_TESTS})) AS t FROM v_flow_config) GROUP BY connector"
+        "SELECT coalesce(p.connector, l.connector) AS connector, coalesce(flows, 0) AS flows, coalesce(tested, '') AS tested, coalesce(untested, '') AS untested, coalesce(in_lists, '') AS in_lists FROM"
+        " (SELECT connector, count(*) AS flows, string_agg(flow, ',' ORDER BY flow) FILTER (WHERE t) AS tested, string_agg(flow, ',' ORDER BY flow) FILTER (WHERE NOT t) AS untested FROM"
+        f" (SELECT DISTINCT connector, flow, flow IN (SELECT flow FROM ({_SOME_TESTS})) AS t FROM v_flow_config) GROUP BY connector) p"
+        " FULL JOIN (SELECT connector, string_agg(DISTINCT list_key, ',' ORDER BY list_key) AS in_lists FROM v_in_list GROUP BY connector) l ON p.connector = l.connector"
     ),
 )
 def connector_profile(spark, sf):
-    out = T.connector_profile(view(spark, sf, "v_flow_config"), select(spark, sf, _SOME_TESTS))
-    return out.select("connector", "flows", F.array_join("tested", ",").alias("tested"), F.array_join("untested", ",").alias("untested"))
+    out = T.connector_profile(view(spark, sf, "v_flow_config"), select(spark, sf, _SOME_TESTS), view(spark, sf, "v_in_list"))
+    return out.select("connector", "flows", *[F.array_join(c, ",").alias(c) for c in ("tested", "untested", "in_lists")])
 
 
 @register("next_spec_number", oracle(r"SELECT printf('%05d', coalesce(max(CAST(regexp_extract(spec_file, '^(\d+)', 1) AS BIGINT)) + 1, 41)) AS spec_number FROM v_test_case"))

@@ -23,9 +23,10 @@ def _flows(spark, sf):
     """Flow documents as frames: setup calls, a trigger, prerequisites, handlers."""
     rows = select(spark, sf, f"SELECT *, {_BODY} AS body, {_EXPECTED} AS expected FROM ({_ORDERS}) t")
     o, c, m = F.col("o"), F.col("c"), F.col("m")
-    step = lambda path, body: F.struct(F.lit(path).alias("endpoint"), F.lit(body).alias("body"))
+    step = lambda path, body: F.struct(F.lit(path).alias("endpoint"), (F.lit(body) if isinstance(body, str) else body).alias("body"))
+    pay = F.concat(F.lit('{"confirm":true,"card_number":"4","connector_name":"set'), c % 4, F.lit('"}'))
     setup = F.when(c % 3 == 0, F.array(step("POST /payments/{id}", '{"confirm":false,"customer_id":"z"}'), step("GET /customers/:name", "{}"))).when(
-        c % 3 == 1, F.array(step("POST /payments", '{"confirm":true,"card_number":"4"}'))).otherwise(F.array().cast("array<struct<endpoint:string,body:string>>"))
+        c % 3 == 1, F.array(step("POST /payments", pay))).otherwise(F.array().cast("array<struct<endpoint:string,body:string>>"))
     need = F.when(o % 5 == 0, F.array(F.struct(F.lit("concrete_type").alias("kind"), F.lit("connector").alias("field"), F.concat(F.lit("Conn"), c % 3).alias("required_value")))).otherwise(
         F.array(F.struct(F.lit("auth_context").alias("kind"), F.lit("f").alias("field"), F.lit("").alias("required_value"))))
     ends = F.array(F.struct(F.lit("POST").alias("method"), F.concat(F.lit("/p/"), c).alias("path"), F.when(m == 3, "payments_capture").otherwise("check_things").alias("handler")))
@@ -41,7 +42,7 @@ def _flows(spark, sf):
 @register(
     "normalised_flows",
     oracle(
-        "SELECT o::INT AS flow_id, CASE WHEN o % 7 = 0 THEN 'Spec' || c % 3 WHEN o % 5 = 0 THEN 'Conn' || c % 3 WHEN m = 0 THEN 'Adyen' ELSE '' END AS connector, '/payments/:id/capture' AS trigger_path,"
+        "SELECT o::INT AS flow_id, CASE WHEN o % 7 = 0 THEN 'Spec' || c % 3 WHEN o % 5 = 0 THEN 'Conn' || c % 3 WHEN m = 0 THEN 'Adyen' WHEN c % 3 = 1 THEN 'set' || c % 4 ELSE '' END AS connector, '/payments/:id/capture' AS trigger_path,"
         f" CASE c % 3 WHEN 0 THEN '/customers/:id,/payments/:id' WHEN 1 THEN '/payments' ELSE '' END AS setup_paths, CASE WHEN m = 3 THEN 'payments_capture' ELSE 'check_things' END AS handlers FROM ({_ORDERS})"
     ),
 )
