@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -198,6 +199,16 @@ def test_half_alike_families_are_not_compared_in_full(spark, monkeypatch, n_word
     assert rest <= 60  # of 1770 pairs: the copies, and few that are alike by chance
 
 
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 40)
+    for sizes in ([], [100], [3] * 23, [50, 1, 1, 39, 1, 45, 0, 0, 0, 0, 0, 0], [0] * 11):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(["x" * n for n in sizes], pa.string())], ["doc_id", "text"])
+        parts = [p.column(1).to_pylist() for p in near_dedup._slices(batch)]
+        assert [len(t) for p in parts for t in p] == sizes and all(parts)
+        assert all(len(p) <= 5 and (len(p) == 1 or sum(map(len, p)) <= 40) for p in parts)
+
+
 def test_wide_sketches(spark):
     """The bits in which two sketches differ, the longer one folded, against the sets themselves."""
     rng = np.random.default_rng(2)

@@ -37,6 +37,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ SHORT = 4096
 #: Rows of one part of a large bucket; a long set counts as a row for each of its PARITY shingles.
 PART_ROWS = 2048
 WORD_CACHE = 100_000
-SLICE_ROWS = 256
+#: Rows, and bytes of text, that a worker takes together; a longer text is taken on its own.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 21
 #: Shingles whose orders are shuffled at once: their number times SLOTS is what a worker holds in bytes.
 SLICE_SHINGLES = 16_384
 
@@ -180,6 +182,19 @@ def _wide_differ(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.coalesce(F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x), F.lit(0))).otherwise(0)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) in parts of SLICE_ROWS rows and about SLICE_BYTES of text at most."""
+    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    lo = total = 0
+    for k, size in enumerate(sizes):
+        if k > lo and (total + size > SLICE_BYTES or k - lo == SLICE_ROWS):
+            yield batch.slice(lo, k - lo)
+            lo, total = k, 0
+        total += size
+    if batch.num_rows:
+        yield batch.slice(lo)
+
+
 def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set; null if empty), bands (array of band keys), bits and wide (odd sketches)."""
     bands, rows = band_shape(threshold)
@@ -189,8 +204,7 @@ def sketches(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         make_room("near_dedup")
         hashes = _Hashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
+            for part in _slices(batch):
                 sets = [shingle_set(t, words, hashes) for t in part.column(1).to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 some = [sets[k] for k in full]
@@ -222,8 +236,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         make_room("near_dedup")
         hashes = _Hashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
+            for part in _slices(batch):
                 found = [shingle_set(t, words, hashes) for t in part.column(1).to_pylist()]
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
                 values = pa.array(np.concatenate(found).view(np.int64), pa.int64())
