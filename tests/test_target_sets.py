@@ -60,3 +60,23 @@ def test_shortest_chains_on_small_graphs(spark):
                 best[c.endpoint, c.target] = (key, c.chain, c.guards, c.depth)
         found = {(c.endpoint, c.target): (c.chain, c.guards, c.depth) for c in G.shortest_chains_up(calls, targets, ends, 6).collect()}
         assert found == {k: v[1:] for k, v in best.items()} and found
+
+
+def test_shortest_chains_from_either_side(spark):
+    """From the endpoints down as from the targets up, and many targets are searched for from the few endpoints."""
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = sorted({(f"f{r.randrange(16)}", f"f{r.randrange(16)}") for _ in range(44)})
+        calls = spark.createDataFrame([(a, b, r.choice([None, "if"]), "x") for a, b in edges if a != b], "caller string, callee string, guard_type string, guard_condition string")
+        targets = spark.createDataFrame([(f"f{k}",) for k in (1, 2, 2, 5, 9, 77)], "symbol string")
+        ends = spark.createDataFrame([("f0",), ("f2",), ("f13",), ("f99",)], "symbol string")
+        up, down = (sorted(map(tuple, G.shortest_chains_up(calls, targets, ends, 5, down=d).collect())) for d in (False, True))
+        assert up == down and up
+
+
+def test_many_targets_make_no_sets(spark, monkeypatch):
+    """Sets of many targets are nearly empty, so few endpoints are searched from instead."""
+    monkeypatch.setattr(G, "_shortest_up", None)
+    calls = spark.range(3000).selectExpr("'e' AS caller", "concat('t', id) AS callee", "CAST(NULL AS STRING) AS guard_type", "CAST(NULL AS STRING) AS guard_condition")
+    found = G.shortest_chains_up(calls, calls.selectExpr("callee AS symbol"), spark.createDataFrame([("e",)], "symbol string"), 3)
+    assert found.where("depth = 1 AND chain = array('e', target)").count() == found.count() == 3000

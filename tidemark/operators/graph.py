@@ -209,16 +209,66 @@ def numbered(symbols: DataFrame) -> DataFrame:
     return written(ordered.withColumn("id", F.monotonically_increasing_id()), "symbols")
 
 
-def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
+def shortest_chains_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int, down: bool | None = None) -> DataFrame:
     """endpoint, target, chain, guards, depth: one chain of each pair, the shortest, of those the least as a text.
 
-    As chains_up() with the best kept, but breadth first and for all targets at once: a level has
-    for each function the set of targets from which it is reached there first, as bits, so its rows
-    grow with the calls and not with calls times targets. Chains are put together afterwards, for
-    the endpoints alone: from an endpoint down, of the functions that it calls and that the target
-    came to a level before, the least.
+    As chains_up() with the best kept, but breadth first, from the side (down: from the endpoints)
+    that has fewer rows for each function: one for each endpoint, or one for each block of targets.
     """
     calls = written(calls.select("caller", "callee", "guard_type", "guard_condition"), "calls")
+    targets, endpoints = (written(x.select("symbol").distinct(), "chain-sides") for x in (targets, endpoints))
+    if down is None:
+        down = endpoints.count() <= -(-targets.count() // B.BLOCK)
+    return (_shortest_down if down else _shortest_up)(calls, targets, endpoints, max_depth)
+
+
+def _shortest_down(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
+    """As shortest_chains_up(), from the endpoints down: each pair of endpoint and function is come to once, with its chain.
+
+    Chains of a level have ranks that sort as their texts do, so the least chain to a function is
+    the one of the least rank before it. Calls of functions that every endpoint has come to are
+    left out once most are such.
+    """
+    n_ends = endpoints.count()
+    ends = endpoints.select(F.col("symbol").alias("cur"), F.lit(True).alias("at_end"))
+    edges, n_open = calls, None
+    start = endpoints.select(F.col("symbol").alias("endpoint"), F.col("symbol").alias("cur"), F.array("symbol").alias("chain"), F.array().cast(GUARDS).alias("guards"))
+    frontier = written(start.withColumn("rank", F.monotonically_increasing_id()), "chains-frontier")
+    seen, levels = [frontier.select("endpoint", "cur")], []
+    for depth in range(1, max_depth + 1):
+        step = frontier.select("endpoint", F.col("cur").alias("caller"), "rank").join(edges, "caller")
+        best = F.min(F.struct("rank", "guard_type", "guard_condition")).alias("s")
+        new = step.groupBy("endpoint", F.col("callee").alias("cur")).agg(best).join(_union(seen), ["endpoint", "cur"], "left_anti")
+        new = written(new.select("endpoint", "cur", "s.*"), "chains-new")
+        last = frontier.select("rank", "chain", "guards", F.col("cur").alias("caller"))
+        own = F.array(F.struct(F.concat_ws(" -> ", "caller", "cur").alias("at_hop"), "guard_type", F.col("guard_condition").alias("condition"))).cast(GUARDS)
+        guards = F.when(F.col("guard_type").isNotNull(), F.concat(own, "guards")).otherwise(F.col("guards")).alias("guards")
+        told = new.join(last, "rank").join(ends, "cur", "left")
+        told = told.select("endpoint", "cur", F.array_append("chain", F.col("cur")).alias("chain"), guards, "rank", F.coalesce("at_end", F.lit(False)).alias("at_end"))
+        ordered = written(told, "chains-told").orderBy("rank", F.concat("cur", F.lit(">")))
+        levels.append(written(ordered.withColumn("rank", F.monotonically_increasing_id()), "chains-level").withColumn("depth", F.lit(depth)))
+        frontier = levels[-1].where("NOT at_end")
+        if depth == max_depth or frontier.isEmpty():
+            break
+        seen.append(levels[-1].select("endpoint", "cur"))
+        whole = _union(seen).groupBy("cur").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_ends)
+        called = edges.select(F.col("callee").alias("cur")).distinct()
+        open_ = written(called.join(whole, "cur", "left_anti"), "chains-open")
+        if n_open is None or open_.count() * 4 < n_open:
+            n_open = open_.count()
+            edges = written(edges.join(open_.withColumnRenamed("cur", "callee"), "callee", "left_semi"), "chains-edges")
+    rows = _union(levels).join(targets.withColumnRenamed("symbol", "cur"), "cur", "left_semi")
+    return rows.select("endpoint", F.col("cur").alias("target"), "chain", "guards", "depth")
+
+
+def _shortest_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
+    """As shortest_chains_up(), for all targets at once.
+
+    A level has for each function the set of targets from which it is reached there first, as bits,
+    so its rows grow with the calls and not with calls times targets. Chains are put together
+    afterwards, for the endpoints alone: from an endpoint down, of the functions that it calls and
+    that the target came to a level before, the least.
+    """
     ids = numbered(calls.select(F.explode(F.array("caller", "callee")).alias("symbol")).unionByName(targets.select("symbol")))
     of = lambda name: ids.select(F.col("symbol").alias(f"{name}_symbol"), F.col("id").alias(name))
     edges = _guarded(calls, endpoints).join(of("up"), F.col("caller") == F.col("up_symbol")).join(of("at"), F.col("callee") == F.col("at_symbol"))
