@@ -314,6 +314,82 @@ def _shortest_up(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max
     return rows.select(F.get("chain", F.lit(0)).alias("endpoint"), F.element_at("chain", -1).alias("target"), "chain", "guards", "depth")
 
 
+def _without_callers(edges: DataFrame, rounds: int) -> DataFrame:
+    """caller: functions that nothing calls, those that only they call, and so on for so many rounds: none lies on a cycle, and no caller of one does."""
+    degree = written(edges.groupBy("callee").agg(F.count(F.lit(1)).alias("n")), "chains-degree")
+    parts = [written(edges.select("caller").distinct().join(degree.select(F.col("callee").alias("caller")), "caller", "left_anti"), "chains-peeled")]
+    for _ in range(rounds):
+        if parts[-1].isEmpty():
+            break
+        less = edges.join(parts[-1], "caller").groupBy("callee").agg(F.count(F.lit(1)).alias("less"))
+        degree = written(degree.join(less, "callee", "left").select("callee", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), "less"), "chains-degree")
+        parts.append(written(degree.where("n = 0 AND less > 0").select(F.col("callee").alias("caller")), "chains-peeled"))
+        degree = degree.drop("less")
+    return _union(parts)
+
+
+_MET = ["matches", "ifs", "bad"]
+
+
+def _met() -> list[Column]:
+    """What the guards of a path are after one more call (m: what it matches, c: what it asks): nothing but bad once they contradict each other."""
+    m, c = F.col("m"), F.col("c")
+    negates = lambda a, b: (a == F.concat(F.lit("!"), b)) | (a == F.concat(F.lit("! "), b)) | (a == F.concat(F.lit("!("), b, F.lit(")")))
+    clash = F.coalesce(F.array_contains("matches", m), F.lit(False)) | F.coalesce(F.exists("ifs", lambda x: negates(x, c) | negates(c, x)), F.lit(False))
+    bad = F.col("bad") | clash
+    none = F.array().cast("array<string>")
+    grown = lambda a, x: F.when(bad, none).when(x.isNull(), F.col(a)).otherwise(F.array_sort(F.array_union(a, F.array(x)))).alias(a)
+    return [grown("matches", m), grown("ifs", c), bad.alias("bad")]
+
+
+def feasibility(calls: DataFrame, targets: DataFrame, endpoints: DataFrame, max_depth: int) -> DataFrame:
+    """likely_infeasible, n: how many of chains_up() contradict themselves, as infeasible() says, and how many do not.
+
+    Chains are counted and not written: those that stand at one function and have met the same
+    guards go on as one row. Which functions they came through matters only on cycles, so they are
+    kept apart by those until they leave what cycles lead to; from there on a row has a count for
+    each number of calls. Rows grow with the calls, and with the chains inside of cycles.
+    """
+    ends = endpoints.select(F.col("symbol").alias("caller"), F.lit(True).alias("at_end")).distinct()
+    text = F.coalesce(F.trim("guard_condition"), F.lit(""))
+    m, c = F.when((F.col("guard_type") == "match") & (text != ""), text), F.when(F.col("guard_type") == "if", text)
+    edges = written(calls.select("caller", "callee", m.alias("m"), c.alias("c")), "edges")
+    outer = _without_callers(edges.select("caller", "callee"), max_depth)
+    edges = edges.join(ends, "caller", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False))).withColumnRenamed("callee", "cur")
+    inner = written(edges.join(outer, "caller", "left_anti"), "chains-inner")
+    outside = edges.join(outer, "caller", "left_semi")
+
+    none = F.array().cast("array<string>")
+    start = targets.select(F.col("symbol").alias("cur")).groupBy("cur").agg(F.count(F.lit(1)).alias("n"))
+    state = start.select("cur", F.array("cur").alias("path"), none.alias("matches"), none.alias("ifs"), F.lit(False).alias("bad"), "n")
+    hits, left = [], []
+    counts = [f"n{k}" for k in range(max_depth + 1)]
+    for depth in range(max_depth + 1):
+        zero = F.lit(0).cast("long")
+        left.append(state.select("cur", *_MET, *[(F.col("n") if k == depth else zero).alias(x) for k, x in enumerate(counts)]))
+        if depth == max_depth:
+            break
+        step = state.join(inner, "cur").where(~F.array_contains("path", F.col("caller")))
+        step = step.select(F.col("caller").alias("cur"), F.array_sort(F.array_append("path", F.col("caller"))).alias("path"), *_met(), "at_end", "n")
+        step = written(step.groupBy("cur", "path", *_MET, "at_end").agg(F.sum("n").alias("n")), "chains-counted")
+        hits.append(step.where("at_end").select("bad", "n"))
+        state = step.where("NOT at_end").drop("at_end")
+        if state.isEmpty():
+            break
+    # outside of cycles: all numbers of calls at once
+    sums = [F.sum(x).alias(x) for x in counts]
+    state = written(_union(left).groupBy("cur", *_MET).agg(*sums), "chains-counted")
+    for _ in range(max_depth):
+        step = state.join(outside, "cur")
+        step = step.select(F.col("caller").alias("cur"), *_met(), "at_end", F.lit(0).cast("long").alias(counts[0]), *[F.col(a).alias(b) for a, b in zip(counts, counts[1:])])
+        step = written(step.groupBy("cur", *_MET, "at_end").agg(*sums), "chains-counted")
+        hits.append(step.where("at_end").select("bad", sum((F.col(x) for x in counts[1:]), F.lit(0)).alias("n")))
+        state = step.where("NOT at_end").drop("at_end")
+        if state.isEmpty():
+            break
+    return _union(hits).where("n > 0").groupBy(F.col("bad").alias("likely_infeasible")).agg(F.sum("n").alias("n"))
+
+
 def infeasible(guards: Column) -> Column:
     """Whether a path contradicts itself: one scrutinee matched twice, or a condition and its negation."""
     trimmed = F.transform(guards, lambda g: F.struct(g["guard_type"].alias("t"), F.trim(g["condition"]).alias("c")))

@@ -106,7 +106,7 @@ def endpoint_dedup(spark, sf):
     ),
 )
 def path_feasibility(spark, sf):
-    return _chains(spark, sf).groupBy(G.infeasible(F.col("guards")).alias("likely_infeasible")).agg(F.count(F.lit(1)).alias("n"))
+    return G.feasibility(*_ends(spark, sf))
 
 
 _FLOWS = "flows AS (SELECT array_to_string(chain[2:], '>') AS tail, array_to_string(guards, ';') AS guards, list_sort(list_distinct(list(endpoint))) AS endpoints FROM best GROUP BY ALL)"
