@@ -221,3 +221,18 @@ def test_scip(spark, tmp_path):
     nodes, sites = scip.call_graph(scip.read(spark, str(tmp_path / "index.scip")))
     assert sorted((r.symbol, r.name, r.file, r.def_line) for r in nodes.collect()) == [("m/f().", "f", "src/a.rs", 5), ("m/g().", "g", "src/b.rs", 2)]
     assert [tuple(r) for r in sites.collect()] == [("m/f().", "m/g().", "src/a.rs", 7)]
+
+
+def test_many_small_files_are_one_frame():
+    """A frame for each file took longer than all parsing."""
+    import pandas as pd
+
+    from tidemark.sources import files as S
+
+    texts = [f"{k} {k + 1}" if k % 3 else None for k in range(3000)]
+    batches = [pd.DataFrame({"file": [f"f{k}" for k in part], "text": [texts[k] for k in part]}) for part in (range(1700), range(1700, 3000))]
+    made = list(S.frames(iter(batches), lambda t: ((int(x),) for x in t.split()), ["n"]))
+    rows = pd.concat(made)
+    assert len(made) == 1 and list(rows["n"]) == [x for k in range(3000) if k % 3 for x in (k, k + 1)] and list(rows["file"][:3]) == ["f1", "f1", "f2"]
+    long = [pd.DataFrame({"file": ["a"] * 5, "text": ["1 " * (S.CHARS // 4)] * 5})]
+    assert sum(map(len, S.frames(iter(long), lambda t: [(len(t),)], ["n"]))) == 5

@@ -31,20 +31,29 @@ def whole_files(spark: SparkSession, root: str, glob: str = "*.rs", skip: Iterab
     return out
 
 
+#: Rows, and characters of texts read, after which a parser's rows are handed on.
+ROWS, CHARS = 4096, 4_000_000
+
+
+def frames(batches: Iterator[pd.DataFrame], parser: Callable[[str], Iterable[tuple]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """file and the named columns of what parser makes of the texts of batches (file, text): many small files are one frame."""
+    rows, chars = [], 0
+    for batch in batches:
+        for file, text in zip(batch["file"], batch["text"]):
+            chars += len(text or "")
+            for row in parser(text or ""):
+                rows.append((file, *row))
+                if len(rows) >= ROWS or chars >= CHARS:
+                    yield pd.DataFrame(rows, columns=["file", *names], dtype=object)
+                    rows, chars = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["file", *names], dtype=object)
+
+
 def parsed(files: DataFrame, parser: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
     """file and the columns of every row that parser makes of a file's text."""
     names = [c.strip().split(" ")[0] for c in columns.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, text in zip(batch["file"], batch["text"]):
-                rows = list(parser(text or ""))
-                if rows:
-                    out = pd.DataFrame(rows, columns=names, dtype=object)
-                    out.insert(0, "file", file)
-                    yield out
-
-    return files.select("file", "text").mapInPandas(run, f"file string, {columns}")
+    return files.select("file", "text").mapInPandas(lambda batches: frames(batches, parser, names), f"file string, {columns}")
 
 
 def lines(files: DataFrame) -> DataFrame:
