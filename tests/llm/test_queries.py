@@ -108,6 +108,29 @@ def test_op5(spark, sf_dir, rows):
     assert found == {i: (len(sets[i]), want[i], want[i] == i) for i, _ in rows}
 
 
+def test_near_dedup_centre_of_a_family(spark, monkeypatch):
+    # copies of one text with 0 to 3 of 150 words changed, the ones with most changes first: what is near the text links the rest
+    rng, rows = random.Random(3), []
+    base = [f"w{k}" for k in range(150)]
+    for n in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), round(3 * (1 - n / 119))):
+            words[at] = f"x{n}_{at}"
+        rows.append((n, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    found = {r.doc_id: r.component_id for r in near_dedup.group(docs, 5, 80).collect()}
+    sets = [near_dedup.shingle_set(t, 5) for _, t in rows]
+    links = [(a, b) for b in range(120) for a in range(b) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    want = list(range(120))
+    for a, b in links:
+        low, high = sorted((want[a], want[b]))
+        want = [low if x == high else x for x in want]
+    assert found == dict(enumerate(want))
+    assert len(links) > 1000 and pairs[1] < 20, (len(links), pairs)
+
+
 def test_near_dedup_families(spark):
     """Chains of edits, where the ends of a chain are unlike, against all pairs."""
     rng = random.Random(5)

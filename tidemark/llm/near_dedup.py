@@ -8,7 +8,11 @@ batch of documents at once; a document is done as soon as no later rank can lowe
 
 Documents with equal shingle sets form a class, and only its representative goes on. Slots are
 cut into bands; documents that agree in a whole band share a bucket. Within a bucket each member
-is first paired with the smallest id only. Those pairs are checked on full sets and grouped; then
+is first paired with its centre only: the member that meets the most others over all its buckets
+(of equal ones the smallest id). In a family of near copies that is one close to what they were
+made of, which is linked with all that are linked with anything, or nearly so; a member picked by
+its id may be far out and leave most of the family to the next step, whose pairs grow with the
+square of what is left. Those pairs are checked on full sets and grouped; then
 the pairs of one bucket that are still in different groups and can reach the threshold are checked
 as well, and grouped with the rest. Whether a pair can reach it is told by the sizes and by odd
 sketches: every shingle of a set flips one of PARITY bits, so the bits in which two sketches differ
@@ -314,6 +318,15 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each bucket's centre with its other members. members: key, rep, n (how many are in the bucket)."""
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    centre = F.bitwise_not(F.max(F.struct("met", F.bitwise_not("rep").alias("c")))["c"])  # the least id of those that meet most
+    centres = members.select("key", "rep").join(met, "rep").groupBy("key").agg(centre.alias("centre"))
+    pairs = members.select("key", "rep").join(centres, "key").where("rep <> centre")
+    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+
+
 def _apart(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a bucket that are in different groups so far and may be similar enough.
 
@@ -371,8 +384,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     rows = (1 + F.floor(F.col("size") / PARITY)).cast("int").alias("rows")
     keyed = classes.select("rep", rows, F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, rows, low
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(keyed.join(shared, "key"), "buckets")  # key, rep, rows, n
 
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -380,7 +393,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = sets.groupBy("doc_id").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles"))
     sets = written(sets, "shingle-sets")
 
-    stars = written(members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    stars = written(_stars(members), "pairs")
     links = written(_verified(stars, sets, percent), "links")
     labels = written(components(links), "labels")
 
