@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import TABLES
+from tidemark.storage import fit_shuffles
 
 VIEWS: dict[str, str] = {
     "v_fn": """
@@ -102,7 +103,9 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = needed(sql)
     text = " ".join([sql, *(VIEWS[n] for n in names)])
     root = sf_dir.rstrip("/")
-    tables = [f"{t} AS (SELECT * FROM parquet.`{root}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    fit_shuffles(spark, [f"{root}/{t}.parquet" for t in used])
+    tables = [f"{t} AS (SELECT * FROM parquet.`{root}/{t}.parquet`)" for t in used]
     parts = tables + [f"{n} AS ({VIEWS[n]})" for n in names]
     return spark.sql(("WITH " + ", ".join(parts) + " " if parts else "") + sql)
 
