@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 
 def norm_path(path: Column) -> Column:
     """{x} and :name segments as :id."""
@@ -29,11 +31,14 @@ def grid_status(connectors: DataFrame, flow_config: DataFrame, in_list: DataFram
     ladder: no configuration; in the flow's exclude list (left out on purpose: covered); the flow has
     an include list and the connector isn't in it; no test of the flow; covered.
     """
-    names = connectors.select("connector").union(flow_config.select("connector")).distinct()
-    flows = flow_config.select("flow").union(tests_flow.select("flow")).union(flow_list.select("flow")).distinct()
+    # both are read more than once, and may be made of parsed texts
+    pairs = written(flow_config.select("connector", "flow").distinct(), "configured")
+    tested = written(tests_flow.select("flow").distinct(), "tested-flows")
+    names = connectors.select("connector").union(pairs.select("connector")).distinct()
+    flows = pairs.select("flow").union(tested).union(flow_list.select("flow")).distinct()
     grid = names.crossJoin(flows)
-    has_config = flow_config.select("connector", "flow").distinct().withColumn("has_config", F.lit(True))
-    has_test = tests_flow.select("flow").distinct().withColumn("has_test", F.lit(True))
+    has_config = pairs.withColumn("has_config", F.lit(True))
+    has_test = tested.withColumn("has_test", F.lit(True))
     lists = flow_list.groupBy("flow").agg(F.min("include_key").alias("include_key"), F.min("exclude_key").alias("exclude_key"))
     keys = in_list.groupBy("connector").agg(F.collect_set("list_key").alias("keys"))
     rows = grid.join(has_config, ["connector", "flow"], "left").join(has_test, "flow", "left").join(lists, "flow", "left").join(keys, "connector", "left")
