@@ -7,7 +7,7 @@ executor; no shuffle is needed and the driver never sees a text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,25 +35,27 @@ def whole_files(spark: SparkSession, root: str, glob: str = "*.rs", skip: Iterab
 ROWS, CHARS = 4096, 4_000_000
 
 
-def frames(batches: Iterator[pd.DataFrame], parser: Callable[[str], Iterable[tuple]], names: list[str]) -> Iterator[pd.DataFrame]:
-    """file and the named columns of what parser makes of the texts of batches (file, text): many small files are one frame."""
+def frames(batches: Iterator[pd.DataFrame], parser: Callable[[str], Iterable[tuple]], names: list[str], keep: Sequence[str] = ()) -> Iterator[pd.DataFrame]:
+    """file, the columns to keep and the named columns of what parser makes of the texts of batches (file, text): many small files are one frame."""
+    own = ["file", *keep]
     rows, chars = [], 0
     for batch in batches:
-        for file, text in zip(batch["file"], batch["text"]):
+        for text, *of_file in zip(batch["text"], *(batch[c] for c in own)):
             chars += len(text or "")
             for row in parser(text or ""):
-                rows.append((file, *row))
+                rows.append((*of_file, *row))
                 if len(rows) >= ROWS or chars >= CHARS:
-                    yield pd.DataFrame(rows, columns=["file", *names], dtype=object)
+                    yield pd.DataFrame(rows, columns=[*own, *names], dtype=object)
                     rows, chars = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=["file", *names], dtype=object)
+        yield pd.DataFrame(rows, columns=[*own, *names], dtype=object)
 
 
-def parsed(files: DataFrame, parser: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
-    """file and the columns of every row that parser makes of a file's text."""
+def parsed(files: DataFrame, parser: Callable[[str], Iterable[tuple]], columns: str, keep: Sequence[str] = ()) -> DataFrame:
+    """file and the columns of every row that parser makes of a file's text; keep: columns of files, strings, that go with each row."""
     names = [c.strip().split(" ")[0] for c in columns.split(", ")]
-    return files.select("file", "text").mapInPandas(lambda batches: frames(batches, parser, names), f"file string, {columns}")
+    kept = "".join(f", {c} string" for c in keep)
+    return files.select("file", "text", *keep).mapInPandas(lambda batches: frames(batches, parser, names, keep), f"file string{kept}, {columns}")
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -79,25 +79,36 @@ def connector_tables(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def spec_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """spec_file, test_case, tests_flow, calls_endpoint from specs (file, text, suite); every test of a spec gets all its flows."""
+    """spec_file, test_case, tests_flow, calls_endpoint from specs (file, text, suite); every test of a spec gets all its flows.
+
+    A file is one row, so what its tests have in common is made distinct inside of it, without a shuffle.
+    """
     name = F.regexp_replace(_named(F.col("file")), "([.]cy)?[.]js$", "")
     known, commands = KNOWN_FLOWS, list(COMMAND_FLOWS)
 
     def whole(text: str):
-        yield js.suites(text), js.imports(text), js.flows_of(text, known, commands), [dict(zip(("test_name", "line", "skipped"), t)) for t in js.tests(text)]
+        suites, imports, flows, tests = js.spec(text, known, commands)
+        yield suites, imports, flows, [dict(zip(("test_name", "line", "skipped"), t)) for t in tests]
 
     columns = "describes array<string>, imports array<string>, flows array<string>, tests array<struct<test_name:string,line:int,skipped:boolean>>"
-    read = parsed(files, whole, columns).join(files.select("file", "suite", content_hash(F.col("text")).alias("file_hash")), "file")
+    read = parsed(files.select("file", "text", "suite", content_hash(F.col("text")).alias("file_hash")), whole, columns, ["suite", "file_hash"])
     read = read.withColumn("spec_name", name).withColumnRenamed("file", "spec_file")
-    tests = read.select("spec_name", "spec_file", "suite", "flows", F.explode("tests").alias("t")).select("*", "t.*").drop("t")
+    tests = read.select("spec_name", "spec_file", "suite", F.explode("tests").alias("t")).select("*", "t.*").drop("t")
     tests = tests.withColumn("id", F.concat_ws("::", "spec_name", "test_name")).withColumn("source_file", F.col("spec_file"))
-    flows = tests.select("id", "spec_file", F.explode("flows").alias("flow"), "source_file").distinct()
-    calls = flows.join(F.broadcast(flow_endpoint(files.sparkSession)), "flow")  # a fixed table of some forty rows
+    ids = F.explode(F.array_distinct(F.transform("tests", lambda t: F.concat_ws("::", "spec_name", t["test_name"])))).alias("id")
+    flows = read.select("spec_file", "flows", ids).select("id", "spec_file", F.explode("flows").alias("flow"), F.col("spec_file").alias("source_file"))
+    ends: dict[str, list] = {}
+    for flow, method, path in FLOW_ENDPOINTS:
+        ends.setdefault(flow, []).append(F.struct(F.lit(method).alias("method"), F.lit(path).alias("path")))
+    of_flow = F.create_map(*[x for flow, e in sorted(ends.items()) for x in (F.lit(flow), F.array(*e))])
+    called = F.array_distinct(F.flatten(F.array_compact(F.transform("flows", lambda f: of_flow[f]))))
+    calls = read.select("spec_file", called.alias("called"), ids).select("id", "spec_file", F.explode("called").alias("e"))
+    calls = calls.select("id", "spec_file", "e.method", "e.path", F.col("spec_file").alias("source_file"))
     return {
         "spec_file": read.select("spec_name", "spec_file", "suite", "file_hash", "describes", "imports", F.col("spec_file").alias("source_file")),
-        "test_case": tests.drop("flows"),
+        "test_case": tests,
         "tests_flow": flows,
-        "calls_endpoint": calls.select("id", "spec_file", "method", "path", "source_file").distinct(),
+        "calls_endpoint": calls,
     }
 
 
