@@ -3,6 +3,7 @@
 import random
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,65 @@ def test_a_quiet_file_ends(spark, tmp_path):
         assert sorted((r.file, r.line_no, r.test) for r in spark.table("quiet").collect()) == [("a", 2, "first"), ("a", 3, "second")]
     finally:
         query.stop()
+
+
+def test_slices_by_one_pass(spark):
+    texts = [("a", "x\né\U0001f600y\r\nz" * 5), ("b", ""), ("c", None), ("d", "1234567"), ("e", "12345678")]
+    found = logs.slices_of(spark.createDataFrame(texts, "file string, text string"), 7)
+    assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    cuts = {f: [t[k : k + 7] for k in range(0, len(t), 7)] if t else [t] for f, t in texts}
+    assert rows == sorted((f, k, x, k == len(c) - 1) for f, c in cuts.items() for k, x in enumerate(c))
+
+
+class _State(dict):
+    """A state variable that counts what is asked of it."""
+
+    calls = 0
+
+    def get(self, key=()):
+        self.calls += 1
+        return dict.get(self, key)
+
+    getValue = get
+
+    def update(self, value):
+        self.calls += 1
+        self[()] = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_state_is_asked_twice_a_batch(spark):
+    text = trace_text(3) * 4
+    slices = [(k, text[k * 5 : k * 5 + 5]) for k in range(-(-len(text) // 5))]
+    reader = logs.SliceReader(logs.Trace(), None)
+    reader.at, reader.early = _State(), _State()
+    rows = [SimpleNamespace(ordinal=k, text=t, last=k == len(slices) - 1) for k, t in slices]
+    random.Random(1).shuffle(rows)
+    found = list(reader.handleInputRows(("f",), iter(rows), None))
+    assert [tuple(r)[1:] for r in found] == list(logs.Trace().feed({}, text + "\n"))
+    assert reader.at.calls == 2 and reader.early.calls == 0
+
+
+def test_early_slices_beyond_what_is_held(spark, monkeypatch):
+    monkeypatch.setattr(logs, "HELD_CHARS", 12)
+    text = trace_text(3) * 4
+    slices = [SimpleNamespace(ordinal=k, text=text[k * 5 : k * 5 + 5], last=k * 5 + 5 >= len(text)) for k in range(-(-len(text) // 5))]
+    reader = logs.SliceReader(logs.Trace(), None)
+    reader.at, reader.early = _State(), _State()
+    rows = slices[1:] + slices[4:9]
+    random.Random(2).shuffle(rows)
+    assert list(reader.handleInputRows(("f",), iter(rows), None)) == [] and len(reader.early) == len(slices) - 1
+    found = list(reader.handleInputRows(("f",), iter(slices[:1]), None))
+    assert [tuple(r)[1:] for r in found] == list(logs.Trace().feed({}, text + "\n")) and not reader.early
