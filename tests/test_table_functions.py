@@ -2,6 +2,7 @@
 
 import pytest
 
+from __spark_entry__ import queries
 from tidemark.sources import table_functions as T
 from tidemark.sources.files import parsed
 
@@ -51,3 +52,8 @@ def test_items_of_every_kind():
     found = list(T.items(RUST))
     assert [x[:2] for x in found] == [("function", "open"), ("function", "go"), ("method", "go"), ("alias", "Router")]
     assert found[2][3:] == ("Bank", "Flow", "Auth,Data") and found[3][3] == "First"
+
+
+def test_trace_rows_are_made_once(spark, sf_dir):
+    plan = queries()["sql_lcov_lines"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lcov_lines") == 1 and "Join" not in plan[: plan.index("lcov_lines")]

@@ -50,10 +50,10 @@ def sql_spec_tests(spark, sf):
 @register("sql_lcov_lines", oracle_of("lcov_records"))
 def sql_lcov_lines(spark, sf):
     return _sql(
-        "WITH l AS (SELECT f.file AS trace, t.* FROM {files} f, LATERAL lcov_lines(f.text) t),"
-        " last AS (SELECT source, max(struct(trace, rec)) AS m FROM l GROUP BY source)"
-        " SELECT regexp_replace(l.source, '^/src/', '') AS file, CAST(l.line AS BIGINT) AS line, sum(l.hits) AS hits FROM l JOIN last ON l.source = last.source AND l.trace = last.m.trace AND l.rec = last.m.rec"
-        " WHERE l.line IS NOT NULL GROUP BY l.source, l.line",
+        # sums come before what is moved by source, and the rows are made once
+        "WITH sums AS (SELECT f.file AS trace, t.source, t.rec, t.line, sum(t.hits) AS hits FROM {files} f, LATERAL lcov_lines(f.text) t GROUP BY ALL),"
+        " marked AS (SELECT *, max(struct(trace, rec)) OVER (PARTITION BY source) AS last FROM sums)"
+        " SELECT regexp_replace(source, '^/src/', '') AS file, CAST(line AS BIGINT) AS line, hits FROM marked WHERE struct(trace, rec) = last AND line IS NOT NULL",
         P.traces(spark, sf, F.lit(1)),
     )
 
