@@ -55,3 +55,20 @@ def test_sets_against_sets(spark, seed):
     for k, o, n in many:
         least[k, n] = min(o, least.get((k, n), o))
     assert sorted((x.k, x.n, x.o) for x in B.members(B.firsts(rows, ["k"], ["o"])).collect()) == sorted((k, n, o) for (k, n), o in least.items())
+
+
+def test_a_target_that_has_come_to_all_is_not_gone_on_with(spark, monkeypatch):
+    """Both functions before endpoints are met on level 2, so no other caller is gone on to, neither there nor further up."""
+    functions = [(x, x, False) for x in ("x", "f", "g", *(f"u{k}" for k in range(9)))] + [("h1", "h1", True), ("h2", "h2", True)]
+    calls = [call("f", "x"), call("g", "x", "if", "c"), call("h1", "f"), call("h2", "g"), call("u0", "x"), *(call(f"u{k + 1}", f"u{k}") for k in range(8)), call("f", "u8")]
+    levels, own = [], I.written
+
+    def counted(df, label):
+        out = own(df, label)
+        if label == "impact-level":
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(I, "written", counted)
+    assert engine(spark, functions, calls, [], ["x"]) == expected(functions, calls, [], ["x"])
+    assert levels == [1, 2, 0]
