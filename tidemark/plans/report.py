@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import report as R
 from tidemark.plans.views import oracle, select, view
 from tidemark.registry import register
+from tidemark.storage import bucketed
 
 _LCOV = "SELECT file, line, hits FROM v_cov_line WHERE tag = 'F' AND hits >= 0"
 _SPANS = "SELECT concat(file, ':', start) AS id, file, start, start + 12 AS stop FROM (SELECT file, min(line) AS start FROM v_cov_line WHERE tag = 'F' GROUP BY file) t"
@@ -265,9 +266,12 @@ _ZERO = "SELECT file, line FROM v_cov_line WHERE tag = 'O' AND hits = 0"
     ),
 )
 def line_hits_priority(spark, sf):
-    zero = select(spark, sf, _ZERO).groupBy("file").agg(F.collect_list("line").alias("zero"))
-    gaps = select(spark, sf, _BODIES).join(zero, "file", "left").withColumn("zero", F.coalesce("zero", F.array().cast("array<bigint>")))
-    return R.hits_by_priority(*(select(spark, sf, q) for q in (_LINES, _FIRST, _SECOND)), gaps)
+    # the view once, by file: what is asked of it here then needs no more of its shuffles
+    cov = bucketed(view(spark, sf, "v_cov_line"), "cov-lines", "file")
+    first, second = cov.where("tag = 'F' AND hits > 1"), cov.where("tag = 'O' AND hits > 0")
+    stop = F.floor((F.min("line") + F.max("line")) / 2).alias("stop")
+    gaps = cov.where("tag = 'O'").groupBy("file").agg(F.min("line").alias("start"), stop, F.collect_list(F.when(F.col("hits") == 0, F.col("line"))).alias("zero"))
+    return R.hits_by_priority(cov.select("file", "line").distinct(), first, second, gaps)
 
 
 _FN_LINES = "SELECT split_part(file, '/', 2) AS fn, CASE WHEN hits >= 0 THEN hits END AS hits FROM v_cov_line WHERE tag = 'F'"
